@@ -6,12 +6,13 @@
    go on. The smallest id is found with a limit that also runs before the shuffle, so a class that
    holds a third of all rows costs each task one row.
 3. Signatures are cut into BANDS bands of ROWS values. At similarity 0.85 a pair shares no band with a
-   probability below 1e-6. Members of a bucket are paired with its smallest member only (a star, not
-   all pairs); pairs whose sizes or estimated similarity rule the threshold out are dropped (five
-   standard deviations below it), the rest is confirmed on the full sets.
-4. Connected components of the confirmed links. Buckets whose members still lie in several components
-   may hide links between two non-smallest members: there, every pair across components is estimated
-   in blocks of BLOCK rows, and confirmed like the others. Nothing is capped.
+   probability below 1e-6. The smallest id of a bucket is its lead. Each text is first paired with one
+   lead only, the one it shares most buckets with. Pairs whose sizes or estimated similarity rule the
+   threshold out are dropped (five standard deviations below it); the rest is confirmed on full sets.
+4. Connected components of these links. A large group of near copies is one component by now. Only
+   buckets whose members still lie in several components can hold links that matter: there, every pair
+   across components is estimated in blocks of BLOCK rows, and confirmed like the others. Nothing is
+   capped.
 5. Components over all links; each class member gets its representative's component.
 
 Intermediate tables are written to the shared checkpoint folder, so lost executors cost recomputation
@@ -189,38 +190,119 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
     return both.where(f"100 * common >= {percent} * (size(s_a) + size(s_b) - common)").select("a", "b")
 
 
-def hidden_pairs(buckets: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) across components of buckets (key, rep, lead), leads aside: they are done.
+def block_pairs(members: DataFrame, payload: DataFrame) -> DataFrame:
+    """(x, y): blocks of rows (rep, c, payload) of buckets (key, rep, c) whose members differ in c.
 
-    In a bucket the component of most members is its bulk, the others are outsiders. Outsiders meet all
-    members, block by block; members of the bulk don't meet each other.
+    In a bucket the component of most members is its bulk, the others are outsiders. Outsiders (x) meet
+    all members (y), block by block; members of the bulk don't meet each other.
     """
-    label = comps.select(F.col("id").alias("rep"), "component")
-    members = buckets.where("rep <> lead").join(label, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     by_component = members.groupBy("key", "c").agg(F.count("*").alias("n"))
-    mixed_keys = by_component.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("bulk"), F.count("*").alias("k")).where("k > 1")
-    keys = written(mixed_keys.select("key", F.col("bulk.c").alias("bulk"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("bulk.n")) / BLOCK).alias("outs")))
-    sig = reps.select("rep", "n_shingles", "sig")
-    rows = members.join(keys, "key").join(sig, "rep").select("key", "c", "blocks", "outs", "bulk", F.struct("rep", "c", "n_shingles", "sig").alias("row"))
+    split = by_component.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("bulk"), F.count("*").alias("k")).where("k > 1")
+    keys = written(split.select("key", F.col("bulk.c").alias("bulk"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("bulk.n")) / BLOCK).alias("outs")))
+    rows = members.join(keys, "key").join(payload, "rep").select("key", "c", "blocks", "outs", "bulk", F.struct("rep", "c", *payload.drop("rep").columns).alias("row"))
     spot = F.xxhash64("row.rep")
     left = rows.where("c <> bulk").select("key", F.pmod(spot, "outs").alias("ob"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("ab"), "row")
     right = rows.select("key", F.pmod(spot, "blocks").alias("ab"), F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("ob"), "row")
     on = ["key", "ob", "ab"]
-    blocks = left.groupBy(*on).agg(F.collect_list("row").alias("x")).join(right.groupBy(*on).agg(F.collect_list("row").alias("y")), on)
+    return left.groupBy(*on).agg(F.collect_list("row").alias("x")).join(right.groupBy(*on).agg(F.collect_list("row").alias("y")), on).select("x", "y")
+
+
+def _field(rows, name: str) -> np.ndarray:
+    return rows.field(name).to_numpy(zero_copy_only=False)
+
+
+def _likely_block(x, y) -> np.ndarray:
+    """Which pairs of two blocks differ in component and aren't ruled out."""
+    ok = _estimated(_field(x, "n_shingles")[:, None], _field(y, "n_shingles")[None], _signature_rows(x.field("sig"))[:, None], _signature_rows(y.field("sig"))[None])
+    return ok & (_field(x, "c")[:, None] != _field(y, "c")[None])
+
+
+def _sets(rows) -> list[np.ndarray]:
+    lists = rows.field("shingles")
+    flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return [flat[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+
+def common_counts(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of every x with every y, by products of incidence matrices."""
+    vocabulary = np.unique(np.concatenate(xs + ys))
+    out = np.zeros((len(xs), len(ys)))
+    coded = [[np.sort(np.searchsorted(vocabulary, s)) for s in side] for side in (xs, ys)]
+    for at in range(0, len(vocabulary), width):
+        m = [np.zeros((len(side), width), np.float32) for side in coded]
+        for rows, side in zip(m, coded, strict=True):
+            for row, codes in zip(rows, side, strict=True):
+                lo, hi = np.searchsorted(codes, (at, at + width))
+                row[codes[lo:hi] - at] = 1
+        out += m[0] @ m[1].T
+    return out.astype(np.int64)
+
+
+def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links (ids) that connect what the bipartite matrix `linked` connects: a breadth-first forest."""
+    n = len(left)
+    names = np.concatenate([left, right])
+    same = names[:, None] == names[None]
+    near = same.copy()
+    near[:n, n:] |= linked
+    near[n:, :n] |= linked.T
+    todo, out = np.ones(len(names), bool), []
+    for root in range(len(names)):
+        queue = [root] if todo[root] else []
+        todo[root] = False
+        while queue:
+            node = queue.pop()
+            for other in np.nonzero(near[node] & todo)[0]:
+                todo[other] = False
+                queue.append(int(other))
+                if names[node] != names[other]:
+                    out.append((int(names[node]), int(names[other])))
+    return out
+
+
+def hidden_links(buckets: DataFrame, reps: DataFrame, comps: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame | None:
+    """Links (a, b) across components within buckets (key, rep); None if estimates leave none."""
+    spark = buckets.sparkSession
+    label = comps.select(F.col("id").alias("rep"), "component")
+    members = buckets.join(label, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    sig = reps.select("rep", "n_shingles", "sig")
 
-    def run(batch, _):
-        a_out, b_out = [], []
+    def texts(batch, _):
+        out = [np.zeros(0, np.int64)]
+        for x, y in zip(values(batch, "x"), values(batch, "y"), strict=True):
+            ok = _likely_block(x.values, y.values)
+            out += [_field(x.values, "rep")[ok.any(axis=1)], _field(y.values, "rep")[ok.any(axis=0)]]
+        return {"rep": np.unique(np.concatenate(out))}
+
+    some = written(map_columns(block_pairs(members, sig), texts, "rep long", step=64).distinct())
+    n = some.count()
+    if not n:
+        return None
+    some = F.broadcast(some) if n <= BROADCAST_IDS else some
+    sets = shingle_sets(docs.join(some.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
+    full = written(sig.join(sets.withColumnRenamed("doc_id", "rep"), "rep"))
+
+    def links(batch, _):
+        found = []
         for x, y in zip(values(batch, "x"), values(batch, "y"), strict=True):
             x, y = x.values, y.values
-            field = lambda rows, c: rows.field(c).to_numpy(zero_copy_only=False)
-            ok = _estimated(field(x, "n_shingles")[:, None], field(y, "n_shingles")[None], _signature_rows(x.field("sig"))[:, None], _signature_rows(y.field("sig"))[None])
-            i, j = np.nonzero(ok & (field(x, "c")[:, None] != field(y, "c")[None]))
-            a_out.append(field(x, "rep")[i])
-            b_out.append(field(y, "rep")[j])
-        return {"a": np.concatenate(a_out), "b": np.concatenate(b_out)}
-
-    found = map_columns(blocks.select("x", "y"), run, "a long, b long", step=64)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            ok = _likely_block(x, y)
+            i, j = np.nonzero(ok.any(axis=1))[0], np.nonzero(ok.any(axis=0))[0]
+            if len(i):
+                xs, ys = _sets(x), _sets(y)
+                common = common_counts([xs[k] for k in i], [ys[k] for k in j])
+                total = _field(x, "n_shingles")[i][:, None] + _field(y, "n_shingles")[j][None] - common
+                found += _forest(ok[np.ix_(i, j)] & (100 * common >= percent * total), _field(x, "rep")[i], _field(y, "rep")[j])
+        return {"a": [a for a, _ in found], "b": [b for _, b in found]}
+
+    # rows hold whole sets, so few of them make an Arrow batch
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(size)
+    spark.conf.set(size, "32")
+    try:
+        return written(map_columns(block_pairs(members.join(some, "rep", "left_semi"), full), links, "a long, b long"))
+    finally:
+        spark.conf.set(size, usual)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,11 +315,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = reps.select("rep", F.explode("bands").alias("key"))
     leads = written(banded.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead"))
     buckets = written(banded.join(leads, "key"))
-    pairs = buckets.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    shared = buckets.where("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("n"))
+    pairs = shared.groupBy(F.col("rep").alias("b")).agg(F.max(F.struct("n", (-F.col("lead")).alias("lead"))).alias("most")).select((-F.col("most.lead")).alias("a"), "b")
     links = written(confirmed(likely(pairs, reps), docs))
-    hidden = written(hidden_pairs(buckets, reps, components(links)))
-    if not hidden.isEmpty():
-        links = links.union(written(confirmed(hidden, docs)))
+    if (hidden := hidden_links(buckets, reps, components(links), docs)) is not None:
+        links = links.union(hidden)
     # repeated ids with unlike texts are one document: their classes are linked as well
     own = known.select("doc_id", "digest").join(reps.select("digest", "rep"), "digest")
     own = written(own)
