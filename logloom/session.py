@@ -2,8 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once per application, in case it isn't installed there."""
+    sc, top = spark.sparkContext, Path(__file__).parent
+    if sc.applicationId not in SHIPPED:
+        SHIPPED.add(sc.applicationId)
+        out = Path(tempfile.mkdtemp(prefix="logloom-")) / f"{top.name}-code.zip"
+        with zipfile.ZipFile(out, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        sc.addPyFile(str(out))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
