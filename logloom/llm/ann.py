@@ -193,9 +193,10 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
         to = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for c, s in salts.items() for x in (c, s)]), F.col("cell")), F.lit(1))
         asked = asked.select("cell", F.explode(F.sequence(F.lit(0), to - 1)).alias("salt"), "chunk", "vec_id", "v", "bound")
         on = ["cell", "salt", "chunk"]
-        return data.groupBy(*on).cogroup(asked.withColumn("salt", F.col("salt").cast("long")).groupBy(*on)).applyInPandas(search, "query_id long, vec_id long, score double")
+        return data.groupBy(*on).cogroup(asked.withColumn("salt", F.col("salt").cast("long")).withColumn("chunk", F.col("chunk").cast("long")).groupBy(*on)).applyInPandas(search, "query_id long, vec_id long, score double")
 
-    data = data.withColumn("salt", F.col("salt").cast("long"))
+    # both sides of a cogroup are dealt by the hash of their keys, which differs between int and long
+    data = data.withColumn("salt", F.col("salt").cast("long")).withColumn("chunk", F.col("chunk").cast("long"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     best = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     home = written(best(visit(queries.withColumn("bound", F.lit(-2.0)))).drop("rank"))
