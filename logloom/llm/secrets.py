@@ -145,8 +145,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of `text_col` replaced by `mark`; overlapping spans are replaced as one."""
+    """docs with every span of `text_col` replaced by `mark`; overlapping spans are replaced as one.
+
+    All columns stay, whatever their names: they are renamed by position meanwhile.
+    """
     names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    told = f"c{names.index(text_col)}"
     t = F.col("_t")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -156,4 +161,5 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], add).alias("out"))
 
     done = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substr(t, acc["at"] + 1)))
-    return find_secrets(docs, text_col).withColumn(text_col, F.when(F.size("_all") > 0, done).otherwise(F.col(text_col))).select(*names)
+    changed = find_secrets(plain, told).withColumn(told, F.when(F.size("_all") > 0, done).otherwise(F.col(told)))
+    return changed.select(*plain.columns).toDF(*names)

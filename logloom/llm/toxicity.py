@@ -173,7 +173,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those predicted toxic; the texts pass through the scoring pass, so nothing is joined."""
+    """docs without those predicted toxic; the texts pass through the scoring pass, so nothing is joined.
+
+    All columns stay, whatever their names: they are renamed by position meanwhile.
+    """
     model = fit(docs, labels, id_col, text_col)
-    scored = model.score(with_features(docs, model.learned, docs.columns, text_col))
-    return scored.where("predicted = 0").select(*docs.columns)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    scored = model.score(with_features(plain, model.learned, plain.columns, f"c{docs.columns.index(text_col)}"))
+    return scored.where("predicted = 0").select(*plain.columns).toDF(*docs.columns)

@@ -1,0 +1,248 @@
+"""HTML extraction, licence scans, URL filters, secret scans, BPE and media against brute force and round trips."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from logloom.llm import bpe, html_extract, licenses, media, queries, secrets, url_filter
+
+EXTRA = "doc_id long, text string, _t string, _text string, _id int, base int, n_tokens int, cell int, key string"
+LONG = "word " * 60_000 + "password=hunter2hunter2"
+TEXTS = [None, "", " ", "a", "a", LONG, "naïve 😀 token: 'abcdef123' AKIA" + "A" * 16, "\0 control\x0b", "Licensed under CC BY 4.0.\nrest"]
+
+
+@pytest.fixture(scope="module")
+def messy(spark):
+    """Nulls, empty and very long texts, repeated rows and ids, columns whose names clash with the operators' own."""
+    rows = [(i, t, "x", "y", 1, 2, 3, 4, "k") for i, t in enumerate(TEXTS)] + [(3, "a", "x", "y", 1, 2, 3, 4, "k"), (None, "b", None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, EXTRA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+# HTML
+
+
+def test_html_regions():
+    body = "<p>The first paragraph of the article is long enough to count.</p><p>Short one.</p><ul><li>A list item</li></ul>"
+    page = f"<html><head><title>T</title><style>p{{}}</style></head><body><nav><a href='/'>Home</a></nav><div class='ad'>Buy now, buy many things now!</div><article><h1>Title&amp;more</h1>{body}<script>x='</p>'</script></article><div class='comments'><p>A reader's comment that is fairly long too, longer than others.</p></div><footer>(c) us</footer></body></html>"
+    assert html_extract.main_text(page) == "Title&more\nThe first paragraph of the article is long enough to count.\nShort one.\nA list item"
+
+
+def test_html_white_space_and_references():
+    assert html_extract.main_text("<article><p>a\n  b&nbsp;&lt;c&gt;<br>d</p>\n<p>&#233;t&eacute;</p></article>") == "a b <c> d\nété"
+
+
+def test_html_broken_and_empty():
+    assert html_extract.main_text("<article><p><b>open<p>next</article>") == "open\nnext"
+    assert [html_extract.main_text(h) for h in (None, "", "<p>", "<script>x</script>", "<nav>only menus</nav>")] == ["", "", "", "", ""]
+    assert html_extract.main_text("no tags at all") == "no tags at all"
+
+
+def test_html_whole_and_many_blocks():
+    blocks = [f"paragraph number {i} with some words in it" for i in range(3000)]
+    page = "<body><nav><a>x</a></nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article></body>"
+    assert html_extract.main_text(page) == "\n".join(blocks)
+
+
+def test_html_query(spark, sf):
+    rows = spark.createDataFrame([(1, "u", None, "c"), (1, "u", "<p>é</p>", "c"), (None, None, "", "c")], "page_id long, url string, html string, text string")
+    assert sorted((r["page_id"] or 0, r["url"], r["text"], r["n_chars"]) for r in html_extract.extract_pages(rows).collect()) == [(0, None, "", 0), (1, "u", "", 0), (1, "u", "é", 1)]
+    assert html_extract.extract_pages(rows.limit(0)).count() == 0
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in queries.QUERIES["op1_html_extraction"](spark, sf).collect()}
+    assert set(got) == set(pages)
+    for i, html in pages.items():  # the fixture's articles hold headings and paragraphs only
+        inner = re.search(r"<article>(.*)</article>", html, re.S)[1]
+        plain = re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1)>", "\n", inner))
+        import html as h
+
+        assert got[i] == "\n".join(" ".join(x.split()) for x in h.unescape(plain).split("\n") if x.strip())
+
+
+# twins
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_twin(spark, sf, name):
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    cur = c.execute(queries.ORACLES[name])
+    names = [d[0] for d in cur.description]
+    df = queries.QUERIES[name](spark, sf)
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(repr, (tuple(r[n] for n in names) for r in df.collect()))) == sorted(map(repr, cur.fetchall()))
+
+
+def test_license_forms(spark, messy):
+    mit = next(t for n, t in licenses.KNOWN if n == "MIT" and len(t) > 500)
+    variants = [mit, mit.upper(), "Copyright (c) 2020 Someone\n\n" + mit.replace(",", " ,"), mit.replace("sublicense", "sublicence"), mit[:-30], "text\nLicensed under the MIT Licence\nmore", None, ""]
+    rows = by_id(licenses.scan_licenses(spark.createDataFrame(list(enumerate(variants)), "doc_id long, text string")))
+    assert [rows[i]["license"] for i in range(8)] == ["MIT"] * 4 + [None] * 4
+    assert rows[5]["notices"] == "MIT" and rows[5]["n_notices"] == 1 and rows[7]["n_notices"] == 0
+    assert licenses.scan_licenses(messy).count() == messy.count() and licenses.scan_licenses(messy.limit(0)).count() == 0
+
+
+def test_url_rules(spark):
+    urls = ["http://a.example.net/en/x", "http://example.net/de/", "https://EXAMPLE.com/de/1", "http://x.org/fr/", "http://x.org/fr", "http://notexample.com/de/", "no scheme", None, "", "ftp://net", "http://net/", "http://b.org/ads/x", "http://b.org/x?q=casino-bonus", "http://a.org?x://y/z#q", "http://h.org/" + "p/" * 50_000]
+    rows = {r["page_id"]: r for r in url_filter.filter_urls(spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")).collect()}
+    assert [rows[i]["verdict"] for i in range(14)] == ["allow", "block", "block", "allow", "allow", "allow", "allow", "allow", "allow", "allow", "block", "block", "block", "allow"]
+    assert [rows[i]["rule"] for i in range(5)] == ["example.net/en/", "net/", "example.com/de/", "org/fr/", None]
+    assert (rows[2]["host"], rows[2]["path"]) == ("example.com", "/de/1") and (rows[7]["host"], rows[7]["path"]) == ("", "") and (rows[13]["host"], rows[13]["path"]) == ("a.org", "")
+    assert rows[14]["path"] == "/" + "p/" * 50_000
+    assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+# secrets
+
+
+def brute_spans(text):
+    """Base spans by Python's re, more spans by counting every window anew."""
+    t = text or ""
+    out = []
+    for k, (_, rx, group, least) in enumerate(secrets.BASE):
+        out += [(m.start(), k, m.end()) for m in re.finditer(rx, t, re.A) if len(m[group]) >= least]
+    base = sorted(out)
+    more = []
+    for m in re.finditer(secrets.CANDIDATE, t, re.A):
+        c = m[0]
+        kind = next(((chars, bits) for rx, chars, bits in secrets.CLASSES if re.search(rx, c)), None)
+        if kind is None or any(re.search(rx, c) for rx in secrets.ALLOW):
+            continue
+        windows = [c[i : i + secrets.WINDOW] for i in range(len(c) - secrets.WINDOW + 1)]
+        top = max(-sum(w.count(x) / len(w) * math.log2(w.count(x) / len(w)) for x in set(w)) for w in windows)
+        assert abs(top - kind[1]) > 1e-9
+        if top >= kind[1] and not any(s <= m.start() and e >= m.end() for s, _, e in base):
+            more.append((m.start(), 3, m.end()))
+    return base, sorted(base + more)
+
+
+def told(spans):
+    return ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+
+
+def check_secrets(df, texts):
+    rows = by_id(df)
+    for i, t in texts.items():
+        base, every = brute_spans(t)
+        r = rows[i]
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == j for _, k, _ in base) for j in range(3)), t
+        assert r["spans"] == told(every) and r["base_sha256"] == hashlib.sha256(told(base).encode()).hexdigest()
+
+
+def test_secrets_brute(spark, docs, messy):
+    check_secrets(secrets.scan_secrets(docs), {r["doc_id"]: r["text"] for r in docs.collect()})
+    check_secrets(secrets.scan_secrets(messy), {i: t for i, t in enumerate(TEXTS) if i != 3})
+    assert secrets.scan_secrets(messy).count() == messy.count() and secrets.scan_secrets(messy.limit(0)).count() == 0
+
+
+def test_secrets_random(spark):
+    rng = random.Random(3)
+    parts = ["password", "API_key", "apikey", "=", ":", '"', "'", " ", "  ", "abcdef", "12345", "AKIA", "A" * 17, "deadbeef" * 3, "0f1e2d3c" * 4, "é", "😀", "\n", "tok", "Token", "secret:", "x", "/", "Zq9+Xw3/Rt7_Pl2-Kj5Hg8"]
+    texts = {i: "".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for i in range(400)}
+    texts |= {400 + i: "".join(rng.choice("abcdefABCDEF0123456789+/_-xyzXYZ ") for _ in range(300)) for i in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check_secrets(secrets.scan_secrets(df), texts)
+    kept = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    for i, t in texts.items():
+        out, at = [], 0
+        for s, _, e in brute_spans(t)[1]:
+            if s >= at:
+                out += [t[at:s], "[SECRET]"]
+            at = max(at, e)
+        assert kept[i] == "".join(out) + t[at:]
+
+
+def test_redact_keeps_columns(messy):
+    out = secrets.redact(messy)
+    assert out.columns == messy.columns
+    rows = {r["doc_id"]: r for r in out.where("doc_id in (0, 5)").collect()}
+    assert rows[0]["text"] is None and rows[0]["_t"] == "x" and rows[5]["text"] == "word " * 60_000 + "[SECRET]"
+
+
+# BPE
+
+
+@pytest.fixture(scope="module")
+def reference_tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_vocabulary())
+    t.no_padding()
+    t.no_truncation()
+    return t
+
+
+def check_bpe(rows, texts, tok):
+    for i, t in texts.items():
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        back = tok.decode(ids, skip_special_tokens=False)
+        assert rows[i]["n_tokens"] == len(ids)
+        assert rows[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert rows[i]["decoded_sha256"] == hashlib.sha256(back.encode()).hexdigest()
+
+
+def test_bpe_library(spark, docs, messy, reference_tokenizer):
+    check_bpe(by_id(bpe.round_trip(docs)), {r["doc_id"]: r["text"] for r in docs.collect()}, reference_tokenizer)
+    check_bpe(by_id(bpe.round_trip(messy)), dict(enumerate(TEXTS)), reference_tokenizer)
+    assert bpe.round_trip(messy).count() == messy.count() and bpe.round_trip(messy.limit(0)).count() == 0
+
+
+def test_bpe_random(reference_tokenizer):
+    rng = random.Random(9)
+    own = bpe.Bpe(bpe.default_vocabulary())
+    alphabet = "aabcdeéß😀日本語 \n\t\u00a0\u3000'sTll019_.,-<|>\u0301\u200d\0" + "<|endoftext|>"
+    for _ in range(1500):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60)))
+        t = t.replace("_", rng.choice(["<|endoftext|>", "_", "'ll", "aaaaaaaa"]))
+        assert own.encode(t) == reference_tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    run = "a" * 50_000 + "é" * 20_000
+    assert own.encode(run) == reference_tokenizer.encode(run, add_special_tokens=False).ids
+
+
+def test_bpe_general_round_trip(spark):
+    df = spark.createDataFrame([(1, "Hello wörld"), (2, None)], "doc_id long, text string")
+    back = by_id(bpe.decode_ids(bpe.encode_texts(df, bpe.default_vocabulary()), bpe.default_vocabulary()))
+    assert back[1]["text"] == "Hello wörld" and back[2]["text"] == ""
+
+
+# media
+
+
+def test_media(spark, docs, messy):
+    rows = by_id(media.media_digests(messy))
+    for i, t in enumerate(TEXTS):
+        raw = (t or "").encode()
+        payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        stored = media.to_wav(payload)
+        r = rows[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(raw), len(payload), zlib.crc32(payload[-64:]))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and media.from_wav(stored) == payload
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+    assert rows[0]["feature"] == rows[1]["feature"] and rows[3]["feature"] == rows[4]["feature"]
+    assert media.media_digests(messy).count() == messy.count() and media.media_digests(messy.limit(0)).count() == 0
+    general = media.media_rows(docs).where(F.size("times") != F.size("codes"))
+    assert general.count() == 0
+
+
+def test_fingerprint_chunks_and_tone():
+    import numpy as np
+
+    x = (128 + 100 * np.sin(2 * np.pi * 20 * np.arange(256 * 40) / 256)).astype(np.uint8).tobytes()
+    rows = media.fingerprint(x)
+    assert rows.tolist() == media.fingerprint(x, chunk=7).tolist()
+    assert {c >> 16 for c in rows[:, 1].tolist()} == {20}
