@@ -1 +1,3 @@
-"""See the modules of this package."""
+"""The registered queries: importing the package fills catalogue.QUERIES and catalogue.ORACLES."""
+
+from logloom.plans import catalogue, more  # noqa: F401
