@@ -52,6 +52,28 @@ def severity_weight(s: Column) -> Column:
     return _mapped(s, SEVERITY_WEIGHT.items(), 0)
 
 
+def sigma_threshold(level: Column) -> Column:
+    """struct(matches, seconds) of a rule's level; nulls for an unknown one."""
+    part = lambda i: _mapped(level, [(k, v[i]) for k, v in SIGMA_THRESHOLD.items()])
+    return F.struct(part(0).alias("matches"), part(1).alias("seconds"))
+
+
+TECHNIQUE = r"^t[0-9]{4}(\.[0-9]{3})?\z"
+
+
+def _attack(tags: Column) -> Column:
+    return F.transform(F.filter(tags, lambda t: t.startswith("attack.")), lambda t: F.substring(t, 8, 1_000_000))
+
+
+def mitre_tactics(tags: Column) -> Column:
+    """attack.* tags that aren't techniques."""
+    return F.filter(_attack(tags), lambda t: ~t.rlike(TECHNIQUE))
+
+
+def mitre_techniques(tags: Column) -> Column:
+    return F.transform(F.filter(_attack(tags), lambda t: t.rlike(TECHNIQUE)), F.upper)
+
+
 def ns_to_ms(n: Column) -> Column:
     """Whole milliseconds, truncated toward zero."""
     n = n.cast("bigint")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from logloom.operators.analytics import WIDTHS, bucket, ntz
 
+BROADCAST_RULES = 10_000
+
 
 def last_triggers(history: DataFrame) -> DataFrame:
     return history.groupBy("rule_id").agg(F.max("triggered_at").alias("last_trigger"))
@@ -15,15 +17,17 @@ def last_triggers(history: DataFrame) -> DataFrame:
 def fired(rules: DataFrame, history: DataFrame, logs: DataFrame, now: str) -> DataFrame:
     """Enabled rules whose count since max(last trigger, now - window), exclusive, reaches the threshold.
 
-    Logs are counted by (service, level, project, minute) before they meet the rules, so the join that
-    isn't an equality sees counts, not rows, except for those in a boundary minute, which keep their time.
+    Rules of a level are fetched by that level while logs are scanned, and partial counts by rule leave
+    each task: what is shuffled are rules, not logs. Up to BROADCAST_RULES rules are broadcast.
     """
     since = F.greatest(F.coalesce("last_trigger", ntz("1970-01-01")), F.expr(f"timestamp_ntz'{now}' - make_interval(0, 0, 0, 0, 0, time_window)"))
     live = rules.where("enabled").join(last_triggers(history), "rule_id", "left").withColumn("since", since)
     r = live.withColumn("level", F.explode(F.split("levels", ","))).withColumnRenamed("service", "rule_service").withColumnRenamed("project_id", "rule_project")
-    grouped = logs.where(F.col("time") <= ntz(now)).groupBy("level", "service", "project_id", "time").agg(F.count("*").alias("k"))
+    seen = logs.where(F.col("time") <= ntz(now)).select("level", "service", "project_id", "time")
     fits = (F.col("rule_service").isNull() | (F.col("service") == F.col("rule_service")) | (F.col("service") == "unknown")) & (F.col("rule_project").isNull() | (F.col("project_id") == F.col("rule_project"))) & (F.col("time") > F.col("since"))
-    hits = grouped.join(F.broadcast(r), "level").where(fits).groupBy("rule_id").agg(F.sum("k").alias("log_count"))
+    if rules.count() <= BROADCAST_RULES:
+        r = F.broadcast(r)
+    hits = seen.join(r, "level").where(fits).groupBy("rule_id").agg(F.count("*").alias("log_count"))
     return live.join(hits, "rule_id").where("log_count >= threshold").select("rule_id", "log_count", "threshold")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,6 +28,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; only where none is set (tests), a local one."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="logloom-")
+        sc.setCheckpointDir(found)
+    return found
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, read again: cuts the lineage in a way that outlives executors."""
+    path = f"{shared_dir(df.sparkSession)}/logloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(app: str = "logloom", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     return (

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.scalars import level_of_otlp, level_of_priority, ns_to_ms, span_kind, span_status, valid_trace_id
+from logloom.session import shared_dir
 
 LOG_SCHEMA = "time string, service string, level string, message string, metadata string, trace_id string, span_id string"
 LEVELS = ("debug", "info", "warn", "error", "critical")
@@ -76,7 +79,19 @@ def threat_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", comment="#", schema="ip string, score int")
 
 
+#: Header, RFC 4180 quoting, and times to the microsecond, so that nothing is lost.
+CSV = {"header": True, "quote": '"', "escape": '"', "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+
+
+def exported(logs: DataFrame, limit: int = 50_000) -> DataFrame:
+    """What export_csv has written to the shared folder, read back: Time, Service, Level, Message."""
+    path = f"{shared_dir(logs.sparkSession)}/logloom-{uuid.uuid4().hex}"
+    export_csv(logs, path, limit)
+    schema = "Time timestamp_ntz, Service string, Level string, Message string, Metadata string, TraceID string"
+    return logs.sparkSession.read.options(**CSV, multiLine=True).csv(path, schema=schema).select("Time", "Service", "Level", "Message")
+
+
 def export_csv(logs: DataFrame, path: str, limit: int = 50_000) -> None:
     """The newest `limit` rows with RFC 4180 quoting."""
     newest = logs.orderBy(F.col("time").desc(), F.col("id").desc()).limit(limit)
-    newest.select(F.col("time").alias("Time"), F.col("service").alias("Service"), F.col("level").alias("Level"), F.col("message").alias("Message"), F.col("metadata").alias("Metadata"), F.col("trace_id").alias("TraceID")).write.csv(path, header=True, quote='"', escape='"')
+    newest.select(F.col("time").alias("Time"), F.col("service").alias("Service"), F.col("level").alias("Level"), F.col("message").alias("Message"), F.col("metadata").alias("Metadata"), F.col("trace_id").alias("TraceID")).write.options(**CSV).csv(path)

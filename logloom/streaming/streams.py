@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.operators.search import search
 from logloom.operators.sigma import PACKS, detect
+from logloom.session import shared_dir
 
 
 def hourly_counts(logs: DataFrame, late: str = "3 hours") -> DataFrame:
@@ -34,6 +37,21 @@ def first_of_group(errors: DataFrame, within: str = "7 days") -> DataFrame:
     return errors.withColumn("time", F.col("time").cast("timestamp")).withWatermark("time", within).dropDuplicatesWithinWatermark(["project_id", "fingerprint"])
 
 
+def to_parquet(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there now into Parquet in the shared folder; the sink grows on executors, not on the driver.
+
+    In complete mode each batch replaces the result.
+    """
+    top = f"{shared_dir(stream.sparkSession)}/logloom-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/state").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").start(f"{top}/out")
+    else:
+        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{top}/out")).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{top}/out")
+
+
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now, into a memory table; for small results and tests."""
     stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
