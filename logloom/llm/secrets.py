@@ -78,25 +78,36 @@ def _xlog(c: Column) -> Column:
     return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
 
+def bound(value: Column, fn) -> Column:
+    """fn(value), with value computed once: inside a lambda, an expression is computed again wherever it stands."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def window_entropy(text: Column, alphabet: Column, window: int = WINDOW) -> Column:
-    """Highest entropy over all windows of a string of at least `window` characters of `alphabet`."""
-    size = F.length(alphabet)
-    code = lambda i: F.position(F.substr(text, i, F.lit(1)), alphabet) - 1
-    first = F.transform(F.sequence(F.lit(1), size), lambda a: F.length(F.substr(text, F.lit(1), F.lit(window))) - F.length(F.replace(F.substr(text, F.lit(1), F.lit(window)), F.substr(alphabet, a, F.lit(1)), F.lit(""))))
-    total = F.aggregate(first, F.lit(0.0), lambda acc, c: acc + _xlog(c))
-    begin = F.struct(first.alias("c"), total.alias("t"), total.alias("low"))
-
-    def step(acc, i):
-        out, into = code(i - window), code(i)
-        gone = F.get(acc["c"], out)
-        less = F.transform(acc["c"], lambda c, j: c - (j == out).cast("int"))
-        there = F.get(less, into)
-        t = F.when(out == into, acc["t"]).otherwise(acc["t"] - _xlog(gone) + _xlog(gone - 1) - _xlog(there) + _xlog(there + 1))
-        counts = F.transform(less, lambda c, j: c + (j == into).cast("int"))
-        return F.struct(counts.alias("c"), t.alias("t"), F.least(acc["low"], t).alias("low"))
-
-    least = F.aggregate(F.when(F.length(text) > window, F.sequence(F.lit(window + 1), F.length(text))).otherwise(F.array().cast("array<int>")), begin, step, lambda acc: acc["low"])
-    return F.log2(F.lit(float(window))) - least / float(window)
+    """Highest entropy over all windows of a string of at least `window` characters of `alphabet`; linear in its length."""
+    codes = F.transform(F.split(text, ""), lambda c: F.position(c, alphabet) - 1)
+
+    def follow(code: Column) -> Column:
+        first = F.slice(code, 1, window)
+        counts = F.transform(F.sequence(F.lit(0), F.length(alphabet) - 1), lambda a: F.size(F.filter(first, lambda c: c == a)))
+        rest = F.size(code) - window
+        moves = F.zip_with(F.slice(code, F.lit(1), rest), F.slice(code, F.lit(window + 1), rest), lambda out, into: F.struct(out.alias("o"), into.alias("i")))
+
+        def begun(c: Column) -> Column:
+            total = F.aggregate(c, F.lit(0.0), lambda acc, n: acc + _xlog(n))
+            return F.aggregate(moves, F.struct(c.alias("c"), total.alias("t"), total.alias("low")), step, lambda acc: acc["low"])
+
+        return bound(counts, begun)
+
+    def step(acc, x):
+        out, into = x["o"], x["i"]
+        gone, there = F.get(acc["c"], out), F.get(acc["c"], into)
+        changed = acc["t"] - _xlog(gone) + _xlog(gone - 1) - _xlog(there) + _xlog(there + 1)
+        t = F.when(out == into, acc["t"]).otherwise(changed)
+        counts = F.transform(acc["c"], lambda c, j: c - (j == out).cast("int") + (j == into).cast("int"))
+        return bound(t, lambda t: F.struct(counts.alias("c"), t.alias("t"), F.least(acc["low"], t).alias("low")))
+
+    return F.log2(F.lit(float(window))) - bound(codes, follow) / float(window)
 
 
 def is_high(text: Column) -> Column:
@@ -108,7 +119,8 @@ def is_high(text: Column) -> Column:
     allowed = F.lit(False)
     for regex in ALLOW:
         allowed = allowed | F.regexp_like(text, F.lit(regex))
-    return F.when(alphabet.isNull() | allowed, False).otherwise(window_entropy(text, alphabet) >= least)
+    kind = F.when(~allowed, F.struct(alphabet.alias("a"), least.alias("b")))
+    return bound(kind, lambda k: F.when(k["a"].isNull(), False).otherwise(window_entropy(text, k["a"]) >= k["b"]))
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -246,3 +246,11 @@ def test_fingerprint_chunks_and_tone():
     rows = media.fingerprint(x)
     assert rows.tolist() == media.fingerprint(x, chunk=7).tolist()
     assert {c >> 16 for c in rows[:, 1].tolist()} == {20}
+
+
+def test_secret_long_candidate(spark):
+    rng = random.Random(3)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    text = "x " + "".join(rng.choice(alphabet) for _ in range(100_000)) + " y"
+    found = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert found["spans"] == "entropy:2:100002"
