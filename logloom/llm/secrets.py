@@ -123,6 +123,18 @@ def is_high(text: Column) -> Column:
     return bound(kind, lambda k: F.when(k["a"].isNull(), False).otherwise(window_entropy(text, k["a"]) >= k["b"]))
 
 
+def _uncovered(spans: Column) -> Column:
+    """Spans by start, then kind, without the entropy spans that a base span holds: one that starts no later and reaches as far."""
+    start = F.struct(F.lit(-1).alias("reach"), F.array().cast(SPAN).alias("out"))
+
+    def step(acc, x):
+        added = x["k"] == len(BASE)
+        out = F.when(added & (acc["reach"] >= x["e"]), acc["out"]).otherwise(F.concat(acc["out"], F.array(x)))
+        return F.struct(F.when(added, acc["reach"]).otherwise(F.greatest(acc["reach"], x["e"])).alias("reach"), out.alias("out"))
+
+    return F.aggregate(spans, start, step, lambda acc: acc["out"])
+
+
 def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with `_base` and `_all`: arrays of spans (s, k: number of the kind, e) by start, then kind."""
     out = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
@@ -133,10 +145,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
         out = out.withColumn(f"_s{i}", _located(F.col(f"_m{i}"), ("p", "m", "g"), lambda m, g, n=least: F.length(g) >= n, i))
     out = out.withColumn("_s3", _located(F.col("_m3"), ("p", "m", "g"), lambda m, g: is_high(m), 3))
     out = out.withColumn("_base", F.array_sort(F.concat("_s0", "_s1", "_s2")))
-    more = F.filter("_s3", lambda x: ~F.exists("_base", lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"])))
-    out = out.withColumn("_more", more)
-    out = out.withColumn("_all", F.array_sort(F.concat("_base", "_more")))
-    return out.drop("_m0", "_m1", "_m2", "_m3", "_s3", "_more")
+    out = out.withColumn("_all", _uncovered(F.array_sort(F.concat("_base", "_s3"))))
+    return out.drop("_m0", "_m1", "_m2", "_m3", "_s3")
 
 
 def spans_text(spans: Column) -> Column:
