@@ -16,7 +16,8 @@ Equal vectors are filed once, with their k + 1 smallest ids: no more can be amon
 Scores are computed in double precision on the original vectors, the same way for every row.
 
 Defined results: vectors that are null, zero, of another length than the first, or hold null or
-non-finite components take no part. Repeated ids: one of them counts. Other columns are ignored.
+non-finite components take no part. Of the rows of a repeated id, the one with the smallest bytes
+counts, as query and as neighbour. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -159,9 +160,10 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
         return spark.createDataFrame([], schema)
     dim = int(first)
     rows = rows.where(F.size("v") == dim)
-    packed = spark_pack(rows)
+    # one row an id comes first: repeats must not use up the places of other ids with an equal vector
+    packed = written(spark_pack(rows).groupBy("vec_id").agg(F.min("v").alias("v")))
     copies = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    filed = packed.withColumn("_r", copies).where(F.col("_r") <= k + 1).select("vec_id", "v").dropDuplicates(["vec_id"])
+    filed = packed.withColumn("_r", copies).where(F.col("_r") <= k + 1).select("vec_id", "v")
     filed = written(filed)
     total = filed.count()
     sample = filed.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, total // SAMPLE + 1))) == 0).limit(SAMPLE).select("v").collect() if total else []
@@ -176,7 +178,7 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
     salts = {int(b["cell"]): -(-b["n"] // BLOCK) for b in boxes}
     salted = F.pmod(F.xxhash64("vec_id"), F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for c, s in salts.items() for x in (c, s)]), F.col("cell")), F.lit(1))) if salts else F.lit(0)
     stop = chi2_quantile(CONFIDENCE)
-    queries = with_cell(packed.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"]), tree, dim)
+    queries = with_cell(packed.where(is_query(F.col("vec_id"))), tree, dim)
     n_chunks = max(1, -(-total // (50 * CHUNK)))
     queries = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(n_chunks)))
     data = placed.select("cell", salted.alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"), "vec_id", "v")

@@ -79,6 +79,19 @@ def test_odd_vectors(spark):
     assert few.count() == 2 and ann.neighbours(df.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
+def test_repeated_ids_in_a_class_of_equal_vectors(spark):
+    rng = np.random.default_rng(2)
+    same = [1.0, 2.0, 0.0, 1.0]
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(1, 40)] + [(100 + i, same) for i in range(12)]
+    rows = rows * 2 + [(100, same)] * 6 + [(50, [0.0, 1.0, 0.0, 0.0]), (50, [0.0, 0.0, 1.0, 0.0])]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 100] == [101, 102, 103, 104, 105]
+    # id 50 is the row with the smallest bytes: little-endian 0.0 starts as 1.0 does, so the later place of 1.0 decides
+    fixed = [(i, v) for i, v in dict(rows[:51]).items()] + [(50, [0.0, 0.0, 1.0, 0.0])]
+    want = brute_neighbours(fixed)[50]
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 50] == [i for i, _ in want]
+
+
 # packing
 
 
