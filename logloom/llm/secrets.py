@@ -7,6 +7,11 @@ another's rises, and the sum of c*log2(c) is corrected by the difference. A cand
 window entropy reaches its class's threshold becomes an `entropy` span, unless an allow-list
 expression fits it or a base span already contains it. The allow-list never touches base spans.
 
+Lower-case runs are judged from a digit and a letter beyond f on. With + / _ or - inside, they are judged
+if a piece of WINDOW characters between these is such a run; slugs, lower-case paths and UUIDs have none.
+No class, so no entropy span: runs without digits or without letters, lower-case hex broken by + / _ -
+(its pieces of 24 are base spans), upper-case runs broken by these.
+
 Offsets are code points, end exclusive. All column expressions: no shuffle, no Python.
 
 Defined results: null or empty text has no spans (the digest is that of the empty string). One row per
@@ -35,6 +40,8 @@ CLASSES = (
     (r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", "0123456789ABCDEF", 2.9),
     (r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 3.4),
     (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.7),
+    (r"^(?=.*[0-9])(?=.*[g-z])[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789", 3.4),
+    (r"^(?=[a-z0-9+/_-]+$).*(?<![a-z0-9])(?=[a-z]*[0-9])(?=[0-9a-f]*[g-z])[a-z0-9]{20}", "abcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.4),
 )
 #: What is no secret, whatever its entropy.
 ALLOW = (

@@ -254,3 +254,16 @@ def test_secret_long_candidate(spark):
     text = "x " + "".join(rng.choice(alphabet) for _ in range(100_000)) + " y"
     found = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
     assert found["spans"] == "entropy:2:100002"
+
+
+def test_secrets_lower_case(spark):
+    rng = random.Random(5)
+    key = "3ax6xnjp29jd6fds4gc373sgvjxteol0"
+    texts = {i: "key " + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(20, 60))) + " end" for i in range(100)}
+    texts |= {100 + i: "".join(rng.choice("abcghixyz0123456789_-/+ ") for _ in range(300)) for i in range(20)}
+    texts |= {200: key, 201: f"sk_live_{key}", 202: "some-blog-post-of-2024-about-many-things-1", 203: "0b6f4a1e-7c1d-4f6e-9b3a-2f4d5e6a7b8c", 204: "g1" * 20, 205: key[:19]}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check_secrets(secrets.scan_secrets(df), texts)
+    rows = by_id(secrets.scan_secrets(df))
+    assert [rows[i]["spans"] for i in range(200, 206)] == ["entropy:0:32", "entropy:0:40", "", "", "", ""]
+    assert by_id(secrets.redact(df))[201]["text"] == "[SECRET]"
