@@ -5,7 +5,9 @@ of the base64 alphabet) are put into a character class, and the Shannon entropy
 WINDOW characters is followed along the string by incremental counts: one character's count falls,
 another's rises, and the sum of c*log2(c) is corrected by the difference. A candidate whose highest
 window entropy reaches its class's threshold becomes an `entropy` span, unless an allow-list
-expression fits it or a base span already contains it. The allow-list never touches base spans.
+expression fits the whole of it or a base span already contains it. Windows that touch a word of WORDS
+(example, placeholder, the alphabet, ...) don't count; the rest of the run is judged all the same.
+Neither the allow-list nor the words touch base spans.
 
 Lower-case runs are judged from a digit and a letter beyond f on. With + / _ or - inside, they are judged
 if a piece of WINDOW characters between these is such a run; slugs, lower-case paths and UUIDs have none.
@@ -43,13 +45,17 @@ CLASSES = (
     (r"^(?=.*[0-9])(?=.*[g-z])[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789", 3.4),
     (r"^(?=[a-z0-9+/_-]+$).*(?<![a-z0-9])(?=[a-z]*[0-9])(?=[0-9a-f]*[g-z])[a-z0-9]{20}", "abcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.4),
 )
-#: What is no secret, whatever its entropy.
+_PIECE = r"(?:[A-Z]?[a-z]{1,19}(?:[A-Z][a-z]{2,19})*+[0-9]{0,8}|[A-Z]{1,19}[0-9]{0,8}|[0-9]{1,8})"
+_SEGMENT = rf"[-_]*+{_PIECE}(?:[-_]++{_PIECE})*+[-_]*+"
+#: Candidates that are no secret, whatever their entropy: UUIDs, paths whose every segment is made
+#: of words and short numbers, the example key of AWS's manuals. Possessive, so long ones need no deep stack.
 ALLOW = (
-    r"EXAMPLE|[Ee]xample",
-    r"(?i)0123456789abcdef|abcdefghijklmnopqrst|placeholder|changeme",
     r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"/.*/.*/",
+    rf"^(?=[^/]*/[^/]*/[^/]*/)/*+{_SEGMENT}(?:/++{_SEGMENT})*+/*+$",
+    r"^wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY$",
 )
+#: Fixed value: words that are no part of a secret; only the windows that touch one are passed over.
+WORDS = r"EXAMPLE|[Ee]xample|(?i:0123456789abcdef(?:ghijklmnopqrstuvwxyz)?|abcdefghijklmnopqrst(?:uvwxyz)?|placeholder|changeme)"
 
 SPAN = "array<struct<s:int,k:int,e:int>>"
 
@@ -127,7 +133,8 @@ def is_high(text: Column) -> Column:
     for regex in ALLOW:
         allowed = allowed | F.regexp_like(text, F.lit(regex))
     kind = F.when(~allowed, F.struct(alphabet.alias("a"), least.alias("b")))
-    return bound(kind, lambda k: F.when(k["a"].isNull(), False).otherwise(window_entropy(text, k["a"]) >= k["b"]))
+    pieces = F.filter(F.split(text, WORDS, -1), lambda p: F.length(p) >= WINDOW)
+    return bound(kind, lambda k: F.when(k["a"].isNull(), False).otherwise(F.exists(pieces, lambda p: window_entropy(p, k["a"]) >= k["b"])))
 
 
 def _uncovered(spans: Column) -> Column:
