@@ -5,6 +5,10 @@ SHA-256 of the whole normalised text is hash-joined to the digests of known lice
 is the constant below, so it is broadcast with a proven bound. The same digest is also looked up for
 each single line that mentions a licence, which finds licence notices inside longer texts.
 
+A whole text that this digest doesn't find is looked up once more without title lines and with a wider
+notion of copyright lines, among full texts and standard headers (license_texts.py). canonical_sha256
+and the SQL twin know the first lookup only.
+
 Defined results: null and empty texts have the digest of the empty string and no licence. One row per
 input row; other columns are ignored. Normalisation is per line and works on whole texts.
 """
@@ -18,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, ascii_lower
+from .license_texts import TEXTS
 
 #: Known licence texts and one-line notices (licence, text).
 KNOWN = (
@@ -57,6 +62,24 @@ SPELLINGS = (
 )
 #: A line that starts so, once normalised, is a copyright line.
 COPYRIGHT = r"^(c |copr |copyright )?(c |copyright )?(\(c\) )?(c|copr|copyright)( [0-9]{4}| c [0-9]{4}| by | the | holder|$)|^all rights reserved$"
+#: Fixed value: lines that don't count when a whole text is looked up as `bare`: copyright lines with or without a year
+#: (sign, year or "by" must follow, as wrapped lines of a licence may start with the word), and titles of short licences.
+OUTSIDE = (
+    r"^(portions )?(copyright|copr)( c| ©)+( |$)|^(portions )?(copyright|copr) ([0-9]{4}|yyyy|year|by|the)( |$)|^(c|©) ?[0-9]{4}|^©|^all rights reserved$"
+    r"|^(the )?(mit|expat|isc|((new|modified|revised|simplified) )?bsd( [23] clause)?( (or|new|modified|revised|simplified))*) license( (mit|expat|isc|bsd( [23] clause)?))?$"
+)
+#: Digests of whole long licences, `bare`, as in Debian's common-licenses; Apache-2.0 also without its appendix.
+WHOLE = {
+    "37599287c15c2f2ec060c3c3b55bdf69e3bc7a8aeeb9cd57e18800088789538a": "Apache-2.0",
+    "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0": "Apache-2.0",
+    "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2": "Apache-2.0",
+    "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6": "GPL-2.0",
+    "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a": "GPL-3.0",
+    "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a": "MPL-2.0",
+    "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
+}
 MENTION = r"[Ll][Ii][Cc][Ee][Nn][CcSs][Ee]|[Cc][Cc][ -]?([Bb][Yy]|0)|[Pp]ermission"
 
 
@@ -67,13 +90,13 @@ def canonical_line(line: Column) -> Column:
     return F.trim(out)
 
 
-def canonical_text(lines: Column) -> Column:
-    """Of an array of lines: normalised, without copyright and blank lines, joined by one space."""
-    kept = F.filter(F.transform(lines, canonical_line), lambda x: (x != "") & ~F.regexp_like(x, F.lit(COPYRIGHT)))
+def canonical_text(lines: Column, outside: str = COPYRIGHT) -> Column:
+    """Of an array of normalised lines: without copyright and blank lines, joined by one space."""
+    kept = F.filter(lines, lambda x: (x != "") & ~F.regexp_like(x, F.lit(outside)))
     return F.array_join(kept, " ")
 
 
-def canonical(text: str) -> str:
+def canonical(text: str, outside: str = COPYRIGHT) -> str:
     """The same for one string, for the table of known licences."""
     kept = []
     for line in text.split("\n"):
@@ -81,7 +104,7 @@ def canonical(text: str) -> str:
         for spelling, usual in SPELLINGS:
             out = out.replace(f" {spelling} ", f" {usual} ")
         out = out.strip(" ")
-        if out and not re.search(COPYRIGHT, out):
+        if out and not re.search(outside, out):
             kept.append(out)
     return " ".join(kept)
 
@@ -90,6 +113,12 @@ def known_digests(known=KNOWN) -> dict[str, str]:
     return {hashlib.sha256(canonical(text).encode()).hexdigest(): name for name, text in reversed(known)}
 
 
+def bare_digests(known=KNOWN) -> dict[str, str]:
+    """Licences by the digest of their text without OUTSIDE lines."""
+    texts = {hashlib.sha256(canonical(text, OUTSIDE).encode()).hexdigest(): name for name, text in reversed((*known, *TEXTS))}
+    return WHOLE | texts
+
+
 def scan_licenses(docs: DataFrame, known=KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc id, canonical_sha256, license (of the whole text, else null), notices (licences of single lines, sorted, comma-joined), n_notices."""
     digests = known_digests(known)
@@ -97,12 +126,14 @@ def scan_licenses(docs: DataFrame, known=KNOWN, id_col: str = "doc_id", text_col
     table = spark.createDataFrame(sorted(digests.items()), "canonical_sha256 string, license string")
     lookup = F.create_map(*[F.lit(x) for pair in sorted(digests.items()) for x in pair])
     df = docs.select(F.col(id_col), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("_lines"))
+    bare = F.create_map(*[F.lit(x) for pair in sorted(bare_digests(known).items()) for x in pair])
     mentions = F.filter("_lines", lambda x: F.regexp_like(x, F.lit(MENTION)))
-    df = df.select(id_col, F.sha2(canonical_text(F.col("_lines")), 256).alias("canonical_sha256"), F.transform(mentions, lambda x: F.sha2(canonical_line(x), 256)).alias("_marks"))
+    df = df.select(id_col, F.transform("_lines", canonical_line).alias("_canon"), F.transform(mentions, lambda x: F.sha2(canonical_line(x), 256)).alias("_marks"))
+    df = df.select(id_col, F.sha2(canonical_text(F.col("_canon")), 256).alias("canonical_sha256"), F.sha2(canonical_text(F.col("_canon"), OUTSIDE), 256).alias("_bare"), "_marks")
     found = F.filter(F.transform("_marks", lambda x: F.try_element_at(lookup, x)), lambda x: x.isNotNull())
-    df = df.select(id_col, "canonical_sha256", found.alias("_found"))
+    df = df.select(id_col, "canonical_sha256", F.try_element_at(bare, F.col("_bare")).alias("_named"), found.alias("_found"))
     return df.join(F.broadcast(table), "canonical_sha256", "left").select(
-        id_col, "canonical_sha256", "license",
+        id_col, "canonical_sha256", F.coalesce("license", "_named").alias("license"),
         F.array_join(F.array_sort(F.array_distinct("_found")), ",").alias("notices"),
         F.size("_found").cast("long").alias("n_notices"),
     )

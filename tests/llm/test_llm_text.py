@@ -281,3 +281,25 @@ def test_secrets_with_slashes_and_words(spark):
     rows = by_id(secrets.scan_secrets(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
     assert all(f"entropy:0:{len(k)}" in rows[i]["spans"].split(",") for i, k in enumerate(keys))
     assert [rows[len(keys) + i]["spans"].count("entropy") for i in range(len(no))] == [0] * len(no)
+
+
+def test_license_real_forms(spark):
+    import textwrap
+
+    from logloom.llm.license_texts import TEXTS
+
+    mit, isc = (next(t for n, t in licenses.KNOWN if n == x and len(t) > 400) for x in ("MIT", "ISC"))
+    short = lambda name, n: next(t for k, t in TEXTS if k == name and n in t)
+    wrap = lambda t: "\n".join(textwrap.fill(p, 72) for p in t.split("\n"))
+    forms = [
+        ("MIT", "MIT License\n\nCopyright (c) 2024 Someone\n\n" + wrap(mit)), ("MIT", "The MIT License (MIT)\n\nCopyright © 2024 Someone\n\n" + mit), ("MIT", "Copyright (c) Someone\n\n" + mit), ("MIT", "© Someone\n" + mit),
+        ("ISC", "ISC License\n\nCopyright (c) Someone\n\n" + wrap(isc)),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2024, Someone\nAll rights reserved.\n\n" + wrap(short("BSD-3-Clause", "1. "))), ("BSD-2-Clause", 'BSD 2-Clause "Simplified" License\n\nCopyright Year Someone\n' + short("BSD-2-Clause", "HOLDER ").replace("1. ", "* ").replace("2. ", "* ")),
+        ("Apache-2.0", "Copyright [yyyy] [name of copyright owner]\n\n" + wrap(short("Apache-2.0", "WARRANTIES"))), ("MPL-2.0", wrap(short("MPL-2.0", "MPL"))),
+        ("GPL-3.0", wrap(short("GPL-3.0", "any later"))), ("GPL-2.0", wrap(short("GPL-2.0", "Franklin"))), ("LGPL-2.1", short("LGPL-2.1", "library")), ("AGPL-3.0", short("AGPL-3.0", "program")),
+        ("CC-BY-SA-4.0", short("CC-BY-SA-4.0", "letter")),
+        (None, "MIT License"), (None, "MIT License\n\n" + mit[:-30]), (None, mit + "\nand more"), (None, "copyright holders are many\n" + mit),
+    ]
+    rows = by_id(licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(forms)], "doc_id long, text string")))
+    assert [rows[i]["license"] for i in range(len(forms))] == [n for n, _ in forms[:-1]] + ["MIT"]  # the first lookup drops the last one's line
+    assert set(licenses.WHOLE.values()) == {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"}
