@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.session import written
+
 
 def assemble(spans: DataFrame) -> DataFrame:
     """One row a trace. Root: the earliest span without parent; service: the earliest span's."""
@@ -44,15 +46,24 @@ def waterfall(spans: DataFrame) -> DataFrame:
     return df.select("trace_id", "span_id", F.when(F.col("total") > 0, us("t0", "start_time") / F.col("total") * 100).otherwise(0.0).alias("left_pct"), F.when(F.col("total") > 0, F.greatest(us("start_time", "end_time") / F.col("total") * 100, F.lit(0.5))).otherwise(100.0).alias("width_pct"))
 
 
-def depths(spans: DataFrame, limit: int = 64) -> DataFrame:
-    """Depth of each span below its root; orphans are roots. Stops at cycles by `limit`, one join a level."""
-    ids = spans.select("trace_id", "span_id", "parent_span_id")
-    parents = ids.select("trace_id", F.col("span_id").alias("parent_span_id"))
-    level = ids.join(parents, ["trace_id", "parent_span_id"], "left_anti").select("trace_id", "span_id", F.lit(0).alias("depth"))
-    view = f"spans_{id(spans)}"
-    ids.createOrReplaceTempView(view)
-    level.createOrReplaceTempView(f"{view}_roots")
-    return spans.sparkSession.sql(f"""with recursive t(trace_id, span_id, depth) as (
-      select trace_id, span_id, depth from {view}_roots
-      union all select s.trace_id, s.span_id, t.depth + 1 from t join {view} s on s.trace_id = t.trace_id and s.parent_span_id = t.span_id where t.depth < {limit})
-      select trace_id, span_id, depth from t""")
+def depths(spans: DataFrame) -> DataFrame:
+    """Depth of each span below its root, one row a row; orphans are roots. On a cycle or below one, depth is null.
+
+    Pointer doubling: each round takes every open span from its ancestor to that one's ancestor, so chains
+    of any length take as many rounds as their depth has binary digits. While a chain is open, each round
+    ends some span of it; a round that ends none leaves cycles only. Repeated span ids of a trace count as
+    one parent, whose own parent is the smallest they name.
+    """
+    ids = written(spans.select("trace_id", "span_id", "parent_span_id"))
+    nodes = ids.where("trace_id is not null and span_id is not null").groupBy("trace_id", "span_id").agg(F.min("parent_span_id").alias("up"))
+    there = nodes.select("trace_id", F.col("span_id").alias("up"), F.lit(1).cast("long").alias("hops"))
+    state = nodes.join(there, ["trace_id", "up"], "left").select("trace_id", "span_id", F.when(F.col("hops").isNotNull(), F.col("up")).alias("up"), F.coalesce("hops", F.lit(0)).cast("long").alias("hops"))
+    state, still_open, before = written(state), None, None
+    while still_open is None or 0 < still_open != before:
+        before = still_open
+        over = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("over"), F.col("hops").alias("more"))
+        moved = state.where("up is not null").join(over, ["trace_id", "up"]).select("trace_id", "span_id", F.col("over").alias("up"), (F.col("hops") + F.col("more")).alias("hops"))
+        state = written(state.where("up is null").union(moved))
+        still_open = state.where("up is not null").count()
+    parents = state.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("known"), F.when(F.col("up").isNull(), F.col("hops") + 1).alias("below"))
+    return ids.join(parents, ["trace_id", "parent_span_id"], "left").select("trace_id", "span_id", F.when(F.col("known"), F.col("below")).otherwise(0).cast("int").alias("depth"))

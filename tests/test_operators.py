@@ -115,3 +115,15 @@ def test_streams_equal_batch(spark, sf, tmp_path):
     assert tail.count() == logs.where("level = 'critical'").count()
     hits = streams.drain(streams.detections(stream), "hits", str(tmp_path / "c3"))
     assert hits.count() == sigma.detect(logs).count()
+
+
+def test_depths_of_long_chains_and_cycles(spark):
+    from logloom.operators import traces
+
+    rows = [("a", f"s{i}", f"s{i - 1}" if i else None) for i in range(300)]
+    rows += [("b", "x", "y"), ("b", "y", "x"), ("b", "z", "y"), ("b", "self", "self"), ("b", "root", None), ("b", "child", "root"), ("b", "orphan", "gone"), ("c", "s1", "s0"), ("d", None, None)]
+    got = traces.depths(spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string")).collect()
+    want = {("a", f"s{i}"): i for i in range(300)} | {("b", x): None for x in ("x", "y", "z", "self")}
+    want |= {("b", "root"): 0, ("b", "child"): 1, ("b", "orphan"): 0, ("c", "s1"): 0, ("d", None): 0}
+    assert len(got) == len(rows) and {(r["trace_id"], r["span_id"]): r["depth"] for r in got} == want
+    assert traces.depths(spark.createDataFrame(rows[:0], "trace_id string, span_id string, parent_span_id string")).count() == 0
