@@ -5,7 +5,8 @@ of text, with the tags seen since the last one and the chain of open elements. T
 of the lines is smoothed with a Gaussian, lines above a threshold (the smoothed ratios' mean less a
 part of their deviation) form clusters, and the clusters vote, weighted by their text, for the
 elements that enclose them. The innermost element that holds nearly all of the vote is the content
-region. An exact step follows: every block of that region is kept, however short, save those inside
+region. An article or main around it wins; where there is none, the element around it is taken, with the
+blocks before and after it as far as the next that is never article text. An exact step follows: every block of that region is kept, however short, save those inside
 elements that are never article text (navigation, footers, asides, forms, scripts and the like, or a
 class or id that says advert, comment, cookie notice, ...).
 
@@ -29,6 +30,8 @@ from .common import map_columns, values
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style head title noscript template textarea select option button svg math iframe object canvas audio video map datalist".split())
+#: What may stand in a head; anything else ends it, as in browsers.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 ASIDE = frozenset("nav footer aside form header menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Words of a class or id that mark what isn't the article's text.
@@ -74,6 +77,12 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if tag not in IN_HEAD:
+            self.end_head()
+        if tag in BLOCK or tag == "body":
+            self.end_option()
+        if tag == "button":
+            self.end_open("button")
         if tag in BLOCK:
             self.cut()
             self.imply(tag)
@@ -84,6 +93,24 @@ class Lines(HTMLParser):
             self.kind[self.count] = tag
             self.open.append((tag, self.count, tag in SILENT, doubtful(tag, attrs)))
 
+    def end_head(self):
+        """Head's end tag may be left out; what stands in its own silent elements stays there."""
+        if self.open and self.open[-1][0] == "head":
+            self.open.pop()
+
+    def end_open(self, tag):
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                return
+            if self.open[i][0] in BLOCK:
+                return
+
+    def end_option(self):
+        """A block ends an option whose end tag is left out, unless a list of choices holds both."""
+        if not any(x[0] in ("select", "datalist") for x in self.open):
+            self.end_open("option")
+
     def imply(self, tag):
         """Ends that a block's start implies: an open p, and an item or cell before the next one."""
         ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
@@ -113,6 +140,8 @@ class Lines(HTMLParser):
                 return  # a stray inline end doesn't close the block it is in
 
     def handle_data(self, data):
+        if data.strip():
+            self.end_head()
         if not any(x[2] for x in self.open):
             self.parts.append(data)
 
@@ -151,6 +180,18 @@ def content_region(lines: list, chosen: np.ndarray, kind: dict[int, str], share:
     return max(holders, default=0)
 
 
+def widened(lines: list, chain: tuple[int, ...], kind: dict[int, str]) -> slice:
+    """Lines of the element around the last one of chain (not of body), and on both sides those up to a doubtful one."""
+    around = next((e for e in chain[-2:] if kind[e] not in ("html", "body")), chain[-1])
+    inside = [i for i, x in enumerate(lines) if around in x[2]]
+    first, last = inside[0], inside[-1]
+    while first > 0 and not lines[first - 1][3]:
+        first -= 1
+    while last + 1 < len(lines) and not lines[last + 1][3]:
+        last += 1
+    return slice(first, last + 1)
+
+
 def main_text(html: str | None) -> str:
     parser = Lines()
     parser.feed(html or "")
@@ -163,7 +204,10 @@ def main_text(html: str | None) -> str:
         # the vote may fall on a section of the article: an article or main element around it wins
         chain = next(c for _, _, c, _ in lines if region in c)
         around = [e for e in chain[: chain.index(region)] if parser.kind[e] in ("article", "main")]
-        region = around[-1] if around else region
+        if not around:
+            kept = widened(lines, chain[: chain.index(region) + 1], parser.kind)
+            return "\n".join(text for text, _, _, doubt in lines[kept] if not doubt)
+        region = around[-1]
     return "\n".join(text for text, _, chain, doubt in lines if not doubt and (not region or region in chain))
 
 

@@ -303,3 +303,28 @@ def test_license_real_forms(spark):
     rows = by_id(licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(forms)], "doc_id long, text string")))
     assert [rows[i]["license"] for i in range(len(forms))] == [n for n, _ in forms[:-1]] + ["MIT"]  # the first lookup drops the last one's line
     assert set(licenses.WHOLE.values()) == {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"}
+
+
+def test_html_head_without_end_tag():
+    rest = "<article><h1>Title</h1><p>The first paragraph of the article.</p></article>"
+    want = "Title\nThe first paragraph of the article."
+    for head in ("<head><title>T</title>", "<head><meta charset=utf-8><title>T</title><noscript><img src=x>no</noscript><style>p{}</style>", "<head><title>T</title></head>"):
+        for body in ("<body>", ""):
+            assert html_extract.main_text(f"<!doctype html><html>{head}{body}{rest}") == want
+    assert html_extract.main_text("<head><title>T</title>\nplain text") == "plain text"
+    assert html_extract.main_text("<option>a<p>text of a page</p>") == "text of a page"
+    assert html_extract.main_text("<p>one</p><button>a<button>b</button><p>text</p>") == "one\ntext"
+    assert html_extract.main_text("<p>one</p><button><div>Click</div></button><p>text</p>") == "one\ntext"
+
+
+def test_html_div_only_pages():
+    long = "".join(f"<p>Sentence {i} of a long text that has many words in it.</p>" for i in range(40))
+    texts = [f"Sentence {i} of a long text that has many words in it." for i in range(40)]
+    for tag in ("div", "section"):
+        inner = f"<h1>Title</h1><p>An intro.</p><{tag}>{long}</{tag}><p>The end.</p>"
+        for page in (f"<body>{inner}</body>", f"<body><nav>menu</nav><div>{inner}</div><footer>us</footer></body>", f"<body><nav>menu</nav>{inner}<footer>us</footer><p>after</p></body>"):
+            assert html_extract.main_text(page) == "\n".join(["Title", "An intro.", *texts, "The end."])
+    inner = f"<h1>Title</h1><div class='ad'>Buy</div><div>{long}</div><div class='comments'>A comment</div>"
+    assert html_extract.main_text(f"<body><div>{inner}</div></body>") == "\n".join(["Title", *texts])
+    table = "<ul>" + "".join(f"<li>{t}</li>" for t in texts) + "</ul>"
+    assert html_extract.main_text(f"<body><h1>Title</h1>{table}</body>") == "\n".join(["Title", *texts])
