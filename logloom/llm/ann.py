@@ -15,8 +15,8 @@ chunks of CHUNK, so no task gathers them all.
 Equal vectors are filed once, with their k + 1 smallest ids: no more can be among a query's k nearest.
 Scores are computed in double precision on the original vectors, the same way for every row.
 
-Defined results: vectors that are null, zero, of another length than the first, or hold null or
-non-finite components take no part. Of the rows of a repeated id, the one with the smallest bytes
+Defined results: vectors that are null, zero, of another length than the commonest (of equally common
+ones the longest), or hold null or non-finite components take no part. Of the rows of a repeated id, the one with the smallest bytes
 counts, as query and as neighbour. Other columns are ignored.
 """
 
@@ -33,6 +33,7 @@ from .common import ship, written
 
 M, SEED, CONFIDENCE = 8, 11, 0.97
 SAMPLE, CELLS, CELL, BLOCK, LEAF, CHUNK = 20_000, 1024, 512, 4096, 64, 20_000
+PAIRS = 65_536  # scored exactly at a time
 
 
 def chi2_cdf(x: float, m: int = M) -> float:
@@ -110,7 +111,7 @@ def search_block(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_i
     low, high = np.stack([p_d[x].min(axis=0) for x in leaves]), np.stack([p_d[x].max(axis=0) for x in leaves])
     near = box_distance(p_q, low, high)
     order = np.argsort(near, axis=1, kind="stable")
-    keep = min(k + 8, len(data))
+    keep = min(k, len(data))
     best = np.full((len(queries), keep), -np.inf)
     rows = np.full((len(queries), keep), -1)
     active = np.arange(len(queries))
@@ -127,9 +128,17 @@ def search_block(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_i
             members = leaves[one]
             score = unit_q[who] @ unit_d[members].T
             score[query_ids[who][:, None] == ids[members][None]] = -np.inf
+            # all within rounding of the k-th go to the exact score, so that ties are settled by id
+            both = np.concatenate([best[who], score], axis=1)
+            kth = np.partition(both, both.shape[1] - keep, axis=1)[:, -keep]
+            i, j = np.nonzero(np.isfinite(score) & (score >= kth[:, None] - 1e-9))
+            score[:] = -np.inf
+            for at in range(0, len(i), PAIRS):
+                a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+                score[a, b] = (queries[who[a]] * data[members[b]]).sum(axis=1) / (norm_q[who[a]] * norm_d[members[b]])
             s = np.concatenate([best[who], score], axis=1)
             m = np.concatenate([rows[who], np.broadcast_to(members, score.shape)], axis=1)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :keep]
+            top = np.lexsort((ids[m], -s), axis=1)[:, :keep]
             best[who], rows[who] = np.take_along_axis(s, top, 1), np.take_along_axis(m, top, 1)
     i, j = np.nonzero(np.isfinite(best) & (best >= bound[:, None] - 1e-9))
     row = rows[i, j]
@@ -154,11 +163,11 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
     spark = vectors.sparkSession
     ship(spark)
     rows = clean(vectors, id_col, vec_col)
-    first = rows.select(F.size("v").alias("n")).groupBy().agg(F.max("n").alias("n")).collect()[0]["n"]
+    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), F.col("n").desc()).head()
     schema = "query_id long, rank int, vec_id long, score double"
-    if first is None:
+    if lengths is None:
         return spark.createDataFrame([], schema)
-    dim = int(first)
+    dim = int(lengths["n"])
     rows = rows.where(F.size("v") == dim)
     # one row an id comes first: repeats must not use up the places of other ids with an equal vector
     packed = written(spark_pack(rows).groupBy("vec_id").agg(F.min("v").alias("v")))

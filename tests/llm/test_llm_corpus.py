@@ -92,6 +92,17 @@ def test_repeated_ids_in_a_class_of_equal_vectors(spark):
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 50] == [i for i, _ in want]
 
 
+def test_commonest_length_and_many_ties(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(1, 40)] + [(100 + i, [2.0 ** (i % 30), 0.0, 0.0, 2.0 ** (i % 30)]) for i in range(30)][::-1]
+    got = ann.neighbours(spark.createDataFrame([*rows, (999, [1.0] * 9)], "vec_id long, embedding array<double>"), lambda i: i % 50 == 0).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 100] == [101, 102, 103, 104, 105]
+    data = np.array([[2.0**i, 2.0**i * 3] for i in range(100)])
+    ids = np.arange(100)[::-1].copy()
+    _, row, _ = ann.search_block(data, ids, np.array([[1.0, 3.0]]), np.array([-1]), np.array([-2.0]), 5, ann.chi2_quantile(ann.CONFIDENCE))
+    assert sorted(ids[row].tolist()) == [0, 1, 2, 3, 4]
+
+
 # packing
 
 
