@@ -1,24 +1,35 @@
 """HTML extraction: the main text of a page.
 
 Parser events of the standard library's HTMLParser are taken as they come: one "line" for each block
-of text, with the tags seen since the last one and the chain of open elements. The text-to-tag ratio
-of the lines is smoothed with a Gaussian, lines above a threshold (the smoothed ratios' mean less a
-part of their deviation) form clusters, and the clusters vote, weighted by their text, for the
-elements that enclose them. The innermost element that holds nearly all of the vote is the content
-region. An article or main around it wins; where there is none, the element around it is taken, with the
-blocks before and after it as far as the next that is never article text. An exact step follows: every block of that region is kept, however short, save those inside
-elements that are never article text (navigation, footers, asides, forms, scripts and the like, or a
-class or id that says advert, comment, cookie notice, ...).
+of text, with the tags seen since the last one and the block element it stands in. The text-to-tag ratio
+of the lines is smoothed with a Gaussian; lines above a threshold (the smoothed ratios' mean less half
+of their deviation, or half of the mean if that is lower) form clusters. The clusters decide:
+
+- Their text votes for the elements around it. An article or main around the innermost element with
+  nearly all of the vote is the content region, and all its lines are article text, however short.
+- Without article or main, the lines of the clusters are article text. So are lines that are attached
+  to one: in the element of a strong line, between two lines of clusters, or a paragraph, heading or item
+  next to a cluster with nothing doubtful between, or in the element (not body) around a strong line's. Lines that are mostly links aren't attached, so unmarked
+  menus, lists of links and footers go.
+- Text whose class or id only hints at something else (WEAK) is article text if it lies in a cluster and isn't mostly links.
+
+Never article text, and of ratio 0: text in navigation, footers, asides, forms, scripts and the like, or
+in an element whose class or id says advert, comment, cookie notice, ... Such an inline element is left
+out of its line.
 
 Defined results: null or empty html, or no text, gives an empty string. One row per input row; other
-columns are ignored. Documents without closing tags, or cut short, are read as far as they go.
-White space is what str.split() takes for it, so no-break spaces count; <br> is white space.
+columns are ignored. Documents without closing tags, or cut short, are read as far as they go; a tag
+that the end of the page cuts off is dropped. Text in a button counts as the button's up to its end tag;
+where that is missing, up to the next block. White space is what str.split() takes for it, so no-break
+spaces count; <br> is white space. Time is linear in the length of the page.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,99 +40,135 @@ from .common import map_columns, values
 #: Element names.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style head title noscript template textarea select option button svg math iframe object canvas audio video map datalist".split())
+SILENT = frozenset("script style head title noscript template textarea select option svg math iframe object canvas audio video map datalist".split())
 #: What may stand in a head; anything else ends it, as in browsers.
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 ASIDE = frozenset("nav footer aside form header menu dialog".split())
+#: Blocks that hold text rather than other blocks.
+LEAF = frozenset("p li dd dt td th h1 h2 h3 h4 h5 h6 pre blockquote caption figcaption summary".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Words of a class or id that mark what isn't the article's text.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer foot header masthead topbar sidebar "
-    "aside widget comment comments commentlist respond reply replies disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share "
-    "sharing social related recommended recommendations pagination pager toolbar copyright legal disclaimer skip hidden paywall".split()
+    "ad ads adv advert adverts advertisement advertising advertorial adsense adsbygoogle banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer foot header masthead topbar sidebar "
+    "aside widget comment comments commentlist discussion discussions respond reply replies disqus cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share "
+    "sharing social related recommended recommendations pagination pager toolbar skip hidden paywall".split()
 )
+#: Words that mark it as the whole or the last word of a name, and only hint at it elsewhere; and words that only hint.
+LAST_MARKS, WEAK = frozenset("notice notices alert".split()), frozenset("legal disclaimer copyright".split())
+ARTICLE_MARKS = frozenset("comment comments reply ad related promo".split())
+IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SIGMA, LOWER = 1.0, 0.5
 
 
-def doubtful(tag: str, attrs: list) -> bool:
+def doubt_of(tag: str, attrs: list) -> int:
+    """2: never article text; 1: a hint; 0."""
     if tag in ASIDE:
-        return True
+        return 2
+    found = 0
     for name, value in attrs:
-        if name in ("class", "id") and value and tag not in ("html", "body", "article", "main"):
-            if any(w in MARKS for w in re.split(r"[^a-z0-9]+", value.lower())):
-                return True
-        elif name in ("class", "id") and value and tag == "article":
-            if any(w in ("comment", "comments", "reply", "ad", "related", "promo") for w in re.split(r"[^a-z0-9]+", value.lower())):
-                return True
-        elif name == "role" and (value or "").lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+        value = (value or "").lower()
+        if name in ("class", "id") and tag not in ("html", "body", "main"):
+            for one in value.split():
+                words = [w for w in re.split(r"[^a-z0-9]+", one) if w]
+                if any(w in (ARTICLE_MARKS if tag == "article" else MARKS) for w in words) or tag != "article" and words and words[-1] in LAST_MARKS:
+                    return 2
+                if any(w in LAST_MARKS or w in WEAK for w in words):
+                    found = 1
+        elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+            return 2
+    return found
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int  # characters inside links
+    block: int  # number of the innermost block element; 0: none
+    doubt: int
+    button: int  # number of the button around the block; 0: none
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, open block elements' numbers, whether inside what is never article text)."""
+    """Collects lines, and the tree of block elements: parent and kind by number, parents first.
+
+    The stack of open elements is searched by name and by block in constant time.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.open: list[tuple[str, int, bool, bool]] = []  # name, number, silent, doubtful
-        self.count, self.tags, self.parts = 0, 0, []
-        self.kind: dict[int, str] = {}
+        self.lines: list[Line] = []
+        self.open: list[tuple[str, int, int]] = []  # name, number (blocks and buttons), doubt
+        self.at: dict[str, list[int]] = defaultdict(list)  # positions in open, by name
+        self.blocks: list[int] = []  # positions of blocks in open
+        self.parent, self.kind = [0], [""]
+        self.silent, self.doubts, self.ended = 0, [0, 0, 0], set()
+        self.parts: list[str] = []
+        self.tags, self.linked, self.hid, self.weak = 0, 0, False, False
 
     def cut(self):
         text = " ".join("".join(self.parts).split())
-        self.parts = []
-        if text:
-            self.lines.append((text, self.tags, tuple(x[1] for x in self.open if x[0] in BLOCK), any(x[3] for x in self.open)))
+        if text or self.hid:
+            block = self.open[self.blocks[-1]][1] if self.blocks else 0
+            button = self.open[self.at["button"][-1]][1] if self.at["button"] else 0
+            self.lines.append(Line(text, self.tags, self.linked, block, int(self.weak) if text else 2, button))
             self.tags = 0
+        self.parts, self.linked, self.hid, self.weak = [], 0, False, False
+
+    def push(self, tag, attrs):
+        number = 0
+        if tag in BLOCK or tag == "button":
+            number = len(self.kind)
+            self.parent.append(self.open[self.blocks[-1]][1] if self.blocks else 0)
+            self.kind.append(tag)
+        if tag in BLOCK:
+            self.blocks.append(len(self.open))
+        self.at[tag].append(len(self.open))
+        doubt = doubt_of(tag, attrs)
+        self.open.append((tag, number, doubt))
+        self.silent += tag in SILENT
+        self.doubts[doubt] += 1
+
+    def pop_to(self, position):
+        while len(self.open) > position:
+            tag, _, doubt = self.open.pop()
+            self.at[tag].pop()
+            self.silent -= tag in SILENT
+            self.doubts[doubt] -= 1
+            if self.blocks and self.blocks[-1] == len(self.open):
+                self.blocks.pop()
+
+    def last(self, tag) -> int:
+        return self.at[tag][-1] if self.at[tag] else -1
+
+    def last_block(self) -> int:
+        return self.blocks[-1] if self.blocks else -1
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag not in IN_HEAD:
             self.end_head()
-        if tag in BLOCK or tag == "body":
-            self.end_option()
+        if tag in BLOCK and not self.at["select"] and not self.at["datalist"]:
+            self.end_inline("option")  # where its end tag is left out
         if tag == "button":
-            self.end_open("button")
+            self.end_inline("button")
         if tag in BLOCK:
             self.cut()
-            self.imply(tag)
+            top = self.open[self.blocks[-1]][0] if self.blocks else ""
+            if top == "p" or top in IMPLIED.get(tag, ()):
+                self.pop_to(self.blocks[-1])  # inline elements left open outside stay open across blocks, as in browsers
         elif tag == "br":
             self.parts.append(" ")
         if tag not in VOID:
-            self.count += 1
-            self.kind[self.count] = tag
-            self.open.append((tag, self.count, tag in SILENT, doubtful(tag, attrs)))
+            self.push(tag, attrs)
 
     def end_head(self):
         """Head's end tag may be left out; what stands in its own silent elements stays there."""
         if self.open and self.open[-1][0] == "head":
-            self.open.pop()
-
-    def end_open(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if self.open[i][0] in BLOCK:
-                return
-
-    def end_option(self):
-        """A block ends an option whose end tag is left out, unless a list of choices holds both."""
-        if not any(x[0] in ("select", "datalist") for x in self.open):
-            self.end_open("option")
-
-    def imply(self, tag):
-        """Ends that a block's start implies: an open p, and an item or cell before the next one."""
-        ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name == "p" or name in ends:
-                del self.open[i:]
-                return
-            if name in BLOCK:
-                return
-        # inline elements left open stay open across blocks, as in browsers
+            self.pop_to(len(self.open) - 1)
+
+    def end_inline(self, tag):
+        if self.last(tag) > self.last_block():
+            self.pop_to(self.last(tag))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -132,23 +179,37 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.cut()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if self.open[i][0] in BLOCK and tag not in BLOCK:
-                return  # a stray inline end doesn't close the block it is in
+        at = self.last(tag)
+        if tag == "button" and at >= 0:
+            self.cut()
+            self.ended.add(self.open[at][1])
+        # a stray inline end doesn't close the block it is in
+        if at >= 0 and (tag in BLOCK or tag == "button" or at > self.last_block()):
+            self.pop_to(at)
 
     def handle_data(self, data):
-        if data.strip():
+        blank = not data.strip()
+        if not blank:
             self.end_head()
-        if not any(x[2] for x in self.open):
-            self.parts.append(data)
-
-    def finish(self):
+        if self.silent:
+            return
+        if self.doubts[2] or self.last("button") > self.last_block():
+            self.hid |= not blank
+            return
+        self.parts.append(data)
+        self.weak |= self.doubts[1] > 0 and not blank
+        if self.at["a"]:
+            self.linked += len(data.strip())
+
+    def read(self, html: str) -> list[Line]:
+        end = html.rfind(">") + 1
+        self.feed(html[:end])
+        rest = html[end:]
+        cut_off = re.search(r"<[A-Za-z/!?]", rest)
+        self.feed(rest[: cut_off.start()] if cut_off else rest)
         self.close()
         self.cut()
-        return self.lines
+        return [x._replace(text="", doubt=2) if x.button in self.ended else x for x in self.lines]
 
 
 def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -158,57 +219,71 @@ def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratio, reach, mode="edge"), kernel, mode="valid")
 
 
-def content_lines(lines: list) -> np.ndarray:
-    """Which lines belong to a cluster above the threshold, by smoothed text-to-tag ratio."""
-    ratio = np.array([0.0 if doubt else len(text) / max(tags, 1) for text, tags, _, doubt in lines])
+def content_lines(lines: list[Line]) -> tuple[np.ndarray, np.ndarray]:
+    """(lines of a cluster, strong lines): smoothed text-to-tag ratio, and the line's own, at the threshold."""
+    ratio = np.array([0.0 if x.doubt > 1 else len(x.text) / max(x.tags, 1) for x in lines])
     if not ratio.any():
-        return ratio > 0
+        return ratio > 0, ratio > 0
     smooth = smoothed(ratio)
-    return (smooth >= smooth.mean() - LOWER * smooth.std()) & (ratio > 0)
+    least = min(smooth.mean() - LOWER * smooth.std(), LOWER * smooth.mean())
+    return (smooth >= least) & (ratio > 0), (ratio >= least) & (ratio > 0)
 
 
-def content_region(lines: list, chosen: np.ndarray, kind: dict[int, str], share: float = 0.9) -> int:
-    """Number of the innermost element that holds nearly all of the chosen text; 0: the page."""
-    weight: dict[int, int] = {}
-    total = 0
-    for (text, _, chain, _), yes in zip(lines, chosen, strict=True):
+def article_of(lines: list[Line], chosen: np.ndarray, parent: list[int], kind: list[str], share: float = 0.9) -> int:
+    """Number of the article or main around the innermost element that holds nearly all of the chosen text; 0: none."""
+    weight = [0] * len(kind)
+    for x, yes in zip(lines, chosen, strict=True):
         if yes:
-            total += len(text)
-            for e in set(chain):
-                weight[e] = weight.get(e, 0) + len(text)
-    holders = [e for e, w in weight.items() if w >= share * total and kind[e] not in ("p", "li", "td", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "dd", "dt")]
-    return max(holders, default=0)
-
-
-def widened(lines: list, chain: tuple[int, ...], kind: dict[int, str]) -> slice:
-    """Lines of the element around the last one of chain (not of body), and on both sides those up to a doubtful one."""
-    around = next((e for e in chain[-2:] if kind[e] not in ("html", "body")), chain[-1])
-    inside = [i for i, x in enumerate(lines) if around in x[2]]
-    first, last = inside[0], inside[-1]
-    while first > 0 and not lines[first - 1][3]:
-        first -= 1
-    while last + 1 < len(lines) and not lines[last + 1][3]:
-        last += 1
-    return slice(first, last + 1)
+            weight[x.block] += len(x.text)
+    total = sum(weight)
+    for b in range(len(kind) - 1, 0, -1):
+        weight[parent[b]] += weight[b]
+    at = max((b for b in range(1, len(kind)) if weight[b] >= share * total), default=0)
+    while at and kind[at] not in ("article", "main"):
+        at = parent[at]
+    return at
+
+
+def attached(lines: list[Line], chosen: np.ndarray, strong: np.ndarray, parent: list[int], kind: list[str]) -> np.ndarray:
+    """Article text of a page without article: the clusters, and what is attached to them."""
+    owner = list(range(len(kind)))
+    for b in range(1, len(kind)):
+        if kind[b] in LEAF or kind[b] == "button":
+            owner[b] = owner[parent[b]]
+    own = np.array([owner[x.block] for x in lines])
+    leaf = np.array([kind[x.block] in LEAF for x in lines])
+    clean = np.array([x.doubt < 2 for x in lines])
+    links = np.array([2 * x.linked > len(x.text) for x in lines])
+    home = np.isin(own, own[chosen & strong])
+    # at a cluster's edge, smoothing lifts its neighbours too: these must be attached in their own right
+    core = chosen & (strong | home)
+    at = np.nonzero(core)[0]
+    if not len(at):
+        return core
+    place = np.arange(len(lines))
+    between = (place > at[0]) & (place < at[-1])
+    stretch = np.cumsum(~clean)  # stretches without anything doubtful
+    near = np.isin(stretch, stretch[core])
+    plain = np.array([x.doubt == 0 for x in lines])
+    around = [parent[b] for b in set(own[chosen & strong].tolist()) if kind[parent[b]] not in ("", "html", "body")]
+    return core | plain & ~links & (home | between | leaf & (near | np.isin(own, around)))
 
 
 def main_text(html: str | None) -> str:
     parser = Lines()
-    parser.feed(html or "")
-    lines = parser.finish()
+    lines = parser.read(html or "")
     if not lines:
         return ""
-    chosen = content_lines(lines)
-    region = content_region(lines, chosen, parser.kind) if chosen.any() else 0
-    if region and parser.kind[region] not in ("article", "main", "body", "html"):
-        # the vote may fall on a section of the article: an article or main element around it wins
-        chain = next(c for _, _, c, _ in lines if region in c)
-        around = [e for e in chain[: chain.index(region)] if parser.kind[e] in ("article", "main")]
-        if not around:
-            kept = widened(lines, chain[: chain.index(region) + 1], parser.kind)
-            return "\n".join(text for text, _, _, doubt in lines[kept] if not doubt)
-        region = around[-1]
-    return "\n".join(text for text, _, chain, doubt in lines if not doubt and (not region or region in chain))
+    chosen, strong = content_lines(lines)
+    region = article_of(lines, chosen, parser.parent, parser.kind)
+    if region:
+        inside = [False] * len(parser.kind)
+        for b in range(1, len(inside)):
+            inside[b] = b == region or inside[parser.parent[b]]
+        kept = [inside[x.block] and (x.doubt == 0 or x.doubt == 1 and yes and 2 * x.linked <= len(x.text)) for x, yes in zip(lines, chosen, strict=True)]
+    else:
+        kept = attached(lines, chosen, strong, parser.parent, parser.kind)
+    return "\n".join(x.text for x, yes in zip(lines, kept, strict=True) if yes)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

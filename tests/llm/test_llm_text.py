@@ -328,3 +328,62 @@ def test_html_div_only_pages():
     assert html_extract.main_text(f"<body><div>{inner}</div></body>") == "\n".join(["Title", *texts])
     table = "<ul>" + "".join(f"<li>{t}</li>" for t in texts) + "</ul>"
     assert html_extract.main_text(f"<body><h1>Title</h1>{table}</body>") == "\n".join(["Title", *texts])
+
+
+def test_html_clusters_decide():
+    long = "<p>" + "A sentence of the article, with enough words to be seen as text. " * 4 + "</p>"
+    menu = "".join(f"<div><a href='/{i}'>Topic {i}</a></div>" for i in range(6))
+    page = f"<body><div>{menu}</div><div>{long * 3}<p>Short end.</p></div><div><div>More</div><a href='x'>About us</a> <a href='y'>Contact</a></div></body>"
+    text = html_extract.main_text(page)
+    assert text.count("A sentence") == 12 and text.endswith("Short end.") and "Topic" not in text and "About" not in text and "More" not in text
+    # a hint alone doesn't hide text that lies in a cluster, nor show text that doesn't
+    hinted = f"<article>{long * 2}<div class='notice-board legal'><p>{'Rules of the house that matter here. ' * 5}</p></div>{long}</article>"
+    assert "Rules of the house" in html_extract.main_text(hinted)
+    few = "<div class='legal'><a>a</a><a>b</a><a>c</a><a>d</a></div>"
+    assert html_extract.main_text(f"<article>{few}{few}{few}{long * 3}</article>").startswith("A sentence")
+    switched = html_extract.content_lines
+    try:
+        html_extract.content_lines = lambda lines: (switched(lines)[0] | True, switched(lines)[1] | True)
+        assert "Topic" in html_extract.main_text(page)
+        html_extract.content_lines = lambda lines: (switched(lines)[0] & False, switched(lines)[1] & False)
+        assert html_extract.main_text(page) == ""
+    finally:
+        html_extract.content_lines = switched
+
+
+def test_html_smoothing_and_clusters_brute():
+    rng = random.Random(3)
+    for _ in range(30):
+        lines = [html_extract.Line("x" * rng.randint(1, 300), rng.randint(0, 9), 0, 0, rng.choice((0, 0, 1, 2)), 0) for _ in range(rng.randint(1, 20))]
+        ratio = [0 if x.doubt == 2 else len(x.text) / max(x.tags, 1) for x in lines]
+        weight = [math.exp(-0.5 * d * d) for d in range(-3, 4)]
+        smooth = [sum(w * ratio[min(max(i + d, 0), len(ratio) - 1)] for d, w in zip(range(-3, 4), weight)) / sum(weight) for i in range(len(ratio))]
+        mean = sum(smooth) / len(smooth)
+        least = min(mean - html_extract.LOWER * math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth)), html_extract.LOWER * mean)
+        near = [abs(s - least) < 1e-9 for s in smooth]
+        got, strong = html_extract.content_lines(lines)
+        assert all(n or g == (r > 0 and s >= least) for g, r, s, n in zip(got, ratio, smooth, near)) and all(bool(g) == (r > 0 and r >= least) for g, r in zip(strong, ratio))
+
+
+def test_html_inline_doubt_and_words():
+    long = "<p>" + "A sentence of the article, with enough words to be seen as text. " * 4 + "</p>"
+    page = f"<article>{long}<p><span class='ad'>Buy now cheap</span></p><p>Kept <a class='share' href='#'>Share this</a> whole.</p></article>"
+    assert html_extract.main_text(page).split("\n")[1:] == ["Kept whole."]
+    for marked in ("<section class='discussion'>", "<div class='adsbygoogle'>", "<div id='advertorial'>", "<div class='site-notice'>", "<div role='alert'>"):
+        end = "</section>" if "section" in marked else "</div>"
+        assert "word" not in html_extract.main_text(f"<article>{long}{marked}<p>{'word ' * 60}</p>{end}{long}</article>"), marked
+    assert html_extract.main_text("<article><button>Click<p>hello there, article</p><p>more of it</p></article>") == "hello there, article\nmore of it"
+    assert html_extract.main_text("<article><button><div>Click</div></button><p>hello there</p></article>") == "hello there"
+
+
+def test_html_linear_in_hard_pages():
+    import time
+
+    def seconds(page):
+        t = time.perf_counter()
+        html_extract.main_text(page)
+        return time.perf_counter() - t
+
+    for make in (lambda n: "<article><p>hello</p>" + "<a " * n, lambda n: "<div><i>" * n + "x" + "</u>" * n, lambda n: "<b>" * n + "<p>x</p>" * n, lambda n: "<div>x" * n, lambda n: "<p><span class='ad'>x" * n):
+        assert seconds(make(40_000)) < 20
+    assert html_extract.main_text("<article><p>hello</p>" + "<a " * 1000) == "hello"
