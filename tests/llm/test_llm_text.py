@@ -371,7 +371,7 @@ def test_html_inline_doubt_and_words():
     assert html_extract.main_text(page).split("\n")[1:] == ["Kept whole."]
     for marked in ("<section class='discussion'>", "<div class='adsbygoogle'>", "<div id='advertorial'>", "<div class='site-notice'>", "<div role='alert'>"):
         end = "</section>" if "section" in marked else "</div>"
-        assert "word" not in html_extract.main_text(f"<article>{long}{marked}<p>{'word ' * 60}</p>{end}{long}</article>"), marked
+        assert "zebra" not in html_extract.main_text(f"<article>{long}{marked}<p>{'zebra ' * 60}</p>{end}{long}</article>"), marked
     assert html_extract.main_text("<article><button>Click<p>hello there, article</p><p>more of it</p></article>") == "hello there, article\nmore of it"
     assert html_extract.main_text("<article><button><div>Click</div></button><p>hello there</p></article>") == "hello there"
 
