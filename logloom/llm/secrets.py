@@ -14,7 +14,8 @@ if a piece of WINDOW characters between these is such a run; slugs, lower-case p
 No class, so no entropy span: runs without digits or without letters, lower-case hex broken by + / _ -
 (its pieces of 24 are base spans), upper-case runs broken by these.
 
-Offsets are code points, end exclusive. All column expressions: no shuffle, no Python.
+Offsets are code points, end exclusive. All column expressions: no shuffle, no Python. Time grows with a
+text's length and its number of matches, not with their squares.
 
 Defined results: null or empty text has no spans (the digest is that of the empty string). One row per
 input row, repeated ids included; columns besides id and text are ignored.
@@ -58,6 +59,7 @@ ALLOW = (
 WORDS = r"EXAMPLE|[Ee]xample|(?i:0123456789abcdef(?:ghijklmnopqrstuvwxyz)?|abcdefghijklmnopqrst(?:uvwxyz)?|placeholder|changeme)"
 
 SPAN = "array<struct<s:int,k:int,e:int>>"
+SCAN, PIECE = 256, 1024
 
 
 def _matches(text: Column, regex: str, group: int) -> Column:
@@ -72,30 +74,51 @@ def _matches(text: Column, regex: str, group: int) -> Column:
     )
 
 
+def bound(value: Column, fn) -> Column:
+    """fn(value), with value computed once: inside a lambda, an expression is computed again wherever it stands."""
+    return F.transform(F.array(value), fn)[0]
+
+
+def running(values: Column, fold, zero: int) -> Column:
+    """For each element of an array<int>, the fold of those before it.
+
+    In blocks of SCAN: appending to an array copies it, so one pass over n elements would take time n * n.
+    """
+
+    def scan(xs: Column) -> Column:
+        start = F.struct(F.lit(zero).alias("t"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, start, lambda acc, x: F.struct(fold(acc["t"], x).cast("int").alias("t"), F.concat(acc["out"], F.array(acc["t"])).alias("out")))
+
+    def over(v: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / SCAN).cast("int"))
+        return bound(F.transform(numbers, lambda b: scan(F.slice(v, b * SCAN + 1, SCAN))), joined)
+
+    def joined(blocks: Column) -> Column:
+        before = scan(F.transform(blocks, lambda b: b["t"]))["out"]
+        return F.flatten(F.zip_with(blocks, before, lambda b, t: F.transform(b["out"], lambda x: fold(t, x).cast("int"))))
+
+    return bound(values, over)
+
+
 def _located(found: Column, names: tuple[str, str, str], keep, kind: int) -> Column:
     """Spans of the matches that `keep` holds for, by running sums of lengths."""
     p, m, g = names
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    length = lambda c: F.coalesce(F.length(c), F.lit(0))
 
-    def step(acc, x):
-        s = acc["at"] + F.length(x[p])
-        e = s + F.length(x[m])
-        span = F.struct(s.cast("int").alias("s"), F.lit(kind).alias("k"), e.cast("int").alias("e"))
-        out = F.when(x[m].isNotNull() & keep(x[m], x[g]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(F.coalesce(e, s).cast("int").alias("at"), out.alias("out"))
+    def span(x: Column, at: Column) -> Column:
+        s = at + length(x[p])
+        return F.when(x[m].isNotNull() & keep(x[m], x[g]), F.struct(s.cast("int").alias("s"), F.lit(kind).alias("k"), (s + length(x[m])).cast("int").alias("e")))
+
+    def spans(f: Column) -> Column:
+        return F.array_compact(F.zip_with(f, running(F.transform(f, lambda x: length(x[p]) + length(x[m])), lambda a, b: a + b, 0), span))
 
-    return F.coalesce(F.aggregate(found, start, step, lambda acc: acc["out"]), F.array().cast(SPAN))
+    return F.coalesce(F.when(found.isNotNull(), bound(found, spans)), F.array().cast(SPAN))
 
 
 def _xlog(c: Column) -> Column:
     return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
 
-def bound(value: Column, fn) -> Column:
-    """fn(value), with value computed once: inside a lambda, an expression is computed again wherever it stands."""
-    return F.transform(F.array(value), fn)[0]
-
-
 def window_entropy(text: Column, alphabet: Column, window: int = WINDOW) -> Column:
     """Highest entropy over all windows of a string of at least `window` characters of `alphabet`; linear in its length."""
     codes = F.transform(F.split(text, ""), lambda c: F.position(c, alphabet) - 1)
@@ -139,14 +162,13 @@ def is_high(text: Column) -> Column:
 
 def _uncovered(spans: Column) -> Column:
     """Spans by start, then kind, without the entropy spans that a base span holds: one that starts no later and reaches as far."""
-    start = F.struct(F.lit(-1).alias("reach"), F.array().cast(SPAN).alias("out"))
+    added = lambda x: x["k"] == len(BASE)
 
-    def step(acc, x):
-        added = x["k"] == len(BASE)
-        out = F.when(added & (acc["reach"] >= x["e"]), acc["out"]).otherwise(F.concat(acc["out"], F.array(x)))
-        return F.struct(F.when(added, acc["reach"]).otherwise(F.greatest(acc["reach"], x["e"])).alias("reach"), out.alias("out"))
+    def kept(xs: Column) -> Column:
+        reach = running(F.transform(xs, lambda x: F.when(added(x), -1).otherwise(x["e"])), lambda a, b: F.greatest(a, b), -1)
+        return F.array_compact(F.zip_with(xs, reach, lambda x, r: F.when(~(added(x) & (r >= x["e"])), x)))
 
-    return F.aggregate(spans, start, step, lambda acc: acc["out"])
+    return bound(spans, kept)
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -189,13 +211,20 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     told = f"c{names.index(text_col)}"
     t = F.col("_t")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc, x):
-        inside = x["s"] < acc["at"]
-        add = F.when(inside, "").otherwise(F.concat(F.substr(t, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], add).alias("out"))
+    def between(pieces: Column, a: Column, b: Column) -> Column:
+        """Characters a to b of the text, from its pieces of PIECE characters: to find a place in a whole text takes time in its length."""
+        lo = lambda j: F.greatest(a - j * PIECE, F.lit(0))
+        part = lambda j: F.substr(F.get(pieces, j), lo(j) + 1, F.least(b - j * PIECE, F.lit(PIECE)) - lo(j))
+        first, last = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+        return F.when(b <= a, "").otherwise(F.array_join(F.transform(F.sequence(first, last), part), ""))
+
+    def kept(pieces: Column) -> Column:
+        reach = running(F.transform("_all", lambda x: x["e"]), lambda a, b: F.greatest(a, b), 0)
+        gaps = F.array_compact(F.zip_with("_all", reach, lambda x, r: F.when(x["s"] >= r, F.struct(r.alias("a"), x["s"].alias("b")))))
+        rest = F.struct(F.array_max(F.transform("_all", lambda x: x["e"])).alias("a"), F.length(t).alias("b"))
+        return F.array_join(F.transform(F.concat(gaps, F.array(rest)), lambda g: between(pieces, g["a"], g["b"])), mark)
 
-    done = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substr(t, acc["at"] + 1)))
+    done = bound(F.regexp_extract_all(t, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0)), kept)
     changed = find_secrets(plain, told).withColumn(told, F.when(F.size("_all") > 0, done).otherwise(F.col(told)))
     return changed.select(*plain.columns).toDF(*names)

@@ -387,3 +387,27 @@ def test_html_linear_in_hard_pages():
     for make in (lambda n: "<article><p>hello</p>" + "<a " * n, lambda n: "<div><i>" * n + "x" + "</u>" * n, lambda n: "<b>" * n + "<p>x</p>" * n, lambda n: "<div>x" * n, lambda n: "<p><span class='ad'>x" * n):
         assert seconds(make(40_000)) < 20
     assert html_extract.main_text("<article><p>hello</p>" + "<a " * 1000) == "hello"
+
+
+def test_secrets_many_matches(spark):
+    """Every kind, many times in one text; the time must not grow with the square of their number."""
+    import time
+
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    part = lambda i: rng.choice((f"password={key(8)} é ", f"AKIA{'B' * 16} ", f"{key(24)} 😀 ", "Zq9Xw3Rt7Pl2Kj5Hg8Nb4Vc ", f"token: {key(30)} ", "word "))
+    few, many = "".join(part(i) for i in range(1000)), "".join(part(i) for i in range(8_000))
+    took = {}
+    for name, text in (("few", few), ("many", many)):
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        check_secrets(secrets.scan_secrets(df), {1: text})
+        t = time.perf_counter()
+        kept = secrets.redact(df).collect()[0]["text"]
+        took[name] = time.perf_counter() - t
+        out, at = [], 0
+        for s, _, e in brute_spans(text)[1]:
+            if s >= at:
+                out += [text[at:s], "[SECRET]"]
+            at = max(at, e)
+        assert kept == "".join(out) + text[at:]
+    assert took["many"] < 5 + 16 * took["few"]
