@@ -5,7 +5,8 @@ and a rest) has at most MAX_LEN + 1 bins, so it reaches the driver with a proven
 programming over it chooses the bucket boundaries with the least total padding. Inside each bucket,
 pieces in a pseudo-random but reproducible order are dealt to batches of as many pieces as the token
 budget holds at the bucket's length. Ranks are found per shard of a bucket and shifted by the sizes of
-the shards before it, so no task ever holds a bucket.
+the shards before it, so no task ever holds a bucket. Equal pieces of one id (or of none) are counted before
+anything is shuffled by it, and travel as runs of at most SHARD, so an id that many rows share is no hot key.
 
 Defined results: null or empty text is one piece of 0 tokens. One row per piece of each input row;
 equal ids are equal pieces, all kept. Columns besides id and text are ignored. No rows: no rows.
@@ -63,22 +64,25 @@ def piece_lengths(docs: DataFrame, max_len: int = MAX_LEN, id_col: str = "doc_id
 
 def pack(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, budget: int = BUDGET, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, n_tokens, bucket, bucket_len, batch (within the bucket), slot (within the batch), padding."""
-    pieces = written(piece_lengths(docs, max_len, id_col, text_col))
-    histogram = {r["n_tokens"]: r["n"] for r in pieces.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
+    pieces = piece_lengths(docs, max_len, id_col, text_col)
+    units = written(pieces.groupBy("doc_id", "piece", "n_tokens").agg(F.count("*").alias("_c")))
+    histogram = {r["n_tokens"]: r["n"] for r in units.groupBy("n_tokens").agg(F.sum("_c").alias("n")).collect()}
     bounds = optimal_bounds(histogram, buckets)
     sizes = [sum(n for v, n in histogram.items() if lo < v <= hi) for lo, hi in zip([-1, *bounds], bounds, strict=False)]
     told = lambda xs: F.array(*[F.lit(int(x)) for x in xs or [1]])
-    spot = F.xxhash64("doc_id", "piece")
-    rows = pieces.withColumn("bucket", F.size(F.filter(told(bounds), lambda b: b < F.col("n_tokens"))))
+    runs = units.select("doc_id", "piece", "n_tokens", "_c", F.explode(F.sequence(F.lit(0), F.floor((F.col("_c") - 1) / shard).cast("int"))).alias("_run"))
+    spot = F.xxhash64("doc_id", "piece", "n_tokens", "_run")
+    rows = runs.withColumn("bucket", F.size(F.filter(told(bounds), lambda b: b < F.col("n_tokens"))))
     rows = rows.select(
-        "doc_id", "piece", "n_tokens", "bucket", F.get(told(bounds), F.col("bucket")).cast("long").alias("bucket_len"), spot.alias("_spot"),
+        "doc_id", "piece", "n_tokens", "_run", F.least(F.lit(shard), F.col("_c") - F.col("_run") * shard).cast("long").alias("_c"), "bucket", F.get(told(bounds), F.col("bucket")).cast("long").alias("bucket_len"), spot.alias("_spot"),
         F.pmod(spot, F.get(told([max(1, -(-s // shard)) for s in sizes]), F.col("bucket"))).alias("_shard"),
     )
-    counts = rows.groupBy("bucket", "_shard").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("bucket").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("bucket", "_shard", before.alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "_shard").orderBy("_spot", "doc_id", "piece")) - 1
-    ranked = rows.withColumn("_rank", rank).join(offsets, ["bucket", "_shard"])
+    ahead = lambda w: F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = rows.groupBy("bucket", "_shard").agg(F.sum("_c").alias("_c"))
+    offsets = counts.select("bucket", "_shard", ahead(Window.partitionBy("bucket").orderBy("_shard")).alias("_before"))
+    own = ahead(Window.partitionBy("bucket", "_shard").orderBy("_spot", "doc_id", "piece", "n_tokens", "_run"))
+    ranked = rows.withColumn("_own", own).join(offsets, ["bucket", "_shard"])
+    ranked = ranked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1)).alias("_copy")).withColumn("_rank", F.col("_own") + F.col("_copy"))
     at, room = F.col("_rank") + F.col("_before"), F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("bucket_len"))))
     return ranked.select(
         "doc_id", F.col("piece").cast("long").alias("piece"), "n_tokens", F.col("bucket").cast("long").alias("bucket"), "bucket_len",

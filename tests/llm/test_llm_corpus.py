@@ -160,6 +160,12 @@ def test_pack(docs, messy, shard):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_pack_ids_that_many_rows_share(spark):
+    rows = [(None, "a b")] * 300 + [(None, "a " * n) for n in range(100)] + [(7, "a b c")] * 90
+    plan = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), max_len=40, budget=100, shard=16)
+    check_plan(plan.collect(), rows, 40, 100)
+
+
 # toxicity
 
 
