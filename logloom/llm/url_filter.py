@@ -3,8 +3,9 @@
 Host rules: a rule `host/path` fits its host and every subdomain when the url's path starts with
 the rule's path; the longest rule wins. Pattern rules: each is filed under the literal token of it
 that is rarest in the table's urls. The tokens of a url fetch its candidate rules from that index,
-and only candidates run their regular expression. Everything is a column expression: no shuffle
-besides the count of rule tokens, no join, no Python.
+and only candidates run their regular expression. The index is a literal array of SLOTS slots by a
+token's CRC-32, so its look-up takes the same time for any number of rules. Everything is a column
+expression: no shuffle besides the count of rule tokens, no join, no Python.
 
 Defined results: a null url, or one without `://`, has empty host and path, fits no host rule, and
 is judged by the patterns alone (null: allow). Rows are judged one by one, so repeated ids stay
@@ -13,6 +14,8 @@ repeated. Only the id and url columns are read; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -39,16 +42,37 @@ HOST_RULES = (
     ("org/fr/", "allow"),
 )
 
-#: Pattern rules, judged where no host rule fits; the first that fits decides.
+#: Topics of pattern rules, and words that make a topic's word an offer when joined to it.
+TOPICS = {
+    "gambling": "casino casinos poker bets betting bingo blackjack jackpot lottery roulette slots sportsbook".split(),
+    "pharmacy": "cialis pharmacy pills steroids tramadol viagra".split(),
+    "adult": "adult cams escort escorts hentai nude porn sex xxx".split(),
+    "finance": "airdrop forex giveaway loans payday".split(),
+    "piracy": "crack cracked keygen nulled serial torrent torrents warez".split(),
+    "replica": "handbags replica watches".split(),
+    "links": "backlinks link seo spam".split(),
+    "tracking": "ads adserver clicks popunder tracker".split(),
+}
+OFFERS = "best bonus buy cheap club deals download farm free hot live online shop top track win world x".split()
+_CUT, _END = "[^a-z0-9]", "([^a-z0-9]|$)"
+
+
+def offer_patterns(topics: dict[str, list[str]] = TOPICS, offers: list[str] = OFFERS) -> tuple[Pattern, ...]:
+    """A rule for each topic word and offer word: either order, joined by one of `- _ . / +`."""
+    rule = lambda topic, w, o: Pattern(f"{topic}:{w}+{o}", "block", f"{_CUT}({w}[-_./+]{o}|{o}[-_./+]{w}){_END}", (w, o))
+    return tuple(rule(t, w, o) for t, ws in topics.items() for w in ws for o in offers)
+
+
+#: Pattern rules, judged where no host rule fits; the first that fits decides. The first five are fixed values.
 PATTERNS = (
-    Pattern("spam-farm", "block", r"://([^/?#]*[.-])?spam-farm[./:]", ("spam", "farm")),
-    Pattern("cheap-pills", "block", r"://([^/?#]*[.-])?cheap-pills[./:]", ("cheap", "pills")),
-    Pattern("casino-bonus", "block", r"[^a-z0-9](casino)[-_/.](bonus)([^a-z0-9]|$)", ("casino", "bonus")),
-    Pattern("ad-path", "block", r"/(ads)/", ("ads",)),
+    Pattern("ad-path", "block", r"/ads/", ("ads",)),
+    Pattern("adserver-path", "block", r"/adserver/", ("adserver",)),
     Pattern("popunder", "block", r"[^a-z0-9]popunder([^a-z0-9]|$)", ("popunder",)),
     Pattern("tracker-host", "block", r"://([^/?#]*\.)?tracker\.", ("tracker",)),
     Pattern("session-id", "block", r"[?&;]phpsessid=[0-9a-f]{16,}", ("phpsessid",)),
+    *offer_patterns(),
 )
+SLOTS = 1024
 
 
 def host_and_path(url):
@@ -56,6 +80,17 @@ def host_and_path(url):
     return ascii_lower(F.regexp_extract(rest, r"^[^/?#]*", 0)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def fits_any(patterns: tuple[Pattern, ...], text: str, i: str) -> str:
+    """SQL: whether pattern number `i` fits `text`, found by halving; only that one runs, and each keeps its compiled expression."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    def pick(low: int, high: int) -> str:
+        mid = (low + high) // 2
+        return f"regexp_like({text}, {quoted(patterns[low].regex)})" if high - low == 1 else f"if({i} < {mid}, {pick(low, mid)}, {pick(mid, high)})"
+
+    return pick(0, len(patterns))
+
+
 def rarest_tokens(urls: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, url: str = "url") -> dict[str, list[int]]:
     """Index token -> pattern numbers. Counts only tokens that occur in rules, so what reaches the driver is bounded by the rules."""
     names = sorted({t for p in patterns for t in p.tokens})
@@ -84,14 +119,16 @@ def filter_urls(pages: DataFrame, host_rules=HOST_RULES, patterns: tuple[Pattern
     for name, verdict in sorted(host_rules, key=lambda r: len(r[0])):
         rule, ruled = F.when(fits(name), name).otherwise(rule), F.when(fits(name), verdict).otherwise(ruled)
     if index:
-        lowered = ascii_lower(F.col("_u"))
-        filed = F.create_map(*[x for t, ids in sorted(index.items()) for x in (F.lit(t), F.array(*map(F.lit, ids)))])
-        regexes = F.array(*[F.lit(p.regex) for p in patterns])
-        fetched = F.array_intersect(F.split(lowered, "[^a-z0-9]+"), F.array(*map(F.lit, sorted(index))))
-        df = df.withColumn("_ids", F.flatten(F.transform(fetched, lambda t: filed[t]))).withColumn("_low", lowered)
-        hit = F.array_min(F.filter("_ids", lambda i: F.regexp_like(F.col("_low"), regexes[i])))
+        slots: list[list[dict]] = [[] for _ in range(SLOTS)]
+        for token, ids in sorted(index.items()):
+            slots[zlib.crc32(token.encode()) % SLOTS].append({"t": token, "ids": ids})
+        filed = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<t:string,ids:array<int>>>>")
+        tokens = F.array_distinct(F.split("_low", "[^a-z0-9]+"))
+        fetched = F.transform(tokens, lambda t: F.filter(F.get(filed, (F.crc32(t) % SLOTS).cast("int")), lambda e: e["t"] == t))
+        df = df.withColumn("_low", ascii_lower(F.col("_u"))).withColumn("_ids", F.flatten(F.transform(F.flatten(fetched), lambda e: e["ids"])))
+        hit = F.expr(f"array_min(filter(_ids, i -> {fits_any(patterns, '_low', 'i')}))")  # as text: a thousand column objects are slow to build
         df = df.withColumn("_hit", hit)
-        of_hit = lambda told: F.when(F.col("_hit").isNotNull(), F.get(F.array(*map(F.lit, told)), F.col("_hit")))
+        of_hit = lambda told: F.get(F.from_json(F.lit(json.dumps(told)), "array<string>"), F.col("_hit"))
         name, method = of_hit([p.name for p in patterns]), of_hit([p.verdict for p in patterns])
     else:
         name = method = F.lit(None).cast("string")

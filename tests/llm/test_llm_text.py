@@ -411,3 +411,17 @@ def test_secrets_many_matches(spark):
             at = max(at, e)
         assert kept == "".join(out) + text[at:]
     assert took["many"] < 5 + 16 * took["few"]
+
+
+def test_url_pattern_index(spark):
+    assert len(url_filter.PATTERNS) > 900
+    rng = random.Random(9)
+    words = [w for ws in url_filter.TOPICS.values() for w in ws] + url_filter.OFFERS + ["page", "phpsessid=0123456789abcdef0123", "ads", "tracker"]
+    urls = ["http://" + rng.choice(["", "m.", "x-"]) + "".join(rng.choice(words) + rng.choice("-_./+?&~%") for _ in range(rng.randint(1, 6))) for _ in range(1500)]
+    rows = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), host_rules=()).collect()
+    compiled = [(p, re.compile(p.regex)) for p in url_filter.PATTERNS]
+    want = {i: next((p for p, rx in compiled if rx.search(u)), None) for i, u in enumerate(urls)}
+    assert {r["page_id"]: r["pattern"] for r in rows} == {i: p and p.name for i, p in want.items()} and len({p.name for p in want.values() if p}) > 150
+    assert all(r["verdict"] == ("block" if want[r["page_id"]] else "allow") for r in rows)
+    index = url_filter.rarest_tokens(spark.createDataFrame([("http://casino.org",)] * 3, "url string"), url_filter.offer_patterns({"g": ["casino"]}, ["win"]))
+    assert index == {"win": [0]}
