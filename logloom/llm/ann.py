@@ -7,17 +7,18 @@ far out that a point closer than the query's present k-th best would be found th
 probability 1 - CONFIDENCE: r^2 >= quantile(CONFIDENCE) * d_k^2.
 
 The kd-tree has two levels. Its top cells are split at medians of a bounded sample (SAMPLE rows at
-most); every vector is filed under its cell, and cells above CELL rows are dealt to salted blocks. A
+most, of which only projections reach the driver); every vector is filed under its cell, and cells above CELL rows are dealt to salted blocks. A
 block builds its own lower tree. Round one takes each query to its own cell, which gives d_k; round two
-takes it, with that bound, to every other cell whose box isn't beyond the stop radius. Queries travel in
-chunks of CHUNK, so no task gathers them all.
+takes it, with that bound, to every other cell whose box isn't beyond the stop radius. The queries that ask a
+cell are counted; where there are more than CHUNK, they come in chunks, and only such a cell is copied.
+There are as many cells as the vectors need, up to CELLS; beyond that, cells grow, in blocks.
 
 Equal vectors are filed once, with their k + 1 smallest ids: no more can be among a query's k nearest.
-Scores are computed in double precision on the original vectors, the same way for every row.
+Vectors that differ by a power of two count as equal. Scores are computed in double precision on the original vectors, the same way for every row.
 
 Defined results: vectors that are null, zero, of another length than the commonest (of equally common
 ones the longest), or hold null or non-finite components take no part. Of the rows of a repeated id, the one with the smallest bytes
-counts, as query and as neighbour. Other columns are ignored.
+(once scaled) counts, as query and as neighbour. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import ship, written
 
 M, SEED, CONFIDENCE = 8, 11, 0.97
-SAMPLE, CELLS, CELL, BLOCK, LEAF, CHUNK = 20_000, 1024, 512, 4096, 64, 20_000
+SAMPLE, CELLS, CELL, BLOCK, LEAF, CHUNK = 100_000, 4096, 512, 4096, 64, 20_000
+SLICE = 128  # queries measured against all boxes at a time
+PROJECTED = [f"p{i}" for i in range(M)]
 PAIRS = 65_536  # scored exactly at a time
 
 
@@ -175,22 +178,17 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
     filed = packed.withColumn("_r", copies).where(F.col("_r") <= k + 1).select("vec_id", "v")
     filed = written(filed)
     total = filed.count()
-    sample = filed.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, total // SAMPLE + 1))) == 0).limit(SAMPLE).select("v").collect() if total else []
-    points = unpack([r["v"] for r in sample], dim) @ np.eye(dim) if sample else np.zeros((0, dim))
-    norm = np.sqrt((points * points).sum(axis=1, keepdims=True))
+    keep = max(1, total // SAMPLE + 1)
+    sample = with_cell(filed.where(F.pmod(F.xxhash64("vec_id"), F.lit(keep)) == 0).limit(SAMPLE), [], dim).select(*PROJECTED).collect() if total else []
     cells = 1 << max(0, min(CELLS, max(1, total // CELL)).bit_length() - 1)
-    tree = split_tree((points / norm) @ directions(dim), cells) if len(points) else []
+    tree = split_tree(np.array(sample, np.float64).reshape(-1, M), cells) if sample else []
     placed = written(with_cell(filed, tree, dim))
-    boxes = placed.groupBy("cell").agg(F.count("*").alias("n"), *[f(f"p{i}").alias(f"{f.__name__}{i}") for i in range(M) for f in (F.min, F.max)]).collect()
-    low = np.array([[b[f"min{i}"] for i in range(M)] for b in boxes]).reshape(-1, M)
-    high = np.array([[b[f"max{i}"] for i in range(M)] for b in boxes]).reshape(-1, M)
+    boxes = placed.groupBy("cell").agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in PROJECTED for f in (F.min, F.max)]).collect()
+    low, high = (np.array([[b[f"{f}_{c}"] for c in PROJECTED] for b in boxes]).reshape(-1, M) for f in ("min", "max"))
+    cell_ids = np.array([int(b["cell"]) for b in boxes], np.int64)
     salts = {int(b["cell"]): -(-b["n"] // BLOCK) for b in boxes}
-    salted = F.pmod(F.xxhash64("vec_id"), F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for c, s in salts.items() for x in (c, s)]), F.col("cell")), F.lit(1))) if salts else F.lit(0)
     stop = chi2_quantile(CONFIDENCE)
-    queries = with_cell(packed.where(is_query(F.col("vec_id"))), tree, dim)
-    n_chunks = max(1, -(-total // (50 * CHUNK)))
-    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(n_chunks)))
-    data = placed.select("cell", salted.alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"), "vec_id", "v")
+    queries = written(with_cell(packed.where(is_query(F.col("vec_id"))), tree, dim))
 
     def search(_key, mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if mine.empty or asked.empty:
@@ -199,34 +197,50 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
         i, row, score = search_block(unpack(mine["v"], dim), ids, unpack(asked["v"], dim), qids, asked["bound"].to_numpy(), k, stop)
         return pd.DataFrame({"query_id": qids[i], "vec_id": ids[row], "score": score})
 
-    def visit(asked: DataFrame) -> DataFrame:
-        """asked: vec_id, v, bound, cell, chunk; each goes to every salt of its cell."""
-        to = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for c, s in salts.items() for x in (c, s)]), F.col("cell")), F.lit(1))
-        asked = asked.select("cell", F.explode(F.sequence(F.lit(0), to - 1)).alias("salt"), "chunk", "vec_id", "v", "bound")
+    def visit(asked: DataFrame, counts: DataFrame) -> DataFrame:
+        """asked: vec_id, v, bound, cell; each goes to every salt of its cell. counts (cell, n): how many ask there.
+
+        Only cells that more than CHUNK queries ask are copied, once for each chunk of them.
+        """
+        chunks = {int(r["cell"]): -(-r["n"] // CHUNK) for r in counts.collect()}
+        # as many rows as cells, so at most CELLS
+        parts = F.broadcast(spark.createDataFrame([(c, n, chunks.get(c, 0)) for c, n in salts.items()], "cell long, salts long, chunks long"))
+        data = placed.join(parts, "cell").where("chunks > 0").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("salts")).alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "vec_id", "v")
+        asked = asked.join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.pmod(F.xxhash64("vec_id"), F.col("chunks")).alias("chunk"), "vec_id", "v", "bound")
         on = ["cell", "salt", "chunk"]
-        return data.groupBy(*on).cogroup(asked.withColumn("salt", F.col("salt").cast("long")).withColumn("chunk", F.col("chunk").cast("long")).groupBy(*on)).applyInPandas(search, "query_id long, vec_id long, score double")
+        return data.groupBy(*on).cogroup(asked.groupBy(*on)).applyInPandas(search, "query_id long, vec_id long, score double")
 
-    # both sides of a cogroup are dealt by the hash of their keys, which differs between int and long
-    data = data.withColumn("salt", F.col("salt").cast("long")).withColumn("chunk", F.col("chunk").cast("long"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     best = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    home = written(best(visit(queries.withColumn("bound", F.lit(-2.0)))).drop("rank"))
+    home = written(best(visit(queries.withColumn("bound", F.lit(-2.0)), queries.groupBy("cell").agg(F.count("*").alias("n")))).drop("rank"))
     kth = home.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(-2.0).alias("bound"))
-    bounded = queries.join(kth, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-2.0)))
-    cell_ids = np.array([int(b["cell"]) for b in boxes])
+    bounded = written(queries.join(kth, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-2.0))))
+
+    def going(pdf: pd.DataFrame):
+        """(row, cell) numbers of the cells each query must still visit, a slice of queries at a time."""
+        for at in range(0, len(pdf), SLICE):
+            part = pdf.iloc[at : at + SLICE]
+            far = box_distance(part[PROJECTED].to_numpy(), low, high)
+            go = (far <= stop * np.maximum(2 - 2 * part["bound"].to_numpy()[:, None], 0) + 1e-9) & (cell_ids[None] != part["cell"].to_numpy()[:, None])
+            i, j = np.nonzero(go)
+            yield i + at, j
 
     def others(batches):
         for pdf in batches:
-            p = pdf[[f"p{i}" for i in range(M)]].to_numpy()
-            far = box_distance(p, low, high) if len(p) else np.zeros((0, len(low)))
-            go = far <= stop * np.maximum(2 - 2 * pdf["bound"].to_numpy()[:, None], 0) + 1e-9
-            go &= cell_ids[None] != pdf["cell"].to_numpy()[:, None]
-            i, j = np.nonzero(go)
-            out = pdf.iloc[i][["vec_id", "v", "bound", "chunk"]].copy()
-            out["cell"] = cell_ids[j]
-            yield out[["vec_id", "v", "bound", "chunk", "cell"]]
+            for i, j in going(pdf):
+                out = pdf.iloc[i][["vec_id", "v", "bound"]].copy()
+                out["cell"] = cell_ids[j]
+                yield out
 
-    away = visit(bounded.mapInPandas(others, "vec_id long, v binary, bound double, chunk long, cell long"))
+    def how_many(batches):
+        for pdf in batches:
+            n = np.zeros(len(cell_ids), np.int64)
+            for _, j in going(pdf):
+                n += np.bincount(j, minlength=len(n))
+            yield pd.DataFrame({"cell": cell_ids[n > 0], "n": n[n > 0]})
+
+    counts = bounded.select("cell", "bound", *PROJECTED).mapInPandas(how_many, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    away = visit(bounded.mapInPandas(others, "vec_id long, v binary, bound double, cell long"), counts)
     found = home.select("query_id", "vec_id", "score").union(away)
     return best(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -236,11 +250,19 @@ def unpack(column, dim: int) -> np.ndarray:
 
 
 def spark_pack(rows: DataFrame) -> DataFrame:
-    """(vec_id, v as the bytes of its doubles); -0.0 as 0.0, so that equal vectors have equal bytes."""
+    """(vec_id, v as the bytes of its doubles); -0.0 as 0.0, so that equal vectors have equal bytes.
+
+    Vectors are scaled by a power of two, so that the largest component lies between 1/2 and 1: no cosine changes by
+    it, and neither squares nor products overflow.
+    """
+
+    def scaled(v) -> bytes:
+        v = np.asarray(v, np.float64)
+        return (np.ldexp(v, -np.frexp(np.abs(v).max())[1]) + 0.0).tobytes()
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": [(np.asarray(v, np.float64) + 0.0).tobytes() for v in pdf["v"]]})
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": [scaled(v) for v in pdf["v"]]})
 
     return rows.mapInPandas(run, "vec_id long, v binary")
 
@@ -252,6 +274,6 @@ def with_cell(packed: DataFrame, tree: list, dim: int) -> DataFrame:
         for pdf in batches:
             v = unpack(pdf["v"], dim)
             p = (v / np.sqrt((v * v).sum(axis=1, keepdims=True))) @ directions(dim)
-            yield pd.concat([pdf[["vec_id", "v"]].reset_index(drop=True), pd.DataFrame({"cell": cell_of(p, tree)}), pd.DataFrame(p, columns=[f"p{i}" for i in range(M)])], axis=1)
+            yield pd.concat([pdf[["vec_id", "v"]].reset_index(drop=True), pd.DataFrame({"cell": cell_of(p, tree)}), pd.DataFrame(p, columns=PROJECTED)], axis=1)
 
-    return packed.mapInPandas(run, "vec_id long, v binary, cell long, " + ", ".join(f"p{i} double" for i in range(M)))
+    return packed.mapInPandas(run, "vec_id long, v binary, cell long, " + ", ".join(f"{c} double" for c in PROJECTED))

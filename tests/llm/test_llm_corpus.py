@@ -65,6 +65,25 @@ def test_recall(spark, sf, monkeypatch, cell):
     assert recall(queries.QUERIES["op2_nearest_neighbours"](spark, sf), brute_neighbours(rows)) >= 0.9
 
 
+def test_recall_in_chunks(spark, sf, monkeypatch):
+    for name, n in (("CELL", 64), ("BLOCK", 50), ("CHUNK", 3), ("SLICE", 2)):
+        monkeypatch.setattr(ann, name, n)
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    got = ann.neighbours(spark.read.parquet(f"{sf}/embeddings.parquet"), lambda i: i % 10 == 0)
+    assert recall(got, brute_neighbours(rows, 10)) >= 0.9
+
+
+def test_huge_and_tiny_components(spark):
+    rng = np.random.default_rng(6)
+    plain = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(120)]
+    rows = [(i, [x * 10.0 ** (0, 200, -200, 300)[i % 4] for x in v]) for i, v in plain]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0)
+    want = brute_neighbours(plain)
+    assert recall(got, want) == 1
+    for r in got.collect():
+        assert abs(r["score"] - want[r["query_id"]][r["rank"] - 1][1]) < 1e-12
+
+
 def test_odd_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
