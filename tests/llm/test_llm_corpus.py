@@ -224,17 +224,17 @@ def test_toxicity_ignores_held_out_labels(spark, sf, docs):
 # near duplicates
 
 
-def shingles(text):
+def shingles(text, k=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not w:
         return frozenset()
-    return frozenset(zip(*(w[i:] for i in range(3)), strict=False)) if len(w) >= 3 else frozenset([tuple(w)])
+    return frozenset(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else frozenset([tuple(w)])
 
 
-def brute_components(rows):
+def brute_components(rows, k=3, percent=85):
     sets = {}
     for i, t in rows:
-        sets[i] = shingles(t)
+        sets[i] = shingles(t, k)
     ids = sorted(sets)
     parent = {i: i for i in ids}
 
@@ -250,14 +250,14 @@ def brute_components(rows):
     for i in ids:
         shared = Counter(j for s in sets[i] for j in where[s] if j > i)
         for j, common in shared.items():
-            if 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common):
+            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-def check_near(df, rows):
-    want = brute_components([x for x in rows if x[0] is not None])
+def check_near(df, rows, k=3, percent=85):
+    want = brute_components([x for x in rows if x[0] is not None], k, percent)
     got = df.collect()
     assert len(got) == len(rows)
     for r in got:
@@ -302,6 +302,28 @@ def test_near_chains_and_groups(spark, monkeypatch):
     assert 20 < len({c for _, c in want.values()}) < len(rows)
 
 
+@pytest.mark.parametrize("listed", [near_dedup.LISTED, 0])
+def test_near_family_of_one_frame(spark, monkeypatch, listed):
+    """Texts that share three quarters and more of their shingles, mostly below the limit."""
+    monkeypatch.setattr(near_dedup, "LISTED", listed)
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    rng = random.Random(12)
+    frame, rows = [f"f{i}" for i in range(200)], []
+    for i in range(150):
+        filling = [f"x{i}y{j}" for j in range(rng.choice((8, 14, 20)))]
+        at = rng.randint(20, 180)
+        rows.append((len(rows), " ".join(frame[:at] + filling + frame[at:])))
+        if i % 10 == 0:
+            rows.append((len(rows), " ".join(frame[:at] + filling[:-1] + ["other"] + frame[at:])))
+    want = check_near(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+    assert 10 < len({c for _, c in want.values()}) < len(rows) - 10
+
+
+def test_near_other_width_and_limit(spark, sf, docs):
+    check_near(near_dedup.near_duplicates(docs, words=5, percent=80), [(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80)
+    assert (near_dedup.Likeness().rows, near_dedup.Likeness().bands, near_dedup.Likeness(5, 80).rows) == (5, 24, 4)
+
+
 def test_minmax_estimates():
     rng = np.random.default_rng(2)
     a, b = near_dedup.permutations()
