@@ -13,6 +13,8 @@ from logloom.llm import near_dedup, packing, secrets, toxicity
 from logloom.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies of this stage: five-word shingles, linked from a similarity of 0.8 on.
+WORDS, PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_duplicates(docs)
+    found = near_dedup.near_duplicates(docs, words=WORDS, percent=PERCENT)
     gone = written(found.where("not kept").select("doc_id").distinct())
     if gone.count() <= near_dedup.BROADCAST_IDS:
         gone = F.broadcast(gone)
