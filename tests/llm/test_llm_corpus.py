@@ -351,7 +351,7 @@ def test_pipeline_stages(spark, sf, docs):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     kept = {r["doc_id"]: r["text"] for r in after["toxicity"]}
     assert kept == {i: t for i, t in texts.items() if i not in flagged}
-    leads = {c for _, c in brute_components(kept.items()).values()}
+    leads = {c for _, c in brute_components(kept.items(), corpus_pipeline.WORDS, corpus_pipeline.PERCENT).values()}
     assert {r["doc_id"] for r in after["near_dedup"]} == leads
     for r in after["secrets"]:
         assert r["n_chars"] == len(r["text"])
