@@ -93,19 +93,74 @@ def duration_text(ms: Column) -> Column:
     return F.when(ms < 1, "<1ms").when(ms < 1000, F.concat(F.floor(ms).cast("string"), F.lit("ms"))).when(ms < 60_000, F.format_string("%.2fs", ms / 1000.0)).otherwise(F.format_string("%.2fm", ms / 60000.0))
 
 
+#: Folders before the part of a path that stays the same on every machine, dropped in this order.
+MACHINE_FOLDERS = (r"/app/", r"/home/[^/]+/", r"/var/www/", r"C:\\[^\\]+\\", r"/Users/[^/]+/")
+#: Variable parts of a message and what stands for them, in this order (so the digits of a hex number are gone before it is looked for).
+VARIABLE_PARTS = ((r"[0-9]+", "N"), (r"(?i)0x[0-9a-f]+", "0xHEX"), (r"'[^']*'", "'STRING'"), (r'"[^"]*"', '"STRING"'), (r"\[[^\]]*\]", "[ARRAY]"), (r"\{[^}]*\}", "{OBJECT}"), (r"^\s+|\s+$", ""))
+
+
 def stack_path(p: Column) -> Column:
-    """Normalised path of a stack frame."""
-    p = F.replace(p, F.lit("\\"), F.lit("/"))
-    return F.regexp_replace(p, r"^(file://|webpack://|webpack-internal:///|/app/|\./)", "")
+    """Normalised path of a stack frame: without a machine's own folders, with slashes."""
+    for folder in MACHINE_FOLDERS:
+        p = F.regexp_replace(p, "^" + folder, "")
+    return F.replace(p, F.lit("\\"), F.lit("/"))
 
 
 def message_shape(m: Column) -> Column:
-    """Message with its variable parts replaced; digits go first."""
-    m = F.regexp_replace(m, r"[0-9]+", "N")
-    m = F.regexp_replace(m, r"0x[0-9a-fA-FN]+", "HEX")
-    m = F.regexp_replace(m, r"'[^']*'|\"[^\"]*\"", "STR")
-    m = F.regexp_replace(m, r"\[[^\]]*\]", "[]")
-    return F.regexp_replace(m, r"\{[^}]*\}", "{}")
+    """Message with its variable parts replaced."""
+    for part, name in VARIABLE_PARTS:
+        m = F.regexp_replace(m, part, name)
+    return m
+
+
+#: Numbers of levels in OTLP.
+OTLP_NUMBERS = {"debug": 5, "info": 9, "warn": 13, "error": 17, "critical": 21}
+
+
+def otlp_of_level(level: Column) -> Column:
+    return _mapped(level, OTLP_NUMBERS.items(), 9)
+
+
+def ns_to_iso(n: Column) -> Column:
+    """UTC time of nanoseconds since 1970, to the millisecond."""
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_millis(ns_to_ms(n)).cast("timestamp_ntz"))
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def severity_label(s: Column) -> Column:
+    return F.when(s.isin(*SEVERITY_WEIGHT), F.initcap(s)).otherwise(s)
+
+
+def time_ago(then: Column, now: Column) -> Column:
+    """just now, or whole minutes, hours or days ago."""
+    seconds = F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))
+    whole = lambda s: F.floor(seconds / (s * 1_000_000)).cast("bigint")
+    told = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n > 1, "s").otherwise(""), F.lit(" ago"))
+    return F.when(whole(60) < 1, "just now").when(whole(60) < 60, told(whole(60), "minute")).when(whole(3600) < 24, told(whole(3600), "hour")).otherwise(told(whole(86_400), "day"))
+
+
+#: ATT&CK tactics (number, name by id).
+TACTICS = {
+    "reconnaissance": ("TA0043", "Reconnaissance"), "resource_development": ("TA0042", "Resource Development"), "initial_access": ("TA0001", "Initial Access"), "execution": ("TA0002", "Execution"),
+    "persistence": ("TA0003", "Persistence"), "privilege_escalation": ("TA0004", "Privilege Escalation"), "defense_evasion": ("TA0005", "Defense Evasion"), "credential_access": ("TA0006", "Credential Access"),
+    "discovery": ("TA0007", "Discovery"), "lateral_movement": ("TA0008", "Lateral Movement"), "collection": ("TA0009", "Collection"), "command_and_control": ("TA0011", "Command and Control"),
+    "exfiltration": ("TA0010", "Exfiltration"), "impact": ("TA0040", "Impact"),
+}
+
+
+def tactic_name(t: Column) -> Column:
+    """Name of a tactic by id or number; other ids with words in capitals."""
+    known = [(k, n) for k, (_, n) in TACTICS.items()] + [(number.lower(), n) for number, n in TACTICS.values()]
+    return F.coalesce(_mapped(F.lower(t), known), F.array_join(F.transform(F.split(t, "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), " "))
+
+
+def tactic_url(t: Column) -> Column:
+    return F.concat(F.lit("https://attack.mitre.org/tactics/"), _mapped(F.lower(t), [(k, n) for k, (n, _) in TACTICS.items()], "TA0000"), F.lit("/"))
+
+
+def technique_url(t: Column) -> Column:
+    """Sub-techniques have a page below their technique's."""
+    return F.concat(F.lit("https://attack.mitre.org/techniques/"), F.array_join(F.slice(F.split(t, r"\."), 1, 2), "/"), F.lit("/"))
 
 
 def fingerprint(kind: Column, frames: Column) -> Column:

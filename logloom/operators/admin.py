@@ -42,3 +42,37 @@ def retention_status(logs: DataFrame, projects: DataFrame, now: str) -> DataFram
 
 def survivors(logs: DataFrame, projects: DataFrame, now: str) -> DataFrame:
     return with_cutoff(logs, projects, now).where("time >= cutoff").drop("cutoff")
+
+
+def alert_stats(rules: DataFrame, history: DataFrame, projects: DataFrame, now: str) -> DataFrame:
+    """By organization (null: rules of no project): rules in all, active, disabled; triggers of 24 hours and 7 days; notifications sent and failed."""
+    org = projects.select(F.col("id").alias("project_id"), "organization_id")
+    r = rules.join(org, "project_id", "left").select("rule_id", "organization_id", "enabled")
+    per_rule = history.groupBy("rule_id").agg(
+        *[F.count_if(F.col("triggered_at") >= ntz(now) - F.expr(f"interval {h} hours")).alias(n) for n, h in (("day", 24), ("week", 168))],
+        F.count_if(F.col("notified") & F.col("error").isNull()).alias("sent"), F.count_if(F.col("notified") & F.col("error").isNotNull()).alias("failed"),
+    )
+    sums = [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("day", "week", "sent", "failed")]
+    return r.join(per_rule, "rule_id", "left").groupBy("organization_id").agg(F.count("*").alias("rules"), F.count_if("enabled").alias("active"), F.count_if(~F.col("enabled")).alias("disabled"), *sums)
+
+
+def rules_of_organizations(rules: DataFrame, projects: DataFrame, orgs: DataFrame) -> DataFrame:
+    """rule_id, organization of the rules that belong to a project."""
+    mine = rules.select("rule_id", "project_id").join(projects.select(F.col("id").alias("project_id"), "organization_id"), "project_id")
+    return mine.join(orgs.select(F.col("id").alias("organization_id"), F.col("name").alias("organization")), "organization_id").select("rule_id", "organization")
+
+
+def compression(chunks: DataFrame) -> DataFrame:
+    """ratio of (before, after) sizes to two places; 0 where there are none."""
+    return chunks.agg(F.coalesce(F.round(F.sum("before") / F.nullif(F.sum("after"), F.lit(0)), 2), F.lit(0.0)).alias("ratio"))
+
+
+def first_and_last(logs: DataFrame) -> DataFrame:
+    """oldest and latest time, and the ids there (ties: smallest for the oldest, greatest for the latest)."""
+    at = F.struct("time", "id")
+    return logs.agg(F.min("time").alias("oldest"), F.max("time").alias("latest"), F.min(at)["id"].alias("oldest_id"), F.max(at)["id"].alias("latest_id"))
+
+
+def notified(history: DataFrame) -> DataFrame:
+    """Alerts after notification: `notified` is false where it failed."""
+    return history.withColumn("notified", F.col("notified") & F.col("error").isNull())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators.analytics import WIDTHS, bucket, ntz
 
-BROADCAST_RULES = 10_000
+SALTS = 32
 
 
 def last_triggers(history: DataFrame) -> DataFrame:
@@ -18,16 +18,16 @@ def fired(rules: DataFrame, history: DataFrame, logs: DataFrame, now: str) -> Da
     """Enabled rules whose count since max(last trigger, now - window), exclusive, reaches the threshold.
 
     Rules of a level are fetched by that level while logs are scanned, and partial counts by rule leave
-    each task: what is shuffled are rules, not logs. Up to BROADCAST_RULES rules are broadcast.
+    each task. Whether rules are broadcast is the planner's choice, by their size.
     """
     since = F.greatest(F.coalesce("last_trigger", ntz("1970-01-01")), F.expr(f"timestamp_ntz'{now}' - make_interval(0, 0, 0, 0, 0, time_window)"))
     live = rules.where("enabled").join(last_triggers(history), "rule_id", "left").withColumn("since", since)
     r = live.withColumn("level", F.explode(F.split("levels", ","))).withColumnRenamed("service", "rule_service").withColumnRenamed("project_id", "rule_project")
-    seen = logs.where(F.col("time") <= ntz(now)).select("level", "service", "project_id", "time")
+    seen = logs.where(F.col("time") <= ntz(now)).select("level", "service", "project_id", "time", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("_salt"))
     fits = (F.col("rule_service").isNull() | (F.col("service") == F.col("rule_service")) | (F.col("service") == "unknown")) & (F.col("rule_project").isNull() | (F.col("project_id") == F.col("rule_project"))) & (F.col("time") > F.col("since"))
-    if rules.count() <= BROADCAST_RULES:
-        r = F.broadcast(r)
-    hits = seen.join(r, "level").where(fits).groupBy("rule_id").agg(F.count("*").alias("log_count"))
+    # five levels alone would be five keys for all logs: rules are copied SALTS times, logs dealt among the copies
+    r = r.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    hits = seen.join(r, ["level", "_salt"]).where(fits).groupBy("rule_id").agg(F.count("*").alias("log_count"))
     return live.join(hits, "rule_id").where("log_count >= threshold").select("rule_id", "log_count", "threshold")
 
 

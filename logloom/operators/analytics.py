@@ -30,6 +30,8 @@ def histogram_wide(logs: DataFrame, width: str) -> DataFrame:
 
 
 def top(df: DataFrame, key: str, k: int) -> DataFrame:
+    """The k (1..50) commonest values."""
+    k = max(1, min(50, k))
     return df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), key).limit(k)
 
 
@@ -63,3 +65,9 @@ def timeseries(rolled: DataFrame, logs: DataFrame, now: str) -> DataFrame:
     new = logs.where((F.col("time") >= cut) & (F.col("time") <= ntz(now))).groupBy(bucket(F.col("time"), "1h").alias("bucket"), "level").agg(F.count("*").alias("log_count"))
     both = old.unionByName(new)
     return both.groupBy("bucket").agg(F.sum("log_count").alias("total"), *[F.coalesce(F.sum(F.when(F.col("level") == v, F.col("log_count"))), F.lit(0)).alias(v) for v in LEVELS])
+
+
+def rollup_or_raw(logs: DataFrame, name: str, width: str = "1h") -> DataFrame:
+    """The table of hourly counts if there is one by that name, else the same from the logs."""
+    spark = logs.sparkSession
+    return spark.table(name) if spark.catalog.tableExists(name) else rollup(logs, width)

@@ -1,52 +1,162 @@
-"""Identifier extraction from messages, and correlation of logs by identifier."""
+"""Identifier extraction from messages and metadata, and correlation of logs by identifier."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.operators.analytics import ntz
 
-#: Identifier patterns by priority (type, expression, group).
+_JOIN, _QUOTE = r"[:=\s]", "[\"']?"
+
+
+def _named(names: str, value: str) -> str:
+    """`name=value`, `name: value`, `name "value"`."""
+    return rf"(?i)\b(?:{names}){_JOIN}{_QUOTE}({value}){_QUOTE}"
+
+
+def _prefixed(value: str) -> str:
+    return rf"(?i)\b({value})\b"
+
+
+#: Identifier patterns by priority (type, expression, metadata fields of that type).
 PATTERNS = (
-    ("request_id", r"\b(req-[0-9a-z]{6,})", 1),
-    ("user_id", r"user_id=([0-9A-Za-z_-]+)", 1),
-    ("order_id", r"order_id=([0-9A-Za-z-]+)", 1),
-    ("session_id", r"session_id=([0-9A-Za-z]{8,})", 1),
-    ("email", r"([A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z.]+[A-Za-z])", 1),
-    ("ip", r"\b([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})\b", 1),
-    ("uuid", r"\b([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\b", 1),
+    ("uuid", _prefixed("[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"), ("id", "uuid", "guid")),
+    ("request_id", _named("req(?:uest)?[-_]?id|requestId", r"[a-zA-Z0-9\-_]{8,64}"), ("request_id", "requestId", "req_id", "reqId", "x-request-id")),
+    ("request_id", _prefixed(r"req[-_][a-zA-Z0-9\-_]{6,32}"), ()),
+    ("session_id", _named("sess(?:ion)?[-_]?id|sessionId", r"[a-zA-Z0-9\-_]{16,128}"), ("session_id", "sessionId", "sid", "session")),
+    ("session_id", _prefixed(r"sess[-_][a-zA-Z0-9\-_]{8,64}"), ()),
+    ("user_id", _named("user[-_]?id|userId|uid", r"[a-zA-Z0-9\-_]{1,64}"), ("user_id", "userId", "uid", "user")),
+    ("user_id", _prefixed(r"user[-_][a-zA-Z0-9\-_]{1,32}"), ()),
+    ("transaction_id", _named("tx(?:n)?[-_]?id|transactionId", r"[a-zA-Z0-9\-_]{8,64}"), ("transaction_id", "transactionId", "tx_id", "txId", "txn_id", "txnId")),
+    ("transaction_id", _prefixed(r"txn?[-_][a-zA-Z0-9\-_]{6,32}"), ()),
+    ("order_id", _named("order[-_]?id|orderId", r"[a-zA-Z0-9\-_]{4,64}"), ("order_id", "orderId", "order")),
+    ("order_id", _prefixed(r"ord(?:er)?[-_][a-zA-Z0-9\-_]{4,32}"), ()),
+    ("correlation_id", _named("corr(?:elation)?[-_]?id|correlationId|x-correlation-id", r"[a-zA-Z0-9\-_]{8,64}"), ("correlation_id", "correlationId", "corr_id", "x-correlation-id")),
+    ("correlation_id", _prefixed(r"corr[-_][a-zA-Z0-9\-_]{6,32}"), ()),
+    ("trace_id", _named("trace[-_]?id|traceId", "[a-f0-9]{32}"), ("trace_id", "traceId", "x-trace-id")),
+    ("span_id", _named("span[-_]?id|spanId", "[a-f0-9]{16}"), ("span_id", "spanId", "x-span-id")),
 )
 
 
+#: Priorities of these patterns, in order.
+PRIORITIES = (100, 90, 89, 85, 84, 80, 79, 75, 74, 70, 69, 65, 64, 60, 55)
+
+
+def repeats(pattern) -> list[tuple[int, int, bool]]:
+    """(least, most, whether inside another unbounded repeat) of every repeat of a compiled pattern's tree."""
+    out = []
+
+    def walk(items, inside: bool) -> None:
+        for op, arg in items:
+            name = str(op)
+            if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+                least, most, body = arg
+                many = int(most) > 1
+                out.append((int(least), int(most), inside and many))
+                walk(body, inside or many)
+            elif name == "BRANCH":
+                for body in arg[1]:
+                    walk(body, inside)
+            elif name == "SUBPATTERN":
+                walk(arg[-1], inside)
+            elif name == "ATOMIC_GROUP":
+                walk(arg, inside)
+
+    walk(pattern, False)
+    return out
+
+
 def safe_pattern(pattern: str) -> bool:
-    """Whether a user's pattern may run: short, no look-around, small repeats, no repeated repeats, and it compiles."""
-    if len(pattern) > 500 or re.search(r"\(\?(?:[=!]|<[=!])", pattern) or any(int(n) > 100 for n in re.findall(r"\{(?:\d*,)?(\d+)\}", pattern)):
-        return False
-    if re.search(r"\([^()]*[+*][^()]*\)[+*{]", pattern):
+    """Whether a user's pattern may run: short, no look-around, small repeats, no repeat inside a repeat however deep, few repeats, and it compiles."""
+    if len(pattern) > 500 or re.search(r"\(\?[=!<]", pattern):
         return False
     try:
-        re.compile(pattern)
-    except re.error:
+        from re import _parser  # the tree, not the text: groups may nest
+
+        found = repeats(_parser.parse(pattern))
+    except (re.error, RecursionError, OverflowError):
+        return False
+    bounded = re.findall(r"\{(\d+)(?:,(\d*))?\}", pattern)
+    if any(int(a) > 100 or pattern.find(f"{{{a},}}") >= 0 or b and int(b) > 100 for a, b in bounded):
         return False
-    return True
+    return len(found) <= 25 and not any(nested for _, _, nested in found)
+
+
+def by_priority(custom, patterns=PATTERNS) -> list:
+    """Custom patterns (priority, type, expression, fields) among the built-in ones; highest first, custom first on ties."""
+    ranked = [(p, tuple(rest)) for p, *rest in custom] + list(zip(PRIORITIES, patterns, strict=False))
+    return [p for _, p in sorted(ranked, key=lambda x: -x[0])]
+
+
+def found_in(text: Column, patterns=PATTERNS) -> Column:
+    """array<struct<type,value>> of a text, by pattern, then place."""
+    one = lambda p: F.transform(F.regexp_extract_all(text, F.lit(p[1]), F.lit(1)), lambda v: F.struct(F.lit(p[0]).alias("type"), v.alias("value")))
+    return F.coalesce(F.flatten(F.array(*map(one, patterns))), F.array().cast("array<struct<type:string,value:string>>"))
+
+
+#: One level of nesting for each of these: a path's own name, then names inside objects.
+DEPTH = 4
+
+
+def leaves(metadata: Column, depth: int = DEPTH) -> Column:
+    """array<struct<k,v>> of the fields of a JSON object whose values are texts, objects inside it included."""
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    parsed = lambda v: F.coalesce(F.map_entries(F.from_json(v, "map<string,string>")), none)
+
+    def opened(entries: Column) -> Column:
+        inside = F.flatten(F.transform(F.filter(entries, lambda e: e["value"].startswith("{")), lambda e: parsed(e["value"])))
+        return F.concat(F.filter(entries, lambda e: ~e["value"].startswith("{")), inside)
+
+    entries = parsed(metadata)
+    for _ in range(depth - 1):
+        entries = F.transform(F.array(entries), opened)[0]  # through an array, so that it is computed once
+    return F.filter(entries, lambda e: e["value"].isNotNull() & ~e["value"].rlike(r"^[\[{]"))
+
+
+def from_metadata(metadata: Column, patterns=PATTERNS) -> Column:
+    """A field whose name is that of a type gives its whole value; the text of any other is searched."""
+    kinds = {n.lower(): kind for kind, _, names in reversed(list(patterns)) for n in names}
+    lookup = F.create_map(*[F.lit(x) for pair in sorted(kinds.items()) for x in pair])
+
+    def of(e: Column) -> Column:
+        kind = F.try_element_at(lookup, F.lower(e["key"]))
+        own = F.array(F.struct(kind.alias("type"), e["value"].alias("value")))
+        return F.when(kind.isNotNull() & (e["value"] != ""), own).otherwise(found_in(e["value"], patterns))
+
+    return F.flatten(F.transform(leaves(metadata), of))
 
 
 def extract(logs: DataFrame, patterns=PATTERNS) -> DataFrame:
-    """log_id, time, project_id, type, value: distinct by type and lower-cased value; one scan, one explode."""
+    """log_id, time, project_id, type, value, source: distinct by type and lower-cased value, the first spelling; one scan, one explode.
+
+    The message comes first, then metadata (a JSON text column, if there is one). Numbers and booleans in
+    metadata are taken as texts.
+    """
+    mark = lambda found, source: F.transform(found, lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"), F.lit(source).alias("source")))
+    every = mark(found_in(F.col("message"), patterns), "message")
+    if "metadata" in logs.columns:
+        every = F.concat(every, mark(from_metadata(F.col("metadata").cast("string"), patterns), "metadata"))
+    rows = logs.select(F.col("id").alias("log_id"), "time", "project_id", every.alias("_all")).where(F.size("_all") > 0)
+    # position explode keeps the order, and the first of a spelling wins without a shuffle
+    names = F.transform("_all", lambda x: F.concat(x["type"], F.lit(":"), F.lower(x["value"])))
+    firsts = F.filter(F.transform("_all", lambda x, i: F.struct(x["type"].alias("type"), x["value"].alias("value"), x["source"].alias("source"), i.alias("i"))), lambda x: F.array_position("_n", F.concat(x["type"], F.lit(":"), F.lower(x["value"]))) == x["i"] + 1)
+    return rows.withColumn("_n", names).select("log_id", "time", "project_id", F.explode(firsts).alias("x")).select("log_id", "time", "project_id", "x.type", "x.value", "x.source")
 
-    def matches(kind: str, pattern: str, group: int):
-        values = F.regexp_extract_all("message", F.lit(pattern), F.lit(group))
-        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), F.lower(v).alias("value")))
 
-    found = F.array_distinct(F.flatten(F.array(*[matches(*p) for p in patterns])))
-    return logs.select(F.col("id").alias("log_id"), "time", "project_id", F.explode(found).alias("x")).select("log_id", "time", "project_id", "x.type", "x.value")
+def by_log(identifiers: DataFrame, ids=None) -> DataFrame:
+    """log_id, found: map of type to values of each log; of at most 100 logs if ids are given."""
+    if ids is not None:
+        identifiers = identifiers.where(F.col("log_id").isin(list(ids)[:100]))
+    pairs = identifiers.groupBy("log_id", "type").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    return pairs.groupBy("log_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "values")))).alias("found"))
 
 
 def correlated(logs: DataFrame, identifiers: DataFrame, kind: str, value: str, at: str, minutes: int, limit: int) -> DataFrame:
-    """Logs that carry an identifier within +-minutes of a time, newest `limit` identifier rows."""
-    near = identifiers.where((F.col("type") == kind) & (F.col("value") == value.lower()) & F.col("time").between(ntz(at) - F.expr(f"interval {minutes} minutes"), ntz(at) + F.expr(f"interval {minutes} minutes")))
+    """Logs that carry an identifier within +-minutes of a time, newest `limit` identifier rows (1..100)."""
+    limit = max(1, min(100, limit))
+    near = identifiers.where((F.col("type") == kind) & (F.lower("value") == value.lower()) & F.col("time").between(ntz(at) - F.expr(f"interval {minutes} minutes"), ntz(at) + F.expr(f"interval {minutes} minutes")))
     ids = near.orderBy(F.col("time").desc(), F.col("log_id").desc()).limit(limit).select(F.col("log_id").alias("id"))
-    return logs.join(F.broadcast(ids.distinct()), "id", "left_semi")
+    return logs.join(F.broadcast(ids.distinct()), "id", "left_semi")  # at most 100 ids

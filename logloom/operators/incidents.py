@@ -23,11 +23,32 @@ def audit_trail(snapshots: DataFrame, key: str, order: list[str], fields: list[s
 
 
 def totals(detections: DataFrame, incidents: DataFrame) -> DataFrame:
-    """detections, incidents, critical: one row; both sides are aggregated before they meet."""
-    zero = F.lit(0).cast("bigint")
-    d = detections.agg(F.count("*").alias("detections")).select("detections", zero.alias("incidents"), zero.alias("critical"))
-    i = incidents.agg(F.count("*").alias("incidents"), F.count_if(F.col("severity") == "critical").alias("critical")).select(zero.alias("detections"), "incidents", "critical")
-    return d.unionByName(i).agg(*[F.sum(c).alias(c) for c in ("detections", "incidents", "critical")])
+    """detections, incidents, open (or investigating), critical: one row; both sides are aggregated before they meet."""
+    zero = lambda *names: [F.lit(0).cast("bigint").alias(n) for n in names]
+    d = detections.agg(F.count("*").alias("detections")).select("detections", *zero("incidents", "open", "critical"))
+    i = incidents.agg(F.count("*").alias("incidents"), F.count_if(F.col("status").isin("open", "investigating")).alias("open"), F.count_if(F.col("severity") == "critical").alias("critical"))
+    return d.unionByName(i.select(*zero("detections"), "incidents", "open", "critical")).agg(*[F.sum(c).alias(c) for c in ("detections", "incidents", "open", "critical")])
+
+
+def resolution(history: DataFrame) -> DataFrame:
+    """History of a status (incident, time, id, status) with resolved_at: set when the status becomes resolved or false_positive, kept while it stays so, else null."""
+    w = Window.partitionBy("incident").orderBy("time", "id")
+    done = F.col("status").isin("resolved", "false_positive")
+    begins = done & ~F.coalesce(F.lag(done).over(w), F.lit(False))
+    marked = history.withColumn("_b", F.when(begins, F.col("time")))
+    return marked.withColumn("resolved_at", F.when(done, F.last("_b", ignorenulls=True).over(w))).drop("_b")
+
+
+def listed(incidents: DataFrame, statuses=None, severities=None, assignee: str | None = None, service: str | None = None, technique: str | None = None) -> DataFrame:
+    """Incidents that fit all criteria given."""
+    for column, wanted in (("status", statuses), ("severity", severities)):
+        if wanted is not None:
+            incidents = incidents.where(F.col(column).isin([wanted] if isinstance(wanted, str) else list(wanted)))
+    if assignee is not None:
+        incidents = incidents.where(F.col("assignee") == assignee)
+    if service is not None:
+        incidents = incidents.where(F.array_contains(F.split("services", ","), service))
+    return incidents if technique is None else incidents.where(F.array_contains("techniques", technique))
 
 
 def heatmap_matrix(detections: DataFrame, tactics: list[str]) -> DataFrame:
@@ -45,8 +66,14 @@ def ip_number(ip: Column) -> Column:
 def locate(ips: DataFrame, ranges: DataFrame) -> DataFrame:
     """ips (ip, ...) with the place of the range (first, last, place: addresses as text, disjoint) that holds it, else null.
 
-    Ranges are cut at /16 borders, so the range join is an equality on the upper half of the address.
+    Distinct addresses are looked up, so a block that many rows share is no hot key. Ranges are cut at /16
+    borders, so the range join is an equality on the upper half of the address.
     """
+    known = _located(ips.select("ip").where("ip is not null").distinct(), ranges)
+    return ips.join(known, "ip", "left").select(*ips.columns, "place")
+
+
+def _located(ips: DataFrame, ranges: DataFrame) -> DataFrame:
     r = ranges.select(ip_number(F.col("first")).alias("_lo"), ip_number(F.col("last")).alias("_hi"), "place")
     r = r.withColumn("_block", F.explode(F.sequence(F.shiftright("_lo", 16), F.shiftright("_hi", 16))))
     known = ips.withColumn("_n", ip_number(F.col("ip"))).withColumn("_block", F.shiftright("_n", 16))
@@ -58,7 +85,7 @@ def throughput(logs: DataFrame, now: str) -> DataFrame:
     """Logs a second over the last hour, and the mean age in ms of the last five minutes' logs."""
     t = F.col("time")
     hour, five = t >= ntz(now) - F.expr("interval 1 hour"), t >= ntz(now) - F.expr("interval 5 minutes")
-    age = F.expr(f"cast(timestampdiff(MILLISECOND, time, timestamp_ntz'{now}') as double)")
+    age = F.expr(f"timestampdiff(MICROSECOND, time, timestamp_ntz'{now}') / 1000.0D")
     return logs.where(hour & (t <= ntz(now))).agg((F.count("*") / 3600.0).alias("per_second"), F.avg(F.when(five, age)).alias("age_ms"))
 
 
@@ -75,6 +102,9 @@ def samples(logs: DataFrame, levels, incidents: DataFrame, width: str, k: int =
     step = F.expr(f"interval {WIDTHS[width]}")
     spans = incidents.select("start_time", F.explode(F.sequence("start_time", F.col("end_time") - step, step)).alias("bucket"))
     rows = logs.where(F.col("level").isin(list(levels))).select("id", "time", bucket(F.col("time"), width).alias("bucket"))
+    # only a bucket's k newest can be among its incident's; this limit also runs before the shuffle
+    own = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("time").desc(), F.col("id").desc()))
+    rows = rows.withColumn("_own", own).where(F.col("_own") <= k).drop("_own")
     newest = F.row_number().over(Window.partitionBy("start_time").orderBy(F.col("time").desc(), F.col("id").desc()))
     return rows.join(spans, "bucket").withColumn("rank", newest).where(F.col("rank") <= k).select("start_time", "id", F.col("rank").cast("bigint").alias("rank"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words too common to search for.
@@ -77,3 +77,20 @@ def context(logs: DataFrame, time: str, k: int) -> DataFrame:
     at = logs.where(F.col("time") == t)
     mark = lambda df, place: df.withColumn("place", F.lit(place))
     return mark(before, "before").unionByName(mark(at, "at")).unionByName(mark(after, "after"))
+
+
+def page_and_next(logs: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """A page with has_next: one row more than the page is looked for, and left out."""
+    limit = max(1, min(1000, limit))
+    ordered = logs.orderBy(F.col("time").desc(), F.col("id").desc())
+    rows = (ordered.offset(offset) if offset else ordered).limit(limit + 1)
+    ranked = rows.withColumn("_n", F.row_number().over(Window.orderBy(F.col("time").desc(), F.col("id").desc())))
+    return ranked.withColumn("has_next", F.max("_n").over(Window.partitionBy()) > limit).where(F.col("_n") <= limit).drop("_n")
+
+
+#: Names of a log in the API; span_id and created_at stay inside.
+API = {"id": "id", "time": "time", "project_id": "projectId", "service": "service", "level": "level", "message": "message", "metadata": "metadata", "trace_id": "traceId"}
+
+
+def api_rows(logs: DataFrame) -> DataFrame:
+    return logs.select(*[F.col(c).alias(name) for c, name in API.items()])

@@ -10,8 +10,10 @@ from logloom.operators.analytics import bucket
 
 
 def top_threats(detections: DataFrame, k: int = 10) -> DataFrame:
-    keys = ["rule_id", "title", "severity", "tactics", "techniques"]
-    out = detections.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "rule_id").limit(k)
+    """Counted by rule; title, severity and tags depend on it, so one row's will do."""
+    told = ["title", "severity", "tactics", "techniques"]
+    counts = detections.groupBy("rule_id").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in told])
+    out = counts.orderBy(F.col("n").desc(), "rule_id").limit(k)
     return out.select("rule_id", "title", "severity", F.array_join("tactics", ",").alias("tactics"), F.array_join("techniques", ",").alias("techniques"), "n")
 
 
@@ -19,8 +21,15 @@ def timeline(detections: DataFrame, width: str) -> DataFrame:
     return detections.groupBy(bucket(F.col("time"), width).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def with_incident(detections: DataFrame, incidents: DataFrame) -> DataFrame:
+    """Detections with the id of their trace's incident, null if it has none."""
+    keys = incidents.select("trace_id", "project_id", F.concat_ws("/", "trace_id", F.col("project_id").cast("string")).alias("incident_id"))
+    return detections.join(keys, ["trace_id", "project_id"], "left")
+
+
 def affected_services(detections: DataFrame, k: int = 10) -> DataFrame:
-    out = detections.groupBy("service").agg(F.count("*").alias("n"), F.countDistinct("trace_id").alias("traces"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"))
+    """Detections with their incident_id."""
+    out = detections.groupBy("service").agg(F.count("*").alias("n"), F.countDistinct("incident_id").alias("incidents"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"))
     return out.orderBy(F.col("n").desc(), "service").limit(k)
 
 
@@ -38,12 +47,14 @@ def mitre_heatmap(detections: DataFrame, k: int = 50) -> DataFrame:
 def incidents_by_trace(detections: DataFrame) -> DataFrame:
     """Traces of a project with more than one detection; severity is the heaviest."""
     rows = detections.where("trace_id is not null")
-    out = rows.groupBy("trace_id", "project_id").agg(F.count("*").alias("n"), F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.max_by("severity", severity_weight(F.col("severity"))).alias("severity"), F.array_join(F.array_sort(F.collect_set("service")), ",").alias("services"))
+    out = rows.groupBy("trace_id", "project_id").agg(F.count("*").alias("n"), F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.max_by("severity", severity_weight(F.col("severity"))).alias("severity"), F.array_join(F.array_sort(F.collect_set("service")), ",").alias("services"), F.array_sort(F.collect_list("log_id")).alias("log_ids"), *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ("tactics", "techniques")])
     return out.where("n > 1")
 
 
-def incidents_by_burst(detections: DataFrame, least: int = 3) -> DataFrame:
-    """Bursts outside traces: at least `least` detections of a service and severity in five minutes; project of the earliest."""
+def incidents_by_burst(detections: DataFrame, least: int = 3, since: str | None = None) -> DataFrame:
+    """Bursts outside traces since a time: at least `least` detections of a service and severity in five minutes; project of the earliest."""
+    if since is not None:
+        detections = detections.where(F.col("time") >= F.lit(since).cast("timestamp_ntz"))
     rows = detections.where("trace_id is null").withColumn("bucket", bucket(F.col("time"), "5m"))
     out = rows.groupBy("service", "severity", "bucket").agg(F.count("*").alias("n"), F.min_by("project_id", F.struct("time", "log_id", "rule_id")).alias("project_id"), F.min("time").alias("start_time"), F.max("time").alias("end_time"))
     return out.where(F.col("n") >= least)

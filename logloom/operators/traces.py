@@ -13,7 +13,7 @@ def assemble(spans: DataFrame) -> DataFrame:
     first = F.struct("start_time", "span_id")
     root = F.col("parent_span_id").isNull()
     return spans.groupBy("trace_id").agg(
-        F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.countDistinct("span_id").alias("span_count"), F.bool_or(F.col("status_code") == "ERROR").alias("error"),
+        F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.count("*").alias("span_count"), F.bool_or(F.col("status_code") == "ERROR").alias("error"),
         F.min_by("service_name", first).alias("service_name"), F.min_by(F.when(root, F.col("service_name")), F.when(root, first)).alias("root_service"), F.min_by(F.when(root, F.col("operation_name")), F.when(root, first)).alias("root_operation"),
     ).withColumn("duration_ms", F.expr("cast(timestampdiff(MILLISECOND, start_time, end_time) as bigint)"))
 
@@ -39,10 +39,10 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 
 def waterfall(spans: DataFrame) -> DataFrame:
-    """Left edge and width of each span in percent of its trace."""
-    w = Window.partitionBy("trace_id")
+    """Left edge and width of each span in percent of its trace. Traces are aggregated and joined, so a giant one is no single task's."""
     us = lambda a, b: F.expr(f"cast(timestampdiff(MICROSECOND, {a}, {b}) as double)")
-    df = spans.withColumn("t0", F.min("start_time").over(w)).withColumn("t1", F.max("end_time").over(w)).withColumn("total", us("t0", "t1"))
+    whole = spans.groupBy("trace_id").agg(F.min("start_time").alias("t0"), F.max("end_time").alias("t1"))
+    df = spans.select("trace_id", "span_id", "start_time", "end_time").join(whole, "trace_id").withColumn("total", us("t0", "t1"))
     return df.select("trace_id", "span_id", F.when(F.col("total") > 0, us("t0", "start_time") / F.col("total") * 100).otherwise(0.0).alias("left_pct"), F.when(F.col("total") > 0, F.greatest(us("start_time", "end_time") / F.col("total") * 100, F.lit(0.5))).otherwise(100.0).alias("width_pct"))
 
 

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from logloom.functions import scalars as X
 from logloom.operators import admin, alerts, analytics, errors, identifiers, search, siem, sigma, traces
 from logloom.plans.views import NOW, twin, view
-from logloom.session import table
+from logloom.session import table, written
 from logloom.sources import ingest
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 DAY = "2024-01-15 00:00:00"
+HOUR, MONTH = "2024-01-30 22:57:13", "2023-12-31 23:57:13"  # an hour and 30 days before NOW
 
 
 def register(name: str, query, sql: str | None = None, *names: str) -> None:
@@ -42,6 +43,9 @@ register("log_by_id", logs(lambda x: x.where("id = 42 and project_id is not null
 register("logs_by_trace", logs(lambda x: search.search(x, trace_id="trace-7-2024-01-15").select(*COLS)), f"select {C} from logs where trace_id = 'trace-7-2024-01-15'", "logs")
 register("log_context", logs(lambda x: search.context(x, DAY, 5).select("place", *COLS)), f"(select 'before' as place, {C} from logs where time < timestamp '{DAY}' order by time desc, id desc limit 5) union all (select 'at', {C} from logs where time = timestamp '{DAY}') union all (select 'after', {C} from logs where time > timestamp '{DAY}' order by time, id limit 5)", "logs")
 register("log_fulltext", logs(lambda x: search.search(x, text="failed logins", mode="words").select(*COLS)), f"select {C} from logs where list_contains(list_transform(string_split_regex(lower(message), '[^a-z0-9]+'), lambda x: regexp_replace(regexp_replace(x, '(ing|ed|ly|es)$', ''), 's$', '')), 'fail') and list_contains(list_transform(string_split_regex(lower(message), '[^a-z0-9]+'), lambda x: regexp_replace(regexp_replace(x, '(ing|ed|ly|es)$', ''), 's$', '')), 'login')", "logs")
+register("log_search_page_and_next", logs(lambda x: search.page_and_next(x.where("level = 'critical'"), 20, 20).select("id", "has_next")), "select id, (select count(*) from logs where level = 'critical') > 40 as has_next from logs where level = 'critical' order by time desc, id desc limit 20 offset 20", "logs")
+register("log_api_rows", logs(lambda x: search.api_rows(x.where("project_id = 3"))), 'select id, time, project_id as "projectId", service, level, message, metadata, trace_id as "traceId" from logs where project_id = 3', "logs")
+register("logs_first_and_last", logs(admin.first_and_last), "select min(time) as oldest, max(time) as latest, arg_min(id, (time, id)) as oldest_id, arg_max(id, (time, id)) as latest_id from logs", "logs")
 register("distinct_services", logs(lambda x: x.where("service <> ''").select("service").distinct()), "select distinct service from logs where service <> ''", "logs")
 register("recent_errors", logs(lambda x: search.page(search.search(x, levels=["error", "critical"]), 10).select(*COLS)), f"select {C} from logs where level in ('error', 'critical') order by time desc, id desc limit 10", "logs")
 
@@ -53,8 +57,8 @@ register("log_histogram_pivot", logs(lambda x: analytics.histogram_wide(x, "1h")
 register("level_totals", logs(lambda x: search.search(x, since=DAY).groupBy("level").agg(F.count("*").alias("n"))), f"select level, count(*) as n from logs where time >= timestamp '{DAY}' group by 1", "logs")
 register("top_services", logs(lambda x: analytics.top(x, "service", 3)), "select service, count(*) as n from logs group by 1 order by n desc, service limit 3", "logs")
 register("top_services_share", logs(lambda x: analytics.top_share(x, "service", 5)), "select service, count(*) as n, round(count(*) * 100.0::double / sum(count(*)) over ()) as share from logs group by 1 order by n desc, service limit 5", "logs")
-register("top_errors", logs(lambda x: analytics.top(x.where("level in ('error', 'critical')").withColumn("shape", F.regexp_replace("message", "[0-9]+", "N")), "shape", 10)), "select regexp_replace(message, '[0-9]+', 'N', 'g') as shape, count(*) as n from logs where level in ('error', 'critical') group by 1 order by n desc, shape limit 10", "logs")
-register("logs_per_day", logs(lambda x: x.groupBy(F.to_date("time").cast("string").alias("day")).agg(F.count("*").alias("n"))), "select cast(cast(time as date) as varchar) as day, count(*) as n from logs group by 1", "logs")
+register("top_errors", logs(lambda x: analytics.top(x.where("level in ('error', 'critical')"), "message", 10)), "select message, count(*) as n from logs where level in ('error', 'critical') group by 1 order by n desc, message limit 10", "logs")
+register("logs_per_day", logs(lambda x: search.search(x, since=MONTH).groupBy(F.to_date("time").cast("string").alias("day")).agg(F.count("*").alias("n")).orderBy(F.col("day").desc()).limit(30)), f"select cast(cast(time as date) as varchar) as day, count(*) as n from logs where time >= timestamp '{NOW}' - interval '30 days' group by 1 order by day desc limit 30", "logs")
 register("dashboard_kpis", logs(lambda x: analytics.kpis(x, NOW)), f"""select *, case when yesterday > 0 then (today - yesterday) * 100.0::double / yesterday else 0 end as trend, case when today > 0 then errors_today * 100.0::double / today else 0 end as error_rate from (select
  count(*) filter (time >= t and time <= n) as today, count(*) filter (time < t) as yesterday, count(*) filter (time >= t and time <= n and bad) as errors_today, count(*) filter (time < t and bad) as errors_yesterday,
  count(distinct service) filter (time >= t and time <= n) as services, count(*) filter (time > n - interval '1 hour' and time <= n) / 3600.0::double as per_second
@@ -77,7 +81,7 @@ register("retention_survivors", on("logs", "projects")(lambda x, p: admin.surviv
 register("cascade_survivors", on("logs", "projects")(lambda x, p: x.join(p.where("organization_id = 1").select(F.col("id").alias("project_id")), "project_id", "left_anti").select(*COLS)), f"select {C} from logs where project_id not in (select id from projects where organization_id = 1)", "logs", "projects")
 
 # traces
-ROLL = f"""select trace_id, start_time, end_time, span_count, error, service_name, root_service, root_operation, cast(date_diff('millisecond', start_time, end_time) as bigint) as duration_ms from (select trace_id, min(start_time) as start_time, max(end_time) as end_time, count(distinct span_id) as span_count, bool_or(status_code = 'ERROR') as error,
+ROLL = f"""select trace_id, start_time, end_time, span_count, error, service_name, root_service, root_operation, cast(date_diff('millisecond', start_time, end_time) as bigint) as duration_ms from (select trace_id, min(start_time) as start_time, max(end_time) as end_time, count(*) as span_count, bool_or(status_code = 'ERROR') as error,
  arg_min(service_name, (start_time, span_id)) as service_name, arg_min(service_name, (start_time, span_id)) filter (parent_span_id is null) as root_service, arg_min(operation_name, (start_time, span_id)) filter (parent_span_id is null) as root_operation from ({SPANS_SQL}) s group by 1) x"""
 register("trace_rollup", lambda s, d: traces.assemble(spans(s, d)), ROLL, "spans")
 register("trace_list", lambda s, d: traces.assemble(spans(s, d)).orderBy(F.col("start_time").desc(), "trace_id").limit(50).select("trace_id", "start_time", "span_count"), f"select trace_id, start_time, span_count from ({ROLL}) r order by start_time desc, trace_id limit 50", "spans")
@@ -96,7 +100,10 @@ register("alert_fire", on("alert_rules", "alert_history", "logs")(lambda r, h, x
  on list_contains(string_split(r.levels, ','), l.level) and (r.service is null or l.service = r.service or l.service = 'unknown') and (r.project_id is null or l.project_id = r.project_id) and l.time <= timestamp '{NOW}' and l.time > greatest(coalesce(h.t, timestamp '1970-01-01'), timestamp '{NOW}' - to_minutes(r.time_window))
  where r.enabled group by 1, 3 having count(*) >= r.threshold""", "alert_rules", "alert_history", "logs")
 register("alert_history_list", on("alert_history", "alert_rules", "projects")(lambda h, r, p: h.join(F.broadcast(r), "rule_id").join(F.broadcast(p.select(F.col("id").alias("project_id"), F.col("name").alias("project"))), "project_id", "left").select("id", "rule_id", "triggered_at", "log_count", "service", "project")), "select h.id, h.rule_id, h.triggered_at, h.log_count, r.service, p.name as project from alert_history h join alert_rules r on h.rule_id = r.rule_id left join projects p on p.id = r.project_id", "alert_history", "alert_rules", "projects")
-register("alert_stats", on("alert_history")(lambda h: h.agg(F.count("*").alias("triggers"), F.count_if(F.col("triggered_at") >= analytics.ntz(NOW) - F.expr("interval 7 days")).alias("week"), F.count_if(F.col("notified") & F.col("error").isNull()).alias("sent"), F.count_if(F.col("notified") & F.col("error").isNotNull()).alias("failed"))), f"select count(*) as triggers, count(*) filter (triggered_at >= timestamp '{NOW}' - interval '7 days') as week, count(*) filter (notified and error is null) as sent, count(*) filter (notified and error is not null) as failed from alert_history", "alert_history")
+register("alert_stats", on("alert_rules", "alert_history", "projects")(lambda r, h, p: admin.alert_stats(r, h, p, NOW)), f"""select p.organization_id, count(*) as rules, count(*) filter (r.enabled) as active, count(*) filter (not r.enabled) as disabled, coalesce(sum(h.day), 0)::bigint as day, coalesce(sum(h.week), 0)::bigint as week, coalesce(sum(h.sent), 0)::bigint as sent, coalesce(sum(h.failed), 0)::bigint as failed
+ from alert_rules r left join projects p on p.id = r.project_id left join (select rule_id, count(*) filter (triggered_at >= timestamp '{NOW}' - interval '24 hours') as day, count(*) filter (triggered_at >= timestamp '{NOW}' - interval '7 days') as week, count(*) filter (notified and error is null) as sent, count(*) filter (notified and error is not null) as failed from alert_history group by 1) h on h.rule_id = r.rule_id group by 1""", "alert_rules", "alert_history", "projects")
+register("alert_rules_of_organizations", on("alert_rules", "projects", "organizations")(admin.rules_of_organizations), "select r.rule_id, o.name as organization from alert_rules r join projects p on p.id = r.project_id join organizations o on o.id = p.organization_id", "alert_rules", "projects", "organizations")
+register("alerts_marked_notified", on("alert_history")(lambda h: admin.notified(h).select("id", "notified")), "select id, notified and error is null as notified from alert_history", "alert_history")
 BUCKETS = "select time_bucket(interval '1 hour', time) as bucket, count(*) as n from logs where level in ('error', 'critical') group by 1"
 preview = lambda x: alerts.preview_buckets(x, ["error", "critical"], "1h")
 register("alert_preview_buckets", logs(preview), BUCKETS, "logs")
@@ -112,6 +119,10 @@ RULE_SQL = {
     "auth-1": HAS("failed login", "authentication failure"), "auth-2": HAS("sudo:", "privilege escalation") + " and not level = 'debug'", "web-1": "regexp_matches(lower(message), '(or 1=1|union select)')", "web-2": HAS("../../", "/etc/passwd"),
     "web-3": HAS("<script>"), "ops-1": "(" + " or ".join(f"contains(lower({c}), '{w}')" for c in ("service", "level", "message", "metadata", "trace_id") for w in ("timeout", "timed out")) + ") and level in ('error', 'critical')", "ops-2": "service = 'payment-service' and starts_with(level, 'err')",
 }
+quoted = lambda w: w.lower().replace("'", "''")
+for rule in sigma.BUILT_IN:
+    field, wanted = next(iter(rule.detection["selection"].items()))
+    RULE_SQL[rule.id] = HAS(*map(quoted, wanted)) if field == "message|contains" else "level in (" + ", ".join(f"'{v}'" for v in wanted) + ")"
 DETECTED = " union all ".join(f"select id as log_id, time, project_id, service, level, message, trace_id, '{r.id}' as rule_id, '{r.title}' as title, '{r.level}' as severity, '{','.join(sigma.mitre(r.tags)[0])}' as tactics, '{','.join(sigma.mitre(r.tags)[1])}' as techniques from logs where {RULE_SQL[r.id]}" for r in sigma.PACKS)
 for pack in ("auth", "web", "ops"):
     own = [r for r in sigma.PACKS if r.pack == pack]
@@ -123,22 +134,44 @@ MIXES = {
 }
 for name, (detection, where) in MIXES.items():
     register(name, logs(lambda x, dt=detection: sigma.detect(x, [sigma.Rule("r", "r", "low", dt)]).select("log_id")), f"select id as log_id from logs where {where}", "logs")
-register("sigma_logsource", logs(lambda x: sigma.detect(x, [sigma.Rule("r", "r", "low", {"a": {"level": "error"}, "condition": "a"}, {"service": "auth"})]).select("log_id")), "select id as log_id from logs where level = 'error' and (contains(service, 'auth') or service = 'unknown')", "logs")
+SOURCES = {
+    "sigma_logsource": ({"service": "auth*", "product": "any"}, "(starts_with(service, 'auth') or service = 'unknown')"), "sigma_logsource_exact": ({"service": "Auth-Service"}, "service in ('auth-service', 'unknown')"),
+    "sigma_logsource_product": ({"product": "windows"}, "id % 4 in (0, 1)"), "sigma_logsource_category": ({"category": "*-service"}, "(service like '%-service' or service = 'unknown')"),
+}
+PRODUCT = "case id % 4 when 0 then 'Windows' when 1 then 'unknown' when 2 then 'linux' end"
+for name, (source, where) in SOURCES.items():
+    rule = sigma.Rule("r", "r", "low", {"a": {"level": "error"}, "condition": "a"}, source)
+    register(name, logs(lambda x, r=rule: sigma.detect(x.withColumn("metadata", F.expr(f"to_json(struct({PRODUCT} as product))")), [r]).select("log_id")), f"select id as log_id from logs where level = 'error' and {where}", "logs")
+told_fields = sigma.Rule("r", "r", "low", {"a": {"level": "error"}, "b": [{"metadata.k": 7}, {"k|contains": "1"}, {"service|base64offset": "x"}], "condition": "a and b"}, tags=("attack.t1190",))
+register("sigma_matched_fields", logs(lambda x: sigma.matched(x, [told_fields]).select("log_id", "rule_id", F.array_join("tags", ",").alias("tags"), F.get_json_object("fields", "$.level").alias("level"), F.get_json_object("fields", "$.k").alias("k"))), "select id as log_id, 'r' as rule_id, 'attack.t1190' as tags, level, metadata->>'k' as k from logs where level = 'error' and (metadata->>'k' = '7' or contains(metadata->>'k', '1'))", "logs")
+register("sigma_base64", logs(lambda x: sigma.detect(x.withColumn("message", F.concat(F.lit("="), F.base64(F.encode("message", "utf-8")))), [sigma.Rule("r", "r", "low", {"a": {"message|base64offset": "FAILED login"}, "condition": "a"})]).select("log_id")), "select id as log_id from logs where contains(lower(message), 'failed login')", "logs")
+register("sigma_built_in", logs(lambda x: sigma.detect(x, sigma.BUILT_IN).select("log_id", "rule_id", "severity")), " union all ".join(f"select id as log_id, '{r.id}' as rule_id, '{r.level}' as severity from logs where {RULE_SQL[r.id]}" for r in sigma.BUILT_IN), "logs")
+register("sigma_alert_rules", lambda s, d: sigma.alert_rules(s, sigma.BUILT_IN[:2]).withColumn("keywords", F.array_join("keywords", ",")), "select * from (values ('startup-reliability-high-error-rate', 'High Error Rate Detection', 'any', 'debug,info,warn,error,critical', 3, 300, 'error,critical'), ('startup-reliability-critical-errors', 'Critical System Errors', 'any', 'debug,info,warn,error,critical', 1, 60, 'critical')) t(rule_id, name, service, levels, threshold, time_window, keywords)")
+STORED = "select id as rule_id, id % 3 as organization_id, case when id % 2 = 0 then cast(id % 5 as int) end as project_id, case id % 4 when 0 then 'failed' when 1 then 'partial' else 'success' end as status, id % 7 <> 0 as enabled from logs where id < 300"
+register("sigma_rule_selection", logs(lambda x: sigma.selected(x.sparkSession.sql(STORED.replace("from logs", "from {x}"), x=x), 1, 3).select("rule_id", "project_id")), f"select rule_id, project_id from ({STORED}) r where organization_id = 1 and status <> 'failed' and enabled and (project_id = 3 or project_id is null)", "logs")
+mitre_of = lambda q: sigma.with_stored_mitre(q, q.sparkSession.createDataFrame([("web-1", ["own"], ["T9999"]), ("web-2", [], [])], "rule_id string, tactics array<string>, techniques array<string>"))
+register("detections_stored_mitre", logs(lambda x: mitre_of(sigma.detect(x)).select("log_id", "rule_id", F.array_join("tactics", ",").alias("tactics"), F.array_join("techniques", ",").alias("techniques"))), f"select log_id, rule_id, case when rule_id = 'web-1' then 'own' else tactics end as tactics, case when rule_id = 'web-1' then 'T9999' else techniques end as techniques from ({DETECTED}) d", "logs")
 detected = lambda fn: logs(lambda x: fn(sigma.detect(x)))
 register("detections_list", detected(lambda q: q.where("severity in ('high', 'critical')").orderBy(F.col("time").desc(), "log_id", "rule_id").limit(50).select("log_id", "time", "rule_id", "severity")), f"select log_id, time, rule_id, severity from ({DETECTED}) d where severity in ('high', 'critical') order by time desc, log_id, rule_id limit 50", "logs")
 register("siem_top_threats", detected(siem.top_threats), f"select rule_id, title, severity, tactics, techniques, count(*) as n from ({DETECTED}) d group by all order by n desc, rule_id limit 10", "logs")
 register("siem_timeline", detected(lambda q: siem.timeline(q, "6h")), f"select time_bucket(interval '6 hours', time) as bucket, count(*) as n from ({DETECTED}) d group by 1", "logs")
-register("siem_affected_services", detected(siem.affected_services), f"select service, count(*) as n, count(distinct trace_id) as traces, count(*) filter (severity = 'critical') as critical, count(*) filter (severity = 'high') as high from ({DETECTED}) d group by 1 order by n desc, service limit 10", "logs")
 register("siem_severity_share", detected(siem.severity_share), f"select severity, count(*) as n, round(count(*) * 100.0::double / sum(count(*)) over ()) as share from ({DETECTED}) d group by 1", "logs")
 register("siem_mitre_heatmap", detected(siem.mitre_heatmap), f"select techniques, tactics, count(*) as n from ({DETECTED}) d where techniques <> '' group by 1, 2 order by n desc, techniques, tactics limit 50", "logs")
 WEIGHT = "case severity when 'critical' then 5 when 'high' then 4 when 'medium' then 3 when 'low' then 2 else 1 end"
-register("incident_by_trace", detected(siem.incidents_by_trace), f"select trace_id, project_id, count(*) as n, min(time) as start_time, max(time) as end_time, arg_max(severity, {WEIGHT}) as severity, string_agg(distinct service, ',' order by service) as services from ({DETECTED}) d where trace_id is not null group by 1, 2 having count(*) > 1", "logs")
-register("incident_burst", detected(lambda q: siem.incidents_by_burst(q, 2)), f"select service, severity, time_bucket(interval '5 minutes', time) as bucket, count(*) as n, arg_min(project_id, (time, log_id, rule_id)) as project_id, min(time) as start_time, max(time) as end_time from ({DETECTED}) d where trace_id is null group by 1, 2, 3 having count(*) >= 2", "logs")
+register("incident_by_trace", detected(lambda q: siem.incidents_by_trace(q).drop("tactics", "techniques").withColumn("log_ids", F.array_join(F.transform("log_ids", lambda i: i.cast("string")), ","))), f"select trace_id, project_id, count(*) as n, min(time) as start_time, max(time) as end_time, arg_max(severity, {WEIGHT}) as severity, string_agg(distinct service, ',' order by service) as services, array_to_string(list_sort(list(log_id)), ',') as log_ids from ({DETECTED}) d where trace_id is not null group by 1, 2 having count(*) > 1", "logs")
+for name, since in (("incident_burst", HOUR), ("incident_burst_month", MONTH)):
+    register(name, detected(lambda q, t=since: siem.incidents_by_burst(q, since=t)), f"select service, severity, time_bucket(interval '5 minutes', time) as bucket, count(*) as n, arg_min(project_id, (time, log_id, rule_id)) as project_id, min(time) as start_time, max(time) as end_time from ({DETECTED}) d where trace_id is null and time >= timestamp '{since}' group by 1, 2, 3 having count(*) >= 3", "logs")
+
+INCIDENTS = f"select trace_id, project_id, arg_max(severity, {WEIGHT}) as severity, concat(trace_id, '/', cast(project_id as varchar)) as incident_id from ({DETECTED}) d where trace_id is not null group by 1, 2 having count(*) > 1"
+once = lambda fn: logs(lambda x: fn(written(sigma.detect(x))))  # noqa: E731  detections that are used twice are written, not found twice
+register("siem_affected_services", once(lambda q: siem.affected_services(siem.with_incident(q, siem.incidents_by_trace(q)))), f"select d.service, count(*) as n, count(distinct i.incident_id) as incidents, count(*) filter (d.severity = 'critical') as critical, count(*) filter (d.severity = 'high') as high from ({DETECTED}) d left join ({INCIDENTS}) i on d.trace_id = i.trace_id and d.project_id = i.project_id group by 1 order by n desc, service limit 10", "logs")
+for width in ("1h", "1d"):
+    register(f"siem_timeline_{width}", detected(lambda q, w=width: siem.timeline(q, w)), f"select time_bucket(interval '{width[0]} {'hour' if width == '1h' else 'day'}', time) as bucket, count(*) as n from ({DETECTED}) d group by 1", "logs")
 
 # identifiers and addresses
-FOUND = " union ".join(f"select id as log_id, time, project_id, '{k}' as type, lower(unnest(regexp_extract_all(message, '{p}', {g}))) as value from logs" for k, p, g in identifiers.PATTERNS)
+FOUND = " union ".join(f"select id as log_id, time, project_id, '{k}' as type, unnest(regexp_extract_all(message, '{quoted_regex}', 1)) as value, 'message' as source from logs" for k, p, _ in identifiers.PATTERNS if (quoted_regex := p.replace("'", "''")))
 register("identifiers_extract", logs(identifiers.extract), FOUND, "logs")
-register("correlated_logs", logs(lambda x: identifiers.correlated(x, identifiers.extract(x), "user_id", "7", DAY, 20_000, 100).select("id", "time")), f"select id, time from logs where id in (select log_id from ({FOUND}) f where type = 'user_id' and value = '7' and time between timestamp '{DAY}' - interval '20000 minutes' and timestamp '{DAY}' + interval '20000 minutes' order by time desc, log_id desc limit 100)", "logs")
+register("correlated_logs", logs(lambda x: identifiers.correlated(x, identifiers.extract(x), "user_id", "7", DAY, 20_000, 100).select("id", "time")), f"select id, time from logs where id in (select log_id from ({FOUND}) f where type = 'user_id' and lower(value) = '7' and time between timestamp '{DAY}' - interval '20000 minutes' and timestamp '{DAY}' + interval '20000 minutes' order by time desc, log_id desc limit 100)", "logs")
 register("ip_extract", logs(lambda x: x.select("id", F.explode(X.public_ips(F.col("message"))).alias("ip"))), "select distinct id, ip from (select id, unnest(regexp_extract_all(message, '\\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\b')) as ip from logs) x where not regexp_matches(ip, '^(10\\.|127\\.|192\\.168\\.|169\\.254\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.|0\\.0\\.0\\.0$)')", "logs")
 SCORE = "cast(split_part(ip, '.', 4) as int) % 6"
 register("ip_reputation", logs(lambda x: x.select(F.explode(X.public_ips(F.col("message"))).alias("ip")).groupBy("ip").agg(F.count("*").alias("n")).withColumn("score", F.split_part("ip", F.lit("."), F.lit(4)).cast("int") % 6).withColumn("verdict", F.when(F.col("score") >= 3, "malicious").when(F.col("score") >= 1, "suspicious").otherwise("clean"))), f"select ip, count(*) as n, {SCORE} as score, case when {SCORE} >= 3 then 'malicious' when {SCORE} >= 1 then 'suspicious' else 'clean' end as verdict from (select regexp_extract(message, '203\\.0\\.113\\.[0-9]+') as ip from logs where contains(message, '203.0.113.')) x group by 1", "logs")
@@ -148,8 +181,10 @@ ERRORS = "select *, sha256(concat(service, ':', regexp_replace(message, '[0-9]+'
 grouped = lambda x: x.where("level in ('error', 'critical')").withColumn("fingerprint", F.sha2(F.concat("service", F.lit(":"), F.regexp_replace("message", "[0-9]+", "N")), 256))
 GROUPS = f"select project_id, fingerprint, count(*) as n, min(time) as first_seen, max(time) as last_seen, string_agg(distinct service, ',' order by service) as services, arg_min(id, (time, id)) as sample_log_id from ({ERRORS}) e group by 1, 2"
 register("error_groups", logs(lambda x: errors.error_groups(grouped(x))), GROUPS, "logs")
-register("error_groups_top", logs(lambda x: errors.error_groups(grouped(x)).orderBy(F.col("n").desc(), "project_id", "fingerprint").limit(5).select("project_id", "fingerprint", "n")), f"select project_id, fingerprint, n from ({GROUPS}) g order by n desc, project_id, fingerprint limit 5", "logs")
-register("error_trend", logs(lambda x: grouped(x).where("service = 'api-gateway'").groupBy(analytics.bucket(F.col("time"), "1d").alias("bucket")).agg(F.count("*").alias("n"))), f"select time_bucket(interval '1 day', time) as bucket, count(*) as n from ({ERRORS}) e where service = 'api-gateway' group by 1", "logs")
+OPEN = "case when substr(fingerprint, 1, 1) in ('0', '1', '2', '3') then 'ignored' else 'open' end = 'open'"
+register("error_groups_top", logs(lambda x: errors.error_groups(grouped(x)).where(F.expr(OPEN)).orderBy(F.col("n").desc(), "project_id", "fingerprint").limit(5).select("project_id", "fingerprint", "n")), f"select project_id, fingerprint, n from ({GROUPS}) g where {OPEN} order by n desc, project_id, fingerprint limit 5", "logs")
+PRINT = "api-gateway:error worker heartbeat req-N"
+register("error_trend", logs(lambda x: errors.trend(grouped(x), F.sha2(F.lit(PRINT), 256), "1d")), f"select time_bucket(interval '1 day', time) as bucket, count(*) as n from ({ERRORS}) e where fingerprint = sha256('{PRINT}') group by 1", "logs")
 numbers = lambda s, d: table(s, d, "orders").select("o_orderkey")
 k = lambda: F.col("o_orderkey")
 register("map_syslog_priority", lambda s, d: numbers(s, d).select("o_orderkey", X.level_of_priority((k() % 8).cast("int")).alias("level")), "select o_orderkey, case when o_orderkey % 8 <= 2 then 'critical' when o_orderkey % 8 = 3 then 'error' when o_orderkey % 8 = 4 then 'warn' when o_orderkey % 8 <= 6 then 'info' else 'debug' end as level from orders")
@@ -158,4 +193,4 @@ register("ns_to_ms", lambda s, d: numbers(s, d).select("o_orderkey", X.ns_to_ms(
 register("trace_id_normalise", lambda s, d: numbers(s, d).select("o_orderkey", X.valid_trace_id(F.when(k() % 2 == 0, F.repeat(F.lit("0"), (k() % 5).cast("int"))).otherwise(k().cast("string"))).alias("trace_id")), "select o_orderkey, case when o_orderkey % 2 = 0 then null else cast(o_orderkey as varchar) end as trace_id from orders")
 register("syslog_parse", logs(lambda x: ingest.syslog(x.select("id", F.concat(F.lit("<"), (F.col("id") % 190).cast("string"), F.lit(">Jan 15 10:00:00 host1 "), "service", F.lit("[12]: "), "message").alias("line")))), "select id, cast(id % 190 as int) as pri, 'host1' as host, service, case when id % 190 % 8 <= 2 then 'critical' when id % 190 % 8 = 3 then 'error' when id % 190 % 8 = 4 then 'warn' when id % 190 % 8 <= 6 then 'info' else 'debug' end as level, message from logs", "logs")
 register("container_id", logs(lambda x: x.select("id", ingest.container_id(F.concat(F.lit("/var/lib/docker/containers/"), F.md5(F.col("id").cast("string")), F.lit("/x.log"))).alias("container"))), "select id, substr(md5(cast(id as varchar)), 1, 12) as container from logs", "logs")
-register("exceptions_parse", logs(lambda x: errors.exceptions(x.withColumn("message", F.concat(F.lit("TypeError: bad "), "message", F.lit("\n    at handle (/app/src/"), "service", F.lit(".js:10:5)\n    at next (/app/node_modules/x/i.js:1:2)")))).select("log_id", "type", "language", "fingerprint", "shape")))
+register("exceptions_parse", logs(lambda x: errors.exceptions(x.drop("metadata").withColumn("message", F.concat(F.lit("TypeError: bad "), "message", F.lit("\n    at handle (/app/src/"), "service", F.lit(".js:10:5)\n    at next (/app/node_modules/x/i.js:1:2)")))).select("log_id", "type", "language", "fingerprint", "shape")), "select id as log_id, 'TypeError' as type, 'nodejs' as language, sha256(concat('TypeError:src/', service, '.js:handle')) as fingerprint, concat('bad ', regexp_replace(message, '[0-9]+', 'N', 'g')) as shape from logs where level in ('error', 'critical')", "logs")

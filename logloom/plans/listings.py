@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from logloom.functions import scalars as X
-from logloom.operators import incidents, platform, siem, sigma, traces
-from logloom.plans.catalogue import BUCKETS, C, COLS, DETECTED, EDGES, ERRORS, MEMBERS, grouped, k, logs, members, numbers, on, register
+from logloom.operators import admin, analytics, incidents, platform, siem, sigma, traces
+from logloom.plans.catalogue import WEIGHT, BUCKETS, C, COLS, DETECTED, EDGES, ERRORS, MEMBERS, grouped, k, logs, members, numbers, on, register
 from logloom.plans.more import BAD, INCIDENTS, RUNS, detected, runs
 from logloom.plans.views import LOGS, NOW, view
-from logloom.session import table
+from logloom.session import shared_dir, table, written
 from logloom.sources import ingest
 from logloom.streaming import streams
 
@@ -53,18 +55,23 @@ keyed(
     "format_duration", lambda: {"text": X.duration_text(F.when(k() % 3 == 0, k() % 1000).when(k() % 3 == 1, 1000 + 10 * (k() % 5900)).otherwise(60_000 + 600 * (k() % 1000)))},
     "case when o_orderkey % 3 = 0 and o_orderkey % 1000 = 0 then '<1ms' when o_orderkey % 3 = 0 then concat(cast(o_orderkey % 1000 as varchar), 'ms') when o_orderkey % 3 = 1 then printf('%.2fs', (1000 + 10 * (o_orderkey % 5900)) / 1000.0::double) else printf('%.2fm', (60000 + 600 * (o_orderkey % 1000)) / 60000.0::double) end as text",
 )
-PATHS = ["file:///srv/", "webpack://src/", "/app/", "./", "C:\\x\\", "webpack-internal:///"]
-keyed(
-    "stack_path_normalise", lambda: {"path": X.stack_path(F.concat(pick(PATHS), F.lit("lib\\f"), k().cast("string"), F.lit(".js")))},
-    f"regexp_replace(replace(concat({picked(PATHS)}, 'lib\\f', cast(o_orderkey as varchar), '.js'), '\\', '/'), '^(file://|webpack://|webpack-internal:///|/app/|\\./)', '') as path",
-)
+PATHS = ["/app/", "/home/ann/", "/var/www/", "C:\\code\\", "/Users/ann/", "/srv/", "file:///app/", "D:\\x\\"]
+LEFT = ["", "", "", "", "", "/srv/", "file:///app/", "D:/x/"]
+keyed("stack_path_normalise", lambda: {"path": X.stack_path(F.concat(pick(PATHS), F.lit("lib\\f"), k().cast("string"), F.lit(".js")))}, f"concat({picked(LEFT)}, 'lib/f', cast(o_orderkey as varchar), '.js') as path")
+TACTIC_IDS, TACTIC_NAMES = ["initial_access", "TA0040", "Credential_Access", "own_made up", "x"], ["Initial Access", "Impact", "Credential Access", "Own Made up", "X"]
+keyed("mitre_names", lambda: {"name": X.tactic_name(pick(TACTIC_IDS)), "tactic": X.tactic_url(pick(TACTIC_IDS)), "technique": X.technique_url(pick(["T1110", "T1110.001"]))}, f"{picked(TACTIC_NAMES)} as name, concat('https://attack.mitre.org/tactics/', {picked(['TA0001', 'TA0000', 'TA0006', 'TA0000', 'TA0000'])}, '/') as tactic, concat('https://attack.mitre.org/techniques/', {picked(['T1110', 'T1110/001'])}, '/') as technique")
+keyed("otlp_of_level", lambda: {"n": X.otlp_of_level(pick(["debug", "info", "warn", "error", "critical", "odd"]))}, "case o_orderkey % 6 when 0 then 5 when 2 then 13 when 3 then 17 when 4 then 21 else 9 end as n")
+keyed("ns_to_iso", lambda: {"iso": X.ns_to_iso(k() * 1_234_567_891_011)}, "strftime(timestamp '1970-01-01' + to_microseconds((o_orderkey * 1234567891011) // 1000), '%Y-%m-%dT%H:%M:%S.%gZ') as iso")
+keyed("severity_label", lambda: {"label": X.severity_label(pick(NAMES))}, f"case when {picked(NAMES)} = 'other' then 'other' else concat(upper(substr({picked(NAMES)}, 1, 1)), substr({picked(NAMES)}, 2)) end as label")
+SECONDS = "(o_orderkey * 7919) % 400000"
+keyed("time_ago", lambda: {"told": X.time_ago(F.expr(f"timestamp_ntz'{NOW}' - make_interval(0, 0, 0, 0, 0, 0, {SECONDS})"), F.expr(f"timestamp_ntz'{NOW}'"))}, f"(select case when s < 60 then 'just now' when s < 3600 then printf('%d minute%s ago', s // 60, case when s >= 120 then 's' else '' end) when s < 86400 then printf('%d hour%s ago', s // 3600, case when s >= 7200 then 's' else '' end) else printf('%d day%s ago', s // 86400, case when s >= 172800 then 's' else '' end) end from (select {SECONDS} as s) q) as told")
 TAGS = ["attack.t1110", "attack.t1059.001", "attack.execution", "cve.2024", "attack.t12"]
 IS_TECHNIQUE = f"regexp_matches({picked(TAGS)}, '^attack\\.t[0-9]{{4}}(\\.[0-9]{{3}})?$')"
 keyed(
     "mitre_tags", lambda: {"tactics": F.array_join(X.mitre_tactics(F.array(pick(TAGS))), ","), "techniques": F.array_join(X.mitre_techniques(F.array(pick(TAGS))), ",")},
     f"case when starts_with({picked(TAGS)}, 'attack.') and not {IS_TECHNIQUE} then substr({picked(TAGS)}, 8) else '' end as tactics, case when {IS_TECHNIQUE} then upper(substr({picked(TAGS)}, 8)) else '' end as techniques",
 )
-register("message_normalise", logs(lambda x: x.select("id", X.message_shape(F.concat("message", F.lit(" in 'x y' [a] {b} 0xFF"))).alias("shape"))), "select id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(concat(message, ' in ''x y'' [a] {b} 0xFF'), '[0-9]+', 'N', 'g'), '0x[0-9a-fA-FN]+', 'HEX', 'g'), '''[^'']*''|\"[^\"]*\"', 'STR', 'g'), '\\[[^\\]]*\\]', '[]', 'g'), '\\{[^}]*\\}', '{}', 'g') as shape from logs", "logs")
+register("message_normalise", logs(lambda x: x.select("id", X.message_shape(F.concat(F.lit("  "), "message", F.lit(" in 'x y' \"z\" [a] {b} 0xFF "))).alias("shape"))), "select id, concat(regexp_replace(message, '[0-9]+', 'N', 'g'), ' in ''STRING'' \"STRING\" [ARRAY] {OBJECT} NxFF') as shape from logs", "logs")
 
 
 def frames():
@@ -114,7 +121,7 @@ numbered = lambda names, n, first: f"case id % {n}" + "".join(f" when {i} then '
 register("journald_normalise", logs(lambda x: ingest.journald(journal(x))), f"select service, {SYSLOG_SQL} as level, message, (id * 1000777) // 1000 as time_ms from logs", "logs")
 register("shipper_normalise", logs(lambda x: ingest.shipper(loose(x))), "select case when id % 2 = 0 then time else timestamp '1970-01-01' + to_seconds(id % 1000) end as time, case when id % 2 = 0 then service when id % 3 = 0 then 'box' else 'unknown' end as service, message from logs", "logs")
 register("otlp_logs", logs(lambda x: ingest.otlp_logs(otlp_body(x, otlp_record(), "logRecords", "scopeLogs", "resourceLogs")).select("service", "time_ms", "level", "message", "trace_id")), f"select service, id as time_ms, {OTLP_SQL} as level, message, trace_id from logs", "logs")
-register("otlp_traces", logs(lambda x: ingest.otlp_spans(otlp_body(x, otlp_span(), "spans", "scopeSpans", "resourceSpans"))), f"select service, trace_id, cast(id as varchar) as span_id, cast(null as varchar) as parent_span_id, level as operation, {numbered(X.SPAN_KINDS, 7, 1)} as kind, {numbered(X.STATUSES, 3, 0)} as status, id as start_ms, id + 5 as end_ms from logs where trace_id is not null", "logs")
+register("otlp_traces", logs(lambda x: ingest.otlp_spans(otlp_body(x, otlp_span(), "spans", "scopeSpans", "resourceSpans")).select("service", "trace_id", "span_id", "parent_span_id", "operation", "kind", "status", "start_ms", "end_ms")), f"select service, trace_id, cast(id as varchar) as span_id, cast(null as varchar) as parent_span_id, level as operation, {numbered(X.SPAN_KINDS, 7, 1)} as kind, {numbered(X.STATUSES, 3, 0)} as status, id as start_ms, id + 5 as end_ms from logs where trace_id is not null", "logs")
 
 # counters and listings
 register("platform_counters", logs(lambda x: platform.activity(x, NOW)), f"select count(*) as total, count(*) filter (time >= date_trunc('day', n) and time <= n) as today, count(*) filter (time > n - interval '7 days' and time <= n) as week, count(*) filter (time > n - interval '30 days' and time <= n) as month, count(distinct project_id) filter (time > n - interval '30 days' and time <= n) as active_projects from (select *, timestamp '{NOW}' as n from logs) x", "logs")
@@ -128,12 +135,15 @@ rules = [(r.id, r.pack, *[",".join(x) for x in sigma.mitre(r.tags)]) for r in si
 listed = lambda s, _: s.createDataFrame(rules, "rule_id string, pack string, tactics string, techniques string")
 told_rules = "(values " + ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in rules) + ") t(rule_id, pack, tactics, techniques)"
 register("rules_by_technique", lambda s, d: listed(s, d).where(F.array_contains(F.split("techniques", ","), "T1190")), f"select * from {told_rules} where list_contains(string_split(techniques, ','), 'T1190')")
-register("rules_by_pack", lambda s, d: listed(s, d).where(F.col("rule_id").startswith("web-")).groupBy("pack").agg(F.count("*").alias("n")), f"select pack, count(*) as n from {told_rules} where rule_id like 'web-%' group by 1")
+every_rule = [(r.id,) for r in (*sigma.PACKS, *sigma.BUILT_IN)]
+prefixes = ["auth", "auth-security", "payment-billing", "web"]
+register("rules_by_pack", lambda s, d: sigma.pack_counts(s.createDataFrame(every_rule, "rule_id string"), prefixes), "select * from (values ('auth', 7), ('payment-billing', 5), ('web', 3)) t(pack, n)")
 register("sync_status", on("alert_history")(lambda h: platform.sync_status(h.withColumnRenamed("triggered_at", "synced_at"))), "select count(*) as total, count(*) filter (error is null) as synced, count(*) filter (error is not null) as failed, max(triggered_at) as last_synced from alert_history", "alert_history")
 register("queue_depth", on("alert_history")(lambda h: h.groupBy("rule_id").agg(F.count_if(~F.col("notified")).alias("waiting"), F.count_if(F.col("error").isNotNull()).alias("failed"))), "select rule_id, count(*) filter (not notified) as waiting, count(*) filter (error is not null) as failed from alert_history group by 1", "alert_history")
 register("notification_counts", on("alert_history")(lambda h: platform.notification_counts(h.select(F.col("rule_id").alias("user_id"), F.col("notified").alias("is_read")))), "select rule_id as user_id, count(*) as total, count(*) filter (not notified) as unread from alert_history group by 1", "alert_history")
 notes = lambda x, p, o: x.where("level = 'critical'").select("id", "project_id").join(p.select(F.col("id").alias("project_id"), "organization_id", F.col("name").alias("project")), "project_id", "left").join(o.select(F.col("id").alias("organization_id"), F.col("name").alias("organization")), "organization_id", "left").select("id", "project", "organization")
 register("notifications_list", on("logs", "projects", "organizations")(notes), "select l.id, p.name as project, o.name as organization from logs l left join projects p on p.id = l.project_id left join organizations o on o.id = p.organization_id where l.level = 'critical'", "logs", "projects", "organizations")
+register("incident_history_users", lambda s, d: table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("c_custkey")).join(table(s, d, "customer").select("c_custkey", "c_name"), "c_custkey", "left").select("o_orderkey", "c_name"), "select o_orderkey, c_name from orders left join customer on o_custkey = c_custkey and o_orderkey % 2 = 0")
 comments = lambda s, d: table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(table(s, d, "customer").select("c_custkey", "c_name"), "c_custkey").select("o_orderkey", "c_name")
 register("incident_comments", comments, "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey")
 tag = lambda: F.sha2(F.lit("api-gateway:error"), 256)
@@ -142,7 +152,7 @@ register("error_group_logs", logs(lambda x: platform.group_logs(print_of(x), x,
 twice = lambda x: grouped(x).select(F.col("id").alias("log_id"), "fingerprint", F.explode(F.array(F.lit(2), F.lit(1))).alias("part"))
 register("exceptions_dedupe", logs(lambda x: platform.once_per_log(twice(x), ["part"])), f"select id as log_id, fingerprint, 1 as part from ({ERRORS}) e", "logs")
 threats = lambda x: x.sparkSession.range(251).select(F.concat(F.lit("203.0.113."), F.col("id").cast("string")).alias("ip"), (F.col("id") % 6).cast("int").alias("score"))
-linked = lambda x: incidents.links(sigma.detect(x), siem.incidents_by_trace(sigma.detect(x))).select(F.col("log_id").alias("id"), "incident").distinct().join(x.select("id", "message"), "id")
+linked = lambda x: (lambda q: incidents.links(q, siem.incidents_by_trace(q)))(written(sigma.detect(x))).select(F.col("log_id").alias("id"), "incident").distinct().join(x.select("id", "message"), "id")
 score = "cast(split_part(ip, '.', 4) as int) % 6"
 register("incident_ip_enrichment", logs(lambda x: platform.incident_addresses(linked(x), threats(x))), f"select distinct incident, ip, {score} as score, {score} * 10 as confidence, case when {score} >= 3 then 'malicious' when {score} >= 1 then 'suspicious' else 'clean' end as verdict from (select concat(i.trace_id, '/', cast(i.project_id as varchar)) as incident, regexp_extract(d.message, '203\\.0\\.113\\.[0-9]+') as ip from ({DETECTED}) d join ({INCIDENTS}) i on d.trace_id = i.trace_id and d.project_id = i.project_id where contains(d.message, '203.0.113.')) x", "logs")
 register("alert_preview_services", logs(lambda x: platform.run_services(x, runs(x), BAD)), f"select r.start_time, string_agg(distinct l.service, ',' order by l.service) as services from ({RUNS}) r join logs l on l.time >= r.start_time and l.time < r.end_time and l.level in ('error', 'critical') and l.service <> 'unknown' and time_bucket(interval '1 hour', l.time) in (select bucket from ({BUCKETS}) b) group by 1", "logs")
@@ -160,7 +170,38 @@ def streamed(fn, mode: str):
 
 
 hourly = lambda x: streams.hourly_counts(x).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
-register("stream_hourly_counts", streamed(hourly, "complete"), "select time_bucket(interval '1 hour', time) as bucket, project_id, level, service, count(*) as log_count from logs group by 1, 2, 3, 4", "logs")
+register("stream_hourly_counts", streamed(hourly, "append"), "select time_bucket(interval '1 hour', time) as bucket, project_id, level, service, count(*) as log_count from logs where time_bucket(interval '1 hour', time) + interval '1 hour' <= (select max(time) from logs) - interval '3 hours' group by 1, 2, 3, 4", "logs")
+
+
+def stored(fn, part: str):
+    """A query that runs fn(stream, path) over the events as a stream, to its end, and reads a part of what it has stored."""
+
+    def query(spark, sf_dir):
+        events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        path = f"{shared_dir(spark)}/logloom-{uuid.uuid4().hex}"
+        fn(spark.sql(LOGS.replace("from events", "from {events}"), events=events), path, lambda name: view(spark, sf_dir, name))
+        return spark.read.parquet(f"{path}/{part}")
+
+    return query
+
+
+register("stream_incidents", lambda s, d: stored(lambda x, path, _: streams.incidents(x, path), "incidents")(s, d).select("trace_id", "project_id", "n", "severity"), f"select trace_id, project_id, count(*) as n, arg_max(severity, {WEIGHT}) as severity from ({DETECTED}) d where trace_id is not null group by 1, 2 having count(*) > 1", "logs")
+register("stream_alerts", lambda s, d: stored(lambda x, path, of: streams.evaluate_alerts(x, of("alert_rules"), path), "history")(s, d).select("rule_id", "triggered_at", "log_count"), """select r.rule_id, (select max(time) from logs) as triggered_at, count(*) as log_count from alert_rules r join logs l
+ on list_contains(string_split(r.levels, ','), l.level) and (r.service is null or l.service = r.service or l.service = 'unknown') and (r.project_id is null or l.project_id = r.project_id) and l.time > (select max(time) from logs) - to_minutes(r.time_window)
+ where r.enabled group by r.rule_id, r.threshold having count(*) >= r.threshold""", "alert_rules", "logs")
+first = lambda x: streams.first_of_group(grouped(x), ignored=x.sparkSession.createDataFrame([(3, "x")], "project_id int, fingerprint string")).select("project_id", "fingerprint")
+register("stream_new_groups", streamed(first, "append"), f"select distinct project_id, fingerprint from ({ERRORS}) e", "logs")
+register("stream_exceptions_once", streamed(lambda x: streams.once_per_log(twice(x.withColumn("log_id", F.col("id"))).withColumn("time", F.expr("timestamp'2024-01-01'"))).select("log_id"), "append"), f"select id as log_id from ({ERRORS}) e", "logs")
+CHECKED = "select id, case when id % 3 > 0 then time end as checked from logs where id < 500"
+register("enrichment_stale", logs(lambda x: streams.fresh(x.sparkSession.sql(CHECKED.replace("from logs", "from {x}"), x=x), "checked", NOW)), f"select id, checked from ({CHECKED}) c where checked is null or checked <= timestamp '{NOW}' - interval '24 hours'", "logs")
 register("stream_live_tail", streamed(lambda x: streams.live_tail(x, levels=["critical"]).select(*COLS), "append"), f"select {C} from logs where level = 'critical'", "logs")
 register("stream_detections", streamed(lambda x: streams.detections(x).select("log_id", "rule_id", "severity"), "append"), f"select log_id, rule_id, severity from ({DETECTED}) d", "logs")
-register("csv_export", lambda s, d: ingest.exported(view(s, d, "logs").select(*COLS, "metadata"), 1000), "select time as \"Time\", service as \"Service\", level as \"Level\", message as \"Message\" from logs order by time desc, id desc limit 1000", "logs")
+register("csv_export", lambda s, d: ingest.exported(view(s, d, "logs").select(*COLS, "metadata")), "select time as \"Time\", service as \"Service\", level as \"Level\", message as \"Message\" from logs order by time desc, id desc limit 50000", "logs")
+attribute = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
+valued = lambda **kw: F.struct(*[v.alias(n) for n, v in kw.items()])
+rich = lambda: F.struct((F.col("id") * 1_000_000).cast("string").alias("time_unix_nano"), F.lit("error").alias("severity_text"), valued(intValue=F.col("id").cast("string")).alias("body"), F.array(attribute("level", valued(string_value=F.col("level"))), attribute("service.name", valued(string_value=F.lit("own")))).alias("attributes"))
+register("otlp_logs_snake_case", logs(lambda x: ingest.otlp_logs(otlp_body(x, rich(), "log_records", "scope_logs", "resource_logs")).select("service", "time_ms", "level", "message", F.get_json_object("metadata", "$.level").alias("own_level"), F.get_json_object("metadata", "$['service.name']").alias("own_service"), F.get_json_object("metadata", "$['otel.severity_text']").alias("severity"))), "select service, id as time_ms, 'error' as level, cast(id as varchar) as message, level as own_level, 'own' as own_service, 'error' as severity from logs", "logs")
+register("syslog_5424_parse", logs(lambda x: ingest.syslog_5424(x.select("id", F.concat(F.lit("<"), (F.col("id") % 190).cast("string"), F.lit(">1 "), F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".000+01:00 host1 "), "service", F.lit(" - ID1 - "), "message").alias("line")))), f"select id, cast(id % 190 as int) as pri, date_trunc('second', time) - interval '1 hour' as time, 'host1' as host, service, {SYSLOG_SQL.replace('id % 8', 'id % 190 % 8')} as level, message from logs", "logs")
+register("syslog_times", logs(lambda x: x.select("id", ingest.syslog_time(F.concat(F.lit("<11>"), F.date_format("time", "MMM d HH:mm:ss"), F.lit(" h x: y")), 2024, 7200).alias("at"))), "select id, date_trunc('second', time) - interval '2 hours' as at from logs", "logs")
+register("rollup_or_raw", logs(lambda x: analytics.rollup_or_raw(x, "no_such_rollup")), "select time_bucket(interval '1 hour', time) as bucket, project_id, level, service, count(*) as log_count from logs group by 1, 2, 3, 4", "logs")
+register("compression_ratio", logs(lambda x: admin.compression(x.select(F.length("message").alias("before"), F.length("service").alias("after")))), "select round(sum(length(message)) / sum(length(service))::double, 2) as ratio from logs", "logs")

@@ -6,23 +6,33 @@ from pyspark.sql import functions as F
 
 from logloom.functions import scalars as X
 from logloom.operators import alerts, errors, identifiers, incidents, siem, sigma
-from logloom.plans.catalogue import BUCKETS, DETECTED, FOUND, GROUPS, WEIGHT, grouped, logs, preview, register
+from logloom.plans.catalogue import BUCKETS, DETECTED, FOUND, GROUPS, WEIGHT, grouped, logs, once, preview, register
 from logloom.plans.views import NOW
 
 BAD = ["error", "critical"]
 detected = lambda fn: logs(lambda x: fn(sigma.detect(x)))
-INCIDENTS = f"select trace_id, project_id, arg_max(severity, {WEIGHT}) as severity from ({DETECTED}) d where trace_id is not null group by 1, 2 having count(*) > 1"
-
-register("incident_links", detected(lambda q: incidents.links(q, siem.incidents_by_trace(q))), f"select d.log_id, d.rule_id, concat(i.trace_id, '/', cast(i.project_id as varchar)) as incident from ({DETECTED}) d join ({INCIDENTS}) i on d.trace_id = i.trace_id and d.project_id = i.project_id", "logs")
-register("siem_totals", detected(lambda q: incidents.totals(q, siem.incidents_by_trace(q))), f"select (select count(*) from ({DETECTED}) d) as detections, count(*) as incidents, count(*) filter (severity = 'critical') as critical from ({INCIDENTS}) i", "logs")
+STATUS = "case n % 3 when 0 then 'open' when 1 then 'investigating' else 'resolved' end"
+ASSIGNEE = "case when project_id % 2 = 0 then 'ann' end"
+INCIDENTS = f"select *, {STATUS} as status, {ASSIGNEE} as assignee from (select trace_id, project_id, count(*) as n, arg_max(severity, {WEIGHT}) as severity from ({DETECTED}) d where trace_id is not null group by 1, 2 having count(*) > 1) x"
+incidents_of = lambda q: siem.incidents_by_trace(q).withColumn("status", F.expr(STATUS)).withColumn("assignee", F.expr(ASSIGNEE))
+
+register("incident_links", once(lambda q: incidents.links(q, siem.incidents_by_trace(q))), f"select d.log_id, d.rule_id, concat(i.trace_id, '/', cast(i.project_id as varchar)) as incident from ({DETECTED}) d join ({INCIDENTS}) i on d.trace_id = i.trace_id and d.project_id = i.project_id", "logs")
+register("siem_totals", once(lambda q: incidents.totals(q, incidents_of(q))), f"select (select count(*) from ({DETECTED}) d) as detections, count(*) as incidents, count(*) filter (status in ('open', 'investigating')) as open, count(*) filter (severity = 'critical') as critical from ({INCIDENTS}) i", "logs")
+PICKED = f"select trace_id, project_id, status, severity from ({INCIDENTS}) i"
+register("incidents_by_status", detected(lambda q: incidents.listed(incidents_of(q), statuses=["open", "investigating"], severities="critical", assignee="ann", technique="T1190").select("trace_id", "project_id", "status", "severity")), f"{PICKED} where status in ('open', 'investigating') and severity = 'critical' and assignee = 'ann' and exists (select 1 from ({DETECTED}) d where d.trace_id = i.trace_id and d.project_id = i.project_id and list_contains(string_split(techniques, ','), 'T1190'))", "logs")
+register("incident_by_id", detected(lambda q: incidents_of(q).where("trace_id = 'trace-7-2024-01-15' and project_id = 7").select("trace_id", "project_id", "status", "severity")), f"{PICKED} where trace_id = 'trace-7-2024-01-15' and project_id = 7", "logs")
 TACTICS = sorted({t for r in sigma.PACKS for t in sigma.mitre(r.tags)[0]})
 MATRIX = ", ".join(f"count(*) filter (tactics = '{t}') as {t}" for t in TACTICS)
 register("siem_heatmap_matrix", detected(lambda q: incidents.heatmap_matrix(q, TACTICS)), f"select techniques, {MATRIX} from ({DETECTED}) d where techniques <> '' group by 1", "logs")
 register("detections_by_technique", detected(lambda q: q.where(F.array_contains("techniques", "T1190")).select("log_id", "rule_id")), f"select log_id, rule_id from ({DETECTED}) d where list_contains(string_split(techniques, ','), 'T1190')", "logs")
-register("incident_history", logs(lambda x: incidents.audit_trail(x, "project_id", ["time", "id"], ["level", "trace_id"])), """with h as (select project_id, time, id, level, trace_id, lag(level) over w as l, lag(trace_id) over w as t, row_number() over w as n from logs window w as (partition by project_id order by time, id))
- select project_id, time, id, 'level' as field, l as old, level as new from h where n > 1 and level is distinct from l union all select project_id, time, id, 'trace_id', t, trace_id from h where n > 1 and trace_id is distinct from t""".replace("with h as (", "select * from (with h as (", 1) + ") z", "logs")
-
-register("ingest_throughput", logs(lambda x: incidents.throughput(x, NOW)), f"select count(*) / 3600.0::double as per_second, avg(date_diff('millisecond', time, timestamp '{NOW}')::double) filter (time >= timestamp '{NOW}' - interval '5 minutes') as age_ms from logs where time >= timestamp '{NOW}' - interval '1 hour' and time <= timestamp '{NOW}'", "logs")
+HISTORY = "select trace_id as incident, time, id, level, case when level in ('error', 'critical') then 'resolved' else 'open' end as status from logs where trace_id is not null"
+history = logs(lambda x: x.where("trace_id is not null").select(F.col("trace_id").alias("incident"), "time", "id", "level", F.when(F.col("level").isin(BAD), "resolved").otherwise("open").alias("status")))
+register("incident_history", lambda s, d: incidents.audit_trail(history(s, d), "incident", ["time", "id"], ["level", "status"]), f"""select * from (with h as (select *, lag(level) over w as l, lag(status) over w as t, row_number() over w as n from ({HISTORY}) x window w as (partition by incident order by time, id))
+ select incident, time, id, 'level' as field, l as old, level as new from h where n > 1 and level is distinct from l union all select incident, time, id, 'status', t, status from h where n > 1 and status is distinct from t) z""", "logs")
+register("incident_resolution", lambda s, d: incidents.resolution(history(s, d)).select("incident", "id", "status", "resolved_at"), f"""select incident, id, status, case when status = 'resolved' then max(b) over (partition by incident order by time, id) end as resolved_at
+ from (select *, case when status = 'resolved' and coalesce(lag(status) over (partition by incident order by time, id), '') <> 'resolved' then time end as b from ({HISTORY}) x) y""", "logs")
+
+register("ingest_throughput", logs(lambda x: incidents.throughput(x, NOW)), f"select count(*) / 3600.0::double as per_second, avg(date_diff('microsecond', time, timestamp '{NOW}') / 1000.0::double) filter (time >= timestamp '{NOW}' - interval '5 minutes') as age_ms from logs where time >= timestamp '{NOW}' - interval '1 hour' and time <= timestamp '{NOW}'", "logs")
 RANGES = [("203.0.113.0", "203.0.113.99", "north"), ("203.0.113.120", "203.0.113.199", "south"), ("198.51.0.0", "198.53.255.255", "east")]
 ips = lambda x: x.select("id", F.explode(X.public_ips(F.col("message"))).alias("ip"))
 LAST = "cast(split_part(ip, '.', 4) as int)"

@@ -12,8 +12,18 @@ from logloom.session import shared_dir
 
 LOG_SCHEMA = "time string, service string, level string, message string, metadata string, trace_id string, span_id string"
 LEVELS = ("debug", "info", "warn", "error", "critical")
-OTLP_LOGS = "resourceLogs array<struct<resource:struct<attributes:array<struct<key:string,value:struct<stringValue:string>>>>,scopeLogs:array<struct<logRecords:array<struct<timeUnixNano:string,severityNumber:int,severityText:string,body:struct<stringValue:string>,traceId:string,spanId:string>>>>>>"
-OTLP_SPANS = "resourceSpans array<struct<resource:struct<attributes:array<struct<key:string,value:struct<stringValue:string>>>>,scopeSpans:array<struct<spans:array<struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:int,startTimeUnixNano:string,endTimeUnixNano:string,status:struct<code:int>>>>>>>"
+#: A value of OTLP/JSON; lists and maps inside it stay JSON text until they are needed.
+VALUE = "struct<stringValue:string,intValue:string,doubleValue:string,boolValue:string,bytesValue:string,arrayValue:string,kvlistValue:string>"
+ATTRIBUTES = f"array<struct<key:string,value:{VALUE}>>"
+RESOURCE = f"resource:struct<attributes:{ATTRIBUTES}>"
+OTLP_LOGS = f"resourceLogs array<struct<{RESOURCE},scopeLogs:array<struct<scope:struct<name:string,version:string>,logRecords:array<struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,body:{VALUE},attributes:{ATTRIBUTES},traceId:string,spanId:string>>>>>>"
+OTLP_SPANS = (
+    f"resourceSpans array<struct<{RESOURCE},scopeSpans:array<struct<spans:array<struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:int,startTimeUnixNano:string,endTimeUnixNano:string,status:struct<code:int,message:string>,attributes:{ATTRIBUTES},"
+    f"events:array<struct<timeUnixNano:string,name:string,attributes:{ATTRIBUTES}>>,links:array<struct<traceId:string,spanId:string,attributes:{ATTRIBUTES}>>>>>>>>"
+)
+#: Keys that senders may also spell in snake_case.
+CAMEL = "resourceLogs scopeLogs logRecords resourceSpans scopeSpans timeUnixNano observedTimeUnixNano severityNumber severityText traceId spanId parentSpanId startTimeUnixNano endTimeUnixNano stringValue intValue doubleValue boolValue bytesValue arrayValue kvlistValue".split()
+DEPTH = 4  # of lists and maps inside each other
 
 
 def validated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,32 +59,143 @@ def syslog(lines: DataFrame) -> DataFrame:
     """pri, host, service, level, message of RFC 3164 lines (column `line`); others have null fields and their text as message."""
     part = lambda i: F.nullif(F.regexp_extract("line", RFC3164, i), F.lit(""))
     pri = part(1).cast("int")
-    return lines.select("id", pri.alias("pri"), part(3).alias("host"), F.coalesce(part(4), part(3), F.lit("syslog")).alias("service"), level_of_priority(F.pmod(pri, F.lit(8))).alias("level"), F.coalesce(part(5), "line").alias("message"))
+    return lines.select("id", pri.alias("pri"), part(3).alias("host"), F.coalesce(part(4), part(3), F.lit("syslog")).alias("service"), F.when(pri.isNull(), "info").otherwise(level_of_priority(F.pmod(pri, F.lit(8)))).alias("level"), F.coalesce(part(5), "line").alias("message"))
 
 
 def container_id(path):
     return F.substring(F.regexp_extract(path, r"/containers/([0-9a-f]{12,})/", 1), 1, 12)
 
 
+def _clean(text):
+    return F.replace(text, F.lit("\0"), F.lit(""))
+
+
+def _quoted(text):
+    """A text as JSON."""
+    whole = F.to_json(F.array(text))
+    return F.substring(whole, F.lit(2), F.length(whole) - 2)
+
+
+def _list(value):
+    return F.from_json(value["arrayValue"], f"values array<{VALUE}>")["values"]
+
+
+def _map(value):
+    return F.from_json(value["kvlistValue"], f"values {ATTRIBUTES}")["values"]
+
+
+def value_json(value, depth: int = DEPTH):
+    """A value as JSON; what lies deeper than `depth`, or is nothing known, is null."""
+    out = F.when(value["stringValue"].isNotNull(), _quoted(_clean(value["stringValue"])))
+    for plain in ("boolValue", "intValue", "doubleValue"):
+        out = out.when(value[plain].isNotNull(), value[plain])
+    out = out.when(value["bytesValue"].isNotNull(), _quoted(value["bytesValue"]))
+    if depth:
+        items = F.array_join(F.transform(_list(value), lambda v: value_json(v, depth - 1)), ",")
+        out = out.when(value["arrayValue"].isNotNull(), F.concat(F.lit("["), F.coalesce(items, F.lit("")), F.lit("]")))
+        out = out.when(value["kvlistValue"].isNotNull(), attributes_json(_map(value), depth - 1))
+    return F.coalesce(out, F.lit("null"))
+
+
+def entries(attributes, depth: int = DEPTH):
+    """array<struct<k,j>>: keys and JSON values of attributes."""
+    return F.coalesce(F.transform(attributes, lambda a: F.struct(a["key"].alias("k"), value_json(a["value"], depth).alias("j"))), F.array().cast("array<struct<k:string,j:string>>"))
+
+
+def object_json(pairs):
+    """A JSON object of entries; of equal keys the last counts."""
+    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda x: x["k"] == e["k"]))
+    return F.concat(F.lit("{"), F.array_join(F.transform(last, lambda e: F.concat(_quoted(e["k"]), F.lit(":"), e["j"])), ","), F.lit("}"))
+
+
+def attributes_json(attributes, depth: int = DEPTH):
+    return F.transform(F.array(entries(attributes, depth)), object_json)[0]
+
+
+def message_of(body):
+    """A log's text: a plain value as such, a list as a JSON list of texts, a map as JSON, bytes as [bytes: base64]."""
+    plain = lambda v: F.coalesce(_clean(v["stringValue"]), v["intValue"], v["doubleValue"], v["boolValue"])
+    inner = lambda v: F.coalesce(plain(v), F.when(v["kvlistValue"].isNotNull(), attributes_json(_map(v))), F.when(v["arrayValue"].isNotNull(), value_json(v)), F.lit(""))
+    listed = F.to_json(F.transform(_list(body), inner))
+    return F.coalesce(plain(body), F.when(body["arrayValue"].isNotNull(), listed), F.when(body["kvlistValue"].isNotNull(), attributes_json(_map(body))), F.concat(F.lit("[bytes: "), body["bytesValue"], F.lit("]")), F.lit(""))
+
+
 def _service(attributes):
-    return F.coalesce(F.get(F.filter(attributes, lambda a: a["key"] == "service.name"), F.lit(0))["value"]["stringValue"], F.lit("unknown"))
+    found = F.get(F.filter(attributes, lambda a: a["key"] == "service.name"), F.lit(0))["value"]["stringValue"]
+    return F.coalesce(F.nullif(_clean(found), F.lit("")), F.lit("unknown"))
+
+
+def camel(body):
+    """An OTLP/JSON text with its keys in camelCase. A quote inside a JSON text is escaped, so only keys fit."""
+    for name in CAMEL:
+        snake = "".join("_" + c.lower() if c.isupper() else c for c in name)
+        body = F.regexp_replace(body, f'"{snake}"(\\s*:)', f'"{name}"$1')
+    return body
 
 
 def otlp_logs(bodies: DataFrame) -> DataFrame:
-    """Log rows of OTLP/JSON bodies (column `body`): three nested arrays flattened."""
-    r = bodies.select(F.explode(F.from_json("body", OTLP_LOGS)["resourceLogs"]).alias("r"))
-    rec = r.select(_service(F.col("r.resource.attributes")).alias("service"), F.explode("r.scopeLogs").alias("s")).select("service", F.explode("s.logRecords").alias("l"))
-    return rec.select("service", ns_to_ms(F.col("l.timeUnixNano")).alias("time_ms"), level_of_otlp(F.col("l.severityText"), F.col("l.severityNumber")).alias("level"), F.replace(F.coalesce("l.body.stringValue", F.lit("")), F.lit("\0"), F.lit("")).alias("message"), valid_trace_id(F.col("l.traceId")).alias("trace_id"), F.col("l.spanId").alias("span_id"))
+    """Log rows of OTLP/JSON bodies (column `body`): three nested arrays flattened.
+
+    metadata is JSON: attributes of the resource, then scope name and version, the record's own, and its severity; later keys win.
+    """
+    r = bodies.select(F.explode(F.from_json(camel(F.col("body")), OTLP_LOGS)["resourceLogs"]).alias("r"))
+    rec = r.select(F.col("r.resource.attributes").alias("resource"), F.explode("r.scopeLogs").alias("s")).select("resource", "s.scope", F.explode("s.logRecords").alias("l"))
+    extra = lambda key, j: F.struct(F.lit(key).alias("k"), j.alias("j"))
+    own = F.array_compact(F.array(*[F.when(c.isNotNull(), extra(key, _quoted(c))) for key, c in (("otel.scope.name", F.col("scope.name")), ("otel.scope.version", F.col("scope.version")))]))
+    severity = F.array_compact(F.array(F.when(F.col("l.severityNumber").isNotNull(), extra("otel.severity_number", F.col("l.severityNumber").cast("string"))), F.when(F.col("l.severityText") != "", extra("otel.severity_text", _quoted(F.col("l.severityText"))))))
+    whole = F.concat(entries(F.col("resource")), own, entries(F.col("l.attributes")), severity)
+    return rec.select(
+        _service(F.col("resource")).alias("service"), ns_to_ms(F.coalesce("l.timeUnixNano", "l.observedTimeUnixNano")).alias("time_ms"), level_of_otlp(F.col("l.severityText"), F.col("l.severityNumber")).alias("level"), message_of(F.col("l.body")).alias("message"),
+        valid_trace_id(F.col("l.traceId")).alias("trace_id"), F.nullif(F.col("l.spanId"), F.lit("")).alias("span_id"), whole.alias("_m"),
+    ).withColumn("metadata", object_json(F.col("_m"))).drop("_m")
 
 
 def otlp_spans(bodies: DataFrame) -> DataFrame:
-    """Span rows of OTLP/JSON bodies; spans without ids, or with an all-zero trace id, are dropped."""
-    r = bodies.select(F.explode(F.from_json("body", OTLP_SPANS)["resourceSpans"]).alias("r"))
-    sp = r.select(_service(F.col("r.resource.attributes")).alias("service"), F.explode("r.scopeSpans").alias("s")).select("service", F.explode("s.spans").alias("x"))
-    out = sp.select("service", valid_trace_id(F.col("x.traceId")).alias("trace_id"), F.nullif(F.col("x.spanId"), F.lit("")).alias("span_id"), F.nullif(F.col("x.parentSpanId"), F.lit("")).alias("parent_span_id"), F.col("x.name").alias("operation"), span_kind(F.col("x.kind")).alias("kind"), span_status(F.col("x.status.code")).alias("status"), ns_to_ms(F.col("x.startTimeUnixNano")).alias("start_ms"), ns_to_ms(F.col("x.endTimeUnixNano")).alias("end_ms"))
+    """Span rows of OTLP/JSON bodies; spans without ids, or with an all-zero trace id, are dropped. attributes, events and links are JSON; links without ids are left out."""
+    r = bodies.select(F.explode(F.from_json(camel(F.col("body")), OTLP_SPANS)["resourceSpans"]).alias("r"))
+    sp = r.select(F.col("r.resource.attributes").alias("resource"), F.explode("r.scopeSpans").alias("s")).select("resource", F.explode("s.spans").alias("x"))
+    event = lambda e: F.struct(ns_to_ms(e["timeUnixNano"]).alias("time_ms"), F.coalesce(F.nullif(_clean(e["name"]), F.lit("")), F.lit("event")).alias("name"), attributes_json(e["attributes"]).alias("attributes"))
+    link = lambda e: F.struct(e["traceId"].alias("trace_id"), e["spanId"].alias("span_id"), attributes_json(e["attributes"]).alias("attributes"))
+    linked = F.filter("x.links", lambda e: (e["traceId"] != "") & (e["spanId"] != ""))
+    out = sp.select(
+        _service(F.col("resource")).alias("service"), valid_trace_id(F.col("x.traceId")).alias("trace_id"), F.nullif(F.col("x.spanId"), F.lit("")).alias("span_id"), F.nullif(F.col("x.parentSpanId"), F.lit("")).alias("parent_span_id"),
+        F.coalesce(F.nullif(_clean(F.col("x.name")), F.lit("")), F.lit("unknown")).alias("operation"), span_kind(F.col("x.kind")).alias("kind"), span_status(F.col("x.status.code")).alias("status"), F.col("x.status.message").alias("status_message"),
+        ns_to_ms(F.col("x.startTimeUnixNano")).alias("start_ms"), ns_to_ms(F.col("x.endTimeUnixNano")).alias("end_ms"), attributes_json(F.col("x.attributes")).alias("attributes"), attributes_json(F.col("resource")).alias("resource_attributes"),
+        F.when(F.size("x.events") > 0, F.to_json(F.transform("x.events", event))).alias("events"), F.when(F.size("x.links") > 0, F.to_json(F.transform(linked, link))).alias("links"),
+    )
     return out.where("trace_id is not null and span_id is not null")
 
 
+#: RFC 5424: priority, version 1, time with zone, host, program, process, message id, structured data, message.
+RFC5424 = r"^<([0-9]{1,5})>1 ([^ ]+) ([^ ]+) ([^ ]+) ([-0-9]+) ([^ ]+) (\[.*\]|-) (.+)$"
+
+
+def syslog_5424(lines: DataFrame) -> DataFrame:
+    """pri, time (UTC), host, service, level, message of RFC 5424 lines (column `line`); `-` is nothing."""
+    part = lambda i: F.nullif(F.nullif(F.regexp_extract("line", RFC5424, i), F.lit("")), F.lit("-"))
+    pri = part(1).cast("int")
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp(part(2)).cast("timestamp_ntz"))
+    return lines.select("id", pri.alias("pri"), utc.alias("time"), part(3).alias("host"), F.coalesce(part(4), part(3), F.lit("syslog")).alias("service"), F.when(pri.isNull(), "info").otherwise(level_of_priority(F.pmod(pri, F.lit(8)))).alias("level"), F.coalesce(part(8), "line").alias("message"))
+
+
+def syslog_time(line, year: int, offset_seconds: int = 0):
+    """UTC time of an RFC 3164 line, which names neither year nor zone: the sender's clock is offset_seconds ahead of UTC."""
+    told = F.regexp_replace(F.regexp_extract(line, r"^<[0-9]+>([A-Z][a-z]{2} +[0-9]+ [0-9:]{8})", 1), " +", " ")
+    at = F.try_to_timestamp(F.concat(F.lit(f"{year} "), told), F.lit("yyyy MMM d HH:mm:ss")).cast("timestamp_ntz")
+    return at - F.expr(f"make_dt_interval(0, 0, 0, {offset_seconds})")
+
+
+def wrapped(rows: DataFrame) -> DataFrame:
+    """Each record as a body that the batch API takes: {"logs": [...]}."""
+    record = F.struct(*rows.columns)
+    return rows.select(F.to_json(F.struct(F.array(record).alias("logs"))).alias("body"))
+
+
+def body_kind(content_type):
+    """json or protobuf by content type; anything else is tried as json."""
+    return F.when(F.lower(content_type).rlike("application/(x-protobuf|protobuf|vnd.google.protobuf)"), "protobuf").otherwise("json")
+
+
 def threat_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", comment="#", schema="ip string, score int")
 
@@ -91,6 +212,11 @@ def exported(logs: DataFrame, limit: int = 50_000) -> DataFrame:
     return logs.sparkSession.read.options(**CSV, multiLine=True).csv(path, schema=schema).select("Time", "Service", "Level", "Message")
 
 
+def export_json(logs: DataFrame, path: str, limit: int = 50_000) -> None:
+    """The newest `limit` rows, one JSON object a line."""
+    logs.orderBy(F.col("time").desc(), F.col("id").desc()).limit(limit).write.json(path)
+
+
 def export_csv(logs: DataFrame, path: str, limit: int = 50_000) -> None:
     """The newest `limit` rows with RFC 4180 quoting."""
     newest = logs.orderBy(F.col("time").desc(), F.col("id").desc()).limit(limit)

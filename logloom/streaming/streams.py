@@ -1,4 +1,7 @@
-"""Structured Streaming counterparts: hourly counts with late data, live tail, detections, trace assembly."""
+"""Structured Streaming counterparts: hourly counts with late data, live tail, detections, alerts, incidents, trace assembly, new error groups.
+
+State is bounded by a watermark wherever there is any. To run a stream over what is there now and stop, see to_parquet.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +10,25 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.operators import siem
+from logloom.operators.alerts import fired
 from logloom.operators.search import search
 from logloom.operators.sigma import PACKS, detect
 from logloom.session import shared_dir
 
 
-def hourly_counts(logs: DataFrame, late: str = "3 hours") -> DataFrame:
-    """Counts by hour, project, level and service; rows up to `late` behind the newest still count."""
-    watched = logs.withColumn("time", F.col("time").cast("timestamp")).withWatermark("time", late)
-    return watched.groupBy(F.window("time", "1 hour")["start"].alias("bucket"), "project_id", "level", "service").agg(F.count("*").alias("log_count"))
+def watched(rows: DataFrame, late: str, column: str = "time") -> DataFrame:
+    """Rows with a watermark on their time, which becomes a timestamp."""
+    return rows.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, late)
+
+
+def hourly_counts(logs: DataFrame, late: str = "3 hours", width: str = "1 hour") -> DataFrame:
+    """Counts by bucket, project, level and service; rows up to `late` behind the newest still count.
+
+    In append mode a bucket comes out once, when the watermark has passed it; in update mode whenever it grows.
+    """
+    keys = [F.window("time", width)["start"].alias("bucket"), "project_id", "level", "service"]
+    return watched(logs, late).groupBy(F.window("time", width).alias("_w"), *keys[1:]).agg(F.count("*").alias("log_count")).select(F.col("_w.start").alias("bucket"), *keys[1:], "log_count")
 
 
 def live_tail(logs: DataFrame, **criteria) -> DataFrame:
@@ -27,14 +40,70 @@ def detections(logs: DataFrame, rules=PACKS) -> DataFrame:
     return detect(logs, rules)
 
 
-def traces(spans: DataFrame) -> DataFrame:
-    """Running trace roll-up, for update mode."""
-    return spans.groupBy("trace_id").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.count("*").alias("span_count"), F.bool_or(F.col("status_code") == "ERROR").alias("error"))
+def traces(spans: DataFrame, late: str = "1 hour", idle: str = "30 minutes") -> DataFrame:
+    """Traces, each when no span has come for `idle` and the watermark has passed it; later spans make a new row. For append mode."""
+    rows = watched(spans, late, "start_time")
+    out = rows.groupBy("trace_id", F.session_window("start_time", idle).alias("_s")).agg(
+        F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.count("*").alias("span_count"), F.bool_or(F.col("status_code") == "ERROR").alias("error")
+    )
+    return out.drop("_s")
+
+
+def first_of_group(errors: DataFrame, within: str = "7 days", ignored: DataFrame | None = None) -> DataFrame:
+    """The first row of each project and fingerprint; state ends with the watermark. Groups in `ignored` (project_id, fingerprint) stay silent."""
+    if ignored is not None:
+        errors = errors.join(ignored.select("project_id", "fingerprint").distinct(), ["project_id", "fingerprint"], "left_anti")
+    return watched(errors, within).dropDuplicatesWithinWatermark(["project_id", "fingerprint"])
+
+
+def once_per_log(errors: DataFrame, within: str = "1 day") -> DataFrame:
+    """One exception for each log id, whatever is sent twice within the watermark."""
+    return watched(errors, within).dropDuplicatesWithinWatermark(["log_id"])
+
+
+def run_now(stream: DataFrame, each, mode: str = "append") -> None:
+    """each(batch, number) on what is there now, in micro-batches; batches don't overlap."""
+    path = f"{shared_dir(stream.sparkSession)}/logloom-{uuid.uuid4().hex}"
+    stream.writeStream.outputMode(mode).option("checkpointLocation", path).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+
+
+def evaluate_alerts(logs: DataFrame, rules: DataFrame, path: str) -> None:
+    """Threshold alerts, evaluated with each micro-batch on all logs so far, at the newest log's time.
+
+    Logs are kept at path/logs; what fires is appended at path/history (rule_id, triggered_at, log_count). That
+    history is the state: a rule that has fired counts anew. A batch that is run again overwrites its own rows.
+    """
+    told = "rule_id int, triggered_at timestamp_ntz, log_count long"
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/logs/batch={number}")
+        now = str(batch.agg(F.max("time").alias("t")).head()["t"])
+        if now == "None":
+            return
+        every = spark.read.schema(batch.schema).parquet(f"{path}/logs")
+        before = spark.read.schema(told + ", batch int").parquet(f"{path}/history").where(F.col("batch") < number)
+        found = fired(rules, before.select("rule_id", "triggered_at"), every, now)
+        found.select("rule_id", F.lit(now).cast("timestamp_ntz").alias("triggered_at"), "log_count").write.mode("overwrite").parquet(f"{path}/history/batch={number}")
+
+    logs.sparkSession.createDataFrame([], told).write.mode("ignore").parquet(f"{path}/history/batch=-1")
+    run_now(logs, each)
+
+
+def incidents(logs: DataFrame, path: str, rules=PACKS) -> None:
+    """Detections of each micro-batch are appended at path/detections, and the trace incidents over all of them replace path/incidents."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        detect(batch, rules).write.mode("overwrite").parquet(f"{path}/detections/batch={number}")
+        every = batch.sparkSession.read.parquet(f"{path}/detections")
+        siem.incidents_by_trace(every).write.mode("overwrite").parquet(f"{path}/incidents")
+
+    run_now(logs, each)
 
 
-def first_of_group(errors: DataFrame, within: str = "7 days") -> DataFrame:
-    """The first row of each project and fingerprint; state ends with the watermark."""
-    return errors.withColumn("time", F.col("time").cast("timestamp")).withWatermark("time", within).dropDuplicatesWithinWatermark(["project_id", "fingerprint"])
+def fresh(table: DataFrame, checked: str, now: str, hours: int = 24) -> DataFrame:
+    """Rows of an enrichment table that must be looked up again: checked never, or `hours` ago and more."""
+    return table.where(F.col(checked).isNull() | (F.col(checked) <= F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {hours} hours")))
 
 
 def to_parquet(stream: DataFrame, mode: str = "append") -> DataFrame:

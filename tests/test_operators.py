@@ -53,17 +53,96 @@ def test_sigma_forms(spark):
 
 def test_stacks():
     py = 'Traceback (most recent call last):\n  File "/app/a.py", line 3, in f\n    g()\n  File "/usr/lib/python3/site-packages/x.py", line 9, in g\nValueError: bad\n'
-    kind, message, language, frames = errors.parse_stack(py)
-    assert (kind, message, language) == ("ValueError", "bad", "python") and [f[0] for f in frames] == [1, 0]
-    js = "TypeError: x is undefined\n    at run (/app/src/i.js:10:5)\n    at /app/src/j.js:2:1"
-    assert errors.parse_stack(js)[3] == [(0, "/app/src/i.js", "run", 10), (1, "/app/src/j.js", None, 2)]
+    found = errors.parse_stack(py)
+    assert (found.type, found.message, found.language) == ("ValueError", "bad", "python") and [(f["index"], f["code"]) for f in found.frames] == [(1, None), (0, "g()")]
+    js = "TypeError: x is undefined\n    at run (/app/src/i.js:10:5)\n    at /app/src/j.js:2:1\n    at async go (/app/b.js:3:4)\n    at new Foo (<anonymous>)"
+    assert [(f["file"], f["function"], f["line"]) for f in errors.parse_stack(js).frames] == [("/app/src/i.js", "run", 10), ("/app/src/j.js", None, 2), ("/app/b.js", "async go", 3)]
     java = "java.lang.IllegalStateException: no\n\tat com.x.A.go(A.java:5)\nCaused by: java.io.IOException: y\n\tat com.x.B.go(B.java:7)"
-    assert errors.parse_stack(java)[0] == "IllegalStateException" and len(errors.parse_stack(java)[3]) == 1
-    go = "panic: boom\n\ngoroutine 1 [running]:\nmain.run(0x1)\n\t/app/main.go:12 +0x1d\n"
-    assert errors.parse_stack(go)[2:] == ("go", [(0, "/app/main.go", "main.run", 12)])
-    php = "PHP Fatal error:  Uncaught DomainException: no in /app/x.php:3\n#0 /app/y.php(9): run()\n#1 {main}"
-    assert errors.parse_stack(php)[2] == "php"
-    assert errors.parse_stack("nothing") is None and errors.parse_stack(None) is None
+    assert errors.parse_stack(java).type == "IllegalStateException" and [f["file"] for f in errors.parse_stack(java).frames] == ["com/x/A.java"]
+    go = "runtime error: index out of range\n\ngoroutine 1 [running]:\nmain.run(0x1)\n\t/app/main.go:12 +0x1d\n"
+    assert errors.parse_stack(go).type == "runtime error" and errors.parse_stack(go).frames[0]["function"] == "main.run"
+    php = "Fatal error: Uncaught DomainException: no in /app/x.php:3\nStack trace:\n#0 /app/y.php(9): run()\n#1 {main}"
+    assert errors.parse_stack(php).message == "no" and errors.parse_stack(php).frames[0]["index"] == 0
+    assert errors.parse_stack("TypeError: x") is None and errors.parse_stack("nothing") is None and errors.parse_stack(None) is None
+
+
+def test_structured_exceptions():
+    deep = {"type": "T0", "message": "m"}
+    for i in range(1, 30):
+        deep = {"type": f"T{i}", "message": "m", "cause": deep}
+    found = errors.detect("x", json.dumps({"exception": {**deep, "stacktrace": [{"file": "a.rb", "line": 3}, {}, None, {"function": "f"}] + [{"file": "b"}] * 200}}))
+    assert found.type == "T29" and found.language == "unknown" and found.raw.count("Caused by:") == errors.MAX_CAUSES - 1
+    assert [f["index"] for f in found.frames[:2]] == [0, 3] and found.frames[1]["file"] == "<unknown>" and len(found.frames) == 98
+    raw = "TypeError: x is undefined\n    at run (/app/src/i.js:10:5)"
+    assert errors.detect(None, json.dumps({"exception": {"type": "E", "message": "m", "raw": raw}})).language == "nodejs"
+    assert errors.detect(raw, "{broken \"exception\"").language == "nodejs" and errors.detect(raw, '{"exception": 3}').language == "nodejs"
+
+
+def test_identifiers_in_metadata(spark):
+    told = json.dumps({"userId": "Ann", "note": "order_id=A-1234 and req-abcdef12", "in": {"x-trace-id": "t", "deep": {"sid": "s1", "list": ["user_id=9"]}}, "empty": "", "uid": ""})
+    rows = spark.createDataFrame([(1, "user_id=ann USER_ID=Ann", told), (2, "none", None), (3, "uuid 0B6F4A1E-7c1d-4f6e-9b3a-2f4d5e6a7b8c", "{bad")], "id long, message string, metadata string").selectExpr("*", "timestamp_ntz'2024-01-01' as time", "1 as project_id")
+    got = {(r["log_id"], r["type"], r["value"], r["source"]) for r in identifiers.extract(rows).collect()}
+    assert got == {(1, "user_id", "ann", "message"), (1, "user_id", "user_id", "message"), (1, "order_id", "A-1234", "metadata"), (1, "request_id", "req-abcdef12", "metadata"), (1, "trace_id", "t", "metadata"), (1, "session_id", "s1", "metadata"), (3, "uuid", "0B6F4A1E-7c1d-4f6e-9b3a-2f4d5e6a7b8c", "message")}
+    maps = {r["log_id"]: r["found"] for r in identifiers.by_log(identifiers.extract(rows), [1]).collect()}
+    assert set(maps) == {1} and maps[1]["user_id"] == ["ann", "user_id"]
+    custom = [(70, "ticket", r"(T-\d+)", ())]
+    assert [p[0] for p in identifiers.by_priority(custom)].index("ticket") == 9 and len(identifiers.PRIORITIES) == len(identifiers.PATTERNS)
+
+
+def test_sigma_rules_from_files(spark, tmp_path):
+    good = {"title": "Bad login", "level": "high", "logsource": {"category": "proxy", "service": "x"}, "detection": {"sel": {"message|contains": ["a", "b"], "n": {"c": "d"}}, "condition": "sel"}, "tags": ["attack.t1110"]}
+    (tmp_path / "rules.json").write_text("\n".join(map(json.dumps, [good, {**good, "title": " "}, {**good, "level": "odd"}, {**good, "detection": {"condition": "sel"}}])) + "\nnot json\n")
+    rules = sigma.read_rules(spark, str(tmp_path / "rules.json"))
+    assert [(r.id, r.level) for r in rules] == [("bad-login", "high")]
+    told = sigma.alert_rule(rules[0])
+    assert told["service"] is None and (told["threshold"], told["time_window"]) == (3, 300) and told["keywords"] == ["a", "b", "d"]
+    assert sigma.packs(sigma.BUILT_IN) == {n: 5 for n in ("startup-reliability", "auth-security", "database-health", "payment-billing")}
+    many = [sigma.Rule(f"r{i}", "t", "low", {"a": {"message|contains": f"word{i}."}, "condition": "a"}) for i in range(400)]
+    logs = spark.createDataFrame([(1, "has word7. and word399.", "s", None)], "id long, message string, service string, trace_id string").selectExpr("*", "timestamp_ntz'2024-01-01' as time", "1 as project_id", "'info' as level")
+    assert {r["rule_id"] for r in sigma.detect(logs, many).collect()} == {"r7", "r399"}
+
+
+def test_otlp_values(spark):
+    value = lambda **kw: dict(kw)
+    attrs = [{"key": "a", "value": value(intValue="7")}, {"key": "b", "value": value(arrayValue={"values": [value(stringValue='q"\u0000'), value(boolValue=True), value(kvlistValue={"values": [{"key": "c", "value": value(doubleValue=1.5)}]})]})}, {"key": "a", "value": value(stringValue="last")}, {"key": "n"}]
+    bodies = [value(stringValue="x\u0000y"), value(intValue="5"), value(boolValue=False), value(arrayValue={"values": [value(stringValue="s"), value(intValue=3)]}), value(kvlistValue={"values": [{"key": "k", "value": value(bytesValue="AA==")}]}), value(bytesValue="AAE="), None]
+    record = lambda b: {"time_unix_nano": "1700000000123456789", "severity_text": "WARN", "body": b, "attributes": attrs, "traceId": "t"}
+    told = {"resource_logs": [{"resource": {"attributes": [{"key": "service.name", "value": {"string_value": "api"}}]}, "scope_logs": [{"scope": {"name": "lib"}, "log_records": [record(b) for b in bodies]}]}]}
+    rows = ingest.otlp_logs(spark.createDataFrame([(json.dumps(told),)], "body string")).collect()
+    assert [r["message"] for r in rows] == ["xy", "5", "false", '["s","3"]', '{"k":"AA=="}', "[bytes: AAE=]", ""]
+    assert json.loads(rows[0]["metadata"]) == {"service.name": "api", "otel.scope.name": "lib", "b": ['q"', True, {"c": 1.5}], "a": "last", "n": None, "otel.severity_text": "WARN"}
+    assert rows[0]["service"] == "api" and rows[0]["time_ms"] == 1700000000123 and rows[0]["level"] == "warn"
+    span = {"traceId": "a1", "spanId": "b1", "startTimeUnixNano": "1000000", "endTimeUnixNano": "3000000", "events": [{"timeUnixNano": "2000000", "attributes": attrs[:1]}], "links": [{"traceId": "x", "spanId": "y"}, {"traceId": "x"}], "status": {"message": "bad"}}
+    got = ingest.otlp_spans(spark.createDataFrame([(json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [span]}]}]}),)], "body string")).collect()[0]
+    assert got["operation"] == "unknown" and got["status_message"] == "bad" and got["attributes"] == "{}"
+    assert json.loads(got["events"]) == [{"time_ms": 2, "name": "event", "attributes": '{"a":7}'}] and json.loads(got["links"]) == [{"trace_id": "x", "span_id": "y", "attributes": "{}"}]
+
+
+def test_syslog_forms(spark):
+    lines = ["<165>1 2024-01-15T10:00:00.5+02:00 host app 123 ID47 [x@1 a=\"b\"] hello there", "<11>1 2024-01-15T10:00:00Z - - - - - hi", "odd"]
+    rows = ingest.syslog_5424(spark.createDataFrame(list(enumerate(lines)), "id int, line string")).orderBy("id").collect()
+    assert [(r["service"], r["level"], r["message"], str(r["time"])) for r in rows] == [("app", "info", "hello there", "2024-01-15 08:00:00.500000"), ("syslog", "error", "hi", "2024-01-15 10:00:00"), ("syslog", "info", "odd", "None")]
+    assert str(one(spark, ingest.syslog_time(F.col("v"), 2024, 3600), v="<11>Jan  5 10:00:00 h x: y")) == "2024-01-05 09:00:00"
+    body = json.loads(ingest.wrapped(spark.createDataFrame([("s", "m")], "service string, message string")).collect()[0]["body"])
+    assert body == {"logs": [{"service": "s", "message": "m"}]}
+    assert [one(spark, ingest.body_kind(F.col("v")), v=v) for v in ("application/x-protobuf", "application/json; x", "text/plain")] == ["protobuf", "json", "json"]
+
+
+def test_stream_state(spark, tmp_path):
+    """Late rows, closed sessions, alerts that have fired, ignored groups."""
+    rows = [("t1", "2024-01-01 00:00:00", "OK"), ("t1", "2024-01-01 00:10:00", "ERROR"), ("t2", "2024-01-01 00:20:00", "OK"), ("t3", "2024-01-03 00:00:00", "OK")]
+    spans = spark.createDataFrame(rows, "trace_id string, start_time string, status_code string").withColumn("start_time", F.col("start_time").cast("timestamp")).withColumn("end_time", F.col("start_time"))
+    spans.write.parquet(str(tmp_path / "spans"))
+    found = streams.drain(streams.traces(spark.readStream.schema(spans.schema).parquet(str(tmp_path / "spans"))), "spans_seen", str(tmp_path / "c0")).collect()
+    assert sorted((r["trace_id"], r["span_count"], r["error"]) for r in found) == [("t1", 2, True), ("t2", 1, False)]  # t3 may still go on
+    logs = spark.createDataFrame([(i, f"2024-01-01 0{i // 4}:0{i % 4}:00", "s", "error", 1) for i in range(8)], "id long, time string, service string, level string, project_id int").withColumn("time", F.col("time").cast("timestamp_ntz"))
+    for i, part in enumerate(("time < timestamp_ntz'2024-01-01 01:00:00'", "time >= timestamp_ntz'2024-01-01 01:00:00'")):
+        logs.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "logs"))
+    rules = spark.createDataFrame([(1, None, "error", None, 3, 600, True), (2, None, "error", None, 5, 600, True)], "rule_id int, service string, levels string, project_id int, threshold int, time_window int, enabled boolean")
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "logs"))
+    streams.evaluate_alerts(stream, rules, str(tmp_path / "alerts"))
+    got = sorted((r["rule_id"], str(r["triggered_at"]), r["log_count"]) for r in spark.read.parquet(str(tmp_path / "alerts/history")).collect())
+    assert got == [(1, "2024-01-01 00:03:00", 4), (1, "2024-01-01 01:03:00", 4), (2, "2024-01-01 01:03:00", 8)]
 
 
 def test_scalars(spark):
@@ -73,7 +152,7 @@ def test_scalars(spark):
     assert one(spark, X.id_to_hex(F.col("v")), v="ABCD") == "abcd"
     assert one(spark, X.duration_text(F.col("v")), v=1500) == "1.50s"
     assert one(spark, X.public_ips(F.col("v")), v="10.0.0.1 8.8.8.8 300.1.1.1 8.8.8.8") == ["8.8.8.8"]
-    assert one(spark, X.message_shape(F.col("v")), v="id 42 'x' [1] {2}") == "id N STR [] {}"
+    assert one(spark, X.message_shape(F.col("v")), v="id 42 'x' [1] {2}") == "id N 'STRING' [ARRAY] {OBJECT}"
 
 
 def test_adapters(spark):
@@ -92,7 +171,7 @@ def test_adapters(spark):
 def test_search_helpers():
     assert search.read_cursor(search.make_cursor("2024-01-01 00:00:00", 5)) == ("2024-01-01 00:00:00", 5)
     assert search.read_cursor("%%%") is None
-    assert identifiers.safe_pattern(r"id=(\d{1,20})") and not identifiers.safe_pattern(r"(a+)+") and not identifiers.safe_pattern(r"(?=x)") and not identifiers.safe_pattern("(")
+    assert identifiers.safe_pattern(r"id=(\d{1,20})") and not identifiers.safe_pattern(r"(a+)+") and not identifiers.safe_pattern(r"(?=x)") and not identifiers.safe_pattern("(") and not identifiers.safe_pattern("((a+)b)+") and identifiers.safe_pattern(r"(T-\d{1,9})") and not identifiers.safe_pattern(r"a{1,}b") and not identifiers.safe_pattern(r"x{101}")
 
 
 def test_preview_runs(spark):
