@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from logloom.functions.scalars import level_of_otlp, level_of_priority, ns_to_ms, span_kind, span_status, valid_trace_id
-from logloom.session import shared_dir
+from logloom.session import shared_dir, ship
 
 LOG_SCHEMA = "time string, service string, level string, message string, metadata string, trace_id string, span_id string"
 LEVELS = ("debug", "info", "warn", "error", "critical")
-#: A value of OTLP/JSON; lists and maps inside it stay JSON text until they are needed.
-VALUE = "struct<stringValue:string,intValue:string,doubleValue:string,boolValue:string,bytesValue:string,arrayValue:string,kvlistValue:string>"
-ATTRIBUTES = f"array<struct<key:string,value:{VALUE}>>"
-RESOURCE = f"resource:struct<attributes:{ATTRIBUTES}>"
-OTLP_LOGS = f"resourceLogs array<struct<{RESOURCE},scopeLogs:array<struct<scope:struct<name:string,version:string>,logRecords:array<struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,body:{VALUE},attributes:{ATTRIBUTES},traceId:string,spanId:string>>>>>>"
+#: Values and attributes stay JSON text: lists and maps in them nest to any depth.
+RESOURCE = "resource:struct<attributes:string>"
+OTLP_LOGS = f"resourceLogs array<struct<{RESOURCE},scopeLogs:array<struct<scope:struct<name:string,version:string>,logRecords:array<struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,body:string,attributes:string,traceId:string,spanId:string>>>>>>"
 OTLP_SPANS = (
-    f"resourceSpans array<struct<{RESOURCE},scopeSpans:array<struct<spans:array<struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:int,startTimeUnixNano:string,endTimeUnixNano:string,status:struct<code:int,message:string>,attributes:{ATTRIBUTES},"
-    f"events:array<struct<timeUnixNano:string,name:string,attributes:{ATTRIBUTES}>>,links:array<struct<traceId:string,spanId:string,attributes:{ATTRIBUTES}>>>>>>>>"
+    f"resourceSpans array<struct<{RESOURCE},scopeSpans:array<struct<spans:array<struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:int,startTimeUnixNano:string,endTimeUnixNano:string,status:struct<code:int,message:string>,attributes:string,events:string,links:string>>>>>>"
 )
 #: Keys that senders may also spell in snake_case.
 CAMEL = "resourceLogs scopeLogs logRecords resourceSpans scopeSpans timeUnixNano observedTimeUnixNano severityNumber severityText traceId spanId parentSpanId startTimeUnixNano endTimeUnixNano stringValue intValue doubleValue boolValue bytesValue arrayValue kvlistValue".split()
-DEPTH = 4  # of lists and maps inside each other
 
 
 def validated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,58 +69,83 @@ def _clean(text):
     return F.replace(text, F.lit("\0"), F.lit(""))
 
 
-def _quoted(text):
-    """A text as JSON."""
-    whole = F.to_json(F.array(text))
-    return F.substring(whole, F.lit(2), F.length(whole) - 2)
+def plain_value(value):
+    """A value of OTLP/JSON as JSON has it; null for nothing known."""
+    for name, told in (value or {}).items():
+        if told is None:
+            continue
+        if name == "stringValue":
+            return told.replace("\0", "")
+        if name == "intValue":
+            return int(told)
+        if name in ("boolValue", "doubleValue", "bytesValue"):
+            return told
+        if name == "arrayValue":
+            return [plain_value(v) for v in told.get("values") or []]
+        if name == "kvlistValue":
+            return plain_attributes(told.get("values"))
+    return None
 
 
-def _list(value):
-    return F.from_json(value["arrayValue"], f"values array<{VALUE}>")["values"]
+def plain_attributes(attributes) -> dict:
+    """Of equal keys the last counts."""
+    return {a["key"]: plain_value(a.get("value")) for a in attributes or [] if isinstance(a, dict) and "key" in a}
 
 
-def _map(value):
-    return F.from_json(value["kvlistValue"], f"values {ATTRIBUTES}")["values"]
+def plain_message(value) -> str:
+    """A log's text: a plain value as such, a list as a JSON list of texts, a map as JSON, bytes as [bytes: base64]."""
+    told = plain_value(value)
+    if value and value.get("bytesValue") is not None:
+        return f"[bytes: {told}]"
+    if isinstance(told, list):
+        return _json([plain_message(v) for v in value["arrayValue"].get("values") or []])
+    return "" if told is None else told if isinstance(told, str) else _json(told)
 
 
-def value_json(value, depth: int = DEPTH):
-    """A value as JSON; what lies deeper than `depth`, or is nothing known, is null."""
-    out = F.when(value["stringValue"].isNotNull(), _quoted(_clean(value["stringValue"])))
-    for plain in ("boolValue", "intValue", "doubleValue"):
-        out = out.when(value[plain].isNotNull(), value[plain])
-    out = out.when(value["bytesValue"].isNotNull(), _quoted(value["bytesValue"]))
-    if depth:
-        items = F.array_join(F.transform(_list(value), lambda v: value_json(v, depth - 1)), ",")
-        out = out.when(value["arrayValue"].isNotNull(), F.concat(F.lit("["), F.coalesce(items, F.lit("")), F.lit("]")))
-        out = out.when(value["kvlistValue"].isNotNull(), attributes_json(_map(value), depth - 1))
-    return F.coalesce(out, F.lit("null"))
+def _json(x) -> str:
+    return json.dumps(x, ensure_ascii=False, separators=(",", ":"))
 
 
-def entries(attributes, depth: int = DEPTH):
-    """array<struct<k,j>>: keys and JSON values of attributes."""
-    return F.coalesce(F.transform(attributes, lambda a: F.struct(a["key"].alias("k"), value_json(a["value"], depth).alias("j"))), F.array().cast("array<struct<k:string,j:string>>"))
+def _read(text):
+    try:
+        return json.loads(text) if isinstance(text, str) else None
+    except ValueError:
+        return None
 
 
-def object_json(pairs):
-    """A JSON object of entries; of equal keys the last counts."""
-    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda x: x["k"] == e["k"]))
-    return F.concat(F.lit("{"), F.array_join(F.transform(last, lambda e: F.concat(_quoted(e["k"]), F.lit(":"), e["j"])), ","), F.lit("}"))
+@F.pandas_udf(StringType())
+def message_of(body: pd.Series) -> pd.Series:
+    return body.map(lambda t: plain_message(_read(t)))
 
 
-def attributes_json(attributes, depth: int = DEPTH):
-    return F.transform(F.array(entries(attributes, depth)), object_json)[0]
+@F.pandas_udf(StringType())
+def attributes_json(attributes: pd.Series) -> pd.Series:
+    return attributes.map(lambda t: _json(plain_attributes(_read(t))))
 
 
-def message_of(body):
-    """A log's text: a plain value as such, a list as a JSON list of texts, a map as JSON, bytes as [bytes: base64]."""
-    plain = lambda v: F.coalesce(_clean(v["stringValue"]), v["intValue"], v["doubleValue"], v["boolValue"])
-    inner = lambda v: F.coalesce(plain(v), F.when(v["kvlistValue"].isNotNull(), attributes_json(_map(v))), F.when(v["arrayValue"].isNotNull(), value_json(v)), F.lit(""))
-    listed = F.to_json(F.transform(_list(body), inner))
-    return F.coalesce(plain(body), F.when(body["arrayValue"].isNotNull(), listed), F.when(body["kvlistValue"].isNotNull(), attributes_json(_map(body))), F.concat(F.lit("[bytes: "), body["bytesValue"], F.lit("]")), F.lit(""))
+@F.pandas_udf(StringType())
+def metadata_json(resource: pd.Series, scope: pd.Series, own: pd.Series, severity: pd.Series) -> pd.Series:
+    """Attributes of the resource and of the record; scope and severity are JSON objects; later keys win."""
+    rows = zip(resource, scope, own, severity, strict=True)
+    return pd.Series([_json(plain_attributes(_read(r)) | (_read(s) or {}) | plain_attributes(_read(o)) | (_read(v) or {})) for r, s, o, v in rows], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def events_json(events: pd.Series) -> pd.Series:
+    """Events with their time in ms, a name and attributes; null for none."""
+    ms = lambda e: int(e["timeUnixNano"]) // 1_000_000 if e.get("timeUnixNano") else None
+    return events.map(lambda t: _json([{"time_ms": ms(e), "name": (e.get("name") or "event").replace("\0", ""), "attributes": plain_attributes(e.get("attributes"))} for e in found]) if (found := _read(t)) else None)
+
+
+@F.pandas_udf(StringType())
+def links_json(links: pd.Series) -> pd.Series:
+    """Links that have both ids; null for no links at all."""
+    return links.map(lambda t: _json([{"trace_id": e["traceId"], "span_id": e["spanId"], "attributes": plain_attributes(e.get("attributes"))} for e in found if e.get("traceId") and e.get("spanId")]) if (found := _read(t)) else None)
 
 
 def _service(attributes):
-    found = F.get(F.filter(attributes, lambda a: a["key"] == "service.name"), F.lit(0))["value"]["stringValue"]
+    told = F.from_json(attributes, "array<struct<key:string,value:struct<stringValue:string>>>")
+    found = F.get(F.filter(told, lambda a: a["key"] == "service.name"), F.lit(0))["value"]["stringValue"]
     return F.coalesce(F.nullif(_clean(found), F.lit("")), F.lit("unknown"))
 
 
@@ -140,28 +164,25 @@ def otlp_logs(bodies: DataFrame) -> DataFrame:
     """
     r = bodies.select(F.explode(F.from_json(camel(F.col("body")), OTLP_LOGS)["resourceLogs"]).alias("r"))
     rec = r.select(F.col("r.resource.attributes").alias("resource"), F.explode("r.scopeLogs").alias("s")).select("resource", "s.scope", F.explode("s.logRecords").alias("l"))
-    extra = lambda key, j: F.struct(F.lit(key).alias("k"), j.alias("j"))
-    own = F.array_compact(F.array(*[F.when(c.isNotNull(), extra(key, _quoted(c))) for key, c in (("otel.scope.name", F.col("scope.name")), ("otel.scope.version", F.col("scope.version")))]))
-    severity = F.array_compact(F.array(F.when(F.col("l.severityNumber").isNotNull(), extra("otel.severity_number", F.col("l.severityNumber").cast("string"))), F.when(F.col("l.severityText") != "", extra("otel.severity_text", _quoted(F.col("l.severityText"))))))
-    whole = F.concat(entries(F.col("resource")), own, entries(F.col("l.attributes")), severity)
+    scope = F.to_json(F.struct(F.col("scope.name").alias("otel.scope.name"), F.col("scope.version").alias("otel.scope.version")))
+    severity = F.to_json(F.struct(F.col("l.severityNumber").alias("otel.severity_number"), F.nullif(F.col("l.severityText"), F.lit("")).alias("otel.severity_text")))
+    ship(bodies.sparkSession)
     return rec.select(
         _service(F.col("resource")).alias("service"), ns_to_ms(F.coalesce("l.timeUnixNano", "l.observedTimeUnixNano")).alias("time_ms"), level_of_otlp(F.col("l.severityText"), F.col("l.severityNumber")).alias("level"), message_of(F.col("l.body")).alias("message"),
-        valid_trace_id(F.col("l.traceId")).alias("trace_id"), F.nullif(F.col("l.spanId"), F.lit("")).alias("span_id"), whole.alias("_m"),
-    ).withColumn("metadata", object_json(F.col("_m"))).drop("_m")
+        valid_trace_id(F.col("l.traceId")).alias("trace_id"), F.nullif(F.col("l.spanId"), F.lit("")).alias("span_id"), metadata_json(F.col("resource"), scope, F.col("l.attributes"), severity).alias("metadata"),
+    )
 
 
 def otlp_spans(bodies: DataFrame) -> DataFrame:
     """Span rows of OTLP/JSON bodies; spans without ids, or with an all-zero trace id, are dropped. attributes, events and links are JSON; links without ids are left out."""
     r = bodies.select(F.explode(F.from_json(camel(F.col("body")), OTLP_SPANS)["resourceSpans"]).alias("r"))
     sp = r.select(F.col("r.resource.attributes").alias("resource"), F.explode("r.scopeSpans").alias("s")).select("resource", F.explode("s.spans").alias("x"))
-    event = lambda e: F.struct(ns_to_ms(e["timeUnixNano"]).alias("time_ms"), F.coalesce(F.nullif(_clean(e["name"]), F.lit("")), F.lit("event")).alias("name"), attributes_json(e["attributes"]).alias("attributes"))
-    link = lambda e: F.struct(e["traceId"].alias("trace_id"), e["spanId"].alias("span_id"), attributes_json(e["attributes"]).alias("attributes"))
-    linked = F.filter("x.links", lambda e: (e["traceId"] != "") & (e["spanId"] != ""))
+    ship(bodies.sparkSession)
     out = sp.select(
         _service(F.col("resource")).alias("service"), valid_trace_id(F.col("x.traceId")).alias("trace_id"), F.nullif(F.col("x.spanId"), F.lit("")).alias("span_id"), F.nullif(F.col("x.parentSpanId"), F.lit("")).alias("parent_span_id"),
         F.coalesce(F.nullif(_clean(F.col("x.name")), F.lit("")), F.lit("unknown")).alias("operation"), span_kind(F.col("x.kind")).alias("kind"), span_status(F.col("x.status.code")).alias("status"), F.col("x.status.message").alias("status_message"),
         ns_to_ms(F.col("x.startTimeUnixNano")).alias("start_ms"), ns_to_ms(F.col("x.endTimeUnixNano")).alias("end_ms"), attributes_json(F.col("x.attributes")).alias("attributes"), attributes_json(F.col("resource")).alias("resource_attributes"),
-        F.when(F.size("x.events") > 0, F.to_json(F.transform("x.events", event))).alias("events"), F.when(F.size("x.links") > 0, F.to_json(F.transform(linked, link))).alias("links"),
+        events_json(F.col("x.events")).alias("events"), links_json(F.col("x.links")).alias("links"),
     )
     return out.where("trace_id is not null and span_id is not null")
 
