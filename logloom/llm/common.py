@@ -1,16 +1,14 @@
-"""Shared pieces: text access, durable intermediate tables, Arrow mapping."""
+"""Shared pieces: text access, Arrow mapping. Tables and durable intermediates are the library's own."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.session import ship
+from logloom.session import ship, table, written  # noqa: F401
 
 #: ASCII letters, for lower-casing A-Z only.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,32 +18,6 @@ def ascii_lower(c):
     return F.translate(c, UPPER, LOWER)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only where none is set (tests), a local one."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="logloom-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again.
-
-    Cuts the lineage in a way that outlives executors, keeps columns prunable, and gives the
-    planner true sizes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/logloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_columns(df: DataFrame, fn: Callable[..., dict], schema: str, *args, step: int = 512) -> DataFrame:
     """Narrow map: fn(batch, *args) -> {column: values}, over Arrow batches of at most `step` rows."""
 
