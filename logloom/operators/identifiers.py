@@ -139,11 +139,14 @@ def extract(logs: DataFrame, patterns=PATTERNS) -> DataFrame:
     every = mark(found_in(F.col("message"), patterns), "message")
     if "metadata" in logs.columns:
         every = F.concat(every, mark(from_metadata(F.col("metadata").cast("string"), patterns), "metadata"))
-    rows = logs.select(F.col("id").alias("log_id"), "time", "project_id", every.alias("_all")).where(F.size("_all") > 0)
-    # position explode keeps the order, and the first of a spelling wins without a shuffle
-    names = F.transform("_all", lambda x: F.concat(x["type"], F.lit(":"), F.lower(x["value"])))
-    firsts = F.filter(F.transform("_all", lambda x, i: F.struct(x["type"].alias("type"), x["value"].alias("value"), x["source"].alias("source"), i.alias("i"))), lambda x: F.array_position("_n", F.concat(x["type"], F.lit(":"), F.lower(x["value"]))) == x["i"] + 1)
-    return rows.withColumn("_n", names).select("log_id", "time", "project_id", F.explode(firsts).alias("x")).select("log_id", "time", "project_id", "x.type", "x.value", "x.source")
+    bound = lambda value, fn: F.transform(F.array(value), fn)[0]  # noqa: E731  inside a lambda, a bare expression would be computed for each element
+    name = lambda x: F.concat(x["type"], F.lit(":"), F.lower(x["value"]))
+
+    def firsts(found: Column) -> Column:
+        return bound(F.transform(found, name), lambda names: F.filter(found, lambda x, i: F.array_position(names, name(x)) == i + 1))
+
+    rows = logs.select(F.col("id").alias("log_id"), "time", "project_id", F.explode(bound(every, firsts)).alias("x"))
+    return rows.select("log_id", "time", "project_id", "x.type", "x.value", "x.source")
 
 
 def by_log(identifiers: DataFrame, ids=None) -> DataFrame:
