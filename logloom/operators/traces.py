@@ -46,24 +46,70 @@ def waterfall(spans: DataFrame) -> DataFrame:
     return df.select("trace_id", "span_id", F.when(F.col("total") > 0, us("t0", "start_time") / F.col("total") * 100).otherwise(0.0).alias("left_pct"), F.when(F.col("total") > 0, F.greatest(us("start_time", "end_time") / F.col("total") * 100, F.lit(0.5))).otherwise(100.0).alias("width_pct"))
 
 
-def depths(spans: DataFrame) -> DataFrame:
-    """Depth of each span below its root, one row a row; orphans are roots. On a cycle or below one, depth is null.
+def to_end(links: DataFrame, *sums: str) -> DataFrame:
+    """Rows of linked lists (trace_id, node, next, sums): each sum then runs from its node to the list's last, and next is null.
 
-    Pointer doubling: each round takes every open span from its ancestor to that one's ancestor, so chains
-    of any length take as many rounds as their depth has binary digits. While a chain is open, each round
-    ends some span of it; a round that ends none leaves cycles only. Repeated span ids of a trace count as
-    one parent, whose own parent is the smallest they name.
+    Pointer doubling: each round takes every open node to its next one's next, so a list takes as many rounds as its
+    length has binary digits, whatever its length. While a list is open, each round ends some node of it; a round
+    that ends none leaves cycles only, whose nodes keep a next.
     """
-    ids = written(spans.select("trace_id", "span_id", "parent_span_id"))
-    nodes = ids.where("trace_id is not null and span_id is not null").groupBy("trace_id", "span_id").agg(F.min("parent_span_id").alias("up"))
-    there = nodes.select("trace_id", F.col("span_id").alias("up"), F.lit(1).cast("long").alias("hops"))
-    state = nodes.join(there, ["trace_id", "up"], "left").select("trace_id", "span_id", F.when(F.col("hops").isNotNull(), F.col("up")).alias("up"), F.coalesce("hops", F.lit(0)).cast("long").alias("hops"))
-    state, still_open, before = written(state), None, None
+    state, still_open, before = written(links), None, None
     while still_open is None or 0 < still_open != before:
         before = still_open
-        over = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("over"), F.col("hops").alias("more"))
-        moved = state.where("up is not null").join(over, ["trace_id", "up"]).select("trace_id", "span_id", F.col("over").alias("up"), (F.col("hops") + F.col("more")).alias("hops"))
-        state = written(state.where("up is null").union(moved))
-        still_open = state.where("up is not null").count()
-    parents = state.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("known"), F.when(F.col("up").isNull(), F.col("hops") + 1).alias("below"))
+        over = state.select("trace_id", F.col("node").alias("next"), F.col("next").alias("over"), *[F.col(c).alias(f"more_{c}") for c in sums])
+        moved = state.where("next is not null").join(over, ["trace_id", "next"]).select("trace_id", "node", F.col("over").alias("next"), *[(F.col(c) + F.col(f"more_{c}")).alias(c) for c in sums])
+        state = written(state.where("next is null").union(moved))
+        still_open = state.where("next is not null").count()
+    return state
+
+
+def _nodes(ids: DataFrame) -> DataFrame:
+    """One row a span id of a trace, with the smallest parent that its rows name, or null where that one isn't there (a root)."""
+    told = ids.where("trace_id is not null and span_id is not null").groupBy("trace_id", "span_id").agg(F.min("parent_span_id").alias("up"), F.min("start_time").alias("start_time"))
+    there = told.select("trace_id", F.col("span_id").alias("up"), F.lit(True).alias("known"))
+    return told.join(there, ["trace_id", "up"], "left").select("trace_id", "span_id", F.when(F.col("known"), F.col("up")).alias("up"), "start_time")
+
+
+def depths(spans: DataFrame) -> DataFrame:
+    """Depth of each span below its root, one row a row; orphans are roots. On a cycle or below one, depth is null.
+
+    Repeated span ids of a trace count as one parent, whose own parent is the smallest they name. A null id is a root's.
+    """
+    ids = written(spans.select("trace_id", "span_id", "parent_span_id", F.lit(0).alias("start_time")))
+    state = to_end(_nodes(ids).select("trace_id", F.col("span_id").alias("node"), F.col("up").alias("next"), F.col("up").isNotNull().cast("long").alias("hops")), "hops")
+    parents = state.select("trace_id", F.col("node").alias("parent_span_id"), F.lit(True).alias("known"), F.when(F.col("next").isNull(), F.col("hops") + 1).alias("below"))
     return ids.join(parents, ["trace_id", "parent_span_id"], "left").select("trace_id", "span_id", F.when(F.col("known"), F.col("below")).otherwise(0).cast("int").alias("depth"))
+
+
+def _siblings(nodes: DataFrame) -> DataFrame:
+    """Nodes with their family (parent's id, or none), next sibling by start_time and id, and whether they are the first.
+
+    Families are cut where ranges of the sorted nodes end, so that one of any size is spread over tasks; the cuts,
+    as few as there are partitions, are then sewn up by joining each piece's last row to the next piece's first.
+    """
+    family = F.when(F.col("up").isNull(), "r").otherwise(F.concat(F.lit("c"), "up"))
+    cut = written(nodes.withColumn("family", family).repartitionByRange("trace_id", "family", "start_time", "span_id").withColumn("piece", F.spark_partition_id()))
+    piece = Window.partitionBy("trace_id", "family", "piece").orderBy(F.col("start_time"), "span_id")
+    rows = written(cut.withColumn("after", F.lead("span_id").over(piece)).withColumn("leads", F.row_number().over(piece) == 1))
+    pieces = Window.partitionBy("trace_id", "family").orderBy("piece")
+    heads = rows.where("leads").select("trace_id", "family", "piece", F.lead("span_id").over(pieces).alias("sewn"), (F.row_number().over(pieces) == 1).alias("opens"))
+    return rows.join(heads, ["trace_id", "family", "piece"]).select("trace_id", "span_id", "up", "family", F.coalesce("after", "sewn").alias("after"), (F.col("leads") & F.col("opens")).alias("first"))
+
+
+def preorder(spans: DataFrame) -> DataFrame:
+    """Depth and position (from 1) of each span id in its trace's tree, parents before children, siblings and roots by start_time, then id.
+
+    One row a trace and span id; rows without either are left out. Orphans are roots. On a cycle or below one both are
+    null. The walk enters and leaves each span once, and is a linked list of these steps: what is left of it from a
+    span on gives its place and depth, so neither depth nor size of a trace is bounded by a task.
+    """
+    ids = written(spans.select("trace_id", "span_id", "parent_span_id", "start_time"))
+    tree = written(_siblings(_nodes(ids)))
+    step = lambda side, c: F.concat(F.lit(side), c)
+    child = tree.where("first and up is not null").select("trace_id", F.col("up").alias("span_id"), F.col("span_id").alias("child"))
+    enter = tree.join(child, ["trace_id", "span_id"], "left").select("trace_id", step("+", F.col("span_id")).alias("node"), F.coalesce(step("+", F.col("child")), step("-", F.col("span_id"))).alias("next"), F.lit(1).cast("long").alias("entered"), F.lit(1).cast("long").alias("net"))
+    leave = tree.select("trace_id", step("-", F.col("span_id")).alias("node"), F.coalesce(step("+", F.col("after")), step("-", F.col("up"))).alias("next"), F.lit(0).cast("long").alias("entered"), F.lit(-1).cast("long").alias("net"))
+    done = to_end(enter.union(leave), "entered", "net").where("node like '+%'")
+    whole = done.where("next is null").groupBy("trace_id").agg(F.max("entered").alias("whole"))
+    ended = F.col("next").isNull()
+    return done.join(whole, "trace_id", "left").select("trace_id", F.expr("substr(node, 2)").alias("span_id"), F.when(ended, -F.col("net")).cast("int").alias("depth"), F.when(ended, F.col("whole") - F.col("entered") + 1).alias("position"))
