@@ -86,12 +86,16 @@ def safe_pattern(pattern: str) -> bool:
 
 
 def by_priority(custom, patterns=PATTERNS) -> list:
-    """Custom patterns (priority, type, expression, fields) among the built-in ones; highest first, custom first on ties."""
+    """Custom patterns (priority, type, expression, fields) among the built-in ones; lowest number first, custom first on ties."""
     ranked = [(p, tuple(rest)) for p, *rest in custom] + list(zip(PRIORITIES, patterns, strict=False))
-    return [p for _, p in sorted(ranked, key=lambda x: -x[0])]
+    return [p for _, p in sorted(ranked, key=lambda x: x[0])]
 
 
-def found_in(text: Column, patterns=PATTERNS) -> Column:
+#: The built-in patterns in the order in which they are tried.
+TRIED = tuple(by_priority([]))
+
+
+def found_in(text: Column, patterns=TRIED) -> Column:
     """array<struct<type,value>> of a text, by pattern, then place."""
     one = lambda p: F.transform(F.regexp_extract_all(text, F.lit(p[1]), F.lit(1)), lambda v: F.struct(F.lit(p[0]).alias("type"), v.alias("value")))
     return F.coalesce(F.flatten(F.array(*map(one, patterns))), F.array().cast("array<struct<type:string,value:string>>"))
@@ -116,7 +120,7 @@ def leaves(metadata: Column, depth: int = DEPTH) -> Column:
     return F.filter(entries, lambda e: e["value"].isNotNull() & ~e["value"].rlike(r"^[\[{]"))
 
 
-def from_metadata(metadata: Column, patterns=PATTERNS) -> Column:
+def from_metadata(metadata: Column, patterns=TRIED) -> Column:
     """A field whose name is that of a type gives its whole value; the text of any other is searched."""
     kinds = {n.lower(): kind for kind, _, names in reversed(list(patterns)) for n in names}
     lookup = F.create_map(*[F.lit(x) for pair in sorted(kinds.items()) for x in pair])
@@ -129,7 +133,7 @@ def from_metadata(metadata: Column, patterns=PATTERNS) -> Column:
     return F.flatten(F.transform(leaves(metadata), of))
 
 
-def extract(logs: DataFrame, patterns=PATTERNS) -> DataFrame:
+def extract(logs: DataFrame, patterns=TRIED) -> DataFrame:
     """log_id, time, project_id, type, value, source: distinct by type and lower-cased value, the first spelling; one scan, one explode.
 
     The message comes first, then metadata (a JSON text column, if there is one). Numbers and booleans in

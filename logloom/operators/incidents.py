@@ -124,3 +124,20 @@ def paged(df: DataFrame, order: list, page: int, size: int) -> DataFrame:
     """A numbered page (from 1) with the total and the number of pages; the total is one row, joined by a constant."""
     total = df.agg(F.count("*").alias("total")).select(F.lit(1).alias("_one"), "total", F.ceil(F.col("total") / size).alias("pages"))
     return df.orderBy(*order).offset((page - 1) * size).limit(size).withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
+
+
+#: Fields that an update may set, and whether null or an empty text clears them or is passed over.
+CLEARABLE = {"title": False, "description": True, "severity": False, "status": False, "assignee": True}
+
+
+def updated(incidents: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """A new snapshot after changes (key, changed_at, field, value): of each field the last change counts, the greater value on ties.
+
+    Null clears description and assignee; null and empty texts set no title, severity or status. The field
+    'deleted' removes the incident. Changes are gathered by key first, so a key changed often is no hot key in the join.
+    """
+    fields = [f for f in CLEARABLE if f in incidents.columns]
+    sets = lambda f: (F.col("field") == f) if CLEARABLE[f] else (F.col("field") == f) & (F.col("value") != "")
+    last = changes.groupBy(F.col(key).alias("_key")).agg(F.bool_or(F.col("field") == "deleted").alias("_gone"), *[F.max(F.when(sets(f), F.struct("changed_at", "value"))).alias(f"_{f}") for f in fields])
+    joined = incidents.join(last, incidents[key] == last["_key"], "left").where(~F.coalesce("_gone", F.lit(False)))
+    return joined.select(*[F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(F.col(f"_{c}.value")).alias(c) if c in fields else F.col(c) for c in incidents.columns])

@@ -96,10 +96,14 @@ def loose(x):
     return x.select(even("time"), (F.col("id") % 1000).alias("date"), even("service"), F.when(F.col("id") % 3 == 0, F.lit("box")).alias("container_name"), F.lit(None).cast("string").alias("message"), F.col("message").alias("log"))
 
 
-def otlp_body(x, record, inner: str, middle: str, outer: str):
+def otlp_text(record, inner: str, middle: str, outer: str):
     text = lambda c: F.struct(c.alias("stringValue"))
     resource = F.struct(F.array(F.struct(F.lit("service.name").alias("key"), text(F.col("service")).alias("value"))).alias("attributes")).alias("resource")
-    return x.select(F.to_json(F.struct(F.array(F.struct(resource, F.array(F.struct(F.array(record).alias(inner))).alias(middle))).alias(outer))).alias("body"))
+    return F.to_json(F.struct(F.array(F.struct(resource, F.array(F.struct(F.array(record).alias(inner))).alias(middle))).alias(outer)))
+
+
+def otlp_body(x, *form):
+    return x.select(otlp_text(*form).alias("body"))
 
 
 def otlp_record():

@@ -1,7 +1,9 @@
 """Hand-made cases: Sigma conditions against a naive evaluator, stack traces, adapters, scalars, streams."""
 
+import gzip
 import json
 import random
+import struct
 
 from pyspark.sql import functions as F
 
@@ -86,7 +88,7 @@ def test_identifiers_in_metadata(spark):
     maps = {r["log_id"]: r["found"] for r in identifiers.by_log(identifiers.extract(rows), [1]).collect()}
     assert set(maps) == {1} and maps[1]["user_id"] == ["ann", "user_id"]
     custom = [(70, "ticket", r"(T-\d+)", ())]
-    assert [p[0] for p in identifiers.by_priority(custom)].index("ticket") == 9 and len(identifiers.PRIORITIES) == len(identifiers.PATTERNS)
+    assert [p[0] for p in identifiers.by_priority(custom)][4:8] == ["order_id", "ticket", "order_id", "transaction_id"] and len(identifiers.PRIORITIES) == len(identifiers.PATTERNS)
 
 
 def test_sigma_rules_from_files(spark, tmp_path):
@@ -206,3 +208,73 @@ def test_depths_of_long_chains_and_cycles(spark):
     want |= {("b", "root"): 0, ("b", "child"): 1, ("b", "orphan"): 0, ("c", "s1"): 0, ("d", None): 0}
     assert len(got) == len(rows) and {(r["trace_id"], r["span_id"]): r["depth"] for r in got} == want
     assert traces.depths(spark.createDataFrame(rows[:0], "trace_id string, span_id string, parent_span_id string")).count() == 0
+
+
+def test_preorder(spark):
+    from logloom.operators import traces
+
+    told = "trace_id string, span_id string, parent_span_id string, start_time int"
+    rng = random.Random(4)
+    rows, kids = [], {}
+    for t in "abcdef":
+        for n in range(rng.choice([1, 5, 60])):
+            up = rng.choice([None, "gone", *[f"s{m}" for m in range(n)]])
+            rows.append((t, f"s{n}", up, rng.randrange(4)))
+    rows += [("chain", f"c{n}", f"c{n - 1}" if n else None, -n) for n in range(400)] + [("wide", f"w{n:04d}", "root", n % 7) for n in range(2000)] + [("wide", "root", None, 0)]
+    rows += [("loop", "x", "y", 0), ("loop", "y", "x", 0), ("loop", "below", "x", 0), ("loop", "self", "self", 0), ("loop", "ok", None, 0), ("only", "q", "q", 1), ("none", None, None, 1)]
+    known = {(t, s) for t, s, _, _ in rows}
+    for t, s, up, at in rows:
+        kids.setdefault((t, up if up is not None and (t, up) in known else None), []).append((at, s))
+    want = {(t, s): (None, None) for t, s, _, _ in rows if s}
+    for t in {r[0] for r in rows}:
+        todo, place = [(0, s) for _, s in sorted(k for k in kids.get((t, None), []) if k[1])][::-1], 0
+        while todo:
+            depth, s = todo.pop()
+            place += 1
+            want[t, s] = (depth, place)
+            todo += [(depth + 1, c) for _, c in sorted(kids.get((t, s), []))][::-1]
+    rows += rows[:3]
+    got = traces.preorder(spark.createDataFrame(rows, told)).collect()
+    assert len(got) == len(want) and {(r["trace_id"], r["span_id"]): (r["depth"], r["position"]) for r in got} == want
+    assert traces.preorder(spark.createDataFrame([], told)).count() == 0
+
+
+def wire(number: int, payload: bytes) -> bytes:
+    return bytes([number << 3 | 2, len(payload) & 127 | 128, len(payload) >> 7]) + payload
+
+
+def test_protobuf_bodies(spark):
+    from logloom.sources import otlp_protobuf
+
+    text = lambda s: wire(1, s.encode())
+    pair = lambda key, value: wire(1, key.encode()) + wire(2, value)
+    nested = wire(5, wire(1, text("a")) + wire(1, bytes([3 << 3]) + b"\xff" * 9 + b"\x01"))
+    record = b"\x09" + (17 * 10**6).to_bytes(8, "little") + b"\x10\x11" + wire(5, text("grün\0")) + wire(9, bytes(range(16))) + wire(6, pair("list", nested)) + wire(6, pair("pi", b"\x21" + struct.pack("<d", 3.5))) + b"\x45abcd"
+    body = wire(1, wire(1, wire(1, pair("service.name", text("api")))) + wire(2, wire(2, record)))
+    as_text = json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [{"body": {"stringValue": "j"}}]}]}]}).encode()
+    kind = "application/x-protobuf"
+    sent = [(kind, body), (kind, gzip.compress(body)), (kind, as_text), ("application/json", gzip.compress(as_text)), (None, as_text), ("text/odd", as_text), (kind, body[:-2]), (kind, b"\x1f\x8bno"), ("application/json", b"\xff"), (kind, None), (kind, b""), (kind, b"\x0b")]
+    read = otlp_protobuf.decoded(spark.createDataFrame(sent, "content_type string, body binary").coalesce(1), "logs")
+    assert [r["body"] is None for r in read.collect()] == [False] * 6 + [True] * 4 + [False, True]
+    rows = ingest.otlp_logs(read).collect()
+    assert [r["message"] for r in rows] == ["grün"] * 2 + ["j"] * 4
+    r = rows[1]
+    assert (r["service"], r["time_ms"], r["level"], r["trace_id"]) == ("api", 17, "error", bytes(range(16)).hex())
+    assert json.loads(r["metadata"])["list"] == ["a", -1] and json.loads(r["metadata"])["pi"] == 3.5
+    link = wire(1, b"\x01" * 16) + wire(2, b"\x02" * 8)
+    span = wire(1, b"\x0a" * 16) + wire(2, b"\x0b" * 8) + wire(5, b"op") + b"\x30\x02" + wire(13, link) + wire(15, b"\x18\x02") + wire(11, wire(2, b"went"))
+    requests = spark.createDataFrame([(kind, wire(1, wire(2, wire(2, span))))], "content_type string, body binary")
+    s = ingest.otlp_spans(otlp_protobuf.decoded(requests, "spans")).collect()[0]
+    assert (s["trace_id"], s["span_id"], s["operation"], s["kind"], s["status"]) == ("0a" * 16, "0b" * 8, "op", "SERVER", "ERROR")
+    assert json.loads(s["links"])[0]["span_id"] == "02" * 8 and json.loads(s["events"])[0]["name"] == "went"
+
+
+def test_incident_changes(spark):
+    from logloom.operators import incidents
+
+    rows = spark.createDataFrame([(1, "t", "open", "ann", 7), (2, "t", "open", "ann", 7), (3, None, None, None, 7), (4, "t", "open", None, 7)], "id int, title string, status string, assignee string, value int")
+    told = [(1, 1, "status", "resolved"), (1, 2, "status", None), (1, 3, "title", ""), (1, 1, "assignee", None), (2, 5, "deleted", None), (3, 1, "title", "a"), (3, 1, "title", "b"), (3, 2, "odd", "x"), (None, 1, "status", "no"), (9, 1, "status", "no")]
+    changes = spark.createDataFrame(told, "id int, changed_at int, field string, value string")
+    got = sorted(incidents.updated(rows, changes, "id").collect())
+    assert [tuple(r) for r in got] == [(1, "t", "resolved", None, 7), (3, "b", None, None, 7), (4, "t", "open", None, 7)]
+    assert incidents.updated(rows, changes.limit(0), "id").count() == 4
