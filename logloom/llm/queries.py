@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, html_extract, licenses, media, near_dedup, packing, secrets, toxicity, url_filter
+from . import ann, bpe, exact_dedup, html_extract, licenses, media, near_dedup, packing, secrets, toxicity, url_filter
 from .common import table
 
 QUERIES = {
@@ -16,9 +16,11 @@ QUERIES = {
     "op8_bpe": lambda s, d: bpe.round_trip(table(s, d, "documents")),
     "op9_media": lambda s, d: media.media_digests(table(s, d, "documents")),
     "op10_near_dedup": lambda s, d: near_dedup.near_duplicates(table(s, d, "documents")),
+    "op11_exact_dedup": lambda s, d: exact_dedup.exact_duplicates(table(s, d, "documents")),
 }
 
 ORACLES = {
     "op3_license_scan": licenses.oracle(),
     "op5_url_filter": url_filter.oracle(),
+    "op11_exact_dedup": exact_dedup.oracle(),
 }
