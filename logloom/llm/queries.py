@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, html_extract, lexical_search, licenses, media, near_dedup, packing, secrets, toxicity, url_filter
+from . import ann, bpe, centroids, exact_dedup, html_extract, lexical_search, licenses, media, near_dedup, packing, secrets, toxicity, url_filter
 from .common import table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_media": lambda s, d: media.media_digests(table(s, d, "documents")),
     "op10_near_dedup": lambda s, d: near_dedup.near_duplicates(table(s, d, "documents")),
     "op11_exact_dedup": lambda s, d: exact_dedup.exact_duplicates(table(s, d, "documents")),
+    "op12_centroid_clustering": lambda s, d: centroids.clusters(table(s, d, "embeddings")),
     "op13_lexical_search": lambda s, d: lexical_search.search(table(s, d, "documents"), table(s, d, "benchmark")),
 }
 
@@ -24,5 +25,6 @@ ORACLES = {
     "op3_license_scan": licenses.oracle(),
     "op5_url_filter": url_filter.oracle(),
     "op11_exact_dedup": exact_dedup.oracle(),
+    "op12_centroid_clustering": centroids.oracle(),
     "op13_lexical_search": lexical_search.oracle(),
 }
