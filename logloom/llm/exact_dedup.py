@@ -6,7 +6,8 @@ Texts are equal when they are identical without blanks, as `BLANKS` lists them;
 2. Rows are folded by key (partial counts leave each task, so a key of a third of all rows is one row a task) into
    entries. The directory starts at the depth at which buckets would hold `capacity` entries on average, and
    doubles while a bucket is overfull: only that bucket's entries are split by their next bit.
-3. Owner tasks take ranges of buckets, sort their entries by key and write the index, a file for each range.
+3. Owner tasks, as many as the session's shuffle partitions, take ranges of buckets, sort their entries by key and write
+   the index, a file for each range.
 4. Keys with more than one row are a chain until their bytes are compared: their texts are read again and folded by key
    and text. A key with two texts has collided; its rows are told apart by their texts, all others by their key.
 5. Every row meets its entry. Entries of more than a HEAVY-th of all rows, which are fewer than HEAVY, are
@@ -108,7 +109,8 @@ def build(texts: DataFrame, bits: int = BITS, capacity: int = CAPACITY) -> Index
     entries = written(folded(rows, ["key"]))
     pointers, depth = directory(entries, bits, capacity)
     owned = entries.withColumn("slot", slot(depth, bits)).join(pointers, "slot").drop("slot")
-    return Index(rows, written(owned.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")), pointers, depth)
+    owners = max(1, min(pointers.count(), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return Index(rows, written(owned.repartitionByRange(owners, "bucket", "key").sortWithinPartitions("bucket", "key")), pointers, depth)
 
 
 def collided(texts: DataFrame, entries: DataFrame) -> DataFrame:

@@ -187,9 +187,11 @@ def pieces(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def search_block(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame | None:
-    """The ranked documents of one block of items; None where no document has a term."""
+    """The ranked documents of one block of items; None where the block is empty or no document has a term."""
     spark = docs.sparkSession
     asked = [(r["item_id"], bytes(r["term"])) for r in pairs.collect()]  # PAIRS at most, or those of one item
+    if not asked:
+        return None
     vocabulary = {t: i for i, t in enumerate(sorted({t for _, t in asked}))}
     item_ids = sorted({i for i, _ in asked})
     number = {i: n for n, i in enumerate(item_ids)}
