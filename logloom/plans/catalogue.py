@@ -13,7 +13,7 @@ from logloom.sources import ingest
 QUERIES: dict = {}
 ORACLES: dict = {}
 DAY = "2024-01-15 00:00:00"
-HOUR, MONTH = "2024-01-30 22:57:13", "2023-12-31 23:57:13"  # an hour and 30 days before NOW
+MONTH = "2023-12-31 23:57:13"  # 30 days before NOW
 
 
 def register(name: str, query, sql: str | None = None, *names: str) -> None:
@@ -91,7 +91,7 @@ EDGES = "select p.service_name as source, c.service_name as target, count(*) as
 register("service_dependencies", lambda s, d: traces.dependencies(view(s, d, "spans")), EDGES, "spans")
 register("service_nodes", lambda s, d: traces.nodes(traces.dependencies(view(s, d, "spans"))), f"select service, calls, 30 + 40.0::double * calls / max(calls) over () as size from (select service, sum(calls)::bigint as calls from (select source as service, calls from ({EDGES}) e union all select target, calls from ({EDGES}) e) x group by 1) y", "spans")
 register("span_waterfall", lambda s, d: traces.waterfall(spans(s, d)), f"select trace_id, span_id, case when total > 0 then date_diff('microsecond', t0, start_time) / total * 100 else 0 end as left_pct, case when total > 0 then greatest(date_diff('microsecond', start_time, end_time) / total * 100, 0.5) else 100 end as width_pct from (select *, date_diff('microsecond', t0, t1)::double as total from (select *, min(start_time) over (partition by trace_id) as t0, max(end_time) over (partition by trace_id) as t1 from ({SPANS_SQL}) s) w) v", "spans")
-register("span_depth", lambda s, d: traces.depths(view(s, d, "spans")), "select trace_id, span_id, case when span_id like 'o%' then 0 when (trace_id, 'o' || substr(trace_id, 2)) in (select (trace_id, span_id) from spans) then cast(split_part(span_id, '-', 2) as int) else cast(split_part(span_id, '-', 2) as int) - 1 end as depth from spans", "spans")
+register("span_depth", lambda s, d: traces.depths(view(s, d, "spans")), "select trace_id, span_id, case when span_id like 'o%' then 0 else cast(split_part(span_id, '-', 2) as int) - case when bool_or(span_id like 'o%') over (partition by trace_id) then 0 else 1 end end as depth from spans", "spans")
 
 # alerts
 register("alert_rule_scope", on("alert_rules")(lambda r: r.where("project_id = 2 or project_id is null").select("rule_id", "threshold")), "select rule_id, threshold from alert_rules where project_id = 2 or project_id is null", "alert_rules")
@@ -159,8 +159,9 @@ register("siem_severity_share", detected(siem.severity_share), f"select severity
 register("siem_mitre_heatmap", detected(siem.mitre_heatmap), f"select techniques, tactics, count(*) as n from ({DETECTED}) d where techniques <> '' group by 1, 2 order by n desc, techniques, tactics limit 50", "logs")
 WEIGHT = "case severity when 'critical' then 5 when 'high' then 4 when 'medium' then 3 when 'low' then 2 else 1 end"
 register("incident_by_trace", detected(lambda q: siem.incidents_by_trace(q).drop("tactics", "techniques").withColumn("log_ids", F.array_join(F.transform("log_ids", lambda i: i.cast("string")), ","))), f"select trace_id, project_id, count(*) as n, min(time) as start_time, max(time) as end_time, arg_max(severity, {WEIGHT}) as severity, string_agg(distinct service, ',' order by service) as services, array_to_string(list_sort(list(log_id)), ',') as log_ids from ({DETECTED}) d where trace_id is not null group by 1, 2 having count(*) > 1", "logs")
-for name, since in (("incident_burst", HOUR), ("incident_burst_month", MONTH)):
-    register(name, detected(lambda q, t=since: siem.incidents_by_burst(q, since=t)), f"select service, severity, time_bucket(interval '5 minutes', time) as bucket, count(*) as n, arg_min(project_id, (time, log_id, rule_id)) as project_id, min(time) as start_time, max(time) as end_time from ({DETECTED}) d where trace_id is null and time >= timestamp '{since}' group by 1, 2, 3 having count(*) >= 3", "logs")
+BUSY = DETECTED.replace("from logs where", "from busy_logs where")
+for name, since in (("incident_burst", "2024-01-01 22:00:00"), ("incident_burst_month", MONTH)):
+    register(name, on("busy_logs")(lambda x, t=since: siem.incidents_by_burst(sigma.detect(x), since=t)), f"select service, severity, time_bucket(interval '5 minutes', time) as bucket, count(*) as n, arg_min(project_id, (time, log_id, rule_id)) as project_id, min(time) as start_time, max(time) as end_time from ({BUSY}) d where trace_id is null and time >= timestamp '{since}' group by 1, 2, 3 having count(*) >= 3", "busy_logs")
 
 INCIDENTS = f"select trace_id, project_id, arg_max(severity, {WEIGHT}) as severity, concat(trace_id, '/', cast(project_id as varchar)) as incident_id from ({DETECTED}) d where trace_id is not null group by 1, 2 having count(*) > 1"
 once = lambda fn: logs(lambda x: fn(written(sigma.detect(x))))  # noqa: E731  detections that are used twice are written, not found twice

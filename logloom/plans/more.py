@@ -20,7 +20,7 @@ register("incident_links", once(lambda q: incidents.links(q, siem.incidents_by_t
 register("siem_totals", once(lambda q: incidents.totals(q, incidents_of(q))), f"select (select count(*) from ({DETECTED}) d) as detections, count(*) as incidents, count(*) filter (status in ('open', 'investigating')) as open, count(*) filter (severity = 'critical') as critical from ({INCIDENTS}) i", "logs")
 PICKED = f"select trace_id, project_id, status, severity from ({INCIDENTS}) i"
 register("incidents_by_status", detected(lambda q: incidents.listed(incidents_of(q), statuses=["open", "investigating"], severities="critical", assignee="ann", technique="T1190").select("trace_id", "project_id", "status", "severity")), f"{PICKED} where status in ('open', 'investigating') and severity = 'critical' and assignee = 'ann' and exists (select 1 from ({DETECTED}) d where d.trace_id = i.trace_id and d.project_id = i.project_id and list_contains(string_split(techniques, ','), 'T1190'))", "logs")
-register("incident_by_id", detected(lambda q: incidents_of(q).where("trace_id = 'trace-7-2024-01-15' and project_id = 7").select("trace_id", "project_id", "status", "severity")), f"{PICKED} where trace_id = 'trace-7-2024-01-15' and project_id = 7", "logs")
+register("incident_by_id", detected(lambda q: incidents_of(q).where("trace_id = 'trace-12-2024-01-12' and project_id = 12").select("trace_id", "project_id", "status", "severity")), f"{PICKED} where trace_id = 'trace-12-2024-01-12' and project_id = 12", "logs")
 TACTICS = sorted({t for r in sigma.PACKS for t in sigma.mitre(r.tags)[0]})
 MATRIX = ", ".join(f"count(*) filter (tactics = '{t}') as {t}" for t in TACTICS)
 register("siem_heatmap_matrix", detected(lambda q: incidents.heatmap_matrix(q, TACTICS)), f"select techniques, {MATRIX} from ({DETECTED}) d where techniques <> '' group by 1", "logs")

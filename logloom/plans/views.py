@@ -22,6 +22,10 @@ LOGS = f"""select event_id as id, ts as time, cast(user_id % 25 as int) as proje
   case when event_id % 3 = 0 then concat('trace-', cast(user_id as string), '-', cast(cast(ts as date) as string)) end as trace_id
 from events"""
 
+#: The same within a day, to the second: events come often enough for bursts.
+BUSY_TIME = "date_trunc('second', (select min(ts) from events) + (ts - (select min(ts) from events)) / 31)"
+BUSY = LOGS.replace("ts as time", f"{BUSY_TIME} as time")
+
 SPANS = """select concat('t', cast(o_orderkey as string)) as trace_id, concat('o', cast(o_orderkey as string)) as span_id, cast(null as string) as parent_span_id,
   concat('orders-', substr(o_orderpriority, 1, 1)) as service_name, 'place_order' as operation_name, cast(o_orderdate as timestamp) as start_time, 0 as minutes,
   case when o_orderstatus = 'F' then 'ERROR' else 'OK' end as status_code from orders
@@ -40,12 +44,12 @@ ALERT_HISTORY = "select event_id as id, event_id % 6 as rule_id, ts as triggered
 ORGS = "select r_regionkey as id, r_name as name from region"
 PROJECTS = "select cast(n_nationkey as int) as id, n_regionkey as organization_id, n_name as name from nation"
 
-TEXTS = {"logs": LOGS, "spans": SPANS, "alert_rules": ALERT_RULES, "alert_history": ALERT_HISTORY, "organizations": ORGS, "projects": PROJECTS}
-SOURCES = {"logs": ("events",), "spans": ("orders", "lineitem"), "alert_rules": (), "alert_history": ("events",), "organizations": ("region",), "projects": ("nation",)}
+TEXTS = {"logs": LOGS, "busy_logs": BUSY, "spans": SPANS, "alert_rules": ALERT_RULES, "alert_history": ALERT_HISTORY, "organizations": ORGS, "projects": PROJECTS}
+SOURCES = {"logs": ("events",), "busy_logs": ("events",), "spans": ("orders", "lineitem"), "alert_rules": (), "alert_history": ("events",), "organizations": ("region",), "projects": ("nation",)}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text = TEXTS[name]
+    text = TEXTS[name].replace(BUSY_TIME, f"cast({BUSY_TIME} as timestamp_ntz)")
     for source in SOURCES[name]:
         text = text.replace(f"from {source}", f"from {{{source}}}")
     return spark.sql(text, **{s: table(spark, sf_dir, s) for s in SOURCES[name]})

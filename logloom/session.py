@@ -43,18 +43,43 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """df as Parquet in the shared folder, read again: cuts the lineage in a way that outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/logloom-{uuid.uuid4().hex}"
-    WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clean(spark: SparkSession) -> None:
     """Removes the intermediate tables that this application has written; results that still read them must be done."""
-    jvm = spark._jvm
     for path in WRITTEN.pop(spark.sparkContext.applicationId, []):
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        remove(spark, path)
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, where = _at(spark, path)
+    return store.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    store, where = _at(spark, path)
+    store.delete(where, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, in order; none if it isn't there."""
+    store, where = _at(spark, path)
+    return sorted(x.getPath().getName() for x in store.listStatus(where) if x.isDirectory()) if store.exists(where) else []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, which clean() removes."""
+    path = f"{shared_dir(spark)}/logloom-{uuid.uuid4().hex}"
+    WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def local_session(app: str = "logloom", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:

@@ -1,5 +1,6 @@
-"""Structured Streaming counterparts: hourly counts with late data, live tail, detections, alerts, incidents, trace assembly, new error groups.
+"""Structured Streaming counterparts: hourly counts with late data, live tail, detections, trace sessions, new error groups.
 
+Alerts are in alarms, incidents in casework, whole traces in spanstore, stored counts in rollups.
 State is bounded by a watermark wherever there is any. To run a stream over what is there now and stop, see to_parquet.
 """
 
@@ -10,8 +11,6 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.operators import siem
-from logloom.operators.alerts import fired
 from logloom.operators.search import search
 from logloom.operators.sigma import PACKS, detect
 from logloom.session import shared_dir
@@ -61,46 +60,6 @@ def once_per_log(errors: DataFrame, within: str = "1 day") -> DataFrame:
     return watched(errors, within).dropDuplicatesWithinWatermark(["log_id"])
 
 
-def run_now(stream: DataFrame, each, mode: str = "append") -> None:
-    """each(batch, number) on what is there now, in micro-batches; batches don't overlap."""
-    path = f"{shared_dir(stream.sparkSession)}/logloom-{uuid.uuid4().hex}"
-    stream.writeStream.outputMode(mode).option("checkpointLocation", path).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
-
-
-def evaluate_alerts(logs: DataFrame, rules: DataFrame, path: str) -> None:
-    """Threshold alerts, evaluated with each micro-batch on all logs so far, at the newest log's time.
-
-    Logs are kept at path/logs; what fires is appended at path/history (rule_id, triggered_at, log_count). That
-    history is the state: a rule that has fired counts anew. A batch that is run again overwrites its own rows.
-    """
-    told = "rule_id int, triggered_at timestamp_ntz, log_count long"
-
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/logs/batch={number}")
-        now = str(batch.agg(F.max("time").alias("t")).head()["t"])
-        if now == "None":
-            return
-        every = spark.read.schema(batch.schema).parquet(f"{path}/logs")
-        before = spark.read.schema(told + ", batch int").parquet(f"{path}/history").where(F.col("batch") < number)
-        found = fired(rules, before.select("rule_id", "triggered_at"), every, now)
-        found.select("rule_id", F.lit(now).cast("timestamp_ntz").alias("triggered_at"), "log_count").write.mode("overwrite").parquet(f"{path}/history/batch={number}")
-
-    logs.sparkSession.createDataFrame([], told).write.mode("ignore").parquet(f"{path}/history/batch=-1")
-    run_now(logs, each)
-
-
-def incidents(logs: DataFrame, path: str, rules=PACKS) -> None:
-    """Detections of each micro-batch are appended at path/detections, and the trace incidents over all of them replace path/incidents."""
-
-    def each(batch: DataFrame, number: int) -> None:
-        detect(batch, rules).write.mode("overwrite").parquet(f"{path}/detections/batch={number}")
-        every = batch.sparkSession.read.parquet(f"{path}/detections")
-        siem.incidents_by_trace(every).write.mode("overwrite").parquet(f"{path}/incidents")
-
-    run_now(logs, each)
-
-
 def fresh(table: DataFrame, checked: str, now: str, hours: int = 24) -> DataFrame:
     """Rows of an enrichment table that must be looked up again: checked never, or `hours` ago and more."""
     return table.where(F.col(checked).isNull() | (F.col(checked) <= F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {hours} hours")))

@@ -131,20 +131,12 @@ def test_syslog_forms(spark):
 
 
 def test_stream_state(spark, tmp_path):
-    """Late rows, closed sessions, alerts that have fired, ignored groups."""
+    """Sessions close with the watermark."""
     rows = [("t1", "2024-01-01 00:00:00", "OK"), ("t1", "2024-01-01 00:10:00", "ERROR"), ("t2", "2024-01-01 00:20:00", "OK"), ("t3", "2024-01-03 00:00:00", "OK")]
     spans = spark.createDataFrame(rows, "trace_id string, start_time string, status_code string").withColumn("start_time", F.col("start_time").cast("timestamp")).withColumn("end_time", F.col("start_time"))
     spans.write.parquet(str(tmp_path / "spans"))
     found = streams.drain(streams.traces(spark.readStream.schema(spans.schema).parquet(str(tmp_path / "spans"))), "spans_seen", str(tmp_path / "c0")).collect()
     assert sorted((r["trace_id"], r["span_count"], r["error"]) for r in found) == [("t1", 2, True), ("t2", 1, False)]  # t3 may still go on
-    logs = spark.createDataFrame([(i, f"2024-01-01 0{i // 4}:0{i % 4}:00", "s", "error", 1) for i in range(8)], "id long, time string, service string, level string, project_id int").withColumn("time", F.col("time").cast("timestamp_ntz"))
-    for i, part in enumerate(("time < timestamp_ntz'2024-01-01 01:00:00'", "time >= timestamp_ntz'2024-01-01 01:00:00'")):
-        logs.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "logs"))
-    rules = spark.createDataFrame([(1, None, "error", None, 3, 600, True), (2, None, "error", None, 5, 600, True)], "rule_id int, service string, levels string, project_id int, threshold int, time_window int, enabled boolean")
-    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "logs"))
-    streams.evaluate_alerts(stream, rules, str(tmp_path / "alerts"))
-    got = sorted((r["rule_id"], str(r["triggered_at"]), r["log_count"]) for r in spark.read.parquet(str(tmp_path / "alerts/history")).collect())
-    assert got == [(1, "2024-01-01 00:03:00", 4), (1, "2024-01-01 01:03:00", 4), (2, "2024-01-01 01:03:00", 8)]
 
 
 def test_scalars(spark):
