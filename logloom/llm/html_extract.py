@@ -105,6 +105,12 @@ class Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags, self.linked, self.hid, self.weak = 0, 0, False, False
 
+    def parse_html_declaration(self, i):
+        """What isn't a comment or doctype is passed over up to its end, as browsers do; the standard parser gives up at some of it."""
+        if self.rawdata.startswith("<![", i):
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
     def cut(self):
         text = " ".join("".join(self.parts).split())
         if text or self.hid:
