@@ -75,8 +75,8 @@ def mitre_techniques(tags: Column) -> Column:
 
 
 def ns_to_ms(n: Column) -> Column:
-    """Whole milliseconds, truncated toward zero."""
-    n = n.cast("bigint")
+    """Whole milliseconds, truncated toward zero; null for what is no 64-bit number."""
+    n = n.try_cast("bigint")
     return ((n - n % 1_000_000) / 1_000_000).cast("bigint")
 
 

@@ -14,6 +14,13 @@ def last_triggers(history: DataFrame) -> DataFrame:
     return history.groupBy("rule_id").agg(F.max("triggered_at").alias("last_trigger"))
 
 
+def in_scope(rules: DataFrame, projects: DataFrame) -> DataFrame:
+    """Each project (project_id) with the rules that hold there: its own, and those of no project. Rules of no project are meant for all, so as many rows are the result."""
+    own = projects.join(rules, "project_id")
+    every = rules.where("project_id is null").drop("project_id").withColumn("_one", F.lit(1))
+    return own.unionByName(projects.withColumn("_one", F.lit(1)).join(every, "_one").drop("_one"))
+
+
 def fired(rules: DataFrame, history: DataFrame, logs: DataFrame, now: str) -> DataFrame:
     """Enabled rules whose count since max(last trigger, now - window), exclusive, reaches the threshold.
 

@@ -2,49 +2,49 @@
 
 from __future__ import annotations
 
+import json
 import re
+from functools import reduce
+from operator import or_
+from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.operators.analytics import ntz
+from logloom.session import ship
 
-_JOIN, _QUOTE = r"[:=\s]", "[\"']?"
+class Pattern(NamedTuple):
+    """priority: the lowest number is tried first. fields: metadata fields whose whole value is of that type. marks: texts, lower-case, of which what fits holds one; none: unknown."""
 
+    priority: int
+    type: str
+    expression: str
+    fields: tuple[str, ...] = ()
+    marks: tuple[str, ...] = ()
 
-def _named(names: str, value: str) -> str:
-    """`name=value`, `name: value`, `name "value"`."""
-    return rf"(?i)\b(?:{names}){_JOIN}{_QUOTE}({value}){_QUOTE}"
 
-
-def _prefixed(value: str) -> str:
-    return rf"(?i)\b({value})\b"
-
-
-#: Identifier patterns by priority (type, expression, metadata fields of that type).
+#: The built-in identifier patterns.
 PATTERNS = (
-    ("uuid", _prefixed("[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"), ("id", "uuid", "guid")),
-    ("request_id", _named("req(?:uest)?[-_]?id|requestId", r"[a-zA-Z0-9\-_]{8,64}"), ("request_id", "requestId", "req_id", "reqId", "x-request-id")),
-    ("request_id", _prefixed(r"req[-_][a-zA-Z0-9\-_]{6,32}"), ()),
-    ("session_id", _named("sess(?:ion)?[-_]?id|sessionId", r"[a-zA-Z0-9\-_]{16,128}"), ("session_id", "sessionId", "sid", "session")),
-    ("session_id", _prefixed(r"sess[-_][a-zA-Z0-9\-_]{8,64}"), ()),
-    ("user_id", _named("user[-_]?id|userId|uid", r"[a-zA-Z0-9\-_]{1,64}"), ("user_id", "userId", "uid", "user")),
-    ("user_id", _prefixed(r"user[-_][a-zA-Z0-9\-_]{1,32}"), ()),
-    ("transaction_id", _named("tx(?:n)?[-_]?id|transactionId", r"[a-zA-Z0-9\-_]{8,64}"), ("transaction_id", "transactionId", "tx_id", "txId", "txn_id", "txnId")),
-    ("transaction_id", _prefixed(r"txn?[-_][a-zA-Z0-9\-_]{6,32}"), ()),
-    ("order_id", _named("order[-_]?id|orderId", r"[a-zA-Z0-9\-_]{4,64}"), ("order_id", "orderId", "order")),
-    ("order_id", _prefixed(r"ord(?:er)?[-_][a-zA-Z0-9\-_]{4,32}"), ()),
-    ("correlation_id", _named("corr(?:elation)?[-_]?id|correlationId|x-correlation-id", r"[a-zA-Z0-9\-_]{8,64}"), ("correlation_id", "correlationId", "corr_id", "x-correlation-id")),
-    ("correlation_id", _prefixed(r"corr[-_][a-zA-Z0-9\-_]{6,32}"), ()),
-    ("trace_id", _named("trace[-_]?id|traceId", "[a-f0-9]{32}"), ("trace_id", "traceId", "x-trace-id")),
-    ("span_id", _named("span[-_]?id|spanId", "[a-f0-9]{16}"), ("span_id", "spanId", "x-span-id")),
+    Pattern(100, "uuid", r"(?i)\b([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\b", ("id", "uuid", "guid"), ("-",)),
+    Pattern(90, "request_id", r"""(?i)\b(?:req(?:uest)?[-_]?id|requestId)[:=\s]["']?([a-zA-Z0-9\-_]{8,64})["']?""", ("request_id", "requestId", "req_id", "reqId", "x-request-id"), ("req",)),
+    Pattern(89, "request_id", r"(?i)\b(req[-_][a-zA-Z0-9\-_]{6,32})\b", (), ("req-", "req_")),
+    Pattern(85, "session_id", r"""(?i)\b(?:sess(?:ion)?[-_]?id|sessionId)[:=\s]["']?([a-zA-Z0-9\-_]{16,128})["']?""", ("session_id", "sessionId", "sid", "session"), ("sess",)),
+    Pattern(84, "session_id", r"(?i)\b(sess[-_][a-zA-Z0-9\-_]{8,64})\b", (), ("sess-", "sess_")),
+    Pattern(80, "user_id", r"""(?i)\b(?:user[-_]?id|userId|uid)[:=\s]["']?([a-zA-Z0-9\-_]{1,64})["']?""", ("user_id", "userId", "uid", "user"), ("user", "uid")),
+    Pattern(79, "user_id", r"(?i)\b(user[-_][a-zA-Z0-9\-_]{1,32})\b", (), ("user-", "user_")),
+    Pattern(75, "transaction_id", r"""(?i)\b(?:tx(?:n)?[-_]?id|transactionId)[:=\s]["']?([a-zA-Z0-9\-_]{8,64})["']?""", ("transaction_id", "transactionId", "tx_id", "txId", "txn_id", "txnId"), ("tx", "transactionid")),
+    Pattern(74, "transaction_id", r"(?i)\b(txn?[-_][a-zA-Z0-9\-_]{6,32})\b", (), ("tx",)),
+    Pattern(70, "order_id", r"""(?i)\b(?:order[-_]?id|orderId)[:=\s]["']?([a-zA-Z0-9\-_]{4,64})["']?""", ("order_id", "orderId", "order"), ("order",)),
+    Pattern(69, "order_id", r"(?i)\b(ord(?:er)?[-_][a-zA-Z0-9\-_]{4,32})\b", (), ("ord",)),
+    Pattern(65, "correlation_id", r"""(?i)\b(?:corr(?:elation)?[-_]?id|correlationId|x-correlation-id)[:=\s]["']?([a-zA-Z0-9\-_]{8,64})["']?""", ("correlation_id", "correlationId", "corr_id", "x-correlation-id"), ("corr",)),
+    Pattern(64, "correlation_id", r"(?i)\b(corr[-_][a-zA-Z0-9\-_]{6,32})\b", (), ("corr-", "corr_")),
+    Pattern(60, "trace_id", r"""(?i)\b(?:trace[-_]?id|traceId)[:=\s]["']?([a-f0-9]{32})["']?""", ("trace_id", "traceId", "x-trace-id"), ("trace",)),
+    Pattern(55, "span_id", r"""(?i)\b(?:span[-_]?id|spanId)[:=\s]["']?([a-f0-9]{16})["']?""", ("span_id", "spanId", "x-span-id"), ("span",)),
 )
 
 
-#: Priorities of these patterns, in order.
-PRIORITIES = (100, 90, 89, 85, 84, 80, 79, 75, 74, 70, 69, 65, 64, 60, 55)
-
-
 def repeats(pattern) -> list[tuple[int, int, bool]]:
     """(least, most, whether inside another unbounded repeat) of every repeat of a compiled pattern's tree."""
     out = []
@@ -85,10 +85,9 @@ def safe_pattern(pattern: str) -> bool:
     return len(found) <= 25 and not any(nested for _, _, nested in found)
 
 
-def by_priority(custom, patterns=PATTERNS) -> list:
+def by_priority(custom, patterns=PATTERNS) -> list[Pattern]:
     """Custom patterns (priority, type, expression, fields) among the built-in ones; lowest number first, custom first on ties."""
-    ranked = [(p, tuple(rest)) for p, *rest in custom] + list(zip(PRIORITIES, patterns, strict=False))
-    return [p for _, p in sorted(ranked, key=lambda x: x[0])]
+    return sorted([*(Pattern(*p) for p in custom), *patterns], key=lambda p: p.priority)
 
 
 #: The built-in patterns in the order in which they are tried.
@@ -96,53 +95,79 @@ TRIED = tuple(by_priority([]))
 
 
 def found_in(text: Column, patterns=TRIED) -> Column:
-    """array<struct<type,value>> of a text, by pattern, then place."""
-    one = lambda p: F.transform(F.regexp_extract_all(text, F.lit(p[1]), F.lit(1)), lambda v: F.struct(F.lit(p[0]).alias("type"), v.alias("value")))
-    return F.coalesce(F.flatten(F.array(*map(one, patterns))), F.array().cast("array<struct<type:string,value:string>>"))
+    """array<struct<type,value>> of a text, by pattern, then place. An expression runs only on texts that hold one of its marks."""
+
+    def one(p: Pattern) -> Column:
+        found = F.transform(F.regexp_extract_all(text, F.lit(p.expression), F.lit(1)), lambda v: F.struct(F.lit(p.type).alias("type"), v.alias("value")))
+        if not p.marks:
+            return found
+        low = F.lower(text)
+        return F.when(reduce(or_, [low.contains(m) for m in p.marks]), found).otherwise(F.array().cast(FOUND))
 
+    return F.coalesce(F.flatten(F.array(*map(one, patterns))), F.array().cast(FOUND))
 
-#: One level of nesting for each of these: a path's own name, then names inside objects.
-DEPTH = 4
+
+FOUND = "array<struct<type:string,value:string>>"
+LEAVES = "array<struct<path:string,key:string,value:string>>"
+
+
+def text_fields(metadata: str | None) -> list[dict]:
+    """The fields of a JSON object, and of objects in it at any depth, whose values are texts, in order; objects in lists are passed over.
+
+    Nothing for anything but an object, or one that is nested deeper than the parser reads (some thousands).
+    """
+    try:
+        told = json.loads(metadata) if metadata else None
+    except (ValueError, RecursionError):
+        return []
+    out, open_ = [], [("metadata", iter(told.items()))] if isinstance(told, dict) else []
+    while open_:
+        prefix, fields = open_[-1]
+        if (field := next(fields, None)) is None:
+            open_.pop()
+        elif isinstance(field[1], str):
+            out.append({"path": f"{prefix}.{field[0]}", "key": field[0], "value": field[1]})
+        elif isinstance(field[1], dict):
+            open_.append((f"{prefix}.{field[0]}", iter(field[1].items())))
+    return [{k: v.encode("utf-8", "replace").decode() for k, v in x.items()} for x in out]
 
 
-def leaves(metadata: Column, depth: int = DEPTH) -> Column:
-    """array<struct<k,v>> of the fields of a JSON object whose values are texts, objects inside it included."""
-    none = F.array().cast("array<struct<key:string,value:string>>")
-    parsed = lambda v: F.coalesce(F.map_entries(F.from_json(v, "map<string,string>")), none)
+def leaves(metadata: Column) -> Column:
+    """text_fields of a column."""
 
-    def opened(entries: Column) -> Column:
-        inside = F.flatten(F.transform(F.filter(entries, lambda e: e["value"].startswith("{")), lambda e: parsed(e["value"])))
-        return F.concat(F.filter(entries, lambda e: ~e["value"].startswith("{")), inside)
+    @F.pandas_udf(LEAVES)
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(text_fields)
 
-    entries = parsed(metadata)
-    for _ in range(depth - 1):
-        entries = F.transform(F.array(entries), opened)[0]  # through an array, so that it is computed once
-    return F.filter(entries, lambda e: e["value"].isNotNull() & ~e["value"].rlike(r"^[\[{]"))
+    return read(metadata)
 
 
-def from_metadata(metadata: Column, patterns=TRIED) -> Column:
-    """A field whose name is that of a type gives its whole value; the text of any other is searched."""
-    kinds = {n.lower(): kind for kind, _, names in reversed(list(patterns)) for n in names}
-    lookup = F.create_map(*[F.lit(x) for pair in sorted(kinds.items()) for x in pair])
+def from_metadata(fields: Column, patterns=TRIED) -> Column:
+    """array<struct<type,value,source>> of text fields: one whose name is that of a type gives its whole value; the text of any other is searched."""
+    kinds = {n.lower(): p.type for p in reversed(list(patterns)) for n in p.fields}
+    lookup = F.create_map(*[F.lit(x) for pair in sorted(kinds.items()) for x in pair]) if kinds else F.create_map(F.lit(""), F.lit(None).cast("string"))
 
     def of(e: Column) -> Column:
         kind = F.try_element_at(lookup, F.lower(e["key"]))
-        own = F.array(F.struct(kind.alias("type"), e["value"].alias("value")))
-        return F.when(kind.isNotNull() & (e["value"] != ""), own).otherwise(found_in(e["value"], patterns))
+        own = F.array(F.struct(kind.alias("type"), e["value"].alias("value"), e["path"].alias("source")))
+        searched = F.transform(found_in(e["value"], patterns), lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"), e["path"].alias("source")))
+        return F.when(kind.isNotNull() & (e["value"] != ""), own).otherwise(searched)
 
-    return F.flatten(F.transform(leaves(metadata), of))
+    return F.flatten(F.transform(fields, of))
 
 
 def extract(logs: DataFrame, patterns=TRIED) -> DataFrame:
     """log_id, time, project_id, type, value, source: distinct by type and lower-cased value, the first spelling; one scan, one explode.
 
-    The message comes first, then metadata (a JSON text column, if there is one). Numbers and booleans in
-    metadata are taken as texts.
+    The message comes first, then the text fields of metadata (a JSON text column, if there is one) at any depth; source
+    is `message`, or the field's path. Only metadata that may hold such fields leaves the JVM.
     """
-    mark = lambda found, source: F.transform(found, lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"), F.lit(source).alias("source")))
-    every = mark(found_in(F.col("message"), patterns), "message")
+    every = F.transform(found_in(F.col("message"), patterns), lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"), F.lit("message").alias("source")))
     if "metadata" in logs.columns:
-        every = F.concat(every, mark(from_metadata(F.col("metadata").cast("string"), patterns), "metadata"))
+        ship(logs.sparkSession)
+        told = F.col("metadata").cast("string")
+        logs = logs.select("id", "time", "project_id", "message", leaves(F.when(told.rlike(':\\s*["{]'), told)).alias("_fields"))
+        every = F.concat(every, from_metadata(F.col("_fields"), patterns))
     bound = lambda value, fn: F.transform(F.array(value), fn)[0]  # noqa: E731  inside a lambda, a bare expression would be computed for each element
     name = lambda x: F.concat(x["type"], F.lit(":"), F.lower(x["value"]))
 

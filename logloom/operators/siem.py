@@ -10,10 +10,9 @@ from logloom.operators.analytics import bucket
 
 
 def top_threats(detections: DataFrame, k: int = 10) -> DataFrame:
-    """Counted by rule; title, severity and tags depend on it, so one row's will do."""
-    told = ["title", "severity", "tactics", "techniques"]
-    counts = detections.groupBy("rule_id").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in told])
-    out = counts.orderBy(F.col("n").desc(), "rule_id").limit(k)
+    """Counted by rule, title, severity and tags: an edited rule, or one whose tags are stored, has a row of its own."""
+    counts = detections.groupBy("rule_id", "title", "severity", "tactics", "techniques").agg(F.count("*").alias("n"))
+    out = counts.orderBy(F.col("n").desc(), "rule_id", "title", "severity", "tactics", "techniques").limit(k)
     return out.select("rule_id", "title", "severity", F.array_join("tactics", ",").alias("tactics"), F.array_join("techniques", ",").alias("techniques"), "n")
 
 

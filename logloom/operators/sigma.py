@@ -11,8 +11,11 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import get_active_spark_context
 
 from logloom.functions.scalars import SIGMA_THRESHOLD
 
@@ -73,6 +76,15 @@ PACKS = (
 )
 
 
+def compiles(pattern: str) -> bool:
+    """Whether the engine takes a regular expression; a rule with another one matches nothing, and the rest are none the worse for it."""
+    try:
+        get_active_spark_context()._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
+
+
 def _leaf(c: Column, value, modifier: str) -> Column:
     if modifier == "exists":
         return c.isNotNull() if value in (True, "true") else c.isNull()
@@ -84,7 +96,7 @@ def _leaf(c: Column, value, modifier: str) -> Column:
     elif modifier == "endswith":
         out = low.endswith(v.lower())
     elif modifier == "re":
-        out = F.regexp_like(low, F.lit(v.lower()) if v.lower() == v else F.lit("(?i)" + v))
+        out = F.regexp_like(low, F.lit(v.lower()) if v.lower() == v else F.lit("(?i)" + v)) if compiles(v) else F.lit(False)
     elif modifier == "all":
         out = F.lit(True)
         for word in v.lower().split():

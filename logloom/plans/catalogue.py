@@ -71,7 +71,7 @@ register("dashboard_timeseries", logs(lambda x: analytics.timeseries(analytics.r
 MEMBERS = "select c_custkey as user_id, n_regionkey as organization_id from customer join nation on c_nationkey = n_nationkey"
 members = lambda s, d: table(s, d, "customer").join(F.broadcast(table(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("user_id"), F.col("n_regionkey").alias("organization_id"))
 register("top_orgs", on("logs", "projects", "organizations")(admin.top_orgs), "select p.organization_id, count(*) as n, o.name from logs l join projects p on l.project_id = p.id join organizations o on p.organization_id = o.id group by 1, 3 order by n desc, name limit 10", "logs", "projects", "organizations")
-register("top_projects", on("logs", "projects")(lambda x, p: analytics.top(x, "project_id", 10).join(F.broadcast(p.select(F.col("id").alias("project_id"), "name")), "project_id")), "select project_id, n, name from (select project_id, count(*) as n from logs group by 1 order by n desc, project_id limit 10) x join projects p on p.id = x.project_id", "logs", "projects")
+register("top_projects", on("logs", "projects")(lambda x, p: p.select(F.col("id").alias("project_id"), "name").join(F.broadcast(analytics.top(x, "project_id", 10)), "project_id")), "select project_id, n, name from (select project_id, count(*) as n from logs group by 1 order by n desc, project_id limit 10) x join projects p on p.id = x.project_id", "logs", "projects")
 register("org_counts", lambda s, d: admin.org_counts(view(s, d, "organizations"), view(s, d, "projects"), members(s, d)), f"select o.id as organization_id, o.name, (select count(*) from projects p where p.organization_id = o.id) as projects, (select count(*) from ({MEMBERS}) m where m.organization_id = o.id) as members from organizations o", "organizations", "projects")
 register("logs_visible_to_user", lambda s, d: admin.visible(view(s, d, "logs"), view(s, d, "projects"), members(s, d), 17).select(*COLS), f"select {C} from logs where project_id in (select id from projects where organization_id in (select organization_id from ({MEMBERS}) m where user_id = 17))", "logs", "projects")
 register("admin_search", lambda s, d: table(s, d, "customer").where(F.col("c_name").ilike("%0001%") | F.col("c_mktsegment").ilike("%build%")).orderBy("c_custkey").limit(20).select("c_custkey", "c_name"), "select c_custkey, c_name from customer where c_name ilike '%0001%' or c_mktsegment ilike '%build%' order by c_custkey limit 20")
@@ -94,12 +94,12 @@ register("span_waterfall", lambda s, d: traces.waterfall(spans(s, d)), f"select
 register("span_depth", lambda s, d: traces.depths(view(s, d, "spans")), "select trace_id, span_id, case when span_id like 'o%' then 0 else cast(split_part(span_id, '-', 2) as int) - case when bool_or(span_id like 'o%') over (partition by trace_id) then 0 else 1 end end as depth from spans", "spans")
 
 # alerts
-register("alert_rule_scope", on("alert_rules")(lambda r: r.where("project_id = 2 or project_id is null").select("rule_id", "threshold")), "select rule_id, threshold from alert_rules where project_id = 2 or project_id is null", "alert_rules")
+register("alert_rule_scope", on("alert_rules", "projects")(lambda r, p: alerts.in_scope(r, p.select(F.col("id").alias("project_id"))).select("project_id", "rule_id", "threshold")), "select p.id as project_id, rule_id, threshold from alert_rules r join projects p on r.project_id = p.id or r.project_id is null", "alert_rules", "projects")
 register("alert_last_trigger", on("alert_history")(alerts.last_triggers), "select rule_id, max(triggered_at) as last_trigger from alert_history group by 1", "alert_history")
 register("alert_fire", on("alert_rules", "alert_history", "logs")(lambda r, h, x: alerts.fired(r, h, x, NOW)), f"""select r.rule_id, count(*) as log_count, r.threshold from alert_rules r left join (select rule_id, max(triggered_at) as t from alert_history group by 1) h on h.rule_id = r.rule_id join logs l
  on list_contains(string_split(r.levels, ','), l.level) and (r.service is null or l.service = r.service or l.service = 'unknown') and (r.project_id is null or l.project_id = r.project_id) and l.time <= timestamp '{NOW}' and l.time > greatest(coalesce(h.t, timestamp '1970-01-01'), timestamp '{NOW}' - to_minutes(r.time_window))
  where r.enabled group by 1, 3 having count(*) >= r.threshold""", "alert_rules", "alert_history", "logs")
-register("alert_history_list", on("alert_history", "alert_rules", "projects")(lambda h, r, p: h.join(F.broadcast(r), "rule_id").join(F.broadcast(p.select(F.col("id").alias("project_id"), F.col("name").alias("project"))), "project_id", "left").select("id", "rule_id", "triggered_at", "log_count", "service", "project")), "select h.id, h.rule_id, h.triggered_at, h.log_count, r.service, p.name as project from alert_history h join alert_rules r on h.rule_id = r.rule_id left join projects p on p.id = r.project_id", "alert_history", "alert_rules", "projects")
+register("alert_history_list", on("alert_history", "alert_rules", "projects")(lambda h, r, p: h.join(r.join(p.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id", "left"), "rule_id").select("id", "rule_id", "triggered_at", "log_count", "service", "project")), "select h.id, h.rule_id, h.triggered_at, h.log_count, r.service, p.name as project from alert_history h join alert_rules r on h.rule_id = r.rule_id left join projects p on p.id = r.project_id", "alert_history", "alert_rules", "projects")
 register("alert_stats", on("alert_rules", "alert_history", "projects")(lambda r, h, p: admin.alert_stats(r, h, p, NOW)), f"""select p.organization_id, count(*) as rules, count(*) filter (r.enabled) as active, count(*) filter (not r.enabled) as disabled, coalesce(sum(h.day), 0)::bigint as day, coalesce(sum(h.week), 0)::bigint as week, coalesce(sum(h.sent), 0)::bigint as sent, coalesce(sum(h.failed), 0)::bigint as failed
  from alert_rules r left join projects p on p.id = r.project_id left join (select rule_id, count(*) filter (triggered_at >= timestamp '{NOW}' - interval '24 hours') as day, count(*) filter (triggered_at >= timestamp '{NOW}' - interval '7 days') as week, count(*) filter (notified and error is null) as sent, count(*) filter (notified and error is not null) as failed from alert_history group by 1) h on h.rule_id = r.rule_id group by 1""", "alert_rules", "alert_history", "projects")
 register("alert_rules_of_organizations", on("alert_rules", "projects", "organizations")(admin.rules_of_organizations), "select r.rule_id, o.name as organization from alert_rules r join projects p on p.id = r.project_id join organizations o on o.id = p.organization_id", "alert_rules", "projects", "organizations")
@@ -146,8 +146,10 @@ told_fields = sigma.Rule("r", "r", "low", {"a": {"level": "error"}, "b": [{"meta
 register("sigma_matched_fields", logs(lambda x: sigma.matched(x, [told_fields]).select("log_id", "rule_id", F.array_join("tags", ",").alias("tags"), F.get_json_object("fields", "$.level").alias("level"), F.get_json_object("fields", "$.k").alias("k"))), "select id as log_id, 'r' as rule_id, 'attack.t1190' as tags, level, metadata->>'k' as k from logs where level = 'error' and (metadata->>'k' = '7' or contains(metadata->>'k', '1'))", "logs")
 register("sigma_base64", logs(lambda x: sigma.detect(x.withColumn("message", F.concat(F.lit("="), F.base64(F.encode("message", "utf-8")))), [sigma.Rule("r", "r", "low", {"a": {"message|base64offset": "FAILED login"}, "condition": "a"})]).select("log_id")), "select id as log_id from logs where contains(lower(message), 'failed login')", "logs")
 register("sigma_built_in", logs(lambda x: sigma.detect(x, sigma.BUILT_IN).select("log_id", "rule_id", "severity")), " union all ".join(f"select id as log_id, '{r.id}' as rule_id, '{r.level}' as severity from logs where {RULE_SQL[r.id]}" for r in sigma.BUILT_IN), "logs")
-register("sigma_alert_rules", lambda s, d: sigma.alert_rules(s, sigma.BUILT_IN[:2]).withColumn("keywords", F.array_join("keywords", ",")), "select * from (values ('startup-reliability-high-error-rate', 'High Error Rate Detection', 'any', 'debug,info,warn,error,critical', 3, 300, 'error,critical'), ('startup-reliability-critical-errors', 'Critical System Errors', 'any', 'debug,info,warn,error,critical', 1, 60, 'critical')) t(rule_id, name, service, levels, threshold, time_window, keywords)")
-STORED = "select id as rule_id, id % 3 as organization_id, case when id % 2 = 0 then cast(id % 5 as int) end as project_id, case id % 4 when 0 then 'failed' when 1 then 'partial' else 'success' end as status, id % 7 <> 0 as enabled from logs where id < 300"
+as_alerts = lambda x: sigma.alert_rules(x.sparkSession, sigma.BUILT_IN[:2])
+judged = lambda r, x: r.join(r.select("rule_id", F.explode(F.split("levels", ",")).alias("level")).join(x.groupBy("level").agg(F.count("*").alias("n")), "level").groupBy("rule_id").agg(F.sum("n").alias("logs")), "rule_id")
+register("sigma_alert_rules", logs(lambda x: judged(as_alerts(x), x).withColumn("keywords", F.array_join("keywords", ","))), "select t.*, (select count(*) from logs l where list_contains(string_split(t.levels, ','), l.level)) as logs from (values ('startup-reliability-high-error-rate', 'High Error Rate Detection', 'any', 'debug,info,warn,error,critical', 3, 300, 'error,critical'), ('startup-reliability-critical-errors', 'Critical System Errors', 'any', 'debug,info,warn,error,critical', 1, 60, 'critical')) t(rule_id, name, service, levels, threshold, time_window, keywords)", "logs")
+STORED = "select id as rule_id, id % 3 as organization_id, case when id % 2 = 0 then cast(id % 5 as int) end as project_id, case id % 4 when 0 then 'failed' when 1 then 'partial' else 'success' end as status, id % 7 <> 0 as enabled from logs"
 register("sigma_rule_selection", logs(lambda x: sigma.selected(x.sparkSession.sql(STORED.replace("from logs", "from {x}"), x=x), 1, 3).select("rule_id", "project_id")), f"select rule_id, project_id from ({STORED}) r where organization_id = 1 and status <> 'failed' and enabled and (project_id = 3 or project_id is null)", "logs")
 mitre_of = lambda q: sigma.with_stored_mitre(q, q.sparkSession.createDataFrame([("web-1", ["own"], ["T9999"]), ("web-2", [], [])], "rule_id string, tactics array<string>, techniques array<string>"))
 register("detections_stored_mitre", logs(lambda x: mitre_of(sigma.detect(x)).select("log_id", "rule_id", F.array_join("tactics", ",").alias("tactics"), F.array_join("techniques", ",").alias("techniques"))), f"select log_id, rule_id, case when rule_id = 'web-1' then 'own' else tactics end as tactics, case when rule_id = 'web-1' then 'T9999' else techniques end as techniques from ({DETECTED}) d", "logs")
@@ -170,7 +172,7 @@ for width in ("1h", "1d"):
     register(f"siem_timeline_{width}", detected(lambda q, w=width: siem.timeline(q, w)), f"select time_bucket(interval '{width[0]} {'hour' if width == '1h' else 'day'}', time) as bucket, count(*) as n from ({DETECTED}) d group by 1", "logs")
 
 # identifiers and addresses
-FOUND = " union ".join(f"select id as log_id, time, project_id, '{k}' as type, unnest(regexp_extract_all(message, '{quoted_regex}', 1)) as value, 'message' as source from logs" for k, p, _ in identifiers.PATTERNS if (quoted_regex := p.replace("'", "''")))
+FOUND = " union ".join(f"select id as log_id, time, project_id, '{p.type}' as type, unnest(regexp_extract_all(message, '{quoted_regex}', 1)) as value, 'message' as source from logs" for p in identifiers.PATTERNS if (quoted_regex := p.expression.replace("'", "''")))
 register("identifiers_extract", logs(identifiers.extract), FOUND, "logs")
 register("correlated_logs", logs(lambda x: identifiers.correlated(x, identifiers.extract(x), "user_id", "7", DAY, 20_000, 100).select("id", "time")), f"select id, time from logs where id in (select log_id from ({FOUND}) f where type = 'user_id' and lower(value) = '7' and time between timestamp '{DAY}' - interval '20000 minutes' and timestamp '{DAY}' + interval '20000 minutes' order by time desc, log_id desc limit 100)", "logs")
 register("ip_extract", logs(lambda x: x.select("id", F.explode(X.public_ips(F.col("message"))).alias("ip"))), "select distinct id, ip from (select id, unnest(regexp_extract_all(message, '\\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\b')) as ip from logs) x where not regexp_matches(ip, '^(10\\.|127\\.|192\\.168\\.|169\\.254\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.|0\\.0\\.0\\.0$)')", "logs")

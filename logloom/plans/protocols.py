@@ -74,10 +74,10 @@ heap = lambda s, d: view(s, d, "spans").withColumn("parent_span_id", F.expr(UP))
 register("span_preorder", lambda s, d: traces.preorder(heap(s, d)), """select trace_id, span_id, case when minutes = 0 then 0 else length(bin(minutes)) - case when bool_or(minutes = 0) over (partition by trace_id) then 0 else 1 end end as depth,
  row_number() over (partition by trace_id order by case when minutes = 0 then '' else translate(bin(minutes), '01', '10') end) as position from spans""", "spans")
 
-# updates: three of four set a field, one of them in vain; every 40th row deletes
+# updates: all rows set a field, some in vain; every 40th row deletes
 CHANGE = "case when id % 40 = 1 then 'deleted' when id % 4 = 0 then 'status' when id % 4 = 1 then 'severity' when id % 4 = 2 then 'assignee' else 'title' end"
 VALUE = "case when id % 4 = 0 then case when id % 3 = 0 then 'resolved' else 'false_positive' end when id % 4 = 1 and id % 3 = 0 then '' when id % 4 = 1 then 'low' when id % 3 > 0 then concat('user', cast(id as string)) end"
-CHANGES = f"select concat(trace_id, '/', cast(project_id as string)) as incident, id as changed_at, {CHANGE} as field, {VALUE} as value from logs where id % 5 = 0 and trace_id is not null"
+CHANGES = f"select concat(trace_id, '/', cast(project_id as string)) as incident, id as changed_at, {CHANGE} as field, {VALUE} as value from logs where trace_id is not null"
 changes = lambda x: x.sparkSession.sql(CHANGES.replace("from logs", "from {x}"), x=x)
 named = lambda x: detected(incidents_of)(*x).withColumn("incident", F.concat("trace_id", F.lit("/"), F.col("project_id").cast("string")))
 LAST = lambda f: f"arg_max(value, changed_at) filter (field = '{f}' and value <> '')"

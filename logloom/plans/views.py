@@ -39,7 +39,7 @@ ALERT_RULES = """select * from (values (0, cast(null as string), 'error,critical
   (2, 'payment-service', 'critical', 2, 1, 10080, true), (3, 'api-gateway', 'warn,error,critical', 5, 1, 2880, true), (4, null, 'critical', 7, 1, 60, true), (5, 'user-service', 'error', null, 1, 1440, false)
 ) as t(rule_id, service, levels, project_id, threshold, time_window, enabled)"""
 
-ALERT_HISTORY = "select event_id as id, event_id % 6 as rule_id, ts as triggered_at, cast(floor(value) as int) as log_count, event_id % 2 = 1 as notified, case when event_id % 5 = 0 then 'smtp refused' end as error from events where event_id % 97 = 0"
+ALERT_HISTORY = "select event_id as id, event_id % 6 as rule_id, ts - interval '1 day' * (event_id % 6) as triggered_at, cast(floor(value) as int) as log_count, event_id % 2 = 1 as notified, case when event_id % 5 = 0 then 'smtp refused' end as error from events"
 
 ORGS = "select r_regionkey as id, r_name as name from region"
 PROJECTS = "select cast(n_nationkey as int) as id, n_regionkey as organization_id, n_name as name from nation"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from logloom.functions.scalars import level_of_otlp, level_of_priority, ns_to_ms, span_kind, span_status, valid_trace_id
-from logloom.session import shared_dir, ship
+from logloom.session import scratch, ship
 
 LOG_SCHEMA = "time string, service string, level string, message string, metadata string, trace_id string, span_id string"
 LEVELS = ("debug", "info", "warn", "error", "critical")
@@ -45,10 +44,10 @@ def shipper(raw: DataFrame) -> DataFrame:
 
 
 def journald(raw: DataFrame) -> DataFrame:
-    """service, level, message, time_ms of journald fields."""
+    """service, level, message, time_ms of journald fields. A priority or time that is no number counts as missing."""
     unit = F.regexp_replace("_SYSTEMD_UNIT", r"\.service$", "")
     service = F.coalesce("SYSLOG_IDENTIFIER", unit, "_COMM", F.element_at(F.split("_EXE", "/"), -1), F.lit("unknown"))
-    return raw.select(service.alias("service"), level_of_priority(F.col("PRIORITY").cast("int")).alias("level"), F.coalesce("MESSAGE", F.lit("")).alias("message"), F.floor(F.col("__REALTIME_TIMESTAMP").cast("bigint") / 1000).alias("time_ms"))
+    return raw.select(service.alias("service"), level_of_priority(F.col("PRIORITY").try_cast("int")).alias("level"), F.coalesce("MESSAGE", F.lit("")).alias("message"), F.floor(F.col("__REALTIME_TIMESTAMP").try_cast("bigint") / 1000).alias("time_ms"))
 
 
 RFC3164 = r"^<([0-9]+)>([A-Z][a-z]{2} +[0-9]+ [0-9:]{8}) ([^ ]+) ([^:\[ ]+)(?:\[[0-9]+\])?: (.*)$"
@@ -57,7 +56,7 @@ RFC3164 = r"^<([0-9]+)>([A-Z][a-z]{2} +[0-9]+ [0-9:]{8}) ([^ ]+) ([^:\[ ]+)(?:\[
 def syslog(lines: DataFrame) -> DataFrame:
     """pri, host, service, level, message of RFC 3164 lines (column `line`); others have null fields and their text as message."""
     part = lambda i: F.nullif(F.regexp_extract("line", RFC3164, i), F.lit(""))
-    pri = part(1).cast("int")
+    pri = part(1).try_cast("int")
     return lines.select("id", pri.alias("pri"), part(3).alias("host"), F.coalesce(part(4), part(3), F.lit("syslog")).alias("service"), F.when(pri.isNull(), "info").otherwise(level_of_priority(F.pmod(pri, F.lit(8)))).alias("level"), F.coalesce(part(5), "line").alias("message"))
 
 
@@ -69,36 +68,56 @@ def _clean(text):
     return F.replace(text, F.lit("\0"), F.lit(""))
 
 
+def whole(told) -> int | None:
+    """A 64-bit number that may come as a text; null for anything else, larger ones included."""
+    try:
+        n = int(told)
+    except (TypeError, ValueError, OverflowError):
+        return None
+    return n if -(1 << 63) <= n < 1 << 63 else None
+
+
+def text_of(told) -> str:
+    return (told if isinstance(told, str) else _json(told)).replace("\0", "")
+
+
+def items_of(told, name: str) -> list:
+    """The list of that name in an object; none if there is none of that kind."""
+    found = told.get(name) if isinstance(told, dict) else None
+    return found if isinstance(found, list) else []
+
+
 def plain_value(value):
-    """A value of OTLP/JSON as JSON has it; null for nothing known."""
-    for name, told in (value or {}).items():
+    """A value of OTLP/JSON as JSON has it; null for nothing known, and for numbers that are none."""
+    for name, told in value.items() if isinstance(value, dict) else ():
         if told is None:
             continue
         if name == "stringValue":
-            return told.replace("\0", "")
+            return text_of(told)
         if name == "intValue":
-            return int(told)
+            return whole(told)
         if name in ("boolValue", "doubleValue", "bytesValue"):
             return told
         if name == "arrayValue":
-            return [plain_value(v) for v in told.get("values") or []]
+            return [plain_value(v) for v in items_of(told, "values")]
         if name == "kvlistValue":
-            return plain_attributes(told.get("values"))
+            return plain_attributes(told.get("values") if isinstance(told, dict) else None)
     return None
 
 
 def plain_attributes(attributes) -> dict:
-    """Of equal keys the last counts."""
-    return {a["key"]: plain_value(a.get("value")) for a in attributes or [] if isinstance(a, dict) and "key" in a}
+    """Of equal keys the last counts; what has no key that is a text is passed over."""
+    some = attributes if isinstance(attributes, list) else []
+    return {a["key"]: plain_value(a.get("value")) for a in some if isinstance(a, dict) and isinstance(a.get("key"), str)}
 
 
 def plain_message(value) -> str:
     """A log's text: a plain value as such, a list as a JSON list of texts, a map as JSON, bytes as [bytes: base64]."""
     told = plain_value(value)
-    if value and value.get("bytesValue") is not None:
+    if isinstance(value, dict) and value.get("bytesValue") is not None:
         return f"[bytes: {told}]"
     if isinstance(told, list):
-        return _json([plain_message(v) for v in value["arrayValue"].get("values") or []])
+        return _json([plain_message(v) for v in items_of(value["arrayValue"], "values")])
     return "" if told is None else told if isinstance(told, str) else _json(told)
 
 
@@ -109,38 +128,63 @@ def _json(x) -> str:
 def _read(text):
     try:
         return json.loads(text) if isinstance(text, str) else None
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 
+def _each(column: pd.Series, fn) -> pd.Series:
+    """fn of every text; null where it is nested too deep, and half characters as question marks, so that no row ends the job."""
+
+    def safe(text):
+        try:
+            told = fn(text)
+        except RecursionError:
+            return None
+        return told if told is None else told.encode("utf-8", "replace").decode()
+
+    return pd.Series([safe(t) for t in column], dtype=object)
+
+
 @F.pandas_udf(StringType())
 def message_of(body: pd.Series) -> pd.Series:
-    return body.map(lambda t: plain_message(_read(t)))
+    return _each(body, lambda t: plain_message(_read(t)))
 
 
 @F.pandas_udf(StringType())
 def attributes_json(attributes: pd.Series) -> pd.Series:
-    return attributes.map(lambda t: _json(plain_attributes(_read(t))))
+    return _each(attributes, lambda t: _json(plain_attributes(_read(t))))
 
 
 @F.pandas_udf(StringType())
 def metadata_json(resource: pd.Series, scope: pd.Series, own: pd.Series, severity: pd.Series) -> pd.Series:
     """Attributes of the resource and of the record; scope and severity are JSON objects; later keys win."""
-    rows = zip(resource, scope, own, severity, strict=True)
-    return pd.Series([_json(plain_attributes(_read(r)) | (_read(s) or {}) | plain_attributes(_read(o)) | (_read(v) or {})) for r, s, o, v in rows], dtype=object)
+    rows = pd.Series(list(zip(resource, scope, own, severity, strict=True)), dtype=object)
+    return _each(rows, lambda x: _json(plain_attributes(_read(x[0])) | (_read(x[1]) or {}) | plain_attributes(_read(x[2])) | (_read(x[3]) or {})))
 
 
 @F.pandas_udf(StringType())
 def events_json(events: pd.Series) -> pd.Series:
-    """Events with their time in ms, a name and attributes; null for none."""
-    ms = lambda e: int(e["timeUnixNano"]) // 1_000_000 if e.get("timeUnixNano") else None
-    return events.map(lambda t: _json([{"time_ms": ms(e), "name": (e.get("name") or "event").replace("\0", ""), "attributes": plain_attributes(e.get("attributes"))} for e in found]) if (found := _read(t)) else None)
+    """Events with their time in ms (null for what is no number), a name and attributes; null for none."""
+
+    def told(text):
+        found = _read(text)
+        some = [e for e in found if isinstance(e, dict)] if isinstance(found, list) else []
+        ms = lambda e: None if (n := whole(e.get("timeUnixNano"))) is None or not n else n // 1_000_000
+        return _json([{"time_ms": ms(e), "name": text_of(e.get("name") or "event"), "attributes": plain_attributes(e.get("attributes"))} for e in some]) if some else None
+
+    return _each(events, told)
 
 
 @F.pandas_udf(StringType())
 def links_json(links: pd.Series) -> pd.Series:
     """Links that have both ids; null for no links at all."""
-    return links.map(lambda t: _json([{"trace_id": e["traceId"], "span_id": e["spanId"], "attributes": plain_attributes(e.get("attributes"))} for e in found if e.get("traceId") and e.get("spanId")]) if (found := _read(t)) else None)
+
+    def told(text):
+        found = _read(text)
+        some = [e for e in found if isinstance(e, dict)] if isinstance(found, list) else []
+        return _json([{"trace_id": e["traceId"], "span_id": e["spanId"], "attributes": plain_attributes(e.get("attributes"))} for e in some if e.get("traceId") and e.get("spanId")]) if some else None
+
+    return _each(links, told)
 
 
 def _service(attributes):
@@ -226,11 +270,11 @@ CSV = {"header": True, "quote": '"', "escape": '"', "timestampFormat": "yyyy-MM-
 
 
 def exported(logs: DataFrame, limit: int = 50_000) -> DataFrame:
-    """What export_csv has written to the shared folder, read back: Time, Service, Level, Message."""
-    path = f"{shared_dir(logs.sparkSession)}/logloom-{uuid.uuid4().hex}"
+    """What export_csv has written to the shared folder, read back: Time, Service, Level, Message, Metadata, TraceID."""
+    path = scratch(logs.sparkSession)
     export_csv(logs, path, limit)
     schema = "Time timestamp_ntz, Service string, Level string, Message string, Metadata string, TraceID string"
-    return logs.sparkSession.read.options(**CSV, multiLine=True).csv(path, schema=schema).select("Time", "Service", "Level", "Message")
+    return logs.sparkSession.read.options(**CSV, multiLine=True).csv(path, schema=schema)
 
 
 def export_json(logs: DataFrame, path: str, limit: int = 50_000) -> None:

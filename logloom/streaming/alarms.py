@@ -13,15 +13,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logloom.session import ship
-from logloom.streaming.tables import Batches, run
+from logloom.streaming.tables import Batches, append, run
 
 TICK = 60
 ANY = "*"
+TICKS = "rule_id int, tick long, n long, threshold int, time_window int"
 TOLD = "rule_id int, triggered_at timestamp_ntz, log_count long"
 
 
@@ -40,46 +42,51 @@ def matched(logs: DataFrame, rules: DataFrame) -> DataFrame:
     return keyed.join(rule_keys(rules), ["level", "service", "project"]).select("time", "rule_id", "threshold", "time_window")
 
 
-class Ring(StatefulProcessor):
-    """One rule: the counts of its window's ticks, by the second at which they end, and when it last fired."""
+def advanced(held: tuple, counts_in: list[tuple[int, int, int, int]]) -> tuple[tuple, list[tuple[int, int]]]:
+    """A rule's state (ends and counts of its window's ticks, when it last fired) after ticks (end, count, threshold, minutes), and what it fires (end, count)."""
+    (ends, counts, fired), out = held, []
+    for end, n, threshold, window in sorted(counts_in):
+        since = end - 60 * window if fired is None else max(end - 60 * window, fired)
+        keep = [i for i, e in enumerate(ends) if e > since]
+        ends, counts = [*(ends[i] for i in keep), end], [*(counts[i] for i in keep), n]
+        if sum(counts) >= threshold:
+            out.append((end, sum(counts)))
+            ends, counts, fired = [], [], end
+    return (ends, counts, fired), out
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getValueState("ring", "ends array<long>, counts array<long>, fired long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.ring.get() if self.ring.exists() else ([], [], None)
-        ends, counts, fired = list(held[0]), list(held[1]), held[2]
-        for end, n, threshold, window in sorted((r["tick"], r["n"], r["threshold"], r["time_window"]) for r in rows):
-            since = max(end - 60 * window, end - 60 * window if fired is None else fired)
-            keep = [i for i, e in enumerate(ends) if e > since]
-            ends, counts = [*(ends[i] for i in keep), end], [*(counts[i] for i in keep), n]
-            if sum(counts) >= threshold:
-                yield Row(rule_id=key[0], tick=end, log_count=sum(counts))
-                ends, counts, fired = [], [], end
-        self.ring.update((ends, counts, fired))
+def ring(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One rule's closed ticks of a batch."""
+    ends, counts, fired = state.get if state.exists else ([], [], -1)
+    new = [row for part in parts for row in part[["tick", "n", "threshold", "time_window"]].itertuples(index=False, name=None)]
+    held, out = advanced(([int(e) for e in ends], [int(c) for c in counts], None if fired < 0 else int(fired)), [tuple(map(int, row)) for row in new])
+    state.update((held[0], held[1], -1 if held[2] is None else held[2]))
+    yield pd.DataFrame({"rule_id": [key[0]] * len(out), "tick": [end for end, _ in out], "log_count": [n for _, n in out]})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        return iter(())
 
-    def close(self) -> None:
-        pass
-
-
-def triggers(logs: DataFrame, rules: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """rule_id, triggered_at, log_count, for append mode. A rule's window is a whole number of minutes."""
-    ship(logs.sparkSession)
+def closed_ticks(logs: DataFrame, rules: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """rule_id, tick (the second at which it ends), n, threshold, time_window of each tick with logs of a rule, once it has closed; for append mode."""
     rows = matched(logs.withColumn("time", F.col("time").cast("timestamp")).withWatermark("time", late), rules)
     counts = rows.groupBy(F.window("time", f"{TICK} seconds").alias("w"), "rule_id", "threshold", "time_window").agg(F.count("*").alias("n"))
-    closed = counts.select("rule_id", F.unix_seconds("w.end").alias("tick"), "n", "threshold", "time_window")
-    fired = closed.groupBy("rule_id").transformWithState(Ring(), "rule_id int, tick long, log_count long", "append", "none")
+    return counts.select("rule_id", F.unix_seconds("w.end").alias("tick"), "n", "threshold", "time_window")
+
+
+def triggers(ticks: DataFrame) -> DataFrame:
+    """rule_id, triggered_at, log_count of closed ticks, each batch's later than those before; for append mode. A rule's window is a whole number of minutes."""
+    ship(ticks.sparkSession)
+    fired = ticks.groupBy("rule_id").applyInPandasWithState(ring, "rule_id int, tick long, log_count long", "ends array<long>, counts array<long>, fired long", "append", GroupStateTimeout.NoTimeout)
     return fired.select("rule_id", F.timestamp_seconds("tick").cast("timestamp_ntz").alias("triggered_at"), "log_count")
 
 
-def history(spark, path: str) -> Batches:
+def history(spark: SparkSession, path: str) -> Batches:
     return Batches(spark, f"{path}/history", TOLD)
 
 
 def evaluate(logs: DataFrame, rules: DataFrame, path: str, late: str = "10 minutes") -> None:
-    """Evaluates what is new in a stream of logs into path/history. A batch that is run again, after a loss or a restart, replaces its own rows."""
-    told = history(logs.sparkSession, path)
-    run(triggers(logs, rules, late), told.put, f"{path}/state")
+    """Evaluates what is new in a stream of logs into path/history, by way of closed ticks in the exactly-once table path/ticks.
+
+    A batch that is run again, after a loss or a restart, replaces its own rows, so nothing fires twice.
+    """
+    spark = logs.sparkSession
+    append(closed_ticks(logs, rules, late), f"{path}/ticks", f"{path}/state/ticks")
+    run(triggers(spark.readStream.schema(TICKS).parquet(f"{path}/ticks")), history(spark, path).put, f"{path}/state/rules")

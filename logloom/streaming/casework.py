@@ -12,17 +12,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import _parse_datatype_string
 
 from logloom.functions.scalars import severity_weight
 from logloom.operators.sigma import PACKS, detect
 from logloom.session import ship
-from logloom.streaming.tables import Batches, Latest, run, state_on_disk
+from logloom.streaming.tables import Batches, Latest, append, run
 
 LEAST = {"trace": 2, "burst": 3}
 BURST = "5 minutes"
@@ -63,44 +64,34 @@ def folded(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(fold, FOLDED)
 
 
-class Incident(StatefulProcessor):
-    """One incident's totals. A trace's severity is its heaviest, a burst's project that of its earliest detection."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.totals.get() if self.totals.exists() else None
-        n, first, project, severity, weight, start, end = held[:7] if held else (0, None, None, None, -1, None, None)
-        sets = [set(x) for x in held[7:]] if held else [set(), set(), set()]
-        before, kind, trace = n, None, None
-        for r in rows:
-            kind, trace, n = r["kind"], r["trace_id"], n + r["n"]
-            if first is None or r["first"] < first:
-                first, project = r["first"], r["project_id"]
-            if r["weight"] > weight:
-                severity, weight = r["severity"], r["weight"]
-            start, end = r["start_us"] if start is None else min(start, r["start_us"]), r["end_us"] if end is None else max(end, r["end_us"])
-            for own, told in zip(sets, ([r["service"]], (r["tactics"] or "").split("\n"), (r["techniques"] or "").split("\n")), strict=True):
+def totals(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One incident's totals with a batch's detections. A trace's severity is its heaviest, a burst's project that of its earliest detection."""
+    held = state.get if state.exists else (0, "", None, "", -1, 0, 0, [], [], [])
+    n, first, project, severity, weight, start, end = held[:7]
+    sets, before, kind, trace = [set(x) for x in held[7:]], n, None, None
+    for part in parts:
+        for r in part.itertuples(index=False):
+            if r.start_us < start or not n:
+                start = int(r.start_us)
+            if r.first < first or not n:
+                first, project = r.first, None if pd.isna(r.project_id) else int(r.project_id)
+            kind, trace, n, end = r.kind, r.trace_id, n + int(r.n), max(end, int(r.end_us)) if n else int(r.end_us)
+            if r.weight > weight:
+                severity, weight = r.severity, int(r.weight)
+            for own, told in zip(sets, ([r.service], (r.tactics or "").split("\n"), (r.techniques or "").split("\n")), strict=True):
                 own.update(x for x in told if x)
-        lists = [sorted(x) for x in sets]
-        self.totals.update((n, first, project, severity, weight, start, end, *lists))
-        if n >= LEAST[kind]:
-            services, tactics, techniques = lists
-            event = "incident_created" if before < LEAST[kind] else "incident_updated"
-            yield Row(incident=key[0], kind=kind, trace_id=trace, project_id=project, severity=severity, n=n, start_us=start, end_us=end, services=services, tactics=tactics, techniques=techniques, event=event)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        return iter(())
-
-    def close(self) -> None:
-        pass
+    lists = [sorted(x) for x in sets]
+    state.update((n, first, project, severity, weight, start, end, *lists))
+    if n >= LEAST[kind]:
+        event = "incident_created" if before < LEAST[kind] else "incident_updated"
+        row = (key[0], kind, trace, project, severity, n, start, end, *lists, event)
+        yield pd.DataFrame([row], columns=[c.split()[0] for c in CHANGED.split(", ")]).astype({"project_id": "Int32"})
 
 
 def changes(detections: DataFrame) -> DataFrame:
     """Incidents that a batch of detections has made or changed; for update mode."""
     ship(detections.sparkSession)
-    out = folded(grouped(detections)).groupBy("incident").transformWithState(Incident(), CHANGED, "update", "none")
+    out = folded(grouped(detections)).groupBy("incident").applyInPandasWithState(totals, CHANGED, STATE, "update", GroupStateTimeout.NoTimeout)
     at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     return out.withColumns({"start_time": at("start_us"), "end_time": at("end_us")}).drop("start_us", "end_us")
 
@@ -122,9 +113,7 @@ def follow(logs: DataFrame, path: str, rules=PACKS) -> None:
     spark = logs.sparkSession
     known, told = incidents(spark, path), feed(spark, path)
     names = [c.split()[0] for c in SEEN.split(", ")]
-    with state_on_disk(spark):
-        query = detect(logs, rules).select(*names).writeStream.format("parquet").option("checkpointLocation", f"{path}/state/detections").trigger(availableNow=True).start(f"{path}/detections")
-    query.awaitTermination()
+    append(detect(logs, rules).select(*names), f"{path}/detections", f"{path}/state/detections")
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()

@@ -1,7 +1,7 @@
 """Spans in bulk, and one row for each trace however late its spans come.
 
 A stream of spans goes to a table by the day of their start, exactly once, and into its traces: a native aggregation in
-update mode whose state is the traces' partial results (minimum, maximum, count, any error, earliest of each kind) on disk.
+update mode whose state is the traces' partial results (minimum, maximum, count, any error, earliest of each kind).
 Partial results leave each task, so a trace of a third of all spans is a few rows a task. Each batch appends the new row of
 the traces it has changed; readers take the latest. Nothing expires: a span after days of silence changes its trace's row.
 """

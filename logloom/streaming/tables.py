@@ -2,37 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.session import exists, folders, remove
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-
-
-@contextmanager
-def state_on_disk(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB, on disk and in the checkpoint, not on the heap."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        yield
-    finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
-
-
 def run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """each(batch, number) on all that is new since the checkpoint, in micro-batches.
 
     A batch that failed is run again with the same number, so `each` overwrites what it has written under that number.
+    State is kept where the session's spark.sql.streaming.stateStore.providerClass says: for many keys, in RocksDB.
     """
-    with state_on_disk(stream.sparkSession):
-        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
-    query.awaitTermination()
+    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+
+
+def append(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """All that is new since the checkpoint, to a Parquet table whose log sees to it that no row comes twice; other streams may read it."""
+    stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
 
 
 class Batches:

@@ -75,26 +75,11 @@ def test_a_batch_run_again_replaces_its_history(spark, tmp_path):
 
 
 def test_a_rules_state_is_as_large_as_its_window():
-    class Handle:
-        held = None
-
-        def getValueState(self, *_):
-            return self
-
-        def exists(self):
-            return self.held is not None
-
-        def get(self):
-            return self.held
-
-        def update(self, value):
-            self.held = value
-
-    ring, handle = alarms.Ring(), Handle()
-    ring.init(handle)
+    held = ([], [], None)
     for minute in range(500):
-        assert not list(ring.handleInputRows((1,), iter([{"tick": 60 * minute, "n": 1, "threshold": 1000, "time_window": 7}]), None))
-    assert len(handle.held[0]) == 7 == sum(handle.held[1])
+        held, fired = alarms.advanced(held, [(60 * minute, 1, 1000, 7)])
+        assert not fired
+    assert len(held[0]) == 7 == sum(held[1])
 
 
 # traces
