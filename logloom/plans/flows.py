@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from logloom.plans.catalogue import BUSY, DETECTED, ORACLES, QUERIES, SPANS_SQL, WEIGHT, register, spans
 from logloom.plans.views import twin, view
-from logloom.session import scratch
+from logloom.session import scratch, ship
+from logloom.sources import ingest, tail
 from logloom.streaming import alarms, casework, rollups, spanstore
+from logloom.streaming.tables import append
 
 #: The ten days of a log; part 2 is what is left.
 PART = "least(2, cast(floor((day({0}) - 1) / 10) as int))"
@@ -80,3 +82,21 @@ CLOSED = "where bucket + interval '{0}' <= (select max(time) from logs) - interv
 register("stream_rollup_hourly", lambda s, d: kept(s, d).stored(rollups.HOURLY), f"select * from ({ROLLED.format('1 hour')}) x {CLOSED.format('1 hour')}", "logs")
 register("stream_rollup_daily", lambda s, d: kept(s, d).stored(rollups.DAILY), f"select * from ({ROLLED.format('1 day')}) x {CLOSED.format('1 day')}", "logs")
 register("rollup_stored_and_recent", lambda s, d: kept(s, d).counts(rollups.HOURLY), ROLLED.format("1 hour"), "logs")
+
+
+def tailed(spark, sf_dir):
+    """Logs as syslog lines in files of a folder, which the tail source follows into an exactly-once table."""
+    ship(spark)
+    spark.dataSource.register(tail.TailSource)
+    folder, out = scratch(spark), scratch(spark)
+    rows = view(spark, sf_dir, "logs")
+    line = F.concat(F.lit("<"), (F.col("id") % 190).cast("string"), F.lit(">"), F.date_format("time", "MMM"), F.lpad(F.dayofmonth("time").cast("string"), 3, " "), F.date_format("time", " HH:mm:ss"), F.lit(" host1 "), "service", F.lit("[7]: "), "message")
+    for p in range(2):
+        rows.where(f"id % 2 = {p}").select(line).write.mode("append").text(folder)
+        lines = spark.readStream.format("tail").options(path=folder, pattern="part-*", chunk="262144").load()
+        append(lines, f"{out}/lines", f"{out}/state")
+    read = spark.read.schema(tail.SCHEMA).parquet(f"{out}/lines")
+    return ingest.syslog(read.select(F.col("place").alias("id"), "line")).select("pri", "host", "service", "message")
+
+
+register("stream_tail_syslog", tailed, "select cast(id % 190 as int) as pri, 'host1' as host, service, message from logs", "logs")
