@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import base64
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from functools import reduce
+from operator import and_
 
-#: Words too common to search for.
-STOP_WORDS = frozenset("a an and are as at be by for from has he in is it its of on or that the to was were will with".split())
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
+from logloom.functions import english
+from logloom.session import ship
 
 def search(logs: DataFrame, projects=None, services=None, levels=None, trace_id=None, since=None, until=None, text=None, mode="substring", cursor=None) -> DataFrame:
     """All criteria hold; both time bounds are inclusive. Filters are on raw columns, so they reach the scan."""
@@ -23,6 +27,7 @@ def search(logs: DataFrame, projects=None, services=None, levels=None, trace_id=
     if until is not None:
         logs = logs.where(F.col("time") <= F.lit(until).cast("timestamp_ntz"))
     if text:
+        ship(logs.sparkSession)
         logs = logs.where(F.lower("message").contains(text.lower()) if mode == "substring" else has_words(F.col("message"), text))
     if cursor is not None and (at := read_cursor(cursor)):
         t = F.lit(at[0]).cast("timestamp_ntz")
@@ -30,24 +35,19 @@ def search(logs: DataFrame, projects=None, services=None, levels=None, trace_id=
     return logs
 
 
-def stem(word):
-    """Light suffix stripping, as a column expression; lexemes equal those of larger stemmers only roughly."""
-    return F.regexp_replace(F.regexp_replace(word, r"(ing|ed|ly|es)$", ""), r"s$", "")
-
-
-def _stem(word: str) -> str:
-    import re
-
-    return re.sub(r"s$", "", re.sub(r"(ing|ed|ly|es)$", "", word))
+def has_words(message: Column, query: str) -> Column:
+    """Every word of the query, stop words aside, is in the message as far as their English stems go; a query without such words fits nothing.
 
+    Only messages with the beginnings of all these words are stemmed; the rest never leave the JVM.
+    """
+    wanted = english.lexemes(query)
 
-def has_words(message, query: str):
-    """Every word of the query, stop words aside, occurs in the message, after stemming."""
-    import re
+    @F.pandas_udf(BooleanType())
+    def stemmed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: wanted <= english.lexemes(text)).astype(bool)
 
-    wanted = sorted({_stem(w) for w in re.split(r"[^a-z0-9]+", query.lower()) if w and w not in STOP_WORDS})
-    tokens = F.transform(F.split(F.lower(message), r"[^a-z0-9]+"), stem)
-    return F.size(F.array_except(F.array(*map(F.lit, wanted)), tokens)) == 0 if wanted else F.lit(False)
+    begins = [F.lower(message).contains(english.common_start(w)) for w in sorted(wanted)]
+    return reduce(and_, begins, F.lit(bool(wanted))) & stemmed(message)
 
 
 def make_cursor(time: str, row_id: int) -> str:
