@@ -1,3 +1,3 @@
 """The registered queries: importing the package fills catalogue.QUERIES and catalogue.ORACLES."""
 
-from logloom.plans import catalogue, exceptions, flows, listings, more, protocols  # noqa: F401
+from logloom.plans import catalogue, exceptions, flows, listings, lookups, more, protocols  # noqa: F401

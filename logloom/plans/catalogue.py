@@ -43,7 +43,7 @@ register("log_by_id", logs(lambda x: x.where("id = 42 and project_id is not null
 register("logs_by_trace", logs(lambda x: search.search(x, trace_id="trace-7-2024-01-15").select(*COLS)), f"select {C} from logs where trace_id = 'trace-7-2024-01-15'", "logs")
 register("log_context", logs(lambda x: search.context(x, DAY, 5).select("place", *COLS)), f"(select 'before' as place, {C} from logs where time < timestamp '{DAY}' order by time desc, id desc limit 5) union all (select 'at', {C} from logs where time = timestamp '{DAY}') union all (select 'after', {C} from logs where time > timestamp '{DAY}' order by time, id limit 5)", "logs")
 WORDS = "list_has_any(string_split_regex(lower(message), '[^a-z0-9]+'), [{0}])"  # the words of the logs that a query's words stand for
-for name, words, forms in (("log_fulltext", "the failed logins", (("fail", "fails", "failed", "failing"), ("login", "logins"))), ("log_fulltext_stems", "request connections timeouts", (("requested", "request", "requests", "requesting"), ("connection", "connections", "connect", "connected"), ("timeout", "timeouts"))), ("log_fulltext_stem", "escalate privileged", (("escalation", "escalate", "escalated"), ("privilege", "privileges", "privileged")))):
+for name, words, forms in (("log_fulltext", "the failed logins", (("fail", "fails", "failed", "failing"), ("login", "logins"))), ("log_fulltext_stems", "connected timeouts", (("connection", "connections", "connect", "connected"), ("timeout", "timeouts"))), ("log_fulltext_stem", "escalate privileged", (("escalation", "escalate", "escalated"), ("privilege", "privileges", "privileged")))):
     register(name, logs(lambda x, w=words: search.search(x, text=w, mode="words").select(*COLS)), f"select {C} from logs where " + " and ".join(WORDS.format(", ".join(f"'{v}'" for v in form)) for form in forms), "logs")
 register("log_search_page_and_next", logs(lambda x: search.page_and_next(x.where("level = 'critical'"), 20, 20).select("id", "has_next")), "select id, (select count(*) from logs where level = 'critical') > 40 as has_next from logs where level = 'critical' order by time desc, id desc limit 20 offset 20", "logs")
 register("log_api_rows", logs(lambda x: search.api_rows(x.where("project_id = 3"))), 'select id, time, project_id as "projectId", service, level, message, metadata, trace_id as "traceId" from logs where project_id = 3', "logs")

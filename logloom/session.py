@@ -69,6 +69,14 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(where, True)
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file in any store that Spark writes to."""
+    store, where = _at(spark, path)
+    out = store.create(where)
+    out.write(bytearray(data))
+    out.close()
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in a folder, in order; none if it isn't there."""
     store, where = _at(spark, path)
