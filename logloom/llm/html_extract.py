@@ -6,16 +6,18 @@ of the lines is smoothed with a Gaussian; lines above a threshold (the smoothed
 of their deviation, or half of the mean if that is lower) form clusters. The clusters decide:
 
 - Their text votes for the elements around it. An article or main around the innermost element with
-  nearly all of the vote is the content region, and all its lines are article text, however short.
-- Without article or main, the lines of the clusters are article text. So are lines that are attached
-  to one: in the element of a strong line, between two lines of clusters, or a paragraph, heading or item
+  nearly all of the vote is the content region; without one, the page is.
+- In it the lines of the clusters are article text. So are lines that are attached to one: in the element of a strong line, between two lines of clusters, or a paragraph, heading or item
   next to a cluster with nothing doubtful between, or in the element (not body) around a strong line's. Lines that are mostly links aren't attached, so unmarked
   menus, lists of links and footers go.
 - Text whose class or id only hints at something else (WEAK) is article text if it lies in a cluster and isn't mostly links.
 
 Never article text, and of ratio 0: text in navigation, footers, asides, forms, scripts and the like, or
 in an element whose class or id says advert, comment, cookie notice, ... Such an inline element is left
-out of its line.
+out of its line. A block named so is passed over unless it proves to be a wrapper of the article: all articles and mains
+of the page are in it, or, where there are none and the name only tells of the page's layout (LAYOUT, more than one word), most of the text.
+Names that tell what a block has or lacks (has-sidebar, no-nav) mark nothing; share, social, related and their like only
+do so alone or with words for furniture (share-buttons, not share-price).
 
 Defined results: null or empty html, or no text, gives an empty string. One row per input row; other
 columns are ignored. Documents without closing tags, or cut short, are read as far as they go; a tag
@@ -50,33 +52,58 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Words of a class or id that mark what isn't the article's text.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial adsense adsbygoogle banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer foot header masthead topbar sidebar "
-    "aside widget comment comments commentlist discussion discussions respond reply replies disqus cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share "
+    "aside widget comment comments commentlist respond reply replies disqus cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share "
     "sharing social related recommended recommendations pagination pager toolbar skip hidden paywall".split()
 )
 #: Words that mark it as the whole or the last word of a name, and only hint at it elsewhere; and words that only hint.
 LAST_MARKS, WEAK = frozenset("notice notices alert".split()), frozenset("legal disclaimer copyright".split())
 ARTICLE_MARKS = frozenset("comment comments reply ad related promo".split())
+#: Marks, but not as a section's id, as papers have sections of that name; marks that often are adjectives; words that go with these.
+THREADS, ADJECTIVES = frozenset("discussion discussions".split()), frozenset("share sharing social related recommended recommendations skip hidden overlay".split())
+FURNITURE = frozenset("links link buttons button icons icon bar box list lists posts post articles article stories story media items item block container wrapper wrap area section content tools this inner module top bottom left right header title feed follow us count to text".split())
+#: First words of names that tell what an element has or lacks; marks that tell of a page's layout.
+HAVING = frozenset("no has with without hide show".split())
+LAYOUT = frozenset("nav navbar navigation menu footer foot header masthead topbar sidebar aside widget banner toolbar overlay modal hidden skip paywall pagination social related share sharing hero".split())
+#: Share of a page's text that makes a block its wrapper, where it has neither article nor main.
+WRAPPER = 0.6
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SIGMA, LOWER = 1.0, 0.5
 
 
-def doubt_of(tag: str, attrs: list) -> int:
-    """2: never article text; 1: a hint; 0."""
+def marks_of(tag: str, name: str, is_id: bool) -> set[str]:
+    """The words of one class or id that mark an element."""
+    words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+    if not words or words[0] in HAVING or "hero" in words:
+        return set()
+    if tag == "article":
+        return ARTICLE_MARKS.intersection(words)
+    found = MARKS.intersection(words) | ({words[-1]} & LAST_MARKS) | (set() if tag == "section" and is_id else THREADS.intersection(words))
+    if found & ADJECTIVES and not all(w in MARKS or w in FURNITURE or w.isdigit() for w in words):
+        found -= ADJECTIVES
+    return found
+
+
+def doubt_of(tag: str, attrs: list) -> tuple[int, bool]:
+    """(2: never article text; 1: a hint; 0), and whether that is for its names alone, all of which tell of layout by more than one word."""
     if tag in ASIDE:
-        return 2
-    found = 0
+        return 2, False
+    marks, hint, told = set(), 0, True
     for name, value in attrs:
         value = (value or "").lower()
         if name in ("class", "id") and tag not in ("html", "body", "main"):
             for one in value.split():
-                words = [w for w in re.split(r"[^a-z0-9]+", one) if w]
-                if any(w in (ARTICLE_MARKS if tag == "article" else MARKS) for w in words) or tag != "article" and words and words[-1] in LAST_MARKS:
-                    return 2
-                if any(w in LAST_MARKS or w in WEAK for w in words):
-                    found = 1
+                found = marks_of(tag, one, name == "id")
+                marks |= found
+                told &= not found or found <= LAYOUT and not one.isalnum()
+                hint |= any(w in LAST_MARKS or w in WEAK for w in re.split(r"[^a-z0-9]+", one))
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return 2
-    return found
+            return 2, False
+    return (2, told) if marks else (int(hint), False)
+
+
+def is_named(tag: str, attrs: list, doubt: int) -> bool:
+    """Whether a block is in doubt for its class or id, so that it may prove a wrapper."""
+    return doubt == 2 and tag in BLOCK and tag not in ASIDE and not any(n == "role" and (v or "").lower() in ROLES or n == "hidden" or n == "aria-hidden" and v == "true" for n, v in attrs)
 
 
 class Line(NamedTuple):
@@ -86,6 +113,7 @@ class Line(NamedTuple):
     block: int  # number of the innermost block element; 0: none
     doubt: int
     button: int  # number of the button around the block; 0: none
+    mark: int = 0  # number of the innermost block around it whose name is in doubt; 0: none
 
 
 class Lines(HTMLParser):
@@ -101,6 +129,8 @@ class Lines(HTMLParser):
         self.at: dict[str, list[int]] = defaultdict(list)  # positions in open, by name
         self.blocks: list[int] = []  # positions of blocks in open
         self.parent, self.kind = [0], [""]
+        self.marked = [0]  # of the page and the open elements: the innermost block in doubt for its name
+        self.above, self.layout, self.articles = [0], [False], [0]  # by number of such blocks, 0 the page: the one around it, whether it tells of layout, articles and mains directly in it
         self.silent, self.doubts, self.ended = 0, [0, 0, 0], set()
         self.parts: list[str] = []
         self.tags, self.linked, self.hid, self.weak = 0, 0, False, False
@@ -116,7 +146,7 @@ class Lines(HTMLParser):
         if text or self.hid:
             block = self.open[self.blocks[-1]][1] if self.blocks else 0
             button = self.open[self.at["button"][-1]][1] if self.at["button"] else 0
-            self.lines.append(Line(text, self.tags, self.linked, block, int(self.weak) if text else 2, button))
+            self.lines.append(Line(text, self.tags, self.linked, block, int(self.weak) if text else 2, button, self.marked[-1]))
             self.tags = 0
         self.parts, self.linked, self.hid, self.weak = [], 0, False, False
 
@@ -129,7 +159,16 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self.blocks.append(len(self.open))
         self.at[tag].append(len(self.open))
-        doubt = doubt_of(tag, attrs)
+        doubt, layout = doubt_of(tag, attrs)
+        mark = self.marked[-1]
+        if is_named(tag, attrs, doubt):
+            self.above.append(mark)
+            self.layout.append(layout)
+            self.articles.append(0)
+            mark, doubt = len(self.above) - 1, 0
+        elif tag in ("article", "main") and doubt < 2 and not self.doubts[2]:
+            self.articles[mark] += 1
+        self.marked.append(mark)
         self.open.append((tag, number, doubt))
         self.silent += tag in SILENT
         self.doubts[doubt] += 1
@@ -137,6 +176,7 @@ class Lines(HTMLParser):
     def pop_to(self, position):
         while len(self.open) > position:
             tag, _, doubt = self.open.pop()
+            self.marked.pop()
             self.at[tag].pop()
             self.silent -= tag in SILENT
             self.doubts[doubt] -= 1
@@ -215,7 +255,22 @@ class Lines(HTMLParser):
         self.feed(rest[: cut_off.start()] if cut_off else rest)
         self.close()
         self.cut()
-        return [x._replace(text="", doubt=2) if x.button in self.ended else x for x in self.lines]
+        silent = self.silenced()
+        return [x._replace(text="", doubt=2) if x.button in self.ended or silent[x.mark] else x for x in self.lines]
+
+    def silenced(self) -> list[bool]:
+        """By number of the blocks in doubt for their names: whether they, or one around them, are no wrappers of the article."""
+        weight, held = [0] * len(self.above), list(self.articles)
+        for x in self.lines:
+            weight[x.mark] += len(x.text)
+        for m in range(len(self.above) - 1, 0, -1):
+            weight[self.above[m]] += weight[m]
+            held[self.above[m]] += held[m]
+        out = [False] * len(self.above)
+        for m in range(1, len(out)):
+            wrapper = held[m] == held[0] if held[0] else self.layout[m] and weight[m] >= WRAPPER * weight[0]
+            out[m] = out[self.above[m]] or not wrapper
+        return out
 
 
 def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -251,7 +306,7 @@ def article_of(lines: list[Line], chosen: np.ndarray, parent: list[int], kind: l
 
 
 def attached(lines: list[Line], chosen: np.ndarray, strong: np.ndarray, parent: list[int], kind: list[str]) -> np.ndarray:
-    """Article text of a page without article: the clusters, and what is attached to them."""
+    """Article text: the clusters, and what is attached to them."""
     owner = list(range(len(kind)))
     for b in range(1, len(kind)):
         if kind[b] in LEAF or kind[b] == "button":
@@ -281,14 +336,12 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     chosen, strong = content_lines(lines)
-    region = article_of(lines, chosen, parser.parent, parser.kind)
-    if region:
+    kept = attached(lines, chosen, strong, parser.parent, parser.kind)
+    if region := article_of(lines, chosen, parser.parent, parser.kind):
         inside = [False] * len(parser.kind)
         for b in range(1, len(inside)):
             inside[b] = b == region or inside[parser.parent[b]]
-        kept = [inside[x.block] and (x.doubt == 0 or x.doubt == 1 and yes and 2 * x.linked <= len(x.text)) for x, yes in zip(lines, chosen, strict=True)]
-    else:
-        kept = attached(lines, chosen, strong, parser.parent, parser.kind)
+        kept = [yes and inside[x.block] for x, yes in zip(lines, kept, strict=True)]
     return "\n".join(x.text for x, yes in zip(lines, kept, strict=True) if yes)
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.llm import centroids, exact_dedup, lexical_search
+from logloom.llm import centroids, exact_dedup, html_extract, lexical_search
 
 EXTRA = "doc_id long, text string, lang string, source string, n_chars long, key int, row double, `body` string, best int, hash int"
 
@@ -201,3 +201,51 @@ def test_a_tasks_best_classes_keep_ties():
     for i in range(3):
         want = sorted((-scores[c, i], first[c], c) for c in range(500) if scores[c, i] > 0)[:7]
         assert [(-s, f, c) for n, s, f, c in zip(item, score, low, cls, strict=True) if n == i] == want
+
+
+# HTML extraction: broken markup, wrappers, and clusters inside articles
+
+P = "<p>This is a long paragraph of the article, with many words in it, to be kept as it is.</p>"
+KEPT = P[3:-4]
+WHOLE = P * 3
+#: page, the article's blocks beside its three paragraphs
+WRAPPERS = [
+    f"<div class='layout with-sidebar'><article>{WHOLE}</article></div>", f"<div class='content-sidebar-wrap'><div>{WHOLE}</div></div>", f"<div class='content-sidebar-wrap'><article>{WHOLE}</article><div class='sidebar'><p>side side</p></div></div>",
+    f"<div id='page' class='site has-sidebar'><main>{WHOLE}</main></div>", f"<div class='no-nav'><main>{WHOLE}</main></div>", f"<div id='main-content' class='widget-area'>{WHOLE}</div>",
+    f"<article>{WHOLE}</article><section id='comments'><article>{WHOLE}{WHOLE}</article></section>", f"<main>{WHOLE}<div class='comments'><p>Bob: nice!</p></div></main>", f"<div id=x>{WHOLE}</div><div class=sidebar>{WHOLE}{WHOLE}</div>",
+]
+
+
+@pytest.mark.parametrize("page", WRAPPERS)
+def test_wrappers_of_the_article_are_not_silenced(page):
+    assert html_extract.main_text(f"<html><body>{page}</body></html>") == "\n".join([KEPT] * 3)
+
+
+@pytest.mark.parametrize(
+    "block",
+    [
+        "<section id='discussion'><h2>Discussion</h2><p>What these results mean is told here, at some length, as it is in papers.</p></section>", "<p class='share-price'>The share price rose by three percent to forty.</p>",
+        "<p class='related-work'>Others have done related work in this field before.</p>", "<section class='social-science'><p>Social science has another view of the matter, told in this section.</p></section>", "<div class='hero-banner'><h1>The title</h1></div>",
+    ],
+)
+def test_names_that_only_sound_like_furniture(block):
+    want = re.sub(r"<[^>]+>", "\n", block).split("\n")
+    found = html_extract.main_text(f"<article>{P}{block}{P}{P}</article>").split("\n")
+    assert all(x in found for x in want if x) and found.count(KEPT) == 3
+
+
+def test_clusters_decide_inside_an_article(monkeypatch):
+    page = f"<main><ul><li><a href=x>Home</a></li><li><a href=y>Blog</a></li></ul><h1>Title</h1>{WHOLE}<div><div>Bob: nice!</div></div></main>"
+    assert html_extract.main_text(page) == "\n".join(["Title"] + [KEPT] * 3)
+    monkeypatch.setattr(html_extract, "content_lines", lambda lines: (np.array([x.doubt == 0 for x in lines]),) * 2)
+    assert "Home" in html_extract.main_text(page) and "nice" in html_extract.main_text(page)
+
+
+def test_broken_markup_never_raises():
+    assert html_extract.main_text("<article><p>hello</p><![foo[x]]><p>more</p></article>") == "hello\nmore"
+    assert html_extract.main_text("<p>x</p><![>y").startswith("x")
+    rng = random.Random(11)
+    parts = ["<p>", "</p>", "<div class='a b'>", "</div>", "<![", "<![CDATA[x]]>", "<![if x]>", "<!", "<!x>", "<!--", "-->", "<?php", "?>", "<!DOCTYPE", ">", "]]>", "&#x110000;", "&#;", "&", "<a href=", "\"", "'", "words and words ", "\x00", "<script>", "</script", "<article>", "<li>", "é", "<", "/>", "<!ELEMENT x [", "<![foo[x]]>"]
+    for _ in range(1500):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 40)))
+        assert isinstance(html_extract.main_text(page), str)
