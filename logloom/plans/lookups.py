@@ -1,14 +1,20 @@
-"""Registered queries of address databases and rule files made from the given tables, with their DuckDB twins."""
+"""Registered queries of address databases, rule files and stores made from the given tables, with their DuckDB twins."""
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from logloom.operators import rule_catalogue
-from logloom.plans.catalogue import logs, register
+from logloom.plans.catalogue import ORACLES, C, COLS, logs, register
+from logloom.plans.flows import logs_in_parts
 from logloom.plans.more import LAST, ips
+from logloom.plans.views import NOW, view
 from logloom.session import put, scratch, table
 from logloom.sources import mmdb
+from logloom.sources.logstore import LogStore
+from logloom.streaming import streams
 
 
 def located(spark, sf_dir, rows):
@@ -43,3 +49,31 @@ AT = "case when p_partkey % 4 = 0 or p_partkey % 10 = 6 then 'a' else 'b' end"
 register("rule_catalogue_synced", lambda s, d: synced(s, d)[0].select("path", "commit", "rule_id", "title", "level", "status", F.array_join("techniques", ",").alias("techniques"), F.get_json_object("detection", "$.sel['message|contains'][0]").alias("word")), f"select concat('rules/', cast(p_partkey as varchar), '.yml') as path, {AT} as commit, concat('part-', cast(p_partkey as varchar)) as rule_id, concat('Part ', cast(p_partkey as varchar), ' ', {AT}) as title, {LEVEL} as level, 'stable' as status, concat('T', lpad(cast(p_size as varchar), 4, '0')) as techniques, p_type as word from part where {KEPT}")
 register("rule_catalogue_counts", lambda s, d: synced(s, d)[1], "select count(*) filter (p_partkey % 4 > 0 and p_partkey % 10 not in (3, 6)) as imported, count(*) filter (p_partkey % 4 = 0) as skipped, count(*) filter (p_partkey % 4 > 0 and p_partkey % 10 in (3, 6)) as failed from part")
 register("rule_catalogue_search", lambda s, d: rule_catalogue.titled(synced(s, d)[0], "PART 1", 20).select("title", "level"), f"select title, level from (select concat('Part ', cast(p_partkey as varchar), ' ', {AT}) as title, {LEVEL} as level from part where {KEPT}) x where contains(lower(title), 'part 1') order by title limit 20")
+
+
+def filed(spark, sf_dir) -> LogStore:
+    store = LogStore(spark, scratch(spark))
+    store.add(view(spark, sf_dir, "logs"), view(spark, sf_dir, "projects"))
+    return store
+
+
+def retained(spark, sf_dir):
+    """Retention is 7 days and the organization's number more."""
+    store = filed(spark, sf_dir)
+    store.retain({o: 7 + o for o in range(5)}, datetime.fromisoformat(NOW))
+    return store.rows().select("organization_id", *COLS)
+
+
+register("log_search_indexed", lambda s, d: filed(s, d).containing("USER_ID=7 ").select(*COLS), f"select {C} from logs where contains(lower(message), 'user_id=7 ')", "logs")
+register("retention_by_partition", retained)
+ORACLES["retention_by_partition"] = ORACLES["retention_survivors"]
+
+
+def notified(spark, sf_dir):
+    def follow(x, path):
+        streams.fan_out(x, f"{path}/notices", f"{path}/state")
+
+    return streams.notices(spark, f"{logs_in_parts(spark, sf_dir, follow)}/notices").rows().select("project_id", F.explode("ids").alias("id"))
+
+
+register("stream_notifications", notified, "select project_id, id from logs", "logs")

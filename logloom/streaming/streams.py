@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.operators.search import search
 from logloom.operators.sigma import PACKS, detect
 from logloom.session import shared_dir
+from logloom.streaming.tables import Batches, run
 
 
 def watched(rows: DataFrame, late: str, column: str = "time") -> DataFrame:
@@ -35,6 +36,40 @@ def live_tail(logs: DataFrame, **criteria) -> DataFrame:
     return search(logs, **criteria)
 
 
+#: Ids of a notification: as many as fit a message of 7,900 bytes at 40 bytes each.
+CHUNK = 7900 // 40
+NOTICES = "project_id int, ids array<long>, newest timestamp_ntz"
+
+
+def notices(spark: SparkSession, path: str) -> Batches:
+    return Batches(spark, path, NOTICES)
+
+
+def fan_out(logs: DataFrame, path: str, checkpoint: str) -> None:
+    """Notifications of what is new in a stream of logs: a project and at most CHUNK of its log ids in each, in a table by batch.
+
+    A consumer goes on behind the last batch that it has seen, and looks up the rows by their ids. Chunks are formed within
+    pieces of a project, dealt by id, so a project of a third of all logs is no single task's.
+    """
+    told = notices(logs.sparkSession, path)
+
+    def each(batch: DataFrame, number: int) -> None:
+        dealt = batch.where("project_id is not null").select("project_id", "id", F.col("time").cast("timestamp_ntz").alias("time"), F.pmod(F.xxhash64("id"), F.lit(64)).alias("piece"))
+        place = F.row_number().over(Window.partitionBy("project_id", "piece").orderBy("time", "id")) - 1
+        chunks = dealt.withColumn("chunk", F.floor(place / CHUNK)).groupBy("project_id", "piece", "chunk").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.max("time").alias("newest"))
+        told.put(chunks.select("project_id", "ids", "newest"), number)
+
+    run(logs, each, checkpoint)
+
+
+def polled(logs: DataFrame, after: tuple[str, int] | None = None, limit: int = 100) -> DataFrame:
+    """The next page, oldest first, of the rows behind a (time, id); with the last row's, it is asked again until a page comes back short."""
+    if after is not None:
+        t = F.lit(after[0]).cast("timestamp_ntz")
+        logs = logs.where((F.col("time") > t) | (F.col("time") == t) & (F.col("id") > after[1]))
+    return logs.orderBy("time", "id").limit(max(1, min(100, limit)))
+
+
 def detections(logs: DataFrame, rules=PACKS) -> DataFrame:
     return detect(logs, rules)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators import analytics, sigma, traces
 from logloom.session import folders
-from logloom.streaming import alarms, casework, rollups, spanstore
+from logloom.streaming import alarms, casework, rollups, spanstore, streams
 from logloom.streaming.tables import Latest
 
 START = datetime(2024, 1, 1)
@@ -201,3 +201,32 @@ def test_daily_rollups_reach_back_three_days_and_batches_may_repeat(spark, tmp_p
     assert stored == {1: 2, 2: 2, 3: 2, 4: 2, 5: 3, 6: 2}
     kept.put(batch(), 2)
     assert {r["bucket"].day: r["log_count"] for r in kept.stored(rollups.DAILY).collect()} == stored
+
+
+# live tail
+
+
+def test_notifications_lose_nothing_across_restarts(spark, tmp_path):
+    source, out, state = Source(spark, tmp_path / "in", LOG), str(tmp_path / "out"), str(tmp_path / "state")
+    first = [log(i, i, project=i % 2) for i in range(15_000)] + [log(99_999, 5, project=None)]
+    stream = source.add(first)
+    streams.fan_out(stream, out, state)
+    streams.fan_out(stream, out, state)
+    seen = max(streams.notices(spark, out).numbers())
+    streams.fan_out(source.add([log(20_000, 9), log(20_001, 8)]), out, state)
+    told = streams.notices(spark, out)
+    assert Counter(i for r in told.rows().collect() for i in r["ids"]) == Counter([*range(15_000), 20_000, 20_001])
+    assert max(len(r["ids"]) for r in told.rows().collect()) <= streams.CHUNK
+    assert [(r["project_id"], i) for r in told.rows(after=seen).collect() for i in sorted(r["ids"])] in ([(1, 20_000), (1, 20_001)], [(1, 20_001), (1, 20_000)])
+
+
+def test_pages_of_a_poll(spark):
+    rows = spark.createDataFrame([log(i, i // 3) for i in range(250)], LOG)
+    ids, after = [], None
+    while True:
+        page = streams.polled(rows, after).collect()
+        ids += [r["id"] for r in page]
+        if len(page) < 100:
+            break
+        after = (str(page[-1]["time"]), page[-1]["id"])
+    assert ids == list(range(250)) and streams.polled(rows, limit=1000).count() == 100
