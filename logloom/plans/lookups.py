@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from logloom.functions import tables
 from logloom.operators import rule_catalogue
 from logloom.plans.catalogue import ORACLES, C, COLS, logs, register
 from logloom.plans.flows import logs_in_parts
@@ -77,3 +78,15 @@ def notified(spark, sf_dir):
 
 
 register("stream_notifications", notified, "select project_id, id from logs", "logs")
+
+
+def in_sql(text: str):
+    def query(spark, sf_dir):
+        tables.register(spark)
+        return spark.sql(text, logs=view(spark, sf_dir, "logs"))
+
+    return query
+
+
+register("identifiers_lateral", in_sql("select l.id as log_id, x.type, x.value, x.source from {logs} l, lateral identifiers(l.message, l.metadata) x"))
+ORACLES["identifiers_lateral"] = ORACLES["identifiers_extract"].replace("select id as log_id, time, project_id, ", "select id as log_id, ")
