@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from logloom.operators.analytics import WIDTHS, bucket, ntz
 
-SALTS = 32
+#: What a rule is told by, and the key of those of any service or project.
+RULE, ANY = ["rule_id", "service", "levels", "project_id", "enabled"], "*"
 
 
 def last_triggers(history: DataFrame) -> DataFrame:
@@ -21,20 +22,33 @@ def in_scope(rules: DataFrame, projects: DataFrame) -> DataFrame:
     return own.unionByName(projects.withColumn("_one", F.lit(1)).join(every, "_one").drop("_one"))
 
 
+def rule_keys(rules: DataFrame) -> DataFrame:
+    """Enabled rules under the keys (level, service, project) that their logs have; a rule of a service also fits the service 'unknown'."""
+    services = F.when(F.col("service").isNull(), F.array(F.lit(ANY))).otherwise(F.array_distinct(F.array("service", F.lit("unknown"))))
+    more = [c for c in rules.columns if c not in RULE]
+    live = rules.where("enabled").select("rule_id", *more, F.explode(F.array_distinct(F.split("levels", ","))).alias("level"), services.alias("services"), F.coalesce(F.col("project_id").cast("string"), F.lit(ANY)).alias("project"))
+    return live.withColumn("service", F.explode("services")).drop("services")
+
+
+def matched(logs: DataFrame, rules: DataFrame) -> DataFrame:
+    """time, rule_id and what else rules have, of each log with each rule that it counts for, once; an equality join of four narrow rows for each log."""
+    either = lambda c: F.array_distinct(F.array(F.coalesce(c, F.lit(ANY)), F.lit(ANY)))
+    keyed = logs.select("time", "level", F.explode(either(F.col("service"))).alias("service"), F.col("project_id").cast("string").alias("project_id"))
+    keyed = keyed.select("time", "level", "service", F.explode(either(F.col("project_id"))).alias("project"))
+    return keyed.join(rule_keys(rules), ["level", "service", "project"]).drop("level", "service", "project")
+
+
 def fired(rules: DataFrame, history: DataFrame, logs: DataFrame, now: str) -> DataFrame:
     """Enabled rules whose count since max(last trigger, now - window), exclusive, reaches the threshold.
 
-    Rules of a level are fetched by that level while logs are scanned, and partial counts by rule leave
-    each task. Whether rules are broadcast is the planner's choice, by their size.
+    Only logs of the longest window are read. They meet the rules of their level, service and project, never rule by rule, and
+    partial counts by rule leave each task. Whether rules are broadcast is the planner's choice, by their size.
     """
     since = F.greatest(F.coalesce("last_trigger", ntz("1970-01-01")), F.expr(f"timestamp_ntz'{now}' - make_interval(0, 0, 0, 0, 0, time_window)"))
     live = rules.where("enabled").join(last_triggers(history), "rule_id", "left").withColumn("since", since)
-    r = live.withColumn("level", F.explode(F.split("levels", ","))).withColumnRenamed("service", "rule_service").withColumnRenamed("project_id", "rule_project")
-    seen = logs.where(F.col("time") <= ntz(now)).select("level", "service", "project_id", "time", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("_salt"))
-    fits = (F.col("rule_service").isNull() | (F.col("service") == F.col("rule_service")) | (F.col("service") == "unknown")) & (F.col("rule_project").isNull() | (F.col("project_id") == F.col("rule_project"))) & (F.col("time") > F.col("since"))
-    # five levels alone would be five keys for all logs: rules are copied SALTS times, logs dealt among the copies
-    r = r.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    hits = seen.join(r, ["level", "_salt"]).where(fits).groupBy("rule_id").agg(F.count("*").alias("log_count"))
+    longest = rules.where("enabled").agg(F.max("time_window").alias("w")).head()["w"] or 0
+    seen = logs.where((F.col("time") <= ntz(now)) & (F.col("time") > ntz(now) - F.expr(f"make_interval(0, 0, 0, 0, 0, {longest})")))
+    hits = matched(seen, live.select(*RULE, "since")).where("time > since").groupBy("rule_id").agg(F.count("*").alias("log_count"))
     return live.join(hits, "rule_id").where("log_count >= threshold").select("rule_id", "log_count", "threshold")
 
 

@@ -18,30 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from logloom.operators.alerts import RULE, matched
 from logloom.session import ship
 from logloom.streaming.tables import Batches, append, run
 
 TICK = 60
-ANY = "*"
 TICKS = "rule_id int, tick long, n long, threshold int, time_window int"
 TOLD = "rule_id int, triggered_at timestamp_ntz, log_count long"
 
 
-def rule_keys(rules: DataFrame) -> DataFrame:
-    """Enabled rules under the keys (level, service, project) that their logs have; a rule of a service also fits the service 'unknown'."""
-    services = F.when(F.col("service").isNull(), F.array(F.lit(ANY))).otherwise(F.array_distinct(F.array("service", F.lit("unknown"))))
-    live = rules.where("enabled").select("rule_id", "threshold", "time_window", F.explode(F.array_distinct(F.split("levels", ","))).alias("level"), services.alias("services"), F.coalesce(F.col("project_id").cast("string"), F.lit(ANY)).alias("project"))
-    return live.select("rule_id", "threshold", "time_window", "level", F.explode("services").alias("service"), "project")
-
-
-def matched(logs: DataFrame, rules: DataFrame) -> DataFrame:
-    """time, rule_id, threshold, time_window: each log with each rule that it counts for, once."""
-    either = lambda c: F.array_distinct(F.array(F.coalesce(c, F.lit(ANY)), F.lit(ANY)))
-    keyed = logs.select("time", "level", F.explode(either(F.col("service"))).alias("service"), F.col("project_id").cast("string").alias("project_id"))
-    keyed = keyed.select("time", "level", "service", F.explode(either(F.col("project_id"))).alias("project"))
-    return keyed.join(rule_keys(rules), ["level", "service", "project"]).select("time", "rule_id", "threshold", "time_window")
-
-
 def advanced(held: tuple, counts_in: list[tuple[int, int, int, int]]) -> tuple[tuple, list[tuple[int, int]]]:
     """A rule's state (ends and counts of its window's ticks, when it last fired) after ticks (end, count, threshold, minutes), and what it fires (end, count)."""
     (ends, counts, fired), out = held, []
@@ -66,7 +51,7 @@ def ring(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterat
 
 def closed_ticks(logs: DataFrame, rules: DataFrame, late: str = "10 minutes") -> DataFrame:
     """rule_id, tick (the second at which it ends), n, threshold, time_window of each tick with logs of a rule, once it has closed; for append mode."""
-    rows = matched(logs.withColumn("time", F.col("time").cast("timestamp")).withWatermark("time", late), rules)
+    rows = matched(logs.withColumn("time", F.col("time").cast("timestamp")).withWatermark("time", late), rules.select(*RULE, "threshold", "time_window"))
     counts = rows.groupBy(F.window("time", f"{TICK} seconds").alias("w"), "rule_id", "threshold", "time_window").agg(F.count("*").alias("n"))
     return counts.select("rule_id", F.unix_seconds("w.end").alias("tick"), "n", "threshold", "time_window")
 
