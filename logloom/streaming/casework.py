@@ -32,6 +32,7 @@ OWN = ["incident", "kind", "trace_id", "project_id", "service", "severity", "wei
 FOLDED = "incident string, kind string, trace_id string, project_id int, service string, severity string, weight int, tactics string, techniques string, n long, first string, start_us long, end_us long"
 STATE = "n long, first string, project_id int, severity string, weight int, start_us long, end_us long, services array<string>, tactics array<string>, techniques array<string>"
 CHANGED = "incident string, kind string, trace_id string, project_id int, severity string, n long, start_us long, end_us long, services array<string>, tactics array<string>, techniques array<string>, event string"
+NAMES = [c.split()[0] for c in CHANGED.split(", ")]
 INCIDENTS = "incident string, kind string, trace_id string, project_id int, severity string, n long, start_time timestamp_ntz, end_time timestamp_ntz, services array<string>, tactics array<string>, techniques array<string>"
 FEED = "type string, id string, data string"
 SEEN = "log_id long, time timestamp_ntz, project_id int, service string, level string, message string, trace_id string, rule_id string, title string, severity string, tactics array<string>, techniques array<string>"
@@ -70,22 +71,22 @@ def totals(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iter
     n, first, project, severity, weight, start, end = held[:7]
     sets, before, kind, trace = [set(x) for x in held[7:]], n, None, None
     for part in parts:
-        for r in part.itertuples(index=False):
-            if r.start_us < start or not n:
-                start = int(r.start_us)
-            if r.first < first or not n:
-                first, project = r.first, None if pd.isna(r.project_id) else int(r.project_id)
-            kind, trace, n, end = r.kind, r.trace_id, n + int(r.n), max(end, int(r.end_us)) if n else int(r.end_us)
-            if r.weight > weight:
-                severity, weight = r.severity, int(r.weight)
-            for own, told in zip(sets, ([r.service], (r.tactics or "").split("\n"), (r.techniques or "").split("\n")), strict=True):
-                own.update(x for x in told if x)
+        columns = [part[c].tolist() for c in ("kind", "trace_id", "project_id", "service", "severity", "weight", "tactics", "techniques", "n", "first", "start_us", "end_us")]
+        for kind, trace, own_project, service, own_severity, own_weight, tactics, techniques, count, own_first, begins, ends in zip(*columns, strict=True):
+            if n == 0 or own_first < first:
+                first, project = own_first, None if pd.isna(own_project) else int(own_project)
+            start, end = (min(start, begins), max(end, ends)) if n else (begins, ends)
+            n += count
+            if own_weight > weight:
+                severity, weight = own_severity, own_weight
+            for held_set, told in zip(sets, ([service], (tactics or "").split("\n"), (techniques or "").split("\n")), strict=True):
+                held_set.update(x for x in told if x)
     lists = [sorted(x) for x in sets]
     state.update((n, first, project, severity, weight, start, end, *lists))
     if n >= LEAST[kind]:
         event = "incident_created" if before < LEAST[kind] else "incident_updated"
         row = (key[0], kind, trace, project, severity, n, start, end, *lists, event)
-        yield pd.DataFrame([row], columns=[c.split()[0] for c in CHANGED.split(", ")]).astype({"project_id": "Int32"})
+        yield pd.DataFrame({name: [value] for name, value in zip(NAMES, row, strict=True)})
 
 
 def changes(detections: DataFrame) -> DataFrame:
