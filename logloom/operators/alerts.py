@@ -76,6 +76,26 @@ def preview_incidents(buckets: DataFrame, threshold: int, width: str) -> DataFra
     )
 
 
+#: Bucket width of a preview by its range in days; longer ranges take the last.
+PREVIEW_WIDTHS = {1: "5m", 7: "15m", 30: "1h"}
+
+
+def preview_width(days: int) -> str:
+    return next((width for most, width in PREVIEW_WIDTHS.items() if days <= most), "1h")
+
+
+def preview_summary(incidents: DataFrame) -> DataFrame:
+    """One row: incidents, hot buckets in all, and the average (rounded half up), longest and shortest duration in minutes; zeros for none."""
+    minutes = F.expr("timestampdiff(SECOND, start_time, end_time) / 60.0D")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return incidents.agg(F.count("*").alias("incidents"), zero(F.sum("buckets")).alias("triggers"), zero(F.floor(F.avg(minutes) + 0.5)).alias("average"), zero(F.max(minutes)).alias("longest"), zero(F.min(minutes)).alias("shortest"))
+
+
+def first_incidents(incidents: DataFrame, k: int = 10) -> DataFrame:
+    """The first incidents of a preview, for which samples are fetched."""
+    return incidents.orderBy("start_time").limit(k)
+
+
 def preview_stats(buckets: DataFrame, threshold: int) -> DataFrame:
     """Share of non-empty buckets at the threshold, and percentiles by index: sorted[min(floor(n p), n - 1)]."""
     at = lambda p: F.element_at("s", (F.least(F.floor(F.size("s") * F.lit(p)), F.size("s") - 1) + 1).cast("int"))

@@ -61,6 +61,13 @@ def activity(logs: DataFrame, now: str) -> DataFrame:
     )
 
 
+def growth(rows: DataFrame, now: str) -> DataFrame:
+    """One row of accounts (created_at, last_login): all, those made today, in the 7 and 30 days up to today's start and since, and those that came in the last 30 days."""
+    today = F.date_trunc("day", ntz(now)).cast("timestamp_ntz")
+    since = lambda days: F.count_if(F.col("created_at") >= today - F.expr(f"interval {days} days"))
+    return rows.agg(F.count("*").alias("total"), since(0).alias("today"), since(7).alias("week"), since(30).alias("month"), F.count_if(F.col("last_login") >= ntz(now) - F.expr("interval 30 days")).alias("active"))
+
+
 def run_services(logs: DataFrame, incidents: DataFrame, levels) -> DataFrame:
     """start_time, services: services other than 'unknown' with logs in each preview incident (start_time, end_time).
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from logloom.functions import scalars as X
@@ -127,6 +129,10 @@ register("otlp_traces", logs(lambda x: ingest.otlp_spans(otlp_body(x, otlp_span(
 
 # counters and listings
 register("platform_counters", logs(lambda x: platform.activity(x, NOW)), f"select count(*) as total, count(*) filter (time >= date_trunc('day', n) and time <= n) as today, count(*) filter (time > n - interval '7 days' and time <= n) as week, count(*) filter (time > n - interval '30 days' and time <= n) as month, count(distinct project_id) filter (time > n - interval '30 days' and time <= n) as active_projects from (select *, timestamp '{NOW}' as n from logs) x", "logs")
+# accounts: made some days before NOW by their keys, and last seen half as long ago
+ACCOUNTS = {"users": ("customer", "c_custkey"), "organizations": ("region", "r_regionkey"), "projects": ("nation", "n_nationkey")}
+made = lambda s, d, name, key: table(s, d, name).select((F.expr(f"timestamp_ntz'{NOW}' - make_interval(0, 0, 0, cast({key} % 90 as int))")).alias("created_at"), (F.expr(f"timestamp_ntz'{NOW}' - make_interval(0, 0, 0, cast({key} % 90 div 2 as int))")).alias("last_login"))
+register("platform_growth", lambda s, d: reduce(lambda a, b: a.unionByName(b), [platform.growth(made(s, d, *of), NOW).withColumn("kind", F.lit(kind)) for kind, of in ACCOUNTS.items()]), " union all ".join(f"select '{kind}' as kind, count(*) as total, count(*) filter (c >= d) as today, count(*) filter (c >= d - interval '7 days') as week, count(*) filter (c >= d - interval '30 days') as month, count(*) filter (l >= timestamp '{NOW}' - interval '30 days') as active from (select timestamp '{NOW}' - to_days(cast({key} % 90 as int)) as c, timestamp '{NOW}' - to_days(cast({key} % 90 // 2 as int)) as l, date_trunc('day', timestamp '{NOW}') as d from {name}) x" for kind, (name, key) in ACCOUNTS.items()))
 counted = lambda x, p, r: p.select("id", "name").join(x.groupBy(F.col("project_id").alias("id")).agg(F.count("*").alias("logs")), "id", "left").join(r.groupBy(F.col("project_id").alias("id")).agg(F.count("*").alias("rules")), "id", "left").na.fill(0, ["logs", "rules"])
 register("project_counts", on("logs", "projects", "alert_rules")(counted), "select id, name, (select count(*) from logs l where l.project_id = p.id) as logs, (select count(*) from alert_rules r where r.project_id = p.id) as rules from projects p", "logs", "projects", "alert_rules")
 register("members_of_org", lambda s, d: members(s, d).where("organization_id = 2").join(table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name")), "user_id"), f"select user_id, organization_id, c_name as name from ({MEMBERS}) m join customer on c_custkey = user_id where organization_id = 2")

@@ -47,6 +47,11 @@ register("alert_preview_samples", logs(lambda x: incidents.samples(x, BAD, runs(
 register("alert_preview_advice", logs(lambda x: incidents.suggestions(alerts.preview_stats(preview(x), 3), runs(x), 30)), f"""select concat_ws(',', case when hot * 100.0::double / buckets > 15 then 'raise_threshold' end, case when n > 150 then 'too_many_incidents' end, case when n = 0 and buckets > 0 then 'lower_threshold' end, case when n > 0 and d / n::double > 0.4 then 'one_weekday' end, case when n > 0 and h / n::double > 0.3 then 'one_hour' end) as advice
  from (select count(*) as buckets, count(*) filter (n >= 3) as hot from ({BUCKETS}) b) s, (select count(*) as n from ({RUNS}) r) c, (select coalesce(max(k), 0) as d from (select count(*) as k from ({RUNS}) r group by dayofweek(start_time)) q) w, (select coalesce(max(k), 0) as h from (select count(*) as k from ({RUNS}) r group by hour(start_time)) q) o""", "logs")
 
+MINUTES = "date_diff('second', start_time, end_time) / 60.0::double"
+RUN_ROWS = "select min(bucket) as start_time, max(bucket) + interval '1 hour' as end_time, count(*) as buckets from (select *, row_number() over (order by bucket) - row_number() over (partition by n >= 3 order by bucket) as island from ({BUCKETS}) b) h where n >= 3 group by island".replace("{BUCKETS}", BUCKETS)
+register("alert_preview_summary", logs(lambda x: alerts.preview_summary(runs(x))), f"select count(*) as incidents, coalesce(sum(buckets), 0)::bigint as triggers, coalesce(floor(avg({MINUTES}) + 0.5), 0)::bigint as average, coalesce(max({MINUTES}), 0)::bigint as longest, coalesce(min({MINUTES}), 0)::bigint as shortest from ({RUN_ROWS}) r", "logs")
+register("alert_preview_first", logs(lambda x: alerts.first_incidents(runs(x)).select("start_time", "end_time", "buckets")), f"select start_time, end_time, buckets from ({RUN_ROWS}) r order by start_time limit 10", "logs")
+
 # listings
 register("log_search_numbered_page", logs(lambda x: incidents.paged(x.where("level = 'error'").select("id", "time", "service"), [F.col("time").desc(), F.col("id").desc()], 2, 20)), "select id, time, service, (select count(*) from logs where level = 'error') as total, (select cast(ceil(count(*) / 20.0) as bigint) from logs where level = 'error') as pages from logs where level = 'error' order by time desc, id desc limit 20 offset 20", "logs")
 register("error_groups_list", logs(lambda x: errors.error_groups(grouped(x)).where(F.col("services").ilike("%GATE%")).orderBy(F.col("last_seen").desc(), "project_id", "fingerprint").limit(20).select("project_id", "fingerprint", "n", "last_seen")), f"select project_id, fingerprint, n, last_seen from ({GROUPS}) g where services ilike '%GATE%' order by last_seen desc, project_id, fingerprint limit 20", "logs")
