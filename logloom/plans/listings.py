@@ -187,6 +187,12 @@ CHECKED = "select id, case when id % 3 > 0 then time end as checked from logs"
 register("enrichment_stale", logs(lambda x: streams.fresh(x.sparkSession.sql(CHECKED.replace("from logs", "from {x}"), x=x), "checked", NOW)), f"select id, checked from ({CHECKED}) c where checked is null or checked <= timestamp '{NOW}' - interval '24 hours'", "logs")
 register("stream_live_tail", streamed(lambda x: streams.live_tail(x, levels=["critical"]).select(*COLS), "append"), f"select {C} from logs where level = 'critical'", "logs")
 register("stream_detections", streamed(lambda x: streams.detections(x).select("log_id", "rule_id", "severity"), "append"), f"select log_id, rule_id, severity from ({DETECTED}) d", "logs")
+# every third record is journald's; every other one has metadata of its own
+RECORD = """case when id % 3 = 0 then concat('{"SYSLOG_IDENTIFIER":"', service, '","PRIORITY":', cast(id % 8 as string), ',"MESSAGE":"m', cast(id as string), '","_PID":', cast(id as string), ',"_HOSTNAME":"h","__REALTIME_TIMESTAMP":"', cast(id as string), '000000","metadata":{"_PID":"old","k":1},"container_id":"c1"}')
+ else concat('{"date":', cast(id as string), ',"container_name":"', service, '","level":"WARNING","log":"m', cast(id as string), '","container_short_id":"s1"', case when id % 2 = 0 then ',"metadata":{"a":{"b":[1]},"container_short_id":"old"}' else '' end, '}') end"""
+PART_OF = lambda path: F.get_json_object("metadata", path)
+register("shipper_records", logs(lambda x: ingest.shipped(x.select("id", F.expr(RECORD).alias("body"))).select("id", "is_journald", "time", "service", "level", "message", PART_OF("$._PID").alias("pid"), PART_OF("$.k").alias("k"), PART_OF("$.a").alias("a"), PART_OF("$.container_id").alias("c"), PART_OF("$.container_short_id").alias("cs"), PART_OF("$.source").alias("source"))), """select id, id % 3 = 0 as is_journald, make_timestamp(id * 1000000) as time, service, case when id % 3 > 0 then 'warn' when id % 8 <= 2 then 'critical' when id % 8 = 3 then 'error' when id % 8 = 4 then 'warn' when id % 8 <= 6 then 'info' else 'debug' end as level, concat('m', cast(id as varchar)) as message,
+ case when id % 3 = 0 then cast(id as varchar) end as pid, case when id % 3 = 0 then '1' end as k, case when id % 3 > 0 and id % 2 = 0 then '{"b":[1]}' end as a, case when id % 3 = 0 then 'c1' end as c, case when id % 3 > 0 then 's1' end as cs, case when id % 3 = 0 then 'journald' end as source from logs""", "logs")
 register("csv_export", lambda s, d: ingest.exported(view(s, d, "logs").select(*COLS, "metadata")), "select time as \"Time\", service as \"Service\", level as \"Level\", message as \"Message\", metadata as \"Metadata\", trace_id as \"TraceID\" from logs order by time desc, id desc limit 50000", "logs")
 attribute = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
 valued = lambda **kw: F.struct(*[v.alias(n) for n, v in kw.items()])

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from logloom.functions.scalars import level_of_otlp, level_of_priority, ns_to_ms, span_kind, span_status, valid_trace_id
+from logloom.functions.scalars import level_of, level_of_otlp, level_of_priority, ns_to_ms, span_kind, span_status, valid_trace_id
 from logloom.session import scratch, ship
 
 LOG_SCHEMA = "time string, service string, level string, message string, metadata string, trace_id string, span_id string"
@@ -50,6 +52,41 @@ def journald(raw: DataFrame) -> DataFrame:
     return raw.select(service.alias("service"), level_of_priority(F.col("PRIORITY").try_cast("int")).alias("level"), F.coalesce("MESSAGE", F.lit("")).alias("message"), F.floor(F.col("__REALTIME_TIMESTAMP").try_cast("bigint") / 1000).alias("time_ms"))
 
 
+#: Fields by which a record is journald's (of the first some text, of the others anything), and those of its fields that are kept as metadata.
+TELLING, PRESENT = ("_SYSTEMD_UNIT", "_COMM", "_EXE", "SYSLOG_IDENTIFIER", "_HOSTNAME"), ("MESSAGE", "PRIORITY")
+JOURNALD = (
+    "_HOSTNAME _MACHINE_ID _BOOT_ID _PID _UID _GID _COMM _EXE _CMDLINE _SYSTEMD_CGROUP _SYSTEMD_UNIT _SYSTEMD_SLICE _SYSTEMD_USER_UNIT _STREAM_ID _TRANSPORT SYSLOG_FACILITY SYSLOG_IDENTIFIER SYSLOG_PID _SELINUX_CONTEXT _RUNTIME_SCOPE".split()
+)
+
+
+def shipped(bodies: DataFrame) -> DataFrame:
+    """time, service, level, message, metadata (JSON) and is_journald of records (column `body`, a JSON object each) of shippers and journald, told apart by their fields.
+
+    A record's own metadata comes first, then journald's kept fields, then the container's ids; later ones win and keep their JSON type.
+    Null for a time that a record doesn't have; a body that is no object has neither fields nor metadata.
+    """
+    raw, typed = F.from_json("body", "map<string,string>"), F.from_json("body", "map<string,variant>")
+    rows = bodies.select("*", F.coalesce(raw, F.create_map().cast("map<string,string>")).alias("_r"), F.coalesce(typed, F.from_json(F.lit("{}"), "map<string,variant>")).alias("_v"))
+    of = lambda k: F.nullif(F.try_element_at("_r", F.lit(k)), F.lit(""))
+    some = lambda *ks: F.coalesce(*[of(k) for k in ks])
+    own = reduce(or_, [of(k).isNotNull() for k in TELLING] + [F.map_contains_key("_r", F.lit(k)) for k in PRESENT])
+    only = lambda m, keys: F.map_filter(m, lambda k, v: k.isin(list(keys)))
+    over = lambda below, above: F.map_concat(F.map_filter(below, lambda k, v: ~F.map_contains_key(above, k)), above)
+    told = F.coalesce(F.from_json(of("metadata"), "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+    ids = only(F.col("_v"), ("container_id", "container_short_id"))
+    plain = over(told, ids)
+    journal = over(over(over(told, only(F.col("_v"), JOURNALD)), ids), F.from_json(F.lit('{"source":"journald"}'), "map<string,variant>"))
+    micros = some("__REALTIME_TIMESTAMP", "_SOURCE_REALTIME_TIMESTAMP").try_cast("bigint")
+    sent = F.coalesce(F.try_to_timestamp(of("time")), F.timestamp_seconds(of("date").try_cast("double")))
+    time = F.coalesce(F.when(own, F.timestamp_millis(F.floor(micros / 1000))), sent).cast("timestamp_ntz")
+    name = F.coalesce(of("SYSLOG_IDENTIFIER"), F.regexp_replace(of("_SYSTEMD_UNIT"), r"\.service$", ""), of("_COMM"), F.element_at(F.split(of("_EXE"), "/"), -1))
+    level = F.when(own & F.map_contains_key("_r", F.lit("PRIORITY")), level_of_priority(of("PRIORITY").try_cast("int"))).otherwise(level_of(of("level")))
+    return rows.select(
+        *bodies.columns, own.alias("is_journald"), time.alias("time"), F.coalesce(of("service"), F.when(own, name).otherwise(of("container_name")), F.lit("unknown")).alias("service"), level.alias("level"),
+        F.coalesce(F.when(own, of("MESSAGE")), of("message"), of("log"), F.lit("")).alias("message"), F.to_json(F.when(own, journal).otherwise(plain)).alias("metadata"),
+    )
+
+
 RFC3164 = r"^<([0-9]+)>([A-Z][a-z]{2} +[0-9]+ [0-9:]{8}) ([^ ]+) ([^:\[ ]+)(?:\[[0-9]+\])?: (.*)$"
 
 

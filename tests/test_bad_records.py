@@ -119,3 +119,13 @@ def test_whole_exports_survive_quotes(spark):
     logs = spark.createDataFrame(rows, "time string, service string, level string, message string, metadata string, trace_id string, id int").withColumn("time", F.col("time").cast("timestamp_ntz"))
     found = ingest.exported(logs).orderBy("Time").collect()
     assert (found[0]["Message"], found[0]["Metadata"], found[0]["TraceID"], found[1]["Metadata"]) == ('a "b", c\nd', '{"k": "v, \\"w\\""}', "t", None)
+
+
+def test_records_of_shippers_and_journald(spark):
+    bodies = ['{"MESSAGE":null}', '{"_EXE":"/usr/bin/x y","level":"crit","time":"2024-01-05T10:00:00Z","metadata":"text","_UID":0}', '{"_SYSTEMD_UNIT":"a.service","PRIORITY":"odd","__REALTIME_TIMESTAMP":"soon","date":1.5}', '{"service":"","container_name":"c","message":5,"level":50}', "[1]", "nonsense", None, "{}", '{"_HOSTNAME":"","log":"l"}']
+    rows = [r for r in ingest.shipped(spark.createDataFrame(list(enumerate(bodies)), "id int, body string")).orderBy("id").collect()]
+    assert [(r["is_journald"], r["service"], r["level"], r["message"]) for r in rows] == [
+        (True, "unknown", "info", ""), (True, "x y", "critical", ""), (True, "a", "debug", ""), (False, "c", "error", "5"), (False, "unknown", "info", ""), (False, "unknown", "info", ""), (False, "unknown", "info", ""), (False, "unknown", "info", ""), (False, "unknown", "info", "l"),
+    ]
+    assert str(rows[1]["time"]) == "2024-01-05 10:00:00" and str(rows[2]["time"]) == "1970-01-01 00:00:01.500000" and rows[3]["time"] is None
+    assert json.loads(rows[1]["metadata"]) == {"_EXE": "/usr/bin/x y", "_UID": 0, "source": "journald"} and json.loads(rows[3]["metadata"]) == {}
