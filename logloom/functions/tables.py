@@ -23,23 +23,23 @@ from logloom.session import ship
 
 #: Patterns of one's own by application: (priority, type, expression, fields).
 OWN: dict[str, list[tuple]] = {}
-FOUND = StructType().add("type", StringType()).add("value", StringType()).add("source", StringType())
+FOUND = StructType().add("type", StringType()).add("value", StringType()).add("source", StringType()).add("field", StringType())
 STACK = StructType().add("type", StringType()).add("message", StringType()).add("language", StringType()).add("functions", ArrayType(StringType()))
 
 
-def matches(message: str | None, metadata: str | None, patterns) -> Iterator[tuple[str, str, str]]:
-    """(type, value, source), distinct by type and lower-cased value: the message's first, then those of metadata's text fields."""
+def matches(message: str | None, metadata: str | None, patterns) -> Iterator[tuple[str, str, str, str]]:
+    """(type, value, source, field), distinct by type and lower-cased value: the message's first, then those of metadata's text fields."""
     kinds = {n.lower(): p.type for p in reversed(list(patterns)) for n in p.fields}
     seen = set()
-    search = lambda text, source: ((p.type, m.group(1), source) for p in patterns for m in re.finditer(p.expression, text, re.A))
+    search = lambda text, field: ((p.type, m.group(1), field) for p in patterns for m in re.finditer(p.expression, text, re.A))
     found = list(search(message or "", "message"))
     for f in identifiers.text_fields(metadata):
         kind = kinds.get(f["key"].lower())
         found += [(kind, f["value"], f["path"])] if kind and f["value"] else search(f["value"], f["path"])
-    for kind, value, source in found:
+    for kind, value, field in found:
         if (name := (kind, value.lower())) not in seen:
             seen.add(name)
-            yield kind, value, source
+            yield kind, value, field.split(".")[0], field
 
 
 def texts(name: str, *args: AnalyzeArgument) -> None:

@@ -18,8 +18,8 @@ from logloom.session import ship
 class Pattern(NamedTuple):
     """priority: the lowest number is tried first. fields: metadata fields whose whole value is of that type. marks: texts, lower-case, of which what fits holds one; none: unknown."""
 
-    priority: int
     type: str
+    priority: int
     expression: str
     fields: tuple[str, ...] = ()
     marks: tuple[str, ...] = ()
@@ -27,24 +27,28 @@ class Pattern(NamedTuple):
 
 #: The built-in identifier patterns.
 PATTERNS = (
-    Pattern(100, "uuid", r"(?i)\b([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\b", ("id", "uuid", "guid"), ("-",)),
-    Pattern(90, "request_id", r"""(?i)\b(?:req(?:uest)?[-_]?id|requestId)[:=\s]["']?([a-zA-Z0-9\-_]{8,64})["']?""", ("request_id", "requestId", "req_id", "reqId", "x-request-id"), ("req",)),
-    Pattern(89, "request_id", r"(?i)\b(req[-_][a-zA-Z0-9\-_]{6,32})\b", (), ("req-", "req_")),
-    Pattern(85, "session_id", r"""(?i)\b(?:sess(?:ion)?[-_]?id|sessionId)[:=\s]["']?([a-zA-Z0-9\-_]{16,128})["']?""", ("session_id", "sessionId", "sid", "session"), ("sess",)),
-    Pattern(84, "session_id", r"(?i)\b(sess[-_][a-zA-Z0-9\-_]{8,64})\b", (), ("sess-", "sess_")),
-    Pattern(80, "user_id", r"""(?i)\b(?:user[-_]?id|userId|uid)[:=\s]["']?([a-zA-Z0-9\-_]{1,64})["']?""", ("user_id", "userId", "uid", "user"), ("user", "uid")),
-    Pattern(79, "user_id", r"(?i)\b(user[-_][a-zA-Z0-9\-_]{1,32})\b", (), ("user-", "user_")),
-    Pattern(75, "transaction_id", r"""(?i)\b(?:tx(?:n)?[-_]?id|transactionId)[:=\s]["']?([a-zA-Z0-9\-_]{8,64})["']?""", ("transaction_id", "transactionId", "tx_id", "txId", "txn_id", "txnId"), ("tx", "transactionid")),
-    Pattern(74, "transaction_id", r"(?i)\b(txn?[-_][a-zA-Z0-9\-_]{6,32})\b", (), ("tx",)),
-    Pattern(70, "order_id", r"""(?i)\b(?:order[-_]?id|orderId)[:=\s]["']?([a-zA-Z0-9\-_]{4,64})["']?""", ("order_id", "orderId", "order"), ("order",)),
-    Pattern(69, "order_id", r"(?i)\b(ord(?:er)?[-_][a-zA-Z0-9\-_]{4,32})\b", (), ("ord",)),
-    Pattern(65, "correlation_id", r"""(?i)\b(?:corr(?:elation)?[-_]?id|correlationId|x-correlation-id)[:=\s]["']?([a-zA-Z0-9\-_]{8,64})["']?""", ("correlation_id", "correlationId", "corr_id", "x-correlation-id"), ("corr",)),
-    Pattern(64, "correlation_id", r"(?i)\b(corr[-_][a-zA-Z0-9\-_]{6,32})\b", (), ("corr-", "corr_")),
-    Pattern(60, "trace_id", r"""(?i)\b(?:trace[-_]?id|traceId)[:=\s]["']?([a-f0-9]{32})["']?""", ("trace_id", "traceId", "x-trace-id"), ("trace",)),
-    Pattern(55, "span_id", r"""(?i)\b(?:span[-_]?id|spanId)[:=\s]["']?([a-f0-9]{16})["']?""", ("span_id", "spanId", "x-span-id"), ("span",)),
+    Pattern("uuid", 100, r"(?i)\b([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\b", ("id", "uuid", "guid"), ("-",)),
+    Pattern("request_id", 90, r"""(?i)\b(?:req(?:uest)?[-_]?id|requestId)[:=\s]["']?([a-zA-Z0-9\-_]{8,64})["']?""", ("request_id", "requestId", "req_id", "reqId", "x-request-id"), ("req",)),
+    Pattern("request_id", 89, r"(?i)\b(req[-_][a-zA-Z0-9\-_]{6,32})\b", (), ("req-", "req_")),
+    Pattern("session_id", 85, r"""(?i)\b(?:sess(?:ion)?[-_]?id|sessionId)[:=\s]["']?([a-zA-Z0-9\-_]{16,128})["']?""", ("session_id", "sessionId", "sid", "session"), ("sess",)),
+    Pattern("session_id", 84, r"(?i)\b(sess[-_][a-zA-Z0-9\-_]{8,64})\b", (), ("sess-", "sess_")),
+    Pattern("user_id", 80, r"""(?i)\b(?:user[-_]?id|userId|uid)[:=\s]["']?([a-zA-Z0-9\-_]{1,64})["']?""", ("user_id", "userId", "uid", "user"), ("user", "uid")),
+    Pattern("user_id", 79, r"(?i)\b(user[-_][a-zA-Z0-9\-_]{1,32})\b", (), ("user-", "user_")),
+    Pattern("transaction_id", 75, r"""(?i)\b(?:tx(?:n)?[-_]?id|transactionId)[:=\s]["']?([a-zA-Z0-9\-_]{8,64})["']?""", ("transaction_id", "transactionId", "tx_id", "txId", "txn_id", "txnId"), ("tx", "transactionid")),
+    Pattern("transaction_id", 74, r"(?i)\b(txn?[-_][a-zA-Z0-9\-_]{6,32})\b", (), ("tx",)),
+    Pattern("order_id", 70, r"""(?i)\b(?:order[-_]?id|orderId)[:=\s]["']?([a-zA-Z0-9\-_]{4,64})["']?""", ("order_id", "orderId", "order"), ("order",)),
+    Pattern("order_id", 69, r"(?i)\b(ord(?:er)?[-_][a-zA-Z0-9\-_]{4,32})\b", (), ("ord",)),
+    Pattern("correlation_id", 65, r"""(?i)\b(?:corr(?:elation)?[-_]?id|correlationId|x-correlation-id)[:=\s]["']?([a-zA-Z0-9\-_]{8,64})["']?""", ("correlation_id", "correlationId", "corr_id", "x-correlation-id"), ("corr",)),
+    Pattern("correlation_id", 64, r"(?i)\b(corr[-_][a-zA-Z0-9\-_]{6,32})\b", (), ("corr-", "corr_")),
+    Pattern("trace_id", 60, r"""(?i)\b(?:trace[-_]?id|traceId)[:=\s]["']?([a-f0-9]{32})["']?""", ("trace_id", "traceId", "x-trace-id"), ("trace",)),
+    Pattern("span_id", 55, r"""(?i)\b(?:span[-_]?id|spanId)[:=\s]["']?([a-f0-9]{16})["']?""", ("span_id", "spanId", "x-span-id"), ("span",)),
 )
 
 
+#: Their priorities, in order.
+PRIORITIES = tuple(p.priority for p in PATTERNS)
+
+
 def repeats(pattern) -> list[tuple[int, int, bool]]:
     """(least, most, whether inside another unbounded repeat) of every repeat of a compiled pattern's tree."""
     out = []
@@ -87,7 +91,8 @@ def safe_pattern(pattern: str) -> bool:
 
 def by_priority(custom, patterns=PATTERNS) -> list[Pattern]:
     """Custom patterns (priority, type, expression, fields) among the built-in ones; lowest number first, custom first on ties."""
-    return sorted([*(Pattern(*p) for p in custom), *patterns], key=lambda p: p.priority)
+    own = [Pattern(kind, priority, *rest) for priority, kind, *rest in custom]
+    return sorted([*own, *patterns], key=lambda p: p.priority)
 
 
 #: The built-in patterns in the order in which they are tried.
@@ -143,26 +148,26 @@ def leaves(metadata: Column) -> Column:
 
 
 def from_metadata(fields: Column, patterns=TRIED) -> Column:
-    """array<struct<type,value,source>> of text fields: one whose name is that of a type gives its whole value; the text of any other is searched."""
+    """array<struct<type,value,field>> of text fields: one whose name is that of a type gives its whole value; the text of any other is searched."""
     kinds = {n.lower(): p.type for p in reversed(list(patterns)) for n in p.fields}
     lookup = F.create_map(*[F.lit(x) for pair in sorted(kinds.items()) for x in pair]) if kinds else F.create_map(F.lit(""), F.lit(None).cast("string"))
 
     def of(e: Column) -> Column:
         kind = F.try_element_at(lookup, F.lower(e["key"]))
-        own = F.array(F.struct(kind.alias("type"), e["value"].alias("value"), e["path"].alias("source")))
-        searched = F.transform(found_in(e["value"], patterns), lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"), e["path"].alias("source")))
+        own = F.array(F.struct(kind.alias("type"), e["value"].alias("value"), e["path"].alias("field")))
+        searched = F.transform(found_in(e["value"], patterns), lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"), e["path"].alias("field")))
         return F.when(kind.isNotNull() & (e["value"] != ""), own).otherwise(searched)
 
     return F.flatten(F.transform(fields, of))
 
 
 def extract(logs: DataFrame, patterns=TRIED) -> DataFrame:
-    """log_id, time, project_id, type, value, source: distinct by type and lower-cased value, the first spelling; one scan, one explode.
+    """log_id, time, project_id, type, value, source, field: distinct by type and lower-cased value, the first spelling; one scan, one explode.
 
     The message comes first, then the text fields of metadata (a JSON text column, if there is one) at any depth; source
-    is `message`, or the field's path. Only metadata that may hold such fields leaves the JVM.
+    is `message` or `metadata`, field is `message` or the field's path. Only metadata that may hold such fields leaves the JVM.
     """
-    every = F.transform(found_in(F.col("message"), patterns), lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"), F.lit("message").alias("source")))
+    every = F.transform(found_in(F.col("message"), patterns), lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"), F.lit("message").alias("field")))
     if "metadata" in logs.columns:
         ship(logs.sparkSession)
         told = F.col("metadata").cast("string")
@@ -175,7 +180,7 @@ def extract(logs: DataFrame, patterns=TRIED) -> DataFrame:
         return bound(F.transform(found, name), lambda names: F.filter(found, lambda x, i: F.array_position(names, name(x)) == i + 1))
 
     rows = logs.select(F.col("id").alias("log_id"), "time", "project_id", F.explode(bound(every, firsts)).alias("x"))
-    return rows.select("log_id", "time", "project_id", "x.type", "x.value", "x.source")
+    return rows.select("log_id", "time", "project_id", "x.type", "x.value", F.split_part("x.field", F.lit("."), F.lit(1)).alias("source"), "x.field")
 
 
 def by_log(identifiers: DataFrame, ids=None) -> DataFrame:

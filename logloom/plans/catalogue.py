@@ -175,7 +175,7 @@ for width in ("1h", "1d"):
 
 # identifiers and addresses
 FOUND = " union ".join(f"select id as log_id, time, project_id, '{p.type}' as type, unnest(regexp_extract_all(message, '{quoted_regex}', 1)) as value, 'message' as source from logs" for p in identifiers.PATTERNS if (quoted_regex := p.expression.replace("'", "''")))
-register("identifiers_extract", logs(identifiers.extract), FOUND, "logs")
+register("identifiers_extract", logs(lambda x: identifiers.extract(x).drop("field")), FOUND, "logs")
 register("correlated_logs", logs(lambda x: identifiers.correlated(x, identifiers.extract(x), "user_id", "7", DAY, 20_000, 100).select("id", "time")), f"select id, time from logs where id in (select log_id from ({FOUND}) f where type = 'user_id' and lower(value) = '7' and time between timestamp '{DAY}' - interval '20000 minutes' and timestamp '{DAY}' + interval '20000 minutes' order by time desc, log_id desc limit 100)", "logs")
 register("ip_extract", logs(lambda x: x.select("id", F.explode(X.public_ips(F.col("message"))).alias("ip"))), "select distinct id, ip from (select id, unnest(regexp_extract_all(message, '\\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\b')) as ip from logs) x where not regexp_matches(ip, '^(10\\.|127\\.|192\\.168\\.|169\\.254\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.|0\\.0\\.0\\.0$)')", "logs")
 SCORE = "cast(split_part(ip, '.', 4) as int) % 6"

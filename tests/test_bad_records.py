@@ -92,7 +92,7 @@ def test_identifiers_at_any_depth_and_in_texts_with_brackets(spark):
         (6, "user_id=5", '{"userId":"5","x":{"REQ_ID":"whole value, as it is"}}'), (7, None, "nonsense"), (8, "", None), (9, "", '{"a":' * 200_000), (10, "", '{"uid":"\\ud800"}'),
     ]
     logs = spark.createDataFrame(rows, "id long, message string, metadata string").selectExpr("*", "timestamp_ntz'2024-01-01' as time", "1 as project_id")
-    found = {(r["log_id"], r["type"], r["value"], r["source"]) for r in identifiers.extract(logs).collect()}
+    found = {(r["log_id"], r["type"], r["value"], r["field"]) for r in identifiers.extract(logs).collect()}
     assert found == {
         (1, "user_id", "77", "metadata.note"), (2, "user_id", "99", "metadata.n"), (3, "user_id", "five", "metadata.a.b.c.d.user_id"), (4, "user_id", "deep", "metadata" + ".a" * 300 + ".user_id"),
         (1, "user_id", "user_id", "metadata.note"), (2, "user_id", "user_id", "metadata.n"), (6, "user_id", "user_id", "message"), (6, "user_id", "5", "message"), (6, "request_id", "whole value, as it is", "metadata.x.REQ_ID"), (10, "user_id", "?", "metadata.uid"),

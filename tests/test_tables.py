@@ -21,7 +21,7 @@ def logs(spark):
 
 def test_identifiers(spark, logs):
     found = spark.sql("select l.id, x.* from table_logs l, lateral identifiers(l.message, l.metadata) x")
-    want = identifiers.extract(logs).select("log_id", "type", "value", "source")
+    want = identifiers.extract(logs).select("log_id", "type", "value", "source", "field")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) != []
     alone = spark.sql("select x.value from table_logs l, lateral identifiers(l.message) x where l.id = 1 and x.type = 'user_id'").collect()
     assert [r["value"] for r in alone] == ["user_id", "5"]
@@ -38,7 +38,7 @@ def test_exceptions(spark, logs):
 def test_own_patterns(spark, logs):
     tables.register_pattern(spark, "ticket", r"(?i)\b(t-\d{1,9})\b", 10, ("ticket",))
     found = spark.sql("select x.* from table_logs l, lateral identifiers(l.message, l.metadata) x where l.id = 4").collect()
-    assert [tuple(r) for r in found] == [("ticket", "T-77", "message"), ("ticket", "T-9", "metadata.ticket")]
+    assert [tuple(r) for r in found] == [("ticket", "T-77", "message", "message"), ("ticket", "T-9", "metadata", "metadata.ticket")]
     for bad in ("(a+)+b", "no group", "("):
         with pytest.raises(ValueError):
             tables.register_pattern(spark, "x", bad)
