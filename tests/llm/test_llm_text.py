@@ -79,7 +79,7 @@ def test_html_query(spark, sf):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_twin(spark, sf, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     cur = c.execute(queries.ORACLES[name])
     names = [d[0] for d in cur.description]
