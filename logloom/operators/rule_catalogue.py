@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators import sigma
-from logloom.session import ship
+from logloom.session import ship, written
 
 try:
     import yaml
@@ -117,7 +117,7 @@ def sync(catalogue: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     the rules that it had. Rules of files that aren't found stay.
     """
     have = catalogue.select("path", "commit").distinct()
-    new = parsed(found.join(have, ["path", "commit"], "left_anti"))
+    new = written(parsed(found.join(have, ["path", "commit"], "left_anti").repartition("path")))  # few files may hold many rules; each is parsed once
     failed = new.groupBy("path").agg(F.max(F.col("error").isNotNull()).alias("failed"))
     good = new.join(failed.where("not failed"), "path", "left_semi")
     counts = failed.agg(F.count_if(~F.col("failed")).alias("imported"), F.count_if("failed").alias("failed"))
