@@ -3,9 +3,32 @@
 from pyspark.sql import functions as F
 
 from logloom.functions import scalars as X
+from logloom.operators import traces
 
 
 def test_nanoseconds_beyond_doubles(spark):
     values = [648_741_594_641_000_000 + i * 1_000_000 + extra for i in range(1000) for extra in (0, 999_999)] + [-1_999_999, -1, (1 << 63) - 1]
     rows = spark.createDataFrame([(n,) for n in values], "n long").select("n", X.ns_to_ms(F.col("n")).alias("ms")).collect()
     assert all(r["ms"] == (abs(r["n"]) // 1_000_000) * (1 if r["n"] > 0 else -1) for r in rows)
+
+
+def test_trees_within_tasks_and_by_joins(spark):
+    """Random forests with repeated ids, orphans, cycles and nulls: both ways give the same, and small traces aren't joined."""
+    import random
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "b", "c", None]) if i % 9 else f"t{i % 50}", rnd.choice([None, *[f"s{j}" for j in range(60)]]), rnd.choice([None, *[f"s{j}" for j in range(80)]]), None if i % 11 == 0 else i * 7919 % 13) for i in range(600)]
+    rows += [("chain", f"{i}", f"{i - 1}" if i else None, 0) for i in range(3000)] + [("wide", f"{i:05}", "00000" if i else "", i % 3) for i in range(3000)]
+    spans = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, start_time int").repartition(7).cache()
+    seen = lambda df: sorted(df.collect(), key=str)
+    for fn in (traces.depths, traces.preorder):
+        within = seen(fn(spans, large=10_000))
+        assert within == seen(fn(spans, large=0)) == seen(fn(spans, large=1000))
+    assert max(r["depth"] or 0 for r in within) == 2999 and any(r["depth"] is None for r in within)
+
+
+def test_small_traces_are_shuffled_once(spark):
+    few = spark.createDataFrame([("t", "a", None, 0), ("t", "b", "a", 0)], "trace_id string, span_id string, parent_span_id string, start_time int")
+    for fn in (traces.depths, traces.preorder):
+        plan = fn(few)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and plan.count("RepartitionByExpression") == 1 and "Window" not in plan
