@@ -1,9 +1,12 @@
 """What only showed on larger tables: values that doubles can't hold, and steps whose cost grew faster than their input."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from logloom.functions import scalars as X
 from logloom.operators import traces
+from logloom.sources import logstore
 
 
 def test_nanoseconds_beyond_doubles(spark):
@@ -32,3 +35,18 @@ def test_small_traces_are_shuffled_once(spark):
     for fn in (traces.depths, traces.preorder):
         plan = fn(few)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == 1 and plan.count("RepartitionByExpression") == 1 and "Window" not in plan
+
+
+def test_filters_are_made_within_tasks(spark, tmp_path):
+    """Bitmaps, not trigrams, leave the tasks; they hold every trigram of their rows, and little else."""
+    texts = ["Worker heartbeat", "", "ab", None, "Ünïcode 50%_off", "x" * 5000]
+    bits = logstore.grams([t.lower().encode() for t in texts if t is not None])
+    assert all((bits & logstore.grams([w.encode()])).sum() == logstore.grams([w.encode()]).sum() > 0 for w in ("heart", "ünï", "50%", "xxx"))
+    assert not logstore.grams([b"ab", b"", b"c"]).any() and bits.sum() < sum(len((t or "").encode()) for t in texts[:5]) + 1
+    kept = logstore.LogStore(spark, str(tmp_path / "s"))
+    rows = [(i, datetime(2024, 1, 1), 0, "s", "info", f"{texts[i % 6]} {i}", None, None) for i in range(2000)]
+    kept.add(spark.createDataFrame(rows, "id long, time timestamp_ntz, project_id int, service string, level string, message string, metadata string, trace_id string"), spark.createDataFrame([(0, 1)], "id int, organization_id int"))
+    assert kept.filters().count() == 2 * kept.rows().select(logstore.file_name()).distinct().count()
+    assert [r["id"] for r in kept.containing("HEARTBEAT 1998").collect()] == [1998] and kept.candidates("no such thing").count() == 0
+    (tmp_path / "s" / "filters").mkdir()
+    assert [r["id"] for r in kept.containing("HEARTBEAT 1998").collect()] == [1998]
