@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from logloom.functions import scalars as X
-from logloom.operators import traces
+from logloom.operators import rule_catalogue, sigma, traces
 from logloom.sources import logstore
 
 
@@ -50,3 +50,22 @@ def test_filters_are_made_within_tasks(spark, tmp_path):
     assert [r["id"] for r in kept.containing("HEARTBEAT 1998").collect()] == [1998] and kept.candidates("no such thing").count() == 0
     (tmp_path / "s" / "filters").mkdir()
     assert [r["id"] for r in kept.containing("HEARTBEAT 1998").collect()] == [1998]
+
+
+def test_rules_go_to_the_parser_in_c(monkeypatch):
+    seen = []
+    load = rule_catalogue.yaml.load_all
+    monkeypatch.setattr(rule_catalogue.yaml, "load_all", lambda text, loader: seen.append(loader.__name__) or load(text, loader))
+    assert list(rule_catalogue.documents("a: [1, 'x']\n---\nb: 2")) == [{"a": [1, "x"]}, {"b": 2}]
+    try:
+        list(rule_catalogue.documents("[" * 100_000))
+    except RecursionError:
+        pass
+    assert seen == ["CSafeLoader" if rule_catalogue.yaml.__with_libyaml__ else "SafeLoader", "SafeLoader"]
+
+
+def test_base64_text_is_cleaned_once(spark):
+    told = sigma._leaf(F.col("c"), "hello", "base64")
+    rows = spark.createDataFrame([("aGVs bG8=",), ("aGVsbG8",), ("aGVsbG8A=",), ("A",), ("",), (None,), ("aGVs~",)], "c string").select(told.alias("t"))
+    assert [r["t"] for r in rows.collect()] == [True, True, True, False, False, False, False]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
