@@ -21,7 +21,8 @@ binary = lambda c: F.encode(F.coalesce(c, F.lit("")), "utf-8")
 
 
 def part(number: int, payload):
-    return F.concat(tag(number, 2), varint(F.octet_length(payload)), payload)
+    # bound once: each mention of a payload would build all that is nested in it again
+    return F.get(F.transform(F.array(payload), lambda p: F.concat(tag(number, 2), varint(F.octet_length(p)), p)), F.lit(0))
 
 
 def fixed(number: int, c):

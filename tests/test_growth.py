@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from logloom.functions import scalars as X
 from logloom.operators import rule_catalogue, sigma, traces
-from logloom.sources import logstore
+from logloom.plans import protocols
+from logloom.sources import ingest, logstore
 
 
 def test_nanoseconds_beyond_doubles(spark):
@@ -69,3 +70,11 @@ def test_base64_text_is_cleaned_once(spark):
     rows = spark.createDataFrame([("aGVs bG8=",), ("aGVsbG8",), ("aGVsbG8A=",), ("A",), ("",), (None,), ("aGVs~",)], "c string").select(told.alias("t"))
     assert [r["t"] for r in rows.collect()] == [True, True, True, False, False, False, False]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
+def test_nested_payloads_are_built_once(spark):
+    one = spark.createDataFrame([("x",)], "c string").select(protocols.part(1, protocols.part(2, protocols.part(3, protocols.binary(F.col("c"))))).alias("b"))
+    assert one._jdf.queryExecution().analyzed().toString().count("encode(") == 1
+    assert one.first()["b"] == bytes.fromhex("0a8700" + "128400" + "1a8100") + b"x"
+    bodies = spark.createDataFrame([('{"trace_id" : "a_b", "x_y": 1}',), ('{"traceId": "trace_id"}',), (None,)], "b string").select(ingest.camel(F.col("b")).alias("b"))
+    assert [r["b"] for r in bodies.collect()] == ['{"traceId" : "a_b", "x_y": 1}', '{"traceId": "trace_id"}', None]
