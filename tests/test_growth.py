@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import scalars as X
 from logloom.operators import rule_catalogue, sigma, traces
-from logloom.plans import protocols
+from logloom.plans import flows, protocols
 from logloom.sources import ingest, logstore
 
 
@@ -78,3 +78,10 @@ def test_nested_payloads_are_built_once(spark):
     assert one.first()["b"] == bytes.fromhex("0a8700" + "128400" + "1a8100") + b"x"
     bodies = spark.createDataFrame([('{"trace_id" : "a_b", "x_y": 1}',), ('{"traceId": "trace_id"}',), (None,)], "b string").select(ingest.camel(F.col("b")).alias("b"))
     assert [r["b"] for r in bodies.collect()] == ['{"traceId" : "a_b", "x_y": 1}', '{"traceId": "trace_id"}', None]
+
+
+def test_parts_of_a_stream_are_made_once(spark):
+    made, seen = spark.sparkContext.accumulator(0), []
+    rows = spark.createDataFrame([(i,) for i in range(90)], "id long").mapInArrow(lambda batches: (made.add(b.num_rows) or b for b in batches), "id long")
+    flows.in_parts(rows, "case when id < 60 then id % 2 * 2 end", lambda stream, path: seen.append(stream.isStreaming))
+    assert made.value == 90 and seen == [True, True, True]
