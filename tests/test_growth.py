@@ -1,12 +1,12 @@
 """What only showed on larger tables: values that doubles can't hold, and steps whose cost grew faster than their input."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from logloom.functions import scalars as X
 from logloom.operators import rule_catalogue, sigma, traces
-from logloom.plans import flows, protocols
+from logloom.plans import catalogue, flows, protocols
 from logloom.sources import ingest, logstore
 
 
@@ -16,6 +16,16 @@ def test_nanoseconds_beyond_doubles(spark):
     assert all(r["ms"] == (abs(r["n"]) // 1_000_000) * (1 if r["n"] > 0 else -1) for r in rows)
 
 
+def test_nanoseconds_beyond_64_bits(spark, tmp_path):
+    """Order keys of a large table make nanoseconds that no long holds: exact times, not an overflow."""
+    keys = [0, 7_470_859, 7_470_860, 9_000_000, 54_000_000]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    want = {k: (datetime(1970, 1, 1) + timedelta(milliseconds=k * 1_234_567_891_011 // 1_000_000)).isoformat(timespec="milliseconds") + "Z" for k in keys}
+    assert {r["o_orderkey"]: r["iso"] for r in catalogue.QUERIES["ns_to_iso"](spark, str(tmp_path)).collect()} == want
+    odd = spark.createDataFrame([("x",), ("9" * 40,), (str(1 << 63),), ("-1",)], "n string").select(X.ns_to_iso(F.col("n")).alias("iso")).collect()
+    assert [r["iso"] for r in odd] == [None, None, "2262-04-11T23:47:16.854Z", "1970-01-01T00:00:00.000Z"]
+
+
 def test_trees_within_tasks_and_by_joins(spark):
     """Random forests with repeated ids, orphans, cycles and nulls: both ways give the same, and small traces aren't joined."""
     import random
