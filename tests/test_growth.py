@@ -18,7 +18,7 @@ def test_nanoseconds_beyond_doubles(spark):
 
 def test_nanoseconds_beyond_64_bits(spark, tmp_path):
     """Order keys of a large table make nanoseconds that no long holds: exact times, not an overflow."""
-    keys = [0, 7_470_859, 7_470_860, 9_000_000, 54_000_000]
+    keys = [0, 7_470_931, 7_470_932, 9_000_000, 54_000_000]
     spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     want = {k: (datetime(1970, 1, 1) + timedelta(milliseconds=k * 1_234_567_891_011 // 1_000_000)).isoformat(timespec="milliseconds") + "Z" for k in keys}
     assert {r["o_orderkey"]: r["iso"] for r in catalogue.QUERIES["ns_to_iso"](spark, str(tmp_path)).collect()} == want
